@@ -24,33 +24,52 @@ def null_safe(keys: list[str], left: DataFrame, right: DataFrame) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+def hot_key_table(counts: DataFrame, keys: list[str], count_col: str,
+                  hot_rows: int = CHUNK_ROWS, most: int = 10_000) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` members as a small table, None when there are none.
+
+    The table is proven small before it is used: while more than ``most`` keys pass,
+    the limit is raised tenfold.
+    """
+    limit = hot_rows
+    while True:
+        found = counts.where(F.col(count_col) > limit).select(*keys).take(most + 1)
+        if len(found) <= most:
+            break
+        limit *= 10
+    if not found:
+        return None
+    schema = counts.select(*keys).schema
+    return counts.sparkSession.createDataFrame([tuple(r) for r in found], schema)
+
+
 def join_stats(rows: DataFrame, stats: DataFrame, keys: list[str], count_col: str,
                hot_rows: int = CHUNK_ROWS, salts: int = SALTS, how: str = "left") -> DataFrame:
     """Attach one-row-per-key ``stats`` to ``rows`` without gathering a hot key.
 
-    Rows of keys with more than ``hot_rows`` members (``count_col``) are dealt out
-    over ``salts`` sub-keys; their single stats row is copied to each sub-key.  All
-    other keys keep one stats row in sub-key 0, looked up through a second salt
-    column, so that the copies only exist for hot keys.
+    Without a hot key this is a plain join.  Rows of a hot key are dealt out over
+    ``salts`` sub-keys and the single stats row of that key is copied to each.
     """
-    spread = F.when(F.col(count_col) > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))
-    right = stats.withColumn("_salt", F.explode(spread))
-    hot_keys = stats.where(F.col(count_col) > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    renamed = hot_keys.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_hot")
-    cond = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(renamed[f"_h_{k}"]) for k in keys])
-    # At most rows / hot_rows keys are hot: a small table, and the planner
-    # broadcasts it only if its measured size allows that.
-    left = rows.join(renamed, cond, "left").drop(*[f"_h_{k}" for k in keys])
-    left = left.withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(F.lit(-1)),
-    ).drop("_hot")
-    right = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                         F.col("_salt").alias("_r_salt"),
-                         *[c for c in right.columns if c not in keys + ["_salt"]])
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys])
-    cond = cond & (left["_salt"] == right["_r_salt"])
-    return left.join(right, cond, how).drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
+    def renamed(df: DataFrame, extra: list[str] = []) -> DataFrame:
+        return df.select(*[F.col(k).alias(f"_r_{k}") for k in keys + extra],
+                         *[c for c in df.columns if c not in keys + extra])
+
+    def on(left: DataFrame, right: DataFrame, extra: list[str] = []) -> Column:
+        return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys + extra])
+
+    hot = hot_key_table(stats, keys, count_col, hot_rows)
+    if hot is None:
+        right = renamed(stats)
+        return rows.join(right, on(rows, right), how).drop(*[f"_r_{k}" for k in keys])
+    mark = F.broadcast(renamed(hot.withColumn("_hot", F.lit(True))))
+    drop_keys = [f"_r_{k}" for k in keys]
+    left = rows.join(mark, on(rows, mark), "left").drop(*drop_keys)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    left = left.withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
+    right = stats.join(mark, on(stats, mark), "left").drop(*drop_keys)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = renamed(right.withColumn("_salt", F.explode(copies)).drop("_hot"), ["_salt"])
+    return left.join(right, on(left, right, ["_salt"]), how).drop("_salt", "_r__salt", *drop_keys)
 
 
 def with_group_rank(df: DataFrame, keys: list[str], order: str, rank_col: str,
