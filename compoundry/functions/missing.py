@@ -20,10 +20,21 @@ def is_missing(c: Column) -> Column:
     return t.isNull() | t.isin(*MISSING_TEXTS) | (t == "NaN")
 
 
-def to_double(c: Column) -> Column:
-    """Number or null; a comma is accepted as decimal sign, NaN becomes null."""
-    v = F.translate(F.trim(c.cast("string")), ",", ".").try_cast("double")
-    return F.when(~is_missing(c) & ~F.isnan(v), v)
+NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def to_double(c: Column, dtype: str = "string") -> Column:
+    """Number or null; a comma is accepted as decimal sign, NaN becomes null.
+
+    Columns that are numbers already skip the text route.
+    """
+    if dtype in NUMERIC_TYPES or dtype.startswith("decimal"):
+        v = c.cast("double")
+        return F.when(~F.isnan(v), v)
+    t = F.translate(F.trim(c.cast("string")), ",", ".")
+    v = t.try_cast("double")
+    # The cast also reads Java suffixes such as "1d", which are no numbers here.
+    return F.when(~F.isnan(v) & ~t.rlike(r"[0-9.][dDfF]$"), v)
 
 
 def finite(c: Column) -> Column:

@@ -57,9 +57,9 @@ def is_log_scale_name(name: str) -> bool:
     return low in LOG_SCALE_NAMES or low.startswith("p_")
 
 
-def log_activity(value: Column, unit: Column, default_unit: str, already_log: bool = False):
+def log_activity(value: Column, unit: Column, default_unit: str, already_log: bool = False, parsed: bool = False):
     """(negative log10 of the molar activity or null, status text) as two columns."""
-    number = to_double(value)
+    number = value if parsed else to_double(value)
     if already_log:
         status = F.when(number.isNull(), "activity_not_numeric").otherwise("pactivity_direct")
         return number, status

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from compoundry.functions import units
-from compoundry.functions.missing import text
+from compoundry.functions.missing import text, to_double
+from compoundry.functions.once import with_once
 from compoundry.functions.skew import group_quantiles, hottest_group, join_stats, CHUNK_ROWS
 from compoundry.functions.texts import tokens
 
@@ -52,46 +53,51 @@ def annotate_activities(df: DataFrame, cfg: CurationConfig,
     ``identity`` is a canonical structure key (null for an unreadable structure);
     without it the raw structure text is the key.
     """
-    smiles = text(F.col(cfg.smiles))
-    endpoint = text(F.col(cfg.endpoint)) if cfg.endpoint else F.lit("")
-    relation = text(F.col(cfg.relation)) if cfg.relation else F.lit("=")
-    unit = text(F.col(cfg.unit)) if cfg.unit else F.lit(cfg.target_unit)
-    value, status = units.log_activity(
-        F.col(cfg.activity), unit, cfg.target_unit, units.is_log_scale_name(cfg.activity))
-    compound = (text(F.col(cfg.name)) if cfg.name
-                else F.concat(F.lit("row_"), (F.col(cfg.row_index) + 1).cast("string")))
-
+    log_scale = units.is_log_scale_name(cfg.activity)
+    # Each derived value is computed once; the filters below only look at results.
+    rows = with_once(df, {
+        "_smiles": text(F.col(cfg.smiles)),
+        "_endpoint": text(F.col(cfg.endpoint)) if cfg.endpoint else F.lit(""),
+        "_relation": text(F.col(cfg.relation)) if cfg.relation else F.lit("="),
+        "_unit": text(F.col(cfg.unit)) if cfg.unit else F.lit(cfg.target_unit),
+        "_number": to_double(F.col(cfg.activity), dict(df.dtypes)[cfg.activity]),
+    })
+    value, status = units.log_activity(F.col("_number"), F.col("_unit"), cfg.target_unit, log_scale, parsed=True)
+    smiles, endpoint, relation, unit = (F.col(f"_{c}") for c in ("smiles", "endpoint", "relation", "unit"))
     key = smiles if identity is None else F.coalesce(identity, smiles)
     if identity_status is None:
         identity_status = F.lit("raw_smiles") if identity is None else F.when(
             identity.isNull(), "invalid_for_identity").otherwise(cfg.duplicate_key)
-    identity_status = F.when(smiles == "", "not_computed").otherwise(identity_status)
-
-    bounded = []
+    rows = with_once(rows, {"_value": value, "_status": status, "_key": key,
+                            "_identity": F.when(smiles == "", "not_computed").otherwise(identity_status)})
+    value, status, key, identity_status = (F.col(f"_{c}") for c in ("value", "status", "key", "identity"))
+    compound = (text(F.col(cfg.name)) if cfg.name
+                else F.concat(F.lit("row_"), (F.col(cfg.row_index) + 1).cast("string")))
+    wanted = cfg.target_endpoint.strip().lower()
+    checks = [(smiles == "", F.lit("missing_smiles"))]
+    if wanted:
+        checks.append((F.lower(endpoint) != wanted, F.lit("endpoint_not_selected")))
+    if cfg.relation_policy == "exact_only":
+        checks.append((~relation.isin("", "=", "'='"), F.lit("non_exact_relation")))
+    checks.append((value.isNull(), status))
     if cfg.min_activity is not None:
-        bounded.append(F.when(value < cfg.min_activity, "below_min_pactivity"))
+        checks.append((value < cfg.min_activity, F.lit("below_min_pactivity")))
     if cfg.max_activity is not None:
-        bounded.append(F.when(value > cfg.max_activity, "above_max_pactivity"))
-    wanted = cfg.target_endpoint.strip().lower()
-    reasons = F.array_compact(F.array(
-        F.when(smiles == "", "missing_smiles"),
-        F.when(F.lit(bool(wanted)) & (F.lower(endpoint) != wanted), "endpoint_not_selected"),
-        F.when(F.lit(cfg.relation_policy == "exact_only") & ~relation.isin("", "=", "'='"), "non_exact_relation"),
-        F.when(value.isNull(), status),
-        *bounded,
-        F.when(identity_status == "invalid_for_identity", "invalid_smiles"),
-    ))
+        checks.append((value > cfg.max_activity, F.lit("above_max_pactivity")))
+    checks.append((identity_status == "invalid_for_identity", F.lit("invalid_smiles")))
+    reasons = F.concat_ws(";", *[F.when(cond, reason) for cond, reason in checks])
     base = {
         "row_index": F.col(cfg.row_index), "compound_id": compound, "smiles": smiles,
         "canonical_smiles": key, "identity_key": key, "identity_status": identity_status,
         "endpoint": endpoint, "relation": relation, "activity_value": F.col(cfg.activity),
         "activity_unit": unit, "pActivity_raw": value, "conversion_status": status,
-        "reject_reasons": F.array_join(reasons, ";"),
+        "reject_reasons": F.col("_reasons"),
     }
     # Case-insensitive column resolution would merge names that differ in case only.
     taken = {c.lower() for c in base} | {cfg.smiles.lower(), cfg.activity.lower()}
     extra = [F.col(c).alias(f"source_{c}") for c in df.columns if c.lower() not in taken]
-    return df.select(*[c.alias(n) for n, c in base.items()], *extra)
+    rows = with_once(rows, {"_reasons": reasons})
+    return rows.select(*[c.alias(n) for n, c in base.items()], *extra)
 
 
 def aggregate_measurements(accepted: DataFrame, method: str = "median", key: str = "identity_key",

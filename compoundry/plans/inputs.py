@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows over the cores when a small file arrives in fewer splits than cores.
+
+    Large tables bring many splits and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 UNITS = ("nM", "uM", "µM", "mM", "M", "pM", "mg/ml")
 RELATIONS = ("=", "=", "<", "'='", ">", "", "=")
 
@@ -23,7 +32,7 @@ def _pick(values: tuple, index):
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as raw activity measurements: one row per line, compound = part."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_partkey")
     line = F.col("l_linenumber")
     step = F.col("l_orderkey") + F.col("l_partkey")
     order = ((F.col("l_orderkey") * 8 + line).cast("decimal(25,0)") * F.lit(10**9).cast("decimal(12,0)")
@@ -35,8 +44,8 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "A", "IC50").when(F.col("l_returnflag") == "N", "Ki").otherwise("EC50")
         .alias("standard_type"),
         _pick(RELATIONS, line).alias("standard_relation"),
-        F.when(step % 53 == 0, "n/a").when(step % 59 == 0, F.lit("-1"))
-        .otherwise(F.col("l_extendedprice").cast("string")).alias("standard_value"),
+        F.when(step % 53 == 0, F.lit(None)).when(step % 59 == 0, F.lit(-1.0))
+        .otherwise(F.col("l_extendedprice")).alias("standard_value"),
         _pick(UNITS, line).alias("standard_units"),
         F.concat(F.lit("r"), (F.col("l_suppkey") % 10).cast("string")).alias("row_id"),
     )
