@@ -57,3 +57,8 @@ def safe_ratio(value: Column, threshold: Column) -> Column:
     """value / threshold, null unless the threshold is positive and finite."""
     ok = (threshold > 0) & (F.abs(threshold) != float("inf")) & ~F.isnan(threshold)
     return F.when(ok, value / threshold)
+
+
+def safe_corr(x: Column, y: Column) -> Column:
+    """Correlation that is null instead of an error when a side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

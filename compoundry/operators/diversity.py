@@ -126,7 +126,7 @@ def diversity_metrics(df: DataFrame, words: str, ident: str, sample_size: int =
         return pd.DataFrame({"mean_nn_distance": [round(float(near.mean()), 4)], "mean_pairwise_dist": [round(mean, 4)],
                              "n_singletons": [int((near > 0.5).sum())]})
 
-    stats = sample.groupBy(F.lit(0)).applyInPandas(
+    stats = sample.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(
         compare, "mean_nn_distance double, mean_pairwise_dist double, n_singletons bigint")
     return counted.crossJoin(stats).withColumn("diversity_score", F.col("mean_pairwise_dist"))
 

@@ -172,8 +172,9 @@ def group_split(df: DataFrame, group: str, train: float = 0.7, validation: float
 
     placed = groups.withColumn("_h", F.xxhash64(F.lit(int(seed)), F.col(group)))
     placed = with_group_rank(placed, ["_n"], "_h", "_r", chunk=HASH_CHUNK)
-    hit = (placed["_n"] == runs["_n"]) & placed["_r"].between(runs["_from"], runs["_to"])
-    placed = placed.join(F.broadcast(runs), hit).drop(runs["_n"])
+    runs = runs.withColumnRenamed("_n", "_size")
+    hit = (F.col("_n") == F.col("_size")) & F.col("_r").between(F.col("_from"), F.col("_to"))
+    placed = placed.join(F.broadcast(runs), hit)
     which = F.element_at("_pattern", (F.pmod(F.col("_r") - F.col("_from"), F.size("_pattern")) + 1).cast("int"))
     placed = placed.select(group, "_n", F.element_at(F.array(*[F.lit(x) for x in names]), which + 1).alias("split"))
     out = join_stats(df, placed, [group], "_n").drop("_n")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from compoundry.functions.missing import finite, to_bool_flag
+from compoundry.functions.missing import finite, safe_corr, to_bool_flag
 from compoundry.functions.skew import group_quantiles
 from compoundry.functions.texts import column_key_text
 
@@ -71,7 +71,7 @@ def regression_aggregates(y: Column, p: Column) -> dict[str, Column]:
         "rmse": F.sqrt(F.avg(r * r)), "mae": F.avg(F.abs(r)), "bias": F.avg(r),
         "residual_sd": F.when(n > 1, F.stddev_samp(r)).otherwise(0.0),
         "max_abs_residual": F.max(F.abs(r)),
-        "pearson_r": F.when(both, F.corr(y, p)),
+        "pearson_r": F.when(both, safe_corr(y, p)),
         "ccc": F.when((n > 1) & (denom > 1e-300), 2 * F.covar_pop(y, p) / denom),
         "slope": F.when(line, F.regr_slope(y, p)), "intercept": F.when(line, F.regr_intercept(y, p)),
     }
