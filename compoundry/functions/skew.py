@@ -81,21 +81,21 @@ def with_group_rank(df: DataFrame, keys: list[str], order: str, rank_col: str,
     sum over the per-chunk counts, a table reduced before any shuffle.
     ``count_col`` adds the size of the whole group.
     """
-    df = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
-    counts = df.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    df = df.withColumn("_rk_chunk", F.floor(F.col(order) / F.lit(chunk)))
+    counts = df.groupBy(*keys, "_rk_chunk").agg(F.count(F.lit(1)).alias("_rk_n"))
     by_key = Window.partitionBy(*keys)
-    before = by_key.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    before = by_key.orderBy("_rk_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_rk_before", F.coalesce(F.sum("_rk_n").over(before), F.lit(0)))
     if count_col:
-        offsets = offsets.withColumn(count_col, F.sum("_n").over(by_key))
-    offsets = offsets.drop("_n")
-    renamed = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys + ["_chunk"]],
-                             *[c for c in offsets.columns if c not in keys + ["_chunk"]])
-    cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"_o_{k}"]) for k in keys + ["_chunk"]])
-    joined = df.join(renamed, cond).drop(*[f"_o_{k}" for k in keys + ["_chunk"]])
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    ranked = joined.withColumn(rank_col, (F.col("_before") + F.row_number().over(inside)).cast("bigint"))
-    return ranked.drop("_chunk", "_before")
+        offsets = offsets.withColumn(count_col, F.sum("_rk_n").over(by_key))
+    offsets = offsets.drop("_rk_n")
+    renamed = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys + ["_rk_chunk"]],
+                             *[c for c in offsets.columns if c not in keys + ["_rk_chunk"]])
+    cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"_o_{k}"]) for k in keys + ["_rk_chunk"]])
+    joined = df.join(renamed, cond).drop(*[f"_o_{k}" for k in keys + ["_rk_chunk"]])
+    inside = Window.partitionBy(*keys, "_rk_chunk").orderBy(order)
+    ranked = joined.withColumn(rank_col, (F.col("_rk_before") + F.row_number().over(inside)).cast("bigint"))
+    return ranked.drop("_rk_chunk", "_rk_before")
 
 
 def _value_buckets(df: DataFrame, value: str, buckets: int) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from compoundry.plans import curation_queries, model_queries, pair_queries, table_queries  # noqa: F401
+from compoundry.plans import curation_queries, learning_queries, model_queries, pair_queries, table_queries  # noqa: F401
 from compoundry.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
