@@ -307,21 +307,25 @@ def permutation_test(df: DataFrame, features: list[str], target: str, ident: str
                      k: int = 5, seed: int = 0) -> dict:
     """Cross-validated R2 against shuffled targets; p = (hits + 1) / (permutations + 1).
 
-    A permutation pairs the i-th row by id with the i-th row by a seeded hash; both
-    orders come from spread-out global ranks.
+    A permutation pairs the i-th row by id with the i-th row by a seeded hash.  All
+    permutations are ranked, joined and reduced to fold product matrices in one job.
     """
-    from compoundry.functions.skew import with_global_rank
-    from compoundry.session import reliable_checkpoint
+    from compoundry.functions.skew import with_global_rank, with_group_rank
 
     everything = list(range(len(features)))
     observed = cross_validation(df, features, target, ident, k, seed).scores(everything)[0]
     base = df.select(ident, *features, target)
-    by_id = reliable_checkpoint(with_global_rank(base, ident, ident, "_i").drop(target))
+    by_id = with_global_rank(base, ident, ident, "_i").drop(target)
+    runs = F.sequence(F.lit(1), F.lit(int(n_permutations)))
+    mixed = base.select(ident, target, F.explode(runs).alias("_run"))
+    mixed = mixed.withColumn("_h", F.xxhash64(F.lit(int(seed)), "_run", ident))
+    mixed = with_group_rank(mixed, ["_run"], "_h", "_i", chunk=2 ** 44).select("_run", "_i", target)
+    both = with_fold(by_id.join(mixed, "_i"), ident, k, seed, "_fold")
+    groups = linalg.moments(both.withColumn("_g", F.col("_run") * k + F.col("_fold")), features + [target], by="_g")
     found = []
-    for r in range(int(n_permutations)):
-        mixed = with_global_rank(base.select(ident, F.col(target)).withColumn("_h", F.xxhash64(F.lit(seed * 10_007 + r + 1), ident)), "_h", ident, "_i")
-        both = by_id.join(mixed.select("_i", target), "_i")
-        found.append(cross_validation(both, features, target, ident, k, seed).scores(everything)[0])
+    for r in range(1, int(n_permutations) + 1):
+        folds = {f: groups[r * k + f] for f in range(k) if r * k + f in groups}
+        found.append(CrossValidation(features, folds).scores(everything)[0])
     return {"q2_observed": observed, "q2_permuted": found, "p_value": (sum(q >= observed for q in found) + 1) / (len(found) + 1)}
 
 

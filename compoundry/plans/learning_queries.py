@@ -132,7 +132,7 @@ def space_coordinates(spark, sf):
     return regression.principal_axes(d, FEATURES, 2).scores(d).select("id", "PC1", "PC2")
 
 
-@query("ml24_symbolic_regression", f"""with {ROWS_SQL} select 'qty*disc' as term, 1.0::double as coefficient, round(avg(qty * disc), 6) as mean_abs_contribution from d
+@query("ml24_symbolic_regression", f"""with {ROWS_SQL} select 'disc*qty' as term, 1.0::double as coefficient, round(avg(qty * disc), 6) as mean_abs_contribution from d
    union all select 'line', 3.0::double, round(avg(3 * line), 6) from d""")
 def symbolic_regression(spark, sf):
     d = rows(spark, sf).withColumn("z", F.col("qty") * F.col("disc") + 3 * F.col("line"))

@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import functools
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable for the Python workers of a running session."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="compoundry-pkg-")) / "compoundry"), "zip", root, "compoundry")
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
 
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir)``; ``sql`` is its independent statement."""
     def wrap(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return fn
