@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from compoundry.chem.kernels import METALS, structure
+from compoundry.functions.once import with_once
 
 # Standard atomic weights.
 WEIGHTS = {"H": 1.008, "B": 10.81, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "Na": 22.99, "Mg": 24.305, "Si": 28.085, "P": 30.974,
@@ -101,9 +102,10 @@ def circular_bits(df: DataFrame, mol: str = "mol", name: str = "bits", radius: i
     Sorted distinct bit numbers; built with array functions, one column per round.
     """
     atoms, bonds = F.col(f"{mol}.atoms"), F.col(f"{mol}.bonds")
-    out = df.withColumn("_id0", F.transform(atoms, lambda a: F.xxhash64(a["el"], a["arom"], a["chg"], a["h"], a["deg"], a["ring"])))
+    # Each round is computed once; inlined into the next it would be redone per atom.
+    out = with_once(df, {"_id0": F.transform(atoms, lambda a: F.xxhash64(a["el"], a["arom"], a["chg"], a["h"], a["deg"], a["ring"]))})
     for r in range(1, radius + 1):
-        out = out.withColumn(f"_id{r}", F.transform(f"_id{r - 1}", _refine(bonds, F.col(f"_id{r - 1}"))))
+        out = with_once(out, {f"_id{r}": F.transform(f"_id{r - 1}", _refine(bonds, F.col(f"_id{r - 1}")))})
     ids = F.concat(*[F.col(f"_id{r}") for r in range(radius + 1)])
     bits = F.array_sort(F.array_distinct(F.transform(ids, lambda h: F.pmod(h, F.lit(n_bits)).cast("int"))))
     return out.withColumn(name, F.when(F.col(f"{mol}.ok"), bits)).drop(*[f"_id{r}" for r in range(radius + 1)])
@@ -120,8 +122,8 @@ def path_fragments(df: DataFrame, keep: list[str], mol: str = "mol", min_atoms:
     label = lambda a: F.when(a["arom"], F.lower(a["el"])).otherwise(a["el"])
     at = lambda i: label(F.element_at(atoms, i + 1))
     start = F.transform(atoms, lambda a, i: F.struct(F.array(i).alias("p"), F.array(label(a)).alias("t")))
-    out = df.select(*keep, F.col(mol), start.alias("_paths"), start.alias("_all"))
-    out = out.where(F.col(f"{mol}.ok"))
+    out = with_once(df.select(*keep, F.col(mol)).where(F.col(f"{mol}.ok")), {"_paths0": start})
+    every = ["_paths0"]
     for _ in range(max_atoms - 1):
         def longer(path: Column) -> Column:
             last = F.element_at(path["p"], -1)
@@ -130,9 +132,9 @@ def path_fragments(df: DataFrame, keep: list[str], mol: str = "mol", min_atoms:
             return F.transform(steps, lambda b: F.struct(
                 F.array_append(path["p"], nxt(b)).alias("p"),
                 F.concat(path["t"], F.array(F.element_at(table, b["ord"]), at(nxt(b)))).alias("t")))
-        out = out.withColumn("_paths", F.flatten(F.transform("_paths", longer)))
-        out = out.withColumn("_all", F.concat("_all", "_paths"))
-    one = out.select(*keep, F.explode("_all").alias("p"))
+        every.append(f"_paths{len(every)}")
+        out = with_once(out, {every[-1]: F.flatten(F.transform(every[-2], longer))})
+    one = out.select(*keep, F.explode(F.concat(*every)).alias("p"))
     n = F.size("p.p")
     one = one.where((n >= min_atoms) & ((n == 1) | (F.element_at("p.p", 1) < F.element_at("p.p", -1))))
     text = F.array_join("p.t", "")

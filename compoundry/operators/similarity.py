@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from compoundry.functions import blocks
+from compoundry.session import reliable_checkpoint
 
 PAIR_SCHEMA = "class_a bigint, class_b bigint, common int, similarity double"
 
@@ -69,9 +70,12 @@ def shared_bits(a: Column, b: Column) -> Column:
 
 
 def fingerprint_classes(df: DataFrame, words: str, ident: str) -> DataFrame:
-    """class_id (smallest row id), words, n_on, n_rows: one row per distinct fingerprint."""
-    return df.groupBy(words).agg(F.min(ident).alias("class_id"), F.count(F.lit(1)).alias("n_rows")).withColumn(
-        "n_on", bit_count(F.col(words)))
+    """class_id (smallest row id), words, n_on, n_rows: one row per distinct fingerprint.
+
+    Written down once, because pairing reads it several times (directory, both sides).
+    """
+    classes = df.groupBy(words).agg(F.min(ident).alias("class_id"), F.count(F.lit(1)).alias("n_rows"))
+    return reliable_checkpoint(classes.withColumn("n_on", bit_count(F.col(words))))
 
 
 def with_class(df: DataFrame, classes: DataFrame, words: str) -> DataFrame:
@@ -219,8 +223,8 @@ def activity_cliffs(df: DataFrame, words: str, ident: str, activity: str, thresh
     if not log_scale:
         ok = ok & (value > 0)
     scale = value if log_scale else F.log10(value)
-    rows = df.where(ok & F.col(words).isNotNull()).select(
-        F.col(ident).alias("id"), words, value.alias("raw"), scale.alias("activity"))
+    rows = reliable_checkpoint(df.where(ok & F.col(words).isNotNull()).select(
+        F.col(ident).alias("id"), words, value.alias("raw"), scale.alias("activity")))
     classes = fingerprint_classes(rows, words, "id")
     members = with_class(rows, classes, words).select("id", "raw", "activity", "class_id")
     pool = _extreme_members(members, max_pairs, 2e-4 / threshold)

@@ -44,7 +44,7 @@ MASS = """case e when 0 then 17.007 when 1 then 16.023 when 2 then 45.017 when 3
 
 
 @query("ch3_molecular_weight", f"""with {PARTS_SQL} select row_index, round({MASS} + chain * 14.027 + case row_index % 7 when 0 then 77.106 when 1 then 78.094 when 2 then 83.154
-   when 3 then 127.166 when 4 then 84.142 when 5 then 67.067 else 1.008 end, 4)::double as molecular_weight from rings where {VALID} and not contains(smiles, '.')""")
+   when 3 then 127.166 when 4 then 84.142 when 5 then 67.067 else case when e = 7 and chain = 0 then 0 else 1.008 end end, 4)::double as molecular_weight from rings where {VALID} and not contains(smiles, '.')""")
 def molecular_weight(spark, sf):
     m = facts.facts(facts.with_structure(molecules(spark, sf).where(~F.col("smiles").contains(".")), "smiles")).where("ok_parse")
     return m.select("row_index", F.round("molecular_weight", 4).alias("molecular_weight"))
