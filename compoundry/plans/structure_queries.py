@@ -199,3 +199,59 @@ def low_variance_bits(spark, sf):
 def structure_cliffs(spark, sf):
     m = circular(spark, sf).select("row_index", similarity.words_from_bits(F.col("bits"), 2048).alias("fp"), (1 + (F.col("row_index") * 7919) % 1000).alias("act"))
     return similarity.activity_cliffs(m, "fp", "row_index", "act", 0.6, 10.0, False, 200)
+
+
+REGISTRY_SQL = """
+ e as (select p_partkey as entry_id, p_name as name, p_type as family, case when p_size % 5 = 0 then 'functional groups' when p_size % 7 = 0 then 'cyclic' else '' end as grp,
+   p_size % 11 = 0 as dehydro, p_size % 3 as hetero, p_size % 2 as rings from part),
+ s as (select *, case when contains(grp, 'functional') then 'functional_group_registry' when dehydro then 'aromaticity_dehydro' when hetero > 0 then 'heterocycle_registry'
+   when rings > 0 or contains(grp, 'cyclic') then 'carbocycle_registry' else 'functional_group_registry' end as section from e)
+"""
+
+
+def registry_entries(spark, sf):
+    from compoundry.operators import registry
+
+    s = F.col("p_size")
+    e = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("name"), F.col("p_type").alias("family"), F.lit("C").alias("smarts"),
+        F.when(s % 5 == 0, "functional groups").when(s % 7 == 0, "cyclic").otherwise("").alias("grp"), (s % 11 == 0).alias("dehydro"),
+        (s % 3).alias("hetero"), (s % 2).alias("rings"))
+    return e.withColumn("section", registry.section(F.col("grp"), F.col("family"), F.col("name"), F.col("dehydro"), F.lit(False), F.col("hetero"), F.col("rings")))
+
+
+@query("sc15_registry_sections", f"with {REGISTRY_SQL} select entry_id, section from s")
+def registry_sections(spark, sf):
+    return registry_entries(spark, sf).select("entry_id", "section")
+
+
+@query("agg15_registry_audit", f"with {REGISTRY_SQL} select section, count(*)::bigint as entries from s group by 1")
+def registry_audit(spark, sf):
+    from compoundry.operators import registry
+
+    return registry.section_audit(registry.with_bits(registry_entries(spark, sf))).select("section", "entries")
+
+
+@query("sc3_registry_bits")
+def registry_bits(spark, sf):
+    from compoundry.operators import registry
+
+    return registry.with_bits(registry_entries(spark, sf)).select("entry_id", "section", "bit")
+
+
+@query("set5_merged_rules", "select p_type || '>>' || p_name as smirks, min(p_brand) as name, sum(p_size)::double as weight from part group by 1")
+def merged_rules(spark, sf):
+    from compoundry.operators import registry
+
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("name"), F.concat("p_type", F.lit(">>"), "p_name").alias("smirks"), F.col("p_size").cast("double").alias("weight"), "p_partkey")
+    parts = [p.where(F.col("p_partkey") % 3 == k).drop("p_partkey") for k in (0, 1, 2)]
+    bad = p.limit(1).select("name", F.lit("no arrow").alias("smirks"), "weight")
+    return registry.merge_rules(parts + [bad])
+
+
+@query("snk5_export_report", f"with {MOLECULES_SQL} select row_index, case when smiles = '' then 'failed' else 'written' end as status, '{{\"series\":\"' || series || '\"}}' as props_json from molecules")
+def export_report(spark, sf):
+    from compoundry.sources import sinks
+
+    m = inputs.molecules(spark, sf).select("row_index", "name", "smiles", "series")
+    return sinks.export_report(sinks.export_records(m, "smiles", "name")).select("row_index", "status", "props_json")
