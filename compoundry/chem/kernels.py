@@ -22,11 +22,13 @@ METALS = frozenset("Li Be Na Mg Al K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Rb Sr Y
 
 
 def _each(smiles: pd.Series, fn, bad=None) -> list:
-    out = []
-    for text in smiles:
-        mol = graph.cached((text or "").strip()) if text is not None else None
-        out.append(bad if mol is None else fn(mol))
-    return out
+    """Apply ``fn`` to each parsed structure; equal texts of a batch are worked on once."""
+    codes, texts = pd.factorize(smiles, use_na_sentinel=True)
+    done = []
+    for text in texts:
+        mol = graph.cached(text.strip())
+        done.append(bad if mol is None else fn(mol))
+    return [bad if c < 0 else done[c] for c in codes]
 
 
 def structure(smiles: Column) -> Column:

@@ -149,8 +149,9 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[
     names = list(quantiles)
     value_ok = df.where(F.col(value).isNotNull())
     if hottest_group(value_ok, keys) <= hot_rows:
-        return value_ok.groupBy(*keys).agg(
-            *[F.percentile(value, F.lit(q)).alias(n) for n, q in quantiles.items()])
+        # One value map per group serves all requested positions.
+        at = F.percentile(value, F.array(*[F.lit(float(q)) for q in quantiles.values()])).alias("_q")
+        return value_ok.groupBy(*keys).agg(at).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     rows = value_ok.select(*keys, F.col(value).cast("double").alias("_v"))
     rows = rows.withColumn("_b", _value_buckets(rows, "_v", buckets))
     cells = rows.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
