@@ -98,18 +98,33 @@ def with_group_rank(df: DataFrame, keys: list[str], order: str, rank_col: str,
     return ranked.drop("_rk_chunk", "_rk_before")
 
 
-def _value_buckets(df: DataFrame, value: str, buckets: int) -> Column:
-    """Bucket number of a value by approximate quantile cuts (a bounded driver list)."""
+MAX_BUCKETS = 20_000
+
+
+def bucket_number(n_rows: int, per_bucket: int = CHUNK_ROWS) -> int:
+    """Buckets for a table of this size: about a million rows each, between 16 and 20,000."""
+    return int(min(MAX_BUCKETS, max(16, n_rows // per_bucket)))
+
+
+def with_bucket(df: DataFrame, value: str, name: str, buckets: int) -> DataFrame:
+    """Bucket number of a double column by approximate quantile cuts (nulls come last).
+
+    The cuts are a bounded list; each row finds its bucket by binary search.
+    """
+    from pyspark.ml.feature import Bucketizer
+
     probs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.where(F.col(value).isNotNull()).approxQuantile(value, probs, 1.0 / (4 * buckets))))
-    if not cuts:
-        return F.lit(0)
-    cut_array = F.array(*[F.lit(float(c)) for c in cuts])
-    return F.size(F.filter(cut_array, lambda c: c <= F.col(value).cast("double")))
+    inf = float("inf")
+    splits = [-inf] + [c for c in cuts if -inf < c < inf] + [inf]
+    if len(splits) == 2:
+        splits.insert(1, 0.0)
+    cell = Bucketizer(splits=splits, inputCol=value, outputCol=name, handleInvalid="keep")
+    return cell.transform(df).withColumn(name, F.col(name).cast("int"))
 
 
 def with_global_rank(df: DataFrame, value: str, tie: str, rank_col: str,
-                     descending: bool = False, buckets: int = 64, chunk: int = CHUNK_ROWS) -> DataFrame:
+                     descending: bool = False, buckets: int | None = None, chunk: int = CHUNK_ROWS) -> DataFrame:
     """1-based position over the whole table by (value, unique whole-number tie).
 
     Values are cut into quantile buckets, equal values into chunks of the tie
@@ -117,8 +132,8 @@ def with_global_rank(df: DataFrame, value: str, tie: str, rank_col: str,
     a single task.
     """
     df = df.withColumn("_v", (-F.col(value) if descending else F.col(value)).cast("double"))
-    df = df.withColumn("_b", _value_buckets(df, "_v", buckets)).withColumn(
-        "_c", F.floor(F.col(tie) / F.lit(chunk)))
+    df = with_bucket(df, "_v", "_b", buckets or bucket_number(df.count()))
+    df = df.withColumn("_c", F.floor(F.col(tie) / F.lit(chunk)))
     cells = df.groupBy("_b", "_v", "_c").agg(F.count(F.lit(1)).alias("_n"))
     per_bucket = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_bn"))
     # At most `buckets` rows: the only single-partition window.
@@ -139,7 +154,7 @@ def hottest_group(df: DataFrame, keys: list[str]) -> int:
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
-                    hot_rows: int = CHUNK_ROWS, buckets: int = 256) -> DataFrame:
+                    hot_rows: int = CHUNK_ROWS, buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one column per requested name.
 
     ``percentile`` keeps all distinct values of a group in one task, which is fine
@@ -148,12 +163,13 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[
     """
     names = list(quantiles)
     value_ok = df.where(F.col(value).isNotNull())
-    if hottest_group(value_ok, keys) <= hot_rows:
+    largest = hottest_group(value_ok, keys)
+    if largest <= hot_rows:
         # One value map per group serves all requested positions.
         at = F.percentile(value, F.array(*[F.lit(float(q)) for q in quantiles.values()])).alias("_q")
         return value_ok.groupBy(*keys).agg(at).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     rows = value_ok.select(*keys, F.col(value).cast("double").alias("_v"))
-    rows = rows.withColumn("_b", _value_buckets(rows, "_v", buckets))
+    rows = with_bucket(rows, "_v", "_b", buckets or max(256, bucket_number(largest)))
     cells = rows.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
     per_bucket = cells.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
     by_key = Window.partitionBy(*keys)

@@ -43,6 +43,7 @@ class CurationResult:
     report: DataFrame
     summary: DataFrame
     accepted: DataFrame
+    links: dict = field(default_factory=dict)
     columns: dict = field(default_factory=dict)
 
 
@@ -162,14 +163,32 @@ PROVENANCE = (
 )
 
 
+# Above this many tokens a group is not folded to one text.
+FOLD_LIMIT = 100_000
+
+
+def provenance_links(accepted: DataFrame, key: str = "identity_key") -> dict[str, DataFrame]:
+    """Long form of every provenance column: key, token, first position."""
+    return {source: group_tokens(accepted, source, key, split_tokens=split)
+            for source, _, _, split in PROVENANCE if source in accepted.columns}
+
+
 def with_provenance(prepared: DataFrame, accepted: DataFrame, key: str = "identity_key") -> DataFrame:
-    """Add the folded provenance texts; absent source columns give an empty text."""
-    for source, target, sep, split in PROVENANCE:
-        if source not in accepted.columns:
+    """Add the folded provenance texts; absent source columns give an empty text.
+
+    A text per compound can only hold groups of a sane size.  Where some group has more
+    than ``FOLD_LIMIT`` tokens the column stays null for all rows; nothing is lost, as
+    `provenance_links` holds every token.
+    """
+    links = provenance_links(accepted, key)
+    for source, target, sep, _ in PROVENANCE:
+        if source not in links:
             prepared = prepared.withColumn(target, F.lit(""))
-            continue
-        folded = join_group_tokens(group_tokens(accepted, source, key, split_tokens=split), key, sep, target)
-        prepared = prepared.join(folded, key, "left").withColumn(target, F.coalesce(F.col(target), F.lit("")))
+        elif hottest_group(links[source], [key]) > FOLD_LIMIT:
+            prepared = prepared.withColumn(target, F.lit(None).cast("string"))
+        else:
+            folded = join_group_tokens(links[source], key, sep, target)
+            prepared = prepared.join(folded, key, "left").withColumn(target, F.coalesce(F.col(target), F.lit("")))
     return prepared
 
 
@@ -187,7 +206,8 @@ def curate(df: DataFrame, cfg: CurationConfig, identity: Column | None = None) -
         "relation_policy": cfg.relation_policy, "aggregation": cfg.aggregation,
         "duplicate_key": cfg.duplicate_key,
     }
-    return CurationResult(prepared, rejected, report, curation_summary(rows, settings), accepted, settings)
+    return CurationResult(prepared, rejected, report, curation_summary(rows, settings), accepted,
+                          provenance_links(accepted), settings)
 
 
 def curation_summary(rows: DataFrame, settings: dict | None = None) -> DataFrame:

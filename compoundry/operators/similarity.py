@@ -106,17 +106,20 @@ def class_pairs(left: DataFrame, right: DataFrame | None, words: str, threshold:
     rhs = lhs if self_join else lean(right)
     l_sizes = blocks.cell_sizes(lhs, "n_on", block_rows)
     r_sizes = l_sizes if self_join else blocks.cell_sizes(rhs, "n_on", block_rows)
-    l_blocks = blocks.pack(lhs, "n_on", "class_id", ["w"], l_sizes).withColumnsRenamed({"n_on": "cell_a", "sub": "sub_a", "items": "items_a"})
-    r_blocks = blocks.pack(rhs, "n_on", "class_id", ["w"], r_sizes).withColumnsRenamed({"n_on": "cell_b", "sub": "sub_b", "items": "items_b"})
-    keys = blocks.block_keys(r_sizes, "n_on").withColumnsRenamed({"n_on": "cell_b", "sub": "sub_b"})
-    # One row per partner block of a block, decided on counts alone; the directory
-    # holds a row per block, not per record.
+    side = lambda d, s: d.withColumnsRenamed({"n_on": f"cell_{s}", "sub": f"sub_{s}", "items": f"items_{s}"})
+    l_blocks = side(blocks.pack(lhs, "n_on", "class_id", ["w"], l_sizes), "a")
+    r_blocks = side(blocks.pack(rhs, "n_on", "class_id", ["w"], r_sizes), "b")
+    # Which block meets which is decided on the directories alone (a row per block): a
+    # block lists the bit counts within reach and finds their blocks by an equal-key join.
     eps = 1e-9
     a, b = F.col("cell_a"), F.col("cell_b")
-    fits = (b >= a * threshold - eps) & (b <= a / threshold + eps)
+    low, high = F.ceil(a * threshold - eps), F.floor(a / threshold + eps)
+    reach = F.sequence(F.greatest(low, a) if self_join else low, high).cast("array<int>")
+    todo = side(blocks.block_keys(l_sizes, "n_on"), "a").withColumn("cell_b", F.explode(reach))
+    todo = todo.join(side(blocks.block_keys(r_sizes, "n_on"), "b"), "cell_b")
     if self_join:
-        fits = fits & ((a < b) | ((a == b) & (F.col("sub_a") <= F.col("sub_b"))))
-    todo = l_blocks.join(keys, fits).join(r_blocks, ["cell_b", "sub_b"])
+        todo = todo.where((a < b) | (F.col("sub_a") <= F.col("sub_b")))
+    todo = todo.join(l_blocks, ["cell_a", "sub_a"]).join(r_blocks, ["cell_b", "sub_b"])
     limit = float(threshold)
 
     def compare(batches):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +25,26 @@ def local_session(cores: int | str = "*", app: str = "compoundry") -> SparkSessi
     )
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names that folder.  Only where neither the session
-    nor the context knows one (unit tests) a temporary folder is created.
+    Only where neither the session nor the context knows one (unit tests) a temporary
+    folder is made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="compoundry-ckpt-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="compoundry-ckpt-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage: write the rows once to the shared folder and read them back.
+
+    A written table survives lost executors, is computed a single time and keeps column
+    pruning for what follows.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/compoundry/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
