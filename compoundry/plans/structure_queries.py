@@ -255,3 +255,16 @@ def export_report(spark, sf):
 
     m = inputs.molecules(spark, sf).select("row_index", "name", "smiles", "series")
     return sinks.export_report(sinks.export_records(m, "smiles", "name")).select("row_index", "status", "props_json")
+
+
+@query("jn11_enumerated_products")
+def enumerated_products(spark, sf):
+    """Amide formation between acid-ended and amine-ended structures of the part table."""
+    from compoundry.operators import enumeration
+
+    m = molecules(spark, sf).where(~F.col("smiles").contains("."))
+    acids = m.where(F.col("smiles").startswith("OC(=O)"))
+    amines = m.where(F.col("smiles").rlike(r"^NC"))
+    rules = spark.createDataFrame([("amide", "[C:1](=[O:2])[OH].[N;H2:3]>>[C:1](=[O:2])[N:3]", 0)], "name string, smirks string, position int")
+    out = enumeration.enumerate_products([(acids, "smiles", "row_index"), (amines, "smiles", "row_index")], rules, max_products=60)
+    return out.select("rule_name", "product_smiles")

@@ -206,3 +206,36 @@ def test_import_quality_standardise_curate(spark, tmp_path):
     assert len(row) == 1 and row[0]["n_measurements"] == 3 and len(row[0]["source_row_ids"].split(";")) == 3
     paths = sinks.write_curation(res, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(paths["qsar_ready"]).count() == 1
+
+
+def test_reaction_rules():
+    from compoundry.chem import reactions
+
+    canon = lambda t: ".".join(graph.write(graph.read(p)) for p in t.split("."))
+    run = lambda rule, *r: reactions.run(rule, list(r))
+    assert run("[C:1][Br:2].[O:3][C:4]>>[C:1][O:3][C:4].[Br:2]", "CCBr", "OC") == [canon("CCOC.Br")]
+    assert set(run("[C:1]=[C:2]>>[C:1][C:2]", "C=CC")) == {canon("CCC")}
+    assert run("[C:1][Cl]>>[C:1][N+](=O)[O-]", "CCl") == [canon("C[N+](=O)[O-]")]
+    assert run("[C:1](=[O:2])[OH].[N;H2:3]>>[C:1](=[O:2])[N:3]", "CC(=O)O", "NCC") == [canon("CC(=O)NCC")]
+    assert set(run("[c:1][Br].[B][c:2]>>[c:1]-[c:2]", "Brc1ccccc1", "OB(O)c1ccccc1")) == {canon("c1ccc(-c2ccccc2)cc1")}
+    assert run("[C:1][Br]>>[C:1][O]", "CC") == [] and not reactions.readable("no arrow")
+
+
+def test_enumeration_walks_pools_from_the_end(spark):
+    from compoundry.operators import enumeration
+
+    a = spark.createDataFrame([(0, "CBr"), (1, ""), (2, "CCBr"), (3, "CC")], "o bigint, s string")
+    b = spark.createDataFrame([(5, "OC"), (6, "OCC"), (7, "OC")], "o bigint, s string")
+    rules = spark.createDataFrame([("bad", "xx", 0), ("ether", "[C:1][Br].[OH:3][C:4]>>[C:1][O:3][C:4]", 1), ("three", "[C:1].[C:2].[C:3]>>[C:1]", 2)],
+                                  "name string, smirks string, position int")
+    want, seen = [], set()
+    from compoundry.chem import reactions
+    for x in ["CC", "CCBr", "CBr"]:
+        for y in ["OC", "OCC", "OC"]:
+            for p in reactions.run("[C:1][Br].[OH:3][C:4]>>[C:1][O:3][C:4]", [x, y]):
+                if p not in seen:
+                    seen.add(p)
+                    want.append((x, y, p))
+    for limit in (2, 100):
+        got = [(*r["reactants"], r["product_smiles"]) for r in enumeration.enumerate_products([(a, "s", "o"), (b, "s", "o")], rules, limit, stretch=2).collect()]
+        assert got == want[:limit]
