@@ -131,20 +131,22 @@ def with_global_rank(df: DataFrame, value: str, tie: str, rank_col: str,
     column; offsets come from running sums over those counts.  Nothing is sorted in
     a single task.
     """
-    df = df.withColumn("_v", (-F.col(value) if descending else F.col(value)).cast("double"))
-    df = with_bucket(df, "_v", "_b", buckets or bucket_number(df.count()))
-    df = df.withColumn("_c", F.floor(F.col(tie) / F.lit(chunk)))
-    cells = df.groupBy("_b", "_v", "_c").agg(F.count(F.lit(1)).alias("_n"))
-    per_bucket = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_bn"))
+    key = (-F.col(value) if descending else F.col(value)).cast("double")
+    # Missing values come last; as NaN they also meet themselves in the joins below.
+    df = df.withColumn("_gr_v", F.coalesce(key, F.lit(float("nan"))))
+    df = with_bucket(df, "_gr_v", "_gr_b", buckets or bucket_number(df.count()))
+    df = df.withColumn("_gr_c", F.floor(F.col(tie) / F.lit(chunk)))
+    cells = df.groupBy("_gr_b", "_gr_v", "_gr_c").agg(F.count(F.lit(1)).alias("_gr_n"))
+    per_bucket = df.groupBy("_gr_b").agg(F.count(F.lit(1)).alias("_gr_bn"))
     # At most `buckets` rows: the only single-partition window.
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bucket_offset = per_bucket.select("_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_boff"))
-    inside = Window.partitionBy("_b").orderBy("_v", "_c").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_coff", F.coalesce(F.sum("_n").over(inside), F.lit(0))).drop("_n")
-    joined = df.join(cells, ["_b", "_v", "_c"]).join(F.broadcast(bucket_offset), "_b")
-    rows = Window.partitionBy("_b", "_v", "_c").orderBy(tie)
-    ranked = joined.withColumn(rank_col, (F.col("_boff") + F.col("_coff") + F.row_number().over(rows)).cast("bigint"))
-    return ranked.drop("_b", "_v", "_c", "_boff", "_coff")
+    before = Window.orderBy("_gr_b").rowsBetween(Window.unboundedPreceding, -1)
+    bucket_offset = per_bucket.select("_gr_b", F.coalesce(F.sum("_gr_bn").over(before), F.lit(0)).alias("_gr_boff"))
+    inside = Window.partitionBy("_gr_b").orderBy("_gr_v", "_gr_c").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_gr_coff", F.coalesce(F.sum("_gr_n").over(inside), F.lit(0))).drop("_gr_n")
+    joined = df.join(cells, ["_gr_b", "_gr_v", "_gr_c"]).join(F.broadcast(bucket_offset), "_gr_b")
+    rows = Window.partitionBy("_gr_b", "_gr_v", "_gr_c").orderBy(tie)
+    ranked = joined.withColumn(rank_col, (F.col("_gr_boff") + F.col("_gr_coff") + F.row_number().over(rows)).cast("bigint"))
+    return ranked.drop("_gr_b", "_gr_v", "_gr_c", "_gr_boff", "_gr_coff")
 
 
 def hottest_group(df: DataFrame, keys: list[str]) -> int:

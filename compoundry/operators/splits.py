@@ -41,7 +41,7 @@ def random_split(df: DataFrame, ident: str, test: float = 0.2, validation: float
     """Exact counts per split by seeded place; repeatable for the same rows and seed."""
     check_fractions(test, validation)
     n_test, n_val = split_counts(df.count(), test, validation)
-    ranked = with_global_rank(df.withColumn("_h", seeded_place(F.col(ident), seed)), "_h", ident, "_r").drop("_h")
+    ranked = with_global_rank(df.withColumn("_h", seeded_place(F.col(ident), seed)), "_h", "_h", "_r", chunk=HASH_CHUNK).drop("_h")
     part = F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_val, "validation").otherwise("train")
     return ranked.withColumn("split", part).drop("_r")
 

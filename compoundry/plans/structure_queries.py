@@ -268,3 +268,11 @@ def enumerated_products(spark, sf):
     rules = spark.createDataFrame([("amide", "[C:1](=[O:2])[OH].[N;H2:3]>>[C:1](=[O:2])[N:3]", 0)], "name string, smirks string, position int")
     out = enumeration.enumerate_products([(acids, "smiles", "row_index"), (amines, "smiles", "row_index")], rules, max_products=60)
     return out.select("rule_name", "product_smiles")
+
+
+@query("jn3_matched_pairs")
+def matched_pairs(spark, sf):
+    from compoundry.operators import matched
+
+    m = molecules(spark, sf).where(~F.col("smiles").contains(".") & (F.col("smiles") != "C1CC("))
+    return matched.matched_pairs(m, "smiles", "row_index", "activity", max_pairs=200)

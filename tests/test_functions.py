@@ -73,6 +73,11 @@ def test_global_rank(spark):
     assert got == want
 
 
+def test_global_rank_keeps_missing_values(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None), (3, 1.0), (4, None)], "id bigint, v double")
+    assert {r["id"]: r["r"] for r in skew.with_global_rank(df, "v", "id", "r").collect()} == {3: 1, 1: 2, 2: 3, 4: 4}
+
+
 def test_quantiles_hot_and_plain_agree(spark):
     rng = np.random.default_rng(2)
     rows = [("a" if i % 4 else "b", float(rng.choice([1.0, rng.normal()]))) for i in range(400)]

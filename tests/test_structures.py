@@ -239,3 +239,36 @@ def test_enumeration_walks_pools_from_the_end(spark):
     for limit in (2, 100):
         got = [(*r["reactants"], r["product_smiles"]) for r in enumeration.enumerate_products([(a, "s", "o"), (b, "s", "o")], rules, limit, stretch=2).collect()]
         assert got == want[:limit]
+
+
+def test_common_part():
+    from compoundry.chem import common
+
+    assert common.matched("Cc1ccccc1", "Clc1ccccc1") == (6, "C", "Cl")
+    assert common.matched("c1ccccc1", "Cc1ccccc1") == (6, "H", "C")
+    assert common.matched("CCO", "CCN") is None
+    assert common.matched("CCCCO", "CCCCO") is None
+    # A chain never lies on a ring, and part of a ring does not count.
+    assert common.matched("CCCCCC", "C1CCCCC1") is None
+    n, a, b = common.matched("OCCc1ccccc1", "NCCc1ccccc1")
+    assert n == 8 and (a, b) == ("O", "N")
+
+
+@pytest.mark.parametrize("limit", [3, 100])
+def test_matched_pairs(spark, limit):
+    from compoundry.chem import common
+    from compoundry.operators import matched
+
+    rows = [(k * 2, s, float(k)) for k, s in enumerate(["Cc1ccccc1", "Clc1ccccc1", "", "CCO", "Brc1ccccc1", "OCCc1ccccc1", "NCCc1ccccc1", "x("])]
+    df = spark.createDataFrame(rows, "id bigint, smiles string, p double")
+    want = []
+    for i, a in enumerate(rows):
+        for b in rows[i + 1:]:
+            m = common.matched(a[1], b[1]) if a[1] and b[1] else None
+            if m:
+                want.append((a[0], b[0], f"{m[1]} -> {m[2]}", m[0], b[2] - a[2]))
+    got = [tuple(r) for r in matched.matched_pairs(df, "smiles", "id", "p", max_pairs=limit).collect()]
+    if limit == 3:
+        assert got == want[:3]
+    else:
+        assert sorted(got) == sorted(want) and [g[3] for g in got] == sorted([w[3] for w in want], reverse=True)
