@@ -118,3 +118,19 @@ def stage_summary_from_standardization(rows: DataFrame, profile: str, ok: str =
         F.when(good & qsar, "Descriptors / Fingerprints → QSAR Studio").when(good & dock, "Docking/pose workflow")
         .when(good, "Choose QSAR-ready profile for QSAR workflows")
         .otherwise("Inspect Standardization Report and failed molecules").alias("recommended_next_step"))
+
+
+def with_standardization_stage(df: DataFrame, status: str, profile: str) -> DataFrame:
+    """Curation fields of standardised rows by status and profile."""
+    ok = F.lower(F.trim(F.coalesce(F.col(status), F.lit("")))) == "ok"
+    qsar, dock = profile in QSAR_PROFILES, profile in DOCKING_PROFILES
+    # Stage status, warning and next-step texts.
+    good = "QSAR-ready" if qsar else "Docking-ready" if dock else "Standardized"
+    step = ("Descriptors / Fingerprints → QSAR Studio" if qsar else "Docking/pose workflow" if dock
+            else "Use QSAR-ready profile for QSAR workflows")
+    pick = lambda yes, no: F.when(ok, F.lit(yes)).otherwise(F.lit(no))
+    return df.withColumns({
+        "curation_status": pick(good, "Blocked"), "curation_ready_for_qsar": pick(qsar, False),
+        "curation_ready_for_docking": pick(dock and not qsar, False), "curation_blockers": pick("", "Standardization failed"),
+        "curation_warnings": pick("" if qsar or dock else "Profile is not marked as QSAR-ready", ""),
+        "curation_recommended_next_step": pick(step, "Inspect Standardization Report")})

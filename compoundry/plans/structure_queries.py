@@ -276,3 +276,26 @@ def matched_pairs(spark, sf):
 
     m = molecules(spark, sf).where(~F.col("smiles").contains(".") & (F.col("smiles") != "C1CC("))
     return matched.matched_pairs(m, "smiles", "row_index", "activity", max_pairs=200)
+
+
+@query("flt13_superstructure_search", f"with {PARTS_SQL} select row_index from rings where smiles in ('O', 'OC', 'OCC', 'CO', 'OCCc1ccccc1')")
+def superstructure(spark, sf):
+    from compoundry.operators import search
+
+    return search.search(molecules(spark, sf), "smiles", "OCCc1ccccc1", "superstructure").select("row_index")
+
+
+@query("flt13_similarity_search")
+def similarity_search(spark, sf):
+    from compoundry.operators import search
+
+    return search.search(molecules(spark, sf), "smiles", "OCCc1ccccc1", "similarity", 0.6).select("row_index", F.round("similarity", 6).alias("similarity"))
+
+
+@query("ad20_standardization_fields", f"with {MOLECULES_SQL} select case when {VALID} then 'QSAR-ready' else 'Blocked' end as curation_status, count(*) as n from molecules group by 1")
+def standardization_fields(spark, sf):
+    from compoundry.operators import intake
+
+    m = molecules(spark, sf).withColumn("std", kernels.standardize(F.col("smiles")))
+    m = m.withColumn("status", F.when(F.col("std.ok"), "ok").otherwise("failed"))
+    return intake.with_standardization_stage(m, "status", "qsar_ready").groupBy("curation_status").agg(F.count(F.lit(1)).alias("n"))

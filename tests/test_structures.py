@@ -272,3 +272,28 @@ def test_matched_pairs(spark, limit):
         assert got == want[:3]
     else:
         assert sorted(got) == sorted(want) and [g[3] for g in got] == sorted([w[3] for w in want], reverse=True)
+
+
+def test_structure_search(spark):
+    from compoundry.operators import search
+
+    df = spark.createDataFrame([(1, "CCO"), (2, "c1ccccc1O"), (3, "CC"), (4, "bad("), (5, "OCC")], "id int, smiles string")
+    ids = lambda q, mode, **kw: sorted(r["id"] for r in search.search(df, "smiles", q, mode, **kw).collect())
+    assert ids("C1=CC=CC=C1", "substructure") == [2] and ids("[OX2H]", "substructure") == [1, 2, 5]
+    assert ids("OCC", "exact") == [1, 5] and ids("CCCO", "superstructure") == [1, 3, 5]
+    assert ids("CCO", "similarity", threshold=0.99) == [1, 5]
+    assert search.search(df, "smiles", "[OX2H]").orderBy("id").first()["highlight_atoms"] == "2"
+    with pytest.raises(ValueError):
+        search.read_query("xx(", "exact")
+
+
+def test_table_naming_helpers(spark):
+    from compoundry.operators import binding, intake
+
+    assert binding.pair_columns(["Name A", "SMILES A", "SMILES B"]) == ("SMILES A", "SMILES B") and binding.pair_mode("SMILES A", "smiles_b") == "classic"
+    assert binding.pair_columns(["smiles", "standardized_smiles"]) == ("smiles", "standardized_smiles")
+    assert binding.pair_mode("smiles", "standardized_smiles") == "standardization" and binding.pair_columns(["a"]) == ("", "")
+    df = spark.createDataFrame([("x", "1.5", 2)], "target string, pIC50 string, n int")
+    assert binding.target_column(df) == "pIC50"
+    out = intake.with_standardization_stage(spark.createDataFrame([("OK",), ("failed",)], "s string"), "s", "docking_ready").collect()
+    assert out[0]["curation_status"] == "Docking-ready" and out[0]["curation_ready_for_docking"] and out[1]["curation_blockers"] == "Standardization failed"
