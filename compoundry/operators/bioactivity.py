@@ -61,8 +61,9 @@ def activity_type_summary(recs: DataFrame, kind: Column, unit: Column, order: st
 
 
 def join_properties(left: DataFrame, props: DataFrame, left_id: str, prop_id: str) -> DataFrame:
-    """Left join on the upper-cased trimmed id; one property row per id."""
-    right = props.withColumn("_k", molecule_key(F.col(prop_id))).drop(prop_id)
+    """Left join on the upper-cased trimmed id; expects one property row per id."""
+    # An empty id is nobody's id; kept, it would meet every other row without one.
+    right = props.withColumn("_k", molecule_key(F.col(prop_id))).drop(prop_id).where(F.col("_k") != "")
     joined = left.withColumn("_k", molecule_key(F.col(left_id))).join(right, "_k", "left")
     return joined.drop("_k")
 

@@ -20,11 +20,12 @@ def fingerprints(spark, sf):
     return e.select("vec_id", "label", similarity.words_from_values(F.col("embedding")).alias("fp"))
 
 
-@query("jn1_topk_tanimoto", f"""with {BITS_SQL}, r as (select i, j, sim, row_number() over (partition by i order by sim desc, j) as rank from t
-   where sim >= 0.4 and i % 5 = 0 and j % 5 <> 0) select i as query_index, j as reference_index, round(sim, 4) as similarity, rank from r where rank <= 5""")
+@query("jn1_topk_tanimoto", f"""with {BITS_SQL}, w as (select i, j, sim from t where sim >= 0.4 union all select vec_id, vec_id, 1.0 from b where n > 0),
+ r as (select i, j, sim, row_number() over (partition by i order by sim desc, j) as rank from w)
+ select i as query_index, j as reference_index, round(sim, 4) as similarity, rank from r where rank <= 5""")
 def topk_tanimoto(spark, sf):
     f = fingerprints(spark, sf).withColumn("text", F.concat(F.lit("S"), F.col("vec_id").cast("string")))
-    return similarity.top_hits(f.where(F.col("vec_id") % 5 == 0), f.where(F.col("vec_id") % 5 != 0), "fp", "vec_id", "vec_id", "text", 5, 0.4)
+    return similarity.top_hits(f, f, "fp", "vec_id", "vec_id", "text", 5, 0.4, include_self=True)
 
 
 @query("jn1_self_topk", f"""with {BITS_SQL}, r as (select i, j, sim, row_number() over (partition by i order by sim desc, j) as rank from t

@@ -44,9 +44,10 @@ MASS = """case e when 0 then 17.007 when 1 then 16.023 when 2 then 45.017 when 3
 
 
 @query("ch3_molecular_weight", f"""with {PARTS_SQL} select row_index, round({MASS} + chain * 14.027 + case row_index % 7 when 0 then 77.106 when 1 then 78.094 when 2 then 83.154
-   when 3 then 127.166 when 4 then 84.142 when 5 then 67.067 else case when e = 7 and chain = 0 then 0 else 1.008 end end, 4)::double as molecular_weight from rings where {VALID} and not contains(smiles, '.')""")
+   when 3 then 127.166 when 4 then 84.142 when 5 then 67.067 else case when e = 7 and chain = 0 then 0 else 1.008 end end
+   + case when contains(smiles, 'Na') then 58.44 when contains(smiles, '13C') then 17.032 when contains(smiles, '.') then 18.015 else 0 end, 4)::double as molecular_weight from rings where {VALID}""")
 def molecular_weight(spark, sf):
-    m = facts.facts(facts.with_structure(molecules(spark, sf).where(~F.col("smiles").contains(".")), "smiles")).where("ok_parse")
+    m = facts.facts(facts.with_structure(molecules(spark, sf), "smiles")).where("ok_parse")
     return m.select("row_index", F.round("molecular_weight", 4).alias("molecular_weight"))
 
 
@@ -274,8 +275,7 @@ def enumerated_products(spark, sf):
 def matched_pairs(spark, sf):
     from compoundry.operators import matched
 
-    m = molecules(spark, sf).where(~F.col("smiles").contains(".") & (F.col("smiles") != "C1CC("))
-    return matched.matched_pairs(m, "smiles", "row_index", "activity", max_pairs=200)
+    return matched.matched_pairs(molecules(spark, sf), "smiles", "row_index", "activity", max_pairs=200)
 
 
 @query("flt13_superstructure_search", f"with {PARTS_SQL} select row_index from rings where smiles in ('O', 'OC', 'OCC', 'CO', 'OCCc1ccccc1')")
