@@ -25,11 +25,14 @@ def _distances(rows, k: int):
     r = np.array([i["x"] for i in rows.r_items], dtype=float)
     out = np.empty((len(q), min(k, len(r))))
     # Differences, not the dot-product identity: equal rows must give exactly zero.
-    step = max(1, 4_000_000 // max(1, r.size))
+    step = max(1, 2_000_000 // max(1, len(r)))
     for s in range(0, len(q), step):
-        d = np.sqrt(((q[s:s + step, None, :] - r[None, :, :]) ** 2).sum(-1))
-        part = np.partition(d, out.shape[1] - 1, axis=1)[:, :out.shape[1]]
-        out[s:s + step] = np.sort(part, axis=1)
+        total = np.zeros((len(q[s:s + step]), len(r)))
+        for k_dim in range(q.shape[1]):
+            gap = np.subtract.outer(q[s:s + step, k_dim], r[:, k_dim])
+            total += gap * gap
+        part = np.partition(total, out.shape[1] - 1, axis=1)[:, :out.shape[1]]
+        out[s:s + step] = np.sqrt(np.sort(part, axis=1))
     return out
 
 
