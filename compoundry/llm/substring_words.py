@@ -112,7 +112,7 @@ def _repeats(groups: int):
         if key[0].as_py() == groups:
             for batch in batches:
                 for blob in batch.column("places"):
-                    yield _by_document(*_read_places(blob.as_py()))
+                    yield _dealt(*_read_places(blob.as_py()), groups)
             return
         hashes, docs, starts = [], [], []
         for batch in batches:
@@ -127,27 +127,40 @@ def _repeats(groups: int):
         begin = np.concatenate([[True], h[1:] != h[:-1]])
         first = np.maximum.accumulate(np.where(begin, np.arange(len(h)), 0))
         again = (d != d[first]) | (s != s[first])
-        yield _by_document(d[again], s[again])
+        yield _dealt(d[again], s[again], groups)
     return run
 
 
-def _by_document(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+def _dealt(doc: np.ndarray, start: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Repeats of all documents of a bucket as one row."""
+    bucket = (C.mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+    order = np.lexsort((start, doc, bucket))
+    bucket, doc, start = bucket[order], doc[order], start[order]
+    runs = list(C.pieces(bucket))
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in runs], pa.int32()),
+                                       pa.array([_places(doc[lo:hi], start[lo:hi]) for _, lo, hi in runs], pa.binary())], ["bucket", "places"])
+
+
+def _by_document(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """applyInArrow on one bucket: one row per document with the starts of its repeats."""
+    got = [_read_places(blob.as_py()) for batch in batches for blob in batch.column("places")]
+    doc, start = (np.concatenate(x) for x in zip(*got, strict=True))
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order].astype(np.uint32)
     runs = list(C.pieces(doc))
-    return pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in runs], pa.int64()),
-                                       pa.array([start[lo:hi].tobytes() for _, lo, hi in runs], pa.binary())], ["_doc", "_starts"])
+    yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in runs], pa.int64()),
+                                      pa.array([start[lo:hi].tobytes() for _, lo, hi in runs], pa.binary())], ["_doc", "_starts"])
 
 
 def repeated_windows(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_doc`` and ``_starts`` (list of packed uint32) of windows that also start earlier."""
+    """``_doc`` and ``_starts`` (packed uint32) of windows that also start earlier."""
     groups = C.groups_for(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     packed = rows.mapInArrow(window_rows(window, groups, "id", "text"), "part int, hashes binary, places binary")
     # known repeats are dealt out evenly: their key carries a salt
     packed = packed.withColumn("salt", F.when(F.col("part") == groups, F.pmod(F.xxhash64("places"), F.lit(groups))).otherwise(F.lit(0)))
-    found = packed.groupBy("part", "salt").applyInArrow(_repeats(groups), "_doc long, _starts binary")
-    return found.groupBy("_doc").agg(F.collect_list("_starts").alias("_starts"))
+    found = packed.groupBy("part", "salt").applyInArrow(_repeats(groups), "bucket int, places binary")
+    return found.groupBy("bucket").applyInArrow(_by_document, "_doc long, _starts binary")
 
 
 def _cut(window: int, names: list[str], text_at: str, digest: bool):
@@ -157,10 +170,10 @@ def _cut(window: int, names: list[str], text_at: str, digest: bool):
             out: dict[str, list] = {"n_words": [], "n_removed": [], "n_spans": [], "kept": []}
             for text, blobs in zip(batch.column(text_at), batch.column("_starts"), strict=True):
                 words = (text.as_py() or "").encode().split()
-                marks = blobs.as_py() or []
+                marks = blobs.as_py()
                 spans = 0
                 if marks:
-                    starts = np.concatenate([np.frombuffer(x, np.uint32) for x in marks]).astype(np.int64)
+                    starts = np.frombuffer(marks, np.uint32).astype(np.int64)
                     starts = starts[starts + window <= len(words)]
                     delta = np.zeros(len(words) + 1, np.int64)
                     np.add.at(delta, starts, 1)
