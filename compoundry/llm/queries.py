@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import functools
 
-from compoundry.llm import substring_words
+from compoundry.llm import quality_rules, substring_words
 from compoundry.plans.registry import ship_package
 
 _PLAIN = {
     "op4_substring_words": substring_words.op4_substring_words,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 
@@ -38,4 +39,29 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, (len(d.ws) - coalesce(k.n, 0))::B
 FROM d LEFT JOIN kept k USING (doc_id) LEFT JOIN runs r USING (doc_id)
 """
 
-ORACLES = {"op4_substring_words": _OP4}
+#: Base figures word by word; line counts per host over distinct texts; the first document keeps a line.
+_OP10 = r"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, source, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g') <> '') AS ls FROM t),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i+2], ' ') AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+raw AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS l FROM t),
+line AS (SELECT doc_id, source, text, trim(regexp_replace(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
+    '[^\p{L}\p{N}\s]+', '', 'g'), '\s+', ' ', 'g')) AS norm, len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM raw),
+host AS (SELECT source, count(DISTINCT text) AS h FROM t GROUP BY source),
+bad AS (SELECT source, norm, min(doc_id) AS first FROM line JOIN host USING (source) WHERE length(norm) >= 8
+  GROUP BY source, norm, h HAVING count(DISTINCT text) >= 20 AND count(DISTINCT text) > 0.02 * h),
+gone AS (SELECT line.doc_id, count(*) AS n_lines, sum(n) AS n_gone FROM line JOIN bad ON bad.source = line.source AND bad.norm = line.norm AND line.doc_id <> bad.first GROUP BY line.doc_id),
+base AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_removed_lines, n_gone,
+  greatest(len(ws) - coalesce(n_gone, 0), 0)::BIGINT AS n_left_words FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_gone IS NOT NULL AND (n_left_words < 50 OR n_left_words < 0.3 * n_words)) AS kept,
+  n_removed_lines, n_left_words FROM base
+"""
+
+ORACLES = {"op4_substring_words": _OP4, "op10_quality_rules": _OP10}
