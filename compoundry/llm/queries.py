@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import functools
 
-from compoundry.llm import quality_rules, substring_words
+from compoundry.llm import katz, quality_rules, sketch_dedup, substring_words
 from compoundry.plans.registry import ship_package
 
 _PLAIN = {
+    "op1_katz_scores": katz.op1_katz_scores,
     "op4_substring_words": substring_words.op4_substring_words,
+    "op9_setsketch_dedup": sketch_dedup.op9_setsketch_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
