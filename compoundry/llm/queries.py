@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import functools
 
-from compoundry.llm import katz, quality_rules, sketch_dedup, substring_words
+from compoundry.llm import katz, pfair_mix, quality_rules, sketch_dedup, substring_words, token_codes
 from compoundry.plans.registry import ship_package
 
 _PLAIN = {
     "op1_katz_scores": katz.op1_katz_scores,
     "op4_substring_words": substring_words.op4_substring_words,
+    "op7_pfair_mix": pfair_mix.op7_pfair_mix,
+    "op8_token_codes": token_codes.op8_token_codes,
     "op9_setsketch_dedup": sketch_dedup.op9_setsketch_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
