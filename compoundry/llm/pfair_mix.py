@@ -78,10 +78,11 @@ def _running_words(rows: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_words: int = 10_000, period: int = PERIOD,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        temper: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All rows plus ``_block``, ``_release``, ``_deadline``, ``_slot`` and ``_within``.
 
-    ``weights`` maps sources to positive numbers. The number of sources is bounded by ``period``;
+    ``weights`` maps sources to positive numbers; without it each source gets its words to the
+    power ``temper``. The number of sources is bounded by ``period``;
     more raise an error.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -92,7 +93,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_w
     small = C.write_once(ranged.withColumn("_chunk", F.spark_partition_id()), "lengths")
     if weights is None:
         shares = small.groupBy("_source").agg(F.sum("_words").alias("w")).where("w > 0").orderBy("_source").limit(period + 1).collect()
-        weights = {r["_source"]: float(r["w"]) for r in shares}
+        weights = {r["_source"]: float(r["w"]) ** temper for r in shares}
     if len(weights) > period:
         raise ValueError(f"more than {period} sources need a longer period")
     table = one_period(quotas(weights, period)) if weights else []

@@ -282,8 +282,13 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _encoded(path: str, n: int, digest: bool, names: list[str], text_at: str):
-    kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()) if digest else pa.list_(pa.list_(pa.int32())), pa.bool_()]
+#: What ``encode_nbest`` returns of the ids: all n lists, the best list, or the crc32 of each.
+ID_FORMS = {"all": ("array<array<int>>", pa.list_(pa.list_(pa.int32()))), "best": ("array<int>", pa.list_(pa.int32())),
+            "crc32": ("array<long>", pa.list_(pa.int64()))}
+
+
+def _encoded(path: str, n: int, form: str, names: list[str], text_at: str):
+    kinds = [pa.int64(), pa.list_(pa.float64()), ID_FORMS[form][1], pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(path)
@@ -295,24 +300,27 @@ def _encoded(path: str, n: int, digest: bool, names: list[str], text_at: str):
                 for text, best in zip(texts, p.encode(texts, n), strict=True):
                     cols[0].append(len(best[0][1]) if best else 0)
                     cols[1].append([s for s, _ in best])
-                    cols[2].append([zlib.crc32(i.astype("<u4").tobytes()) if digest else i.astype(np.int32) for _, i in best])
+                    if form == "best":
+                        cols[2].append(best[0][1].astype(np.int32) if best else [])
+                    else:
+                        cols[2].append([zlib.crc32(i.astype("<u4").tobytes()) if form == "crc32" else i.astype(np.int32) for _, i in best])
                     cols[3].append(all(p.decode(i.tolist()) == text for _, i in best[:1]))
                 yield pa.RecordBatch.from_arrays([some.column(c) for c in names] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
                                                  [*names, "_n_pieces", "_scores", "_ids", "_round"])
     return run
 
 
-def encode_nbest(docs: DataFrame, model_path: str, n: int = 3, text_col: str = "text", digest: bool = False) -> DataFrame:
-    """All rows plus ``_n_pieces`` (of the best), ``_scores``, ``_ids`` (n best id lists, or their
-    crc32 where ``digest`` is set) and ``_round``: decoding gives the text back."""
+def encode_nbest(docs: DataFrame, model_path: str, n: int = 3, text_col: str = "text", form: str = "all", with_text: bool = True) -> DataFrame:
+    """All rows (without the text unless ``with_text``) plus ``_n_pieces`` of the best, ``_scores``
+    of the n best, ``_ids`` (see ``ID_FORMS``) and ``_round``: decoding the best gives the text back."""
     if n < 1:
         raise ValueError("n is at least one")
-    keep = [c for c in docs.columns if not (digest and c == text_col)]
+    keep = [c for c in docs.columns if with_text or c != text_col]
     side = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("_text"))
     names = [f"c{i}" for i in range(len(keep))]
-    schema = ", ".join(f"{c} {t}" for c, t in side.dtypes if c != "_text")
-    ids = "array<long>" if digest else "array<array<int>>"
-    out = side.mapInArrow(_encoded(model_path, n, digest, names, "_text"), f"{schema + ', ' if schema else ''}_n_pieces long, _scores array<double>, _ids {ids}, _round boolean")
+    schema = "".join(f"{c} {t}, " for c, t in side.dtypes if c != "_text")
+    out = side.mapInArrow(_encoded(model_path, n, form, names, "_text"),
+                          f"{schema}_n_pieces long, _scores array<double>, _ids {ID_FORMS[form][0]}, _round boolean")
     return out.select(*[F.col(c).alias(k) for c, k in zip(names, keep, strict=True)], "_n_pieces", "_scores", "_ids", "_round")
 
 
@@ -340,6 +348,6 @@ def default_model() -> str:
 
 def op5_piece_nbest(spark, sf_dir: str) -> DataFrame:
     """The three best segmentations of all documents: scores, digests and the round trip."""
-    out = encode_nbest(C.documents_of(spark, sf_dir).select("doc_id", "text"), default_model(), 3, digest=True)
+    out = encode_nbest(C.documents_of(spark, sf_dir).select("doc_id", "text"), default_model(), 3, form="crc32", with_text=False)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_n_pieces").alias("n_pieces"), F.col("_scores").alias("scores"),
                       F.col("_ids").alias("ids_crc32"), F.col("_round").alias("round_trip"))

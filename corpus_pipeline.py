@@ -1,8 +1,76 @@
-"""Documents to a training mixture: quality rules, near-dedup, substring dedup, mixing, encoding."""
+"""Documents to a training mixture: quality rules, near-dedup, substring dedup, mixing, encoding.
 
-STAGES = []
+Every stage takes all rows its predecessor kept and returns the columns of ``documents``; the
+last returns the encoded documents. ``run`` writes each stage as Parquet in the shared folder
+and reads it again, so a lost executor costs at most one stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from compoundry.llm import common as C
+from compoundry.llm.pfair_mix import mix
+from compoundry.llm.piece_nbest import default_model, encode_nbest
+from compoundry.llm.quality_rules import judge
+from compoundry.llm.sketch_dedup import near_duplicates
+from compoundry.llm.substring_words import remove_repeated_windows
+from compoundry.plans.registry import ship_package
+
+#: Words of a shingle, least similarity in percent, words of a repeated passage, and how far
+#: the target weights of the sources lean from their own shares (1) to equal weights (0).
+SHINGLE, SIMILAR, PASSAGE, TEMPER = 5, 80, 50, 0.7
+
+
+def _with_text(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """The columns of ``docs`` with another text and its length."""
+    new = {"text": F.col(text), "n_chars": F.length(F.coalesce(F.col(text), F.lit(""))).cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, without lines that their whole source shares."""
+    return _with_text(docs, judge(docs, with_text=True).where("_kept"), "_text")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the smallest id, once."""
+    kept = near_duplicates(docs, SHINGLE, SIMILAR).where("_doc = _component").select("_doc")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID))
+    return docs.withColumn("_doc", key).join(kept, "_doc", "left_semi").dropDuplicates(["_doc"]).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every passage stays where it stands first; documents of which nothing is left go."""
+    cut = remove_repeated_windows(docs, PASSAGE)
+    return _with_text(docs, cut.where("_n_removed < _n_words or _n_words = 0"), "_kept")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mixture: its files hold the sources in their target weights."""
+    placed = mix(docs, temper=TEMPER)
+    order = [F.col("_slot").asc_nulls_last(), F.col("doc_id").asc_nulls_first()]
+    return placed.repartitionByRange(C.groups_for(spark, 1), *order).sortWithinPartitions(*order).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, with the scores of its three best segmentations."""
+    out = encode_nbest(docs, default_model(), 3, form="best", with_text=False)
+    return out.select("doc_id", "lang", "source", "n_chars", F.col("_n_pieces").alias("n_pieces"), F.col("_ids").alias("ids"),
+                      F.col("_scores").alias("scores"), F.col("_round").alias("round_trip"))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("encoding", encoding)]
+
+#: Near-dedup and the N-best encoding cannot be stated in SQL; brute-force tests take its place.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    ship_package(spark)
+    docs = C.documents_of(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = C.write_once(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
