@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import functools
 
-from compoundry.llm import katz, pfair_mix, piece_nbest, quality_rules, sketch_dedup, substring_words, token_codes
+from compoundry.llm import katz, pfair_mix, piece_nbest, quality_rules, sketch_dedup, substring_words, token_codes, wrapper_induction
 from compoundry.plans.registry import ship_package
 
 _PLAIN = {
     "op1_katz_scores": katz.op1_katz_scores,
     "op4_substring_words": substring_words.op4_substring_words,
     "op5_piece_nbest": piece_nbest.op5_piece_nbest,
+    "op6_wrapper_induction": wrapper_induction.op6_wrapper_induction,
     "op7_pfair_mix": pfair_mix.op7_pfair_mix,
     "op8_token_codes": token_codes.op8_token_codes,
     "op9_setsketch_dedup": sketch_dedup.op9_setsketch_dedup,
