@@ -39,7 +39,7 @@ from compoundry.llm.components import connect
 REGISTERS, BAND, BASE = 128, 4, 1.001
 MARGIN = 0.14
 ROUNDS = 2
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 CACHE_SHINGLES = 16_384
 
 _rng = np.random.default_rng(77)
@@ -224,10 +224,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
             F.min_by("component", draw).alias("cc")).where("x <> y").drop("x", "y"), "centres")
         open_bands = members.join(centre, "band")
         if last:
-            pairs = _block_pairs(open_bands)
+            found = _settle(C.write_once(open_bands.select("id", "c", "component"), "open"), classes, sets, percent)
         else:
             pairs = open_bands.where("component <> cc").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        found = _confirm(pairs, classes, sets, percent)
+            found = _confirm(pairs, classes, sets, percent)
         moved = found.join(parts.toDF("a", "ca"), "a").join(parts.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         merged = connect(moved, parts.select(F.col("component").alias("id")).distinct())
         parts = C.write_once(parts.join(merged.toDF("component", "to"), "component").select("id", F.col("to").alias("component")), "components")
@@ -236,27 +236,94 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return out.select(F.col("id").alias("_doc"), F.col("n").alias("_n_shingles"), F.coalesce("component", "id").alias("_component"))
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs of one band in different components.
+def _settle(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that still share a band, one for each merge.
 
-    Members of the centre's component stay in one of the band's blocks of ``BLOCK`` members;
-    the others visit every block. The pairs of a block are made inside its task.
+    Classes that hang together by open bands are a cluster, cut into blocks of at most ``BLOCK``
+    classes and ``BLOCK_BYTES`` of sets. Each block meets each other block of its cluster in a task,
+    which compares members of different components there and returns links only.
     """
-    keyed = rows.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("long")).withColumn("k", F.pmod(F.xxhash64("id", "band"), F.col("blocks")))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    spread = keyed.select("band", "id", "component", "k", F.explode(F.when(F.col("component") == F.col("cc"), F.array("k")).otherwise(every)).alias("block"))
-    return spread.groupBy("band", "block").applyInArrow(_cross, "a long, b long").distinct()
-
-
-def _cross(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """applyInArrow on one block: its own members against all who are there."""
-    got = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "id", "component")] for batch in batches]
-    k, ids, comp = (np.concatenate(c) for c in zip(*got, strict=True))
-    own = np.flatnonzero(k == key[1].as_py())
-    for at in range(0, len(ids), 4096):
-        i, j = np.nonzero(comp[own][:, None] != comp[at : at + 4096][None, :])
-        a, b = ids[own[i]], ids[at + j]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    nodes = rows.select("id", "component").distinct()
+    cluster = C.write_once(connect(rows.select(F.col("id").alias("a"), F.col("c").alias("b")), nodes.select("id")).toDF("id", "cluster"), "clusters")
+    full = C.write_once(cluster.join(nodes, "id").join(classes.select("id", "n", "sketch", "sig"), "id").join(
+        sets.select("id", F.col("sig").alias("_sig"), "shingles"), "id").where("sig = _sig").drop("_sig"), "cluster-rows")
+    sizes = C.write_once(full.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES))).cast("long").alias("blocks")), "cluster-sizes")
+    dealt = full.join(sizes, "cluster").withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keyed = dealt.select("cluster", F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"), "k", "id", "component", "n", "sketch", "shingles")
+    return C.write_once(keyed.groupBy("cluster", "x", "y").applyInArrow(_settled(percent), "a long, b long"), "links")
+
+
+def _settled(percent: int):
+    """applyInArrow on one block pair: links that join components not yet joined here."""
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        k, ids, comp, n = (table.column(c).to_numpy() for c in ("k", "id", "component", "n"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(ids), -1)
+        shingles = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        x, y = key[1].as_py(), key[2].as_py()
+        left, right = np.flatnonzero(k == x), np.flatnonzero(k == y)
+        least = int(REGISTERS * (percent / 100 - 2 * MARGIN))
+        root = {int(c): int(c) for c in comp}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        out: list[tuple[int, int]] = []
+        for at in range(0, len(left), 64):
+            rows = left[at : at + 64]
+            same = np.stack([(sketch[right] == sketch[i]).sum(1) for i in rows])
+            close = (same >= least) & (comp[rows][:, None] != comp[right][None, :])
+            i, j = np.nonzero(close & ((ids[rows][:, None] < ids[right][None, :]) | (x != y)))
+            i, j = rows[i], right[j]
+            keep = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            i, j = i[keep], j[keep]
+            good = [likely_jaccard(sketch[i[s : s + 1024]], sketch[j[s : s + 1024]], n[i[s : s + 1024]].astype(float), n[j[s : s + 1024]].astype(float))
+                    >= percent / 100 - MARGIN for s in range(0, len(i), 1024)]
+            if not good:
+                continue
+            keep = np.concatenate(good)
+            i, j = i[keep], j[keep]
+            both = _common(shingles, i, j)
+            linked = 100 * both >= percent * (n[i] + n[j] - both)
+            for a, b in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
+                ra, rb = top(int(comp[a])), top(int(comp[b]))
+                if ra != rb:
+                    root[max(ra, rb)] = min(ra, rb)
+                    out.append((int(ids[a]), int(ids[b])))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+    return run
+
+
+def _common(shingles: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of many pairs: products of 0/1 columns, some columns at a time."""
+    if len(i) < 64:
+        return np.array([len(np.intersect1d(shingles[a], shingles[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+    p, ip = np.unique(i, return_inverse=True)
+    q, jq = np.unique(j, return_inverse=True)
+    right = np.concatenate([shingles[b] for b in q])
+    owner = np.repeat(np.arange(len(q)), [len(shingles[b]) for b in q])
+    vocabulary = np.unique(np.concatenate([shingles[a] for a in p]))
+    at = np.minimum(np.searchsorted(vocabulary, right), len(vocabulary) - 1)
+    there = vocabulary[at] == right
+    at, owner = at[there], owner[there]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    mine = np.concatenate([np.searchsorted(vocabulary, shingles[a]) for a in p])
+    who = np.repeat(np.arange(len(p)), [len(shingles[a]) for a in p])
+    order = np.argsort(mine, kind="stable")
+    mine, who = mine[order], who[order]
+    counts = np.zeros((len(p), len(q)), np.float32)
+    for lo in range(0, len(vocabulary), 4096):
+        x, y = np.zeros((len(p), 4096), np.float32), np.zeros((len(q), 4096), np.float32)
+        s = slice(*np.searchsorted(mine, [lo, lo + 4096]))
+        x[who[s], mine[s] - lo] = 1
+        s = slice(*np.searchsorted(at, [lo, lo + 4096]))
+        y[owner[s], at[s] - lo] = 1
+        counts += x @ y.T
+    return counts[ip, jq].astype(np.int64)
 
 
 def op9_setsketch_dedup(spark, sf_dir: str) -> DataFrame:
