@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import functools
 
-from compoundry.llm import katz, pfair_mix, piece_nbest, projection_join, quality_rules, sketch_dedup, substring_words, token_codes, wrapper_induction
+from compoundry.llm import katz, pfair_mix, piece_nbest, projection_join, quality_rules, sketch_dedup, substring_words, suffix_dedup, token_codes, wrapper_induction
 from compoundry.plans.registry import ship_package
 
 _PLAIN = {
     "op1_katz_scores": katz.op1_katz_scores,
     "op4_substring_words": substring_words.op4_substring_words,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_projection_join": projection_join.op3_projection_join,
     "op5_piece_nbest": piece_nbest.op5_piece_nbest,
     "op6_wrapper_induction": wrapper_induction.op6_wrapper_induction,
