@@ -13,9 +13,10 @@ entry and a population count of at most 64 bytes.
 Texts are encoded where they stand after one range exchange by document id; the start of a
 shard is the sum of the tokens of those before it (one small row per shard).
 
-Encoding splits a text before single spaces. Byte-level BPE cuts there anyway when a space follows
-a non-space, so equal chunks are encoded once per task and looked up after that; texts with
-other runs of spaces are cut only before a space that follows a non-space.
+Encoding splits a text before spaces where byte-level BPE cuts anyway: a space starts a token when
+what stands before or after it is no white space. Equal chunks are encoded once and looked up in a
+bounded table after that; texts with white space beyond ASCII or with the text of a special token
+are encoded whole.
 
 Defined cases: a null or empty text is the end id alone; a null document id sorts first; rows
 that share an id are separate documents in order of their texts' place.
@@ -23,9 +24,11 @@ that share an id are separate documents in order of their texts' place.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,38 +39,105 @@ from compoundry.llm import common as C
 
 RANK_BITS = 512
 SHARD_TOKENS = 1_000_000
-CACHE_CHUNKS = 250_000
+SLOTS, TABLE_IDS = 1 << 20, 8_000_000
 _popcount = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_boundary = re.compile(r"(?<=\S)(?= )")
+_white = np.zeros(256, bool)
+_white[[9, 10, 11, 12, 13, 32]] = True
+_odd_lead = np.zeros(256, bool)
+_odd_lead[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Encoder:
-    """Chunk-wise encoding with a bounded cache, in one task."""
+    """Chunk-wise encoding of slices of texts, with a bounded table of known chunks.
+
+    The table is direct-mapped by the chunk's 64-bit hash; a chunk takes the slot of another.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = []
-        for text in texts:
-            if "  " in text or re.search(r"[^\S ] | [^\S ]", text):
-                split.append(_boundary.split(text))
-            else:
-                first, *rest = text.split(" ")
-                split.append([first, *[" " + x for x in rest]])
-        if len(self.known) > CACHE_CHUNKS:
-            self.known = {}
-        known = self.known
-        new = list({x for chunks in split for x in chunks if x not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self._reset()
+
+    def _reset(self) -> None:
+        self.keys, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _append(self, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Chunk starts: every row, and spaces where a token starts in any case.
+
+        A space starts a token if what stands before it or after it is no white space. Rows with white
+        space beyond ASCII or with a special token's text stay whole.
+        """
+        n = len(data)
+        white = _white[data]
+        before, after = np.zeros(n, bool), np.zeros(n, bool)
+        before[1:], after[:-1] = white[:-1], white[1:]
+        cut = (data == 32) & (~before | ~after)
+        odd = np.zeros(n, bool)
+        lead = np.flatnonzero(_odd_lead[data])
+        if len(lead):
+            one, two = data[np.minimum(lead + 1, n - 1)], data[np.minimum(lead + 2, n - 1)]
+            code = np.where(data[lead] < 0x80, 1, 0) + ((data[lead] == 0xC2) & ((one == 0x85) | (one == 0xA0))) + ((data[lead] == 0xE1) & (one == 0x9A)) \
+                + ((data[lead] == 0xE2) & ((one == 0x80) & ((two <= 0x8A) | (two == 0xA8) | (two == 0xA9) | (two == 0xAF)) | (one == 0x81) & (two == 0x9F))) \
+                + ((data[lead] == 0xE3) & (one == 0x80) & (two == 0x80))
+            odd[lead[code > 0]] = True
+        rows = set((np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1).tolist())
+        raw = data.tobytes()
+        for mark in self.special:
+            at = raw.find(mark)
+            while at >= 0:
+                rows.add(int(np.searchsorted(offsets, at, "right") - 1))
+                at = raw.find(mark, at + 1)
+        for r in rows:
+            cut[offsets[r] : offsets[r + 1]] = False
+        starts = offsets[:-1][np.diff(offsets) > 0]
+        cut[starts] = True
+        return np.flatnonzero(cut)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each row."""
+        if not len(data):
+            return [np.zeros(0, np.uint32)] * (len(offsets) - 1)
+        if self.used > TABLE_IDS:
+            self._reset()
+        starts = self._cuts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        hashes = C.range_hashes(C._values[data], starts, ends, C.BYTE_BASE)
+        keys, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+        known = (self.keys[slot] == keys) & (self.size[slot] > 0)
+        at, size = np.where(known, self.at[slot], 0), np.where(known, self.size[slot], 0)
+        new = np.flatnonzero(~known)
+        raw = data.tobytes()
+        for lo in range(0, len(new), 4096):
+            part = new[lo : lo + 4096]
+            got = self.tokenizer.encode_batch_fast([raw[starts[first[i]] : ends[first[i]]].decode() for i in part], add_special_tokens=False)
+            ids = [e.ids for e in got]
+            at[part] = self.used + np.cumsum([0, *map(len, ids[:-1])])
+            size[part] = list(map(len, ids))
+            self._append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        self.keys[slot[new]] = keys[new]  # of two new chunks in one slot the later stays, in all three
+        owner = np.flatnonzero(self.keys[slot] == keys)
+        self.at[slot[owner]], self.size[slot[owner]] = at[owner], size[owner]
+        sizes = size[kind]
+        total = np.cumsum(sizes)
+        flat = self.ids[np.repeat(at[kind] - (total - sizes), sizes) + np.arange(int(total[-1]))]
+        cuts = np.append(0, total)[np.searchsorted(starts, offsets)]
+        return [flat[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pack_levels(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
@@ -116,33 +186,32 @@ def _shards(path: str, end_id: int):
     """mapInArrow on texts sorted by id within a partition: one row per shard."""
     names = ["part", "seq", "n_tokens", "doc_ids", "doc_starts", "chunks", "bits", "ranks"]
 
-    def row(part: int, seq: int, ids: list, blobs: list[bytes]) -> pa.RecordBatch:
-        sizes = np.array([len(b) // 4 for b in blobs], np.int64)
-        tokens = np.frombuffer(b"".join(blobs), "<u4")
-        chunks, bits, ranks = pack_levels(tokens)
-        values = [part, seq, len(tokens), ids, (np.cumsum(sizes) - sizes).tolist(), chunks, bits, ranks]
+    def row(part: int, seq: int, ids: list, arrays: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in arrays], np.int64)
+        chunks, bits, ranks = pack_levels(np.concatenate(arrays))
+        values = [part, seq, int(sizes.sum()), ids, np.cumsum(sizes) - sizes, chunks, bits, ranks]
         types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())] + 3 * [pa.list_(pa.binary())]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, size = Encoder(path), None, 0, 0
-        end = np.array([end_id], "<u4").tobytes()
+        encoder, part, seq, size = encoder_of(path), None, 0, 0
+        end = np.array([end_id], np.uint32)
         ids: list = []
-        blobs: list[bytes] = []
+        arrays: list[np.ndarray] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                if part is None:
-                    part = some.column("part")[0].as_py()
-                for i, blob in zip(some.column("id").to_pylist(), encoder.encode([x or "" for x in some.column("text").to_pylist()]), strict=True):
+            if part is None and batch.num_rows:
+                part = batch.column("part")[0].as_py()
+            names_here = batch.column("id").to_pylist()
+            for lo, hi, data, offsets in C.text_slices(batch.column("text")):
+                for i, got in zip(names_here[lo:hi], encoder.encode(data, offsets), strict=True):
                     ids.append(i)
-                    blobs.append(blob + end)
-                    size += len(blob) // 4 + 1
+                    arrays.append(np.concatenate([got, end]))
+                    size += len(got) + 1
                     if size >= SHARD_TOKENS:
-                        yield row(part, seq, ids, blobs)
-                        ids, blobs, seq, size = [], [], seq + 1, 0
+                        yield row(part, seq, ids, arrays)
+                        ids, arrays, seq, size = [], [], seq + 1, 0
         if ids:
-            yield row(part, seq, ids, blobs)
+            yield row(part, seq, ids, arrays)
     return run
 
 
