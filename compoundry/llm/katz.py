@@ -325,7 +325,7 @@ class KatzModel:
 
     def bigrams(self) -> DataFrame:
         spark = self.words.sparkSession
-        return spark.read.parquet(f"{self.parts}/kind=2").mapInArrow(_unpacked(3), _schema(3)).toDF("b", "a", "r")
+        return spark.read.parquet(f"{self.parts}/kind=2").where("blob is not null").mapInArrow(_unpacked(3), _schema(3)).toDF("b", "a", "r")
 
 
 def fit_and_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> tuple[KatzModel, DataFrame]:

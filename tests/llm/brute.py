@@ -59,3 +59,59 @@ def katz(rows: list[tuple[int, str | None]], held=lambda i: zlib.crc32(str(i).en
         out[i] = (held(i), len(s), sum(w in uni for w in s), total, sum(math.log10((uni[w] + 1) / (total + len(uni) + 1)) for w in s),
                   sum(math.log10(p(b, a)) for a, b in zip(["<s>", *s[:-1]], s, strict=True)))
     return out, p, uni, follow
+
+
+def repeated_words(rows, window):
+    """Per id: words, removed flags; later places of a window are removed."""
+    sent, first = {i: words(t) for i, t in rows}, {}
+    order = sorted(sent, key=lambda i: -(1 << 63) if i is None else i)
+    gone = {i: [False] * len(s) for i, s in sent.items()}
+    for i in order:
+        s = sent[i]
+        for j in range(len(s) - window + 1):
+            key = tuple(s[j : j + window])
+            if key in first:
+                gone[i][j : j + window] = [True] * window
+            else:
+                first[key] = (i, j)
+    return sent, gone
+
+
+def repeated_bytes(rows, length):
+    raw = {i: (t or "").encode() for i, t in rows}
+    seen = Counter(r[j : j + length] for r in raw.values() for j in range(len(r) - length + 1))
+    gone = {}
+    for i, r in raw.items():
+        flags = [False] * len(r)
+        for j in range(len(r) - length + 1):
+            if seen[r[j : j + length]] > 1:
+                flags[j : j + length] = [True] * length
+        gone[i] = flags
+    return raw, gone
+
+
+def components(ids, links):
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    return {i: top(i) for i in ids}
+
+
+def shingles(text, size):
+    s = words(text, True)
+    return {tuple(s[j : j + size]) for j in range(len(s) - size + 1)} if len(s) >= size else ({tuple(s)} if s else set())
+
+
+def near(rows, size, percent):
+    sets = {i: shingles(t, size) for i, t in rows}
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :]
+             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    return sets, components(ids, links)
