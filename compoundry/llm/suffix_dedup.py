@@ -7,10 +7,11 @@ by exact steps that lose no repeat:
    smallest hash in it (leftmost of equal ones). Equal windows have equal anchors at equal offsets,
    so a window can repeat only where its anchor repeats. About one place in 70 is an anchor; only
    (anchor hash, context hash, place) travels, a context being the bytes of all windows its anchor owns.
-2. Anchors that occur once are dropped with their windows. For the others, the distinct contexts of
-   a shard of anchors are sorted as one text by external induced sorting (``induced_sort``): its
-   disk-backed queues carry suffixes and common prefixes, and a window repeats where the common prefix
-   with a neighbour reaches ``length``. A context that occurs twice or more goes to the sorter twice.
+2. Anchors that occur once are dropped with their windows; a context that occurs again is a repeat as
+   a whole. Where an anchor has several contexts, the distinct contexts of a shard of anchors are
+   sorted as one text by external induced sorting (``induced_sort``): its disk-backed queues carry
+   suffixes and common prefixes, and a window repeats where the common prefix with a neighbour
+   reaches ``length``.
 3. An anchor with over ``HOT`` distinct contexts in a group (the edge of a passage that a large part of
    all documents shares) would fill one sorter. Its contexts are cut into their single windows,
    which meet by their own hash instead.
@@ -45,7 +46,10 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none, none.view(np.uint64)
-    grams = C.range_hashes(C._values[data], np.arange(n - gram + 1), np.arange(gram, n + 1), C.BYTE_BASE)
+    up, down = C.powers(C.BYTE_BASE, n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(C._values[data] * up[:n], out=sums[1:])
+    grams = C.mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
     m = len(grams)
     # smallest in every window of w: the hash's upper bits, then the place inside the block pair
     pad = -(-m // w) * w
@@ -58,12 +62,12 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     place = (np.minimum(behind[: m - w + 1], ahead[w - 1 : m]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    row = np.searchsorted(offsets, np.arange(len(place)), "right") - 1
-    whole = np.arange(len(place)) + length <= offsets[row + 1]
-    start = np.flatnonzero(whole)
-    if not len(start):
+    sizes = np.maximum(np.diff(offsets) - length + 1, 0)
+    r = np.repeat(np.arange(len(sizes)), sizes)
+    if not len(r):
         return none, none, none, none, none.view(np.uint64)
-    p, r = place[start], row[start]
+    start = np.arange(len(r)) + np.repeat(offsets[:-1] - np.cumsum(sizes) + sizes, sizes)
+    p = place[start]
     new = np.concatenate([[True], (p[1:] != p[:-1]) | (r[1:] != r[:-1])])
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(start)) - 1
@@ -132,8 +136,9 @@ def _anchor_rows(length: int, gram: int, groups: int):
     return run
 
 
-#: What becomes of the windows of an anchor place: all are repeats; their context is sorted (once, or
-#: twice where it occurs again) and this place takes the result; the context is cut into windows.
+#: What becomes of the windows of an anchor place: all are repeats, as the whole context occurs again;
+#: the context is sorted with the anchor's other contexts; the context is cut into windows. A context
+#: that occurs again is itself sorted or cut once, for the others to meet it.
 WHOLE, SORT, SORT_WHOLE, CUT, CUT_WHOLE = 0, 1, 2, 3, 4
 
 
@@ -161,11 +166,11 @@ def _repeated_anchors(groups: int):
         what = np.full(len(anchor), -1)
         what[(places > 1) & (copies > 1)] = WHOLE
         again = (copies > 1) & lead & (places > 1)
-        what[again] = SORT_WHOLE
+        what[again & (contexts > 1)] = SORT_WHOLE
         what[(copies == 1) & (contexts > 1)] = SORT
         hot = contexts > HOT
         what[hot & (what == SORT)] = CUT
-        what[hot & again] = CUT_WHOLE
+        what[hot & (what == SORT_WHOLE)] = CUT_WHOLE
         keep = what >= 0
         yield _dealt(_part(doc[keep], groups), [doc[keep], place[keep], what[keep]])
     return run
@@ -188,7 +193,7 @@ def _contexts(length: int, gram: int, groups: int):
     kind 0: (shard, document, first window, bytes) to sort; 1: packed window hashes; 2: packed
     (document, first, last) of windows that repeat, by document bucket.
     """
-    names = ["kind", "part", "doc", "first", "copies", "blob"]
+    names = ["kind", "part", "doc", "first", "blob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,12 +221,11 @@ def _contexts(length: int, gram: int, groups: int):
                     good = own[i] == at
                     i, what = i[good], what[good]
                     f, t, a = first[s][i], last[s][i], anchor[s][i]
-                    all_of = (what == WHOLE) | (what == SORT_WHOLE) | (what == CUT_WHOLE)
-                    sure = (what == WHOLE) | (what == CUT_WHOLE)
+                    sure = (what == WHOLE) | (what == SORT_WHOLE) | (what == CUT_WHOLE)
                     whole.append((np.full(int(sure.sum()), doc), f[sure] - offsets[r], t[sure] - offsets[r]))
                     for j in np.flatnonzero((what == SORT) | (what == SORT_WHOLE)):
-                        shard = int(C.mix(a[j : j + 1])[0] % np.uint64(groups))
-                        out.append((0, shard, doc, int(f[j] - offsets[r]), 2 if all_of[j] else 1, data[f[j] : t[j] + length].tobytes()))
+                        shard = int(C.mix(a[j : j + 1])[0] % np.uint64(max(1, groups // 2)))  # a sorter likes long texts
+                        out.append((0, shard, doc, int(f[j] - offsets[r]), data[f[j] : t[j] + length].tobytes()))
                     single = np.flatnonzero((what == CUT) | (what == CUT_WHOLE))
                     if len(single):
                         if values is None:
@@ -231,14 +235,14 @@ def _contexts(length: int, gram: int, groups: int):
                         h = C.range_hashes(values[lo_b:hi_b], starts - lo_b, starts - lo_b + length, C.BYTE_BASE)
                         cut.append((h.view(np.int64), np.full(len(starts), doc), starts - offsets[r]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
             for kind, held, by in ((1, cut, 0), (2, whole, 0)):
                 if not held:
                     continue
                 cols = [np.concatenate(c) for c in zip(*held, strict=True)]
                 packed = _dealt(_part(cols[by], groups), cols)
                 n = packed.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), packed.column("part"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()),
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), packed.column("part"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
                                                   packed.column("blob")], names)
     return run
 
@@ -264,15 +268,12 @@ def _sorted_shard(length: int, groups: int, memory: int):
             return
         docs, firsts, texts, seen = [], [], [], set()
         for batch in batches:
-            for d, f, copies, text in zip(batch.column("doc").to_pylist(), batch.column("first").to_pylist(), batch.column("copies").to_pylist(), batch.column("blob"), strict=True):
-                raw = text.as_py()
-                if (d, f) in seen:  # a row given twice
-                    continue
-                seen.add((d, f))
-                for _ in range(copies):
+            for d, f, text in zip(batch.column("doc").to_pylist(), batch.column("first").to_pylist(), batch.column("blob"), strict=True):
+                if (d, f) not in seen:  # else a row given twice
+                    seen.add((d, f))
                     docs.append(d)
                     firsts.append(f)
-                    texts.append(raw)
+                    texts.append(text.as_py())
         sizes = np.array([len(t) + 1 for t in texts])
         starts = np.cumsum(sizes) - sizes
         text = np.zeros(int(sizes.sum()), np.uint16)
@@ -329,7 +330,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     packed = texts.mapInArrow(_anchor_rows(length, gram, groups), "part int, blob binary")
     marks = packed.groupBy("part").applyInArrow(_repeated_anchors(groups), "part int, blob binary")
     marks = marks.groupBy("part").applyInArrow(_by_document(3), "id long, marks binary")
-    pieces = texts.join(marks, "id").mapInArrow(_contexts(length, gram, groups), "kind int, part int, doc long, first long, copies int, blob binary")
+    pieces = texts.join(marks, "id").mapInArrow(_contexts(length, gram, groups), "kind int, part int, doc long, first long, blob binary")
     found = pieces.groupBy("kind", "part").applyInArrow(_sorted_shard(length, groups, memory), "part int, blob binary")
     found = found.groupBy("part").applyInArrow(_by_document(3), "id long, marks binary")
     side = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], ident.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
