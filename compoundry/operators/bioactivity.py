@@ -86,13 +86,14 @@ def property_keys(df: DataFrame, props: str) -> DataFrame:
             .distinct().orderBy("key"))
 
 
-def ordered_property_keys(df: DataFrame, props: str, max_keys: int = 25) -> DataFrame:
+def ordered_property_keys(df: DataFrame, props: str, max_keys: int | None = None) -> DataFrame:
     """Preferred keys first, then by name, with their position."""
     rank = F.array_position(F.array(*[F.lit(k) for k in PREFERRED_KEYS]), F.col("key"))
     keys = property_keys(df, props).withColumn("_p", F.when(rank > 0, rank).otherwise(99))
     # Distinct keys of a property map: a handful of names, not data rows.
     pos = F.row_number().over(Window.orderBy("_p", "key"))
-    return keys.orderBy("_p", "key").limit(max_keys).withColumn("position", pos).select("position", "key")
+    listed = keys.orderBy("_p", "key")
+    return (listed if max_keys is None else listed.limit(max_keys)).withColumn("position", pos).select("position", "key")
 
 
 def dedupe_molecules(rows: DataFrame, mol_id: str, smiles: str, order: str) -> DataFrame:

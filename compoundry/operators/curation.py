@@ -163,33 +163,30 @@ PROVENANCE = (
 )
 
 
-# Above this many tokens a group is not folded to one text.
-FOLD_LIMIT = 100_000
-
-
 def provenance_links(accepted: DataFrame, key: str = "identity_key") -> dict[str, DataFrame]:
     """Long form of every provenance column: key, token, first position."""
     return {source: group_tokens(accepted, source, key, split_tokens=split)
             for source, _, _, split in PROVENANCE if source in accepted.columns}
 
 
-def with_provenance(prepared: DataFrame, accepted: DataFrame, key: str = "identity_key") -> DataFrame:
+def with_provenance(prepared: DataFrame, accepted: DataFrame, key: str = "identity_key", order: str = "row_index") -> DataFrame:
     """Add the folded provenance texts; absent source columns give an empty text.
 
-    A text per compound can only hold groups of a sane size.  Where some group has more
-    than ``FOLD_LIMIT`` tokens the column stays null for all rows; nothing is lost, as
-    `provenance_links` holds every token.
+    All columns are folded in one pass: distinct tokens are combined before each shuffle, and
+    the text of a compound is as long as its distinct tokens. `provenance_links` holds the same
+    tokens as rows, and the file writer stores those too.
     """
-    links = provenance_links(accepted, key)
-    for source, target, sep, _ in PROVENANCE:
-        if source not in links:
-            prepared = prepared.withColumn(target, F.lit(""))
-        elif hottest_group(links[source], [key]) > FOLD_LIMIT:
-            prepared = prepared.withColumn(target, F.lit(None).cast("string"))
-        else:
-            folded = join_group_tokens(links[source], key, sep, target)
-            prepared = prepared.join(folded, key, "left").withColumn(target, F.coalesce(F.col(target), F.lit("")))
-    return prepared
+    there = [x for x in PROVENANCE if x[0] in accepted.columns]
+    if there:
+        parts = [F.struct(F.lit(source).alias("source"), (tokens(F.col(source)) if split else F.array(text(F.col(source)))).alias("tokens"))
+                 for source, _, _, split in there]
+        long = accepted.select(key, order, F.explode(F.array(*parts)).alias("c")).select(key, order, "c.source", F.posexplode("c.tokens").alias("_p", "token"))
+        first = long.where("token <> ''").groupBy(key, "source", "token").agg(F.min(F.struct(order, "_p")).alias("at"))
+        texts = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("source") == source, F.struct("at", "token")))), lambda s: s["token"]), sep).alias(target)
+                 for source, target, sep, _ in there]
+        prepared = prepared.join(first.groupBy(key).agg(*texts), key, "left")
+    have = {target for _, target, _, _ in there}
+    return prepared.withColumns({target: F.coalesce(F.col(target), F.lit("")) if target in have else F.lit("") for _, target, _, _ in PROVENANCE})
 
 
 def curate(df: DataFrame, cfg: CurationConfig, identity: Column | None = None) -> CurationResult:

@@ -44,7 +44,10 @@ def enumerate_products(pools: list[tuple[DataFrame, str, str]], rules: DataFrame
     smirks and a position.  Rules with more reactants than pools are skipped.
     """
     ready = [p for p in (indexed_pool(*p) for p in pools) if p[1] > 0]
-    todo = [(r["name"], r["smirks"]) for r in rules.orderBy("position").limit(MAX_RULES).collect() if reactions.readable(r["smirks"] or "")]
+    listed = rules.orderBy("position").limit(MAX_RULES + 1).collect()
+    if len(listed) > MAX_RULES:
+        raise ValueError(f"a rule table has at most {MAX_RULES} rows")
+    todo = [(r["name"], r["smirks"]) for r in listed if reactions.readable(r["smirks"] or "")]
     spark = rules.sparkSession
     found: list[tuple] = []
     seen: set[tuple[str, str]] = set()

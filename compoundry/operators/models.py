@@ -241,11 +241,11 @@ def permutation_importance(df: DataFrame, model: Fitted, features: list[str], ta
     return out
 
 
-def importance_table(df: DataFrame, method: str, values: dict[str, float], max_features: int = 50) -> DataFrame:
+def importance_table(df: DataFrame, method: str, values: dict[str, float], max_features: int | None = None) -> DataFrame:
     """rank, feature, importance, normalized_importance, method, mean, std, missing_fraction."""
     total = sum(abs(v) for v in values.values())
     names = list(values)
-    order = sorted(range(len(names)), key=lambda i: (-abs(values[names[i]]), i))[:max(1, max_features)]
+    order = sorted(range(len(names)), key=lambda i: (-abs(values[names[i]]), i))[:max_features]
     stats = {}
     cols = [names[i] for i in order]
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -259,9 +259,9 @@ def importance_table(df: DataFrame, method: str, values: dict[str, float], max_f
         rows, "rank int, feature string, importance double, normalized_importance double, method string, mean double, std double, missing_fraction double")
 
 
-def local_contributions(df: DataFrame, table: DataFrame, ident: str, top: int = 20, shown: int = 5) -> DataFrame:
+def local_contributions(df: DataFrame, table: DataFrame, ident: str, top: int | None = None, shown: int = 5) -> DataFrame:
     """Per row: z-score x normalised importance, the strongest features as text and the sum."""
-    weights = table.orderBy("rank").limit(top).collect()
+    weights = (table.orderBy("rank") if top is None else table.orderBy("rank").limit(top)).collect()
     parts = []
     for w in weights:
         v = finite(F.col(f"`{w['feature']}`").cast("double"))

@@ -54,13 +54,13 @@ def section_audit(entries: DataFrame) -> DataFrame:
     return out.withColumns({"width": width, "load": F.round(F.col("bits_used") / width, 4)})
 
 
-def collisions(entries: DataFrame, max_items: int = 5) -> DataFrame:
+def collisions(entries: DataFrame, max_items: int | None = None) -> DataFrame:
     """bit, n_entries and the first names of bits shared by several entries."""
     from pyspark.sql import Window
 
     counts = entries.groupBy("bit").agg(F.count(F.lit(1)).alias("n_entries")).where(F.col("n_entries") > 1)
     rank = F.row_number().over(Window.partitionBy("bit").orderBy("entry_id"))
-    heads = entries.withColumn("_r", rank).where(F.col("_r") <= max_items).groupBy("bit").agg(
+    heads = entries.withColumn("_r", rank).where(F.lit(True) if max_items is None else F.col("_r") <= max_items).groupBy("bit").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_id", "name"))), lambda s: s["name"]), "; ").alias("names"))
     return counts.join(heads, "bit")
 

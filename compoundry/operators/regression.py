@@ -97,46 +97,70 @@ def cross_validation(df: DataFrame, features: list[str], target: str, ident: str
     return CrossValidation(features, folds)
 
 
-# Criteria with their direction (+1: larger is better).
+#: Criteria and whether larger is better.
 CRITERIA = {"cv_r2": 1, "cv_rmse": -1, "adj_r2": 1, "aic": -1, "bic": -1, "train_r2": 1}
 
 
-def subset_score(cv: CrossValidation, subset: list[int], criterion: str = "cv_r2") -> float:
-    direction = CRITERIA[criterion]
-    n, p = cv.total.n, len(subset)
-    if p == 0 or n <= p + 1:
-        return -direction * float("inf")
-    if criterion in ("cv_r2", "cv_rmse"):
-        r2, rmse = cv.scores(subset)
-        return r2 if criterion == "cv_r2" else rmse
-    sse, sst = residual_sums(cv.total, subset, cv.y, *solve(cv.total, subset, cv.y))
-    r2 = 1 - sse / sst if sst > 0 else float("nan")
-    if criterion == "train_r2":
-        return r2
-    if criterion == "adj_r2":
-        return adjusted_r2(r2, n, p)
-    aic, bic = aic_bic(sse, n, p + 1)
-    return aic if criterion == "aic" else bic
+def _fit_many(m: Moments, index: np.ndarray, y: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least squares on many subsets of one size: (B, k) column numbers to coefficients and intercepts."""
+    a = m.cross[index[:, :, None], index[:, None, :]]
+    coef = np.einsum("bij,bj->bi", np.linalg.pinv(a, hermitian=True), m.cross[index, y])
+    return coef, m.mean[y] - (coef * m.mean[index]).sum(1)
 
 
-def better(new: float, old: float, criterion: str) -> bool:
-    return (new - old) * CRITERIA[criterion] > 1e-12
+def _errors_many(m: Moments, index: np.ndarray, y: int, coef: np.ndarray, intercept: np.ndarray) -> np.ndarray:
+    """Squared residuals of many fixed predictors on the rows of m."""
+    a = m.cross[index[:, :, None], index[:, None, :]]
+    shift = m.mean[y] - intercept - (coef * m.mean[index]).sum(1)
+    quad = m.cross[y, y] - 2 * (coef * m.cross[index, y]).sum(1) + np.einsum("bi,bij,bj->b", coef, a, coef)
+    return np.maximum(quad, 0.0) + m.n * shift * shift
+
+
+def score_subsets(cv: CrossValidation, masks: np.ndarray, criterion: str = "cv_r2") -> np.ndarray:
+    """The criterion of many feature masks at once (rows of a boolean matrix); nan where undefined.
+
+    Masks of one size share their linear algebra, so a sweep over all neighbours of a subset
+    is a few stacked matrix products.
+    """
+    if criterion not in CRITERIA:
+        raise ValueError(f"unknown criterion: {criterion!r}")
+    out, sizes, n = np.full(len(masks), np.nan), masks.sum(1), cv.total.n
+    for k in np.unique(sizes):
+        if k == 0 or n <= k + 1:
+            continue
+        who = np.flatnonzero(sizes == k)
+        index = np.nonzero(masks[who])[1].reshape(len(who), int(k))
+        if criterion.startswith("cv_"):
+            parts = []
+            for fold, test in cv.folds.items():
+                sse = _errors_many(test, index, cv.y, *_fit_many(cv.rest[fold], index, cv.y))
+                sst = test.cross[cv.y, cv.y]
+                parts.append((1 - sse / sst if sst > 0 else np.full(len(who), np.nan)) if criterion == "cv_r2" else np.sqrt(sse / max(test.n, 1)))
+            out[who] = np.mean(parts, axis=0)
+            continue
+        sse = _errors_many(cv.total, index, cv.y, *_fit_many(cv.total, index, cv.y))
+        sst = float(cv.total.cross[cv.y, cv.y])
+        for i, e in zip(who, sse, strict=True):
+            r2 = 1 - e / sst if sst > 0 else float("nan")
+            out[i] = {"train_r2": lambda: r2, "adj_r2": lambda: adjusted_r2(r2, n, int(k)), "aic": lambda: aic_bic(float(e), n, int(k) + 1)[0],
+                      "bic": lambda: aic_bic(float(e), n, int(k) + 1)[1]}[criterion]()
+    return out
 
 
 @dataclass(frozen=True)
 class SelectionConfig:
+    """``max_features`` 0 means all. ``draws`` are the random subsets of the random search;
+    ``population`` and ``generations`` belong to the evolutionary one."""
+
     method: str = "forward"
     criterion: str = "cv_r2"
     seed: int = 0
     max_features: int = 0
     min_features: int = 1
-    iterations: int = 2000
+    draws: int = 2000
     population: int = 80
     generations: int = 60
-    crossover: float = 0.7
-    mutation: float = 0.02
-    tournament: int = 3
-    elite: int = 2
+    flips: float = 1.0
 
 
 @dataclass
@@ -147,135 +171,106 @@ class Selection:
     history: list[tuple[str, float, list[str]]]
 
 
-def _best_step(cv, candidates, build, start, criterion):
-    """The candidate whose subset scores best; the first one is taken when none improves."""
-    pick, best = None, start
-    for j in candidates:
-        s = subset_score(cv, build(j), criterion)
-        if pick is None or better(s, best, criterion):
-            pick, best = j, s
-    return pick, best
-
-
-def forward(cv: CrossValidation, cfg: SelectionConfig) -> Selection:
-    left, chosen, history = list(range(len(cv.features))), [], []
-    names = lambda idx: [cv.features[i] for i in idx]
-    score = -CRITERIA[cfg.criterion] * float("inf")
-    limit = cfg.max_features or len(left)
-    while left and len(chosen) < limit:
-        j, s = _best_step(cv, left, lambda j: chosen + [j], score, cfg.criterion)
-        improved = better(s, score, cfg.criterion)
-        if not improved and len(chosen) >= cfg.min_features:
-            break
-        chosen.append(j)
-        left.remove(j)
-        score = s
-        history.append((f"{'add' if improved else 'force-add'} {cv.features[j]}", score, names(chosen)))
-    chosen.sort()
-    return Selection(chosen, names(chosen), score, history)
-
-
-def backward(cv: CrossValidation, cfg: SelectionConfig) -> Selection:
-    chosen = list(range(len(cv.features)))
-    if cfg.max_features and len(chosen) > cfg.max_features:
-        var = np.diag(cv.total.cross)[:len(chosen)]
-        chosen = [int(i) for i in np.argsort(-var)[:cfg.max_features]]
-    names = lambda idx: [cv.features[i] for i in idx]
-    score = subset_score(cv, chosen, cfg.criterion)
-    history = [("start", score, names(chosen))]
-    while len(chosen) > max(cfg.min_features, 1):
-        j, s = _best_step(cv, chosen, lambda j: [i for i in chosen if i != j], score, cfg.criterion)
-        if not better(s, score, cfg.criterion):
-            break
-        chosen.remove(j)
-        score = s
-        history.append((f"drop {cv.features[j]}", score, names(chosen)))
-    chosen.sort()
-    return Selection(chosen, names(chosen), score, history)
-
-
-def monte_carlo(cv: CrossValidation, cfg: SelectionConfig) -> Selection:
-    rng, p = np.random.default_rng(cfg.seed), len(cv.features)
-    high = cfg.max_features or min(p, max(cfg.min_features, 20))
-    low = max(cfg.min_features, 1)
-    best, score, history = None, -CRITERIA[cfg.criterion] * float("inf"), []
-    seen: dict[tuple, float] = {}
-    for it in range(cfg.iterations):
-        size = int(rng.integers(low, high + 1))
-        subset = tuple(sorted(int(i) for i in rng.choice(p, size=min(size, p), replace=False)))
-        if subset not in seen:
-            seen[subset] = subset_score(cv, list(subset), cfg.criterion)
-        if best is None or better(seen[subset], score, cfg.criterion):
-            best, score = list(subset), seen[subset]
-            history.append((f"iter {it}", score, [cv.features[i] for i in best]))
-    best = best or []
-    return Selection(best, [cv.features[i] for i in best], score, history)
-
-
-def genetic(cv: CrossValidation, cfg: SelectionConfig) -> Selection:
-    """Bit-mask population, tournament parents, one-point crossover, bit-flip mutation, elite kept."""
-    rng, p, sign = np.random.default_rng(cfg.seed), len(cv.features), CRITERIA[cfg.criterion]
-    high = cfg.max_features or min(p, max(cfg.min_features, 20))
-    low = max(cfg.min_features, 1)
-    cache: dict[bytes, float] = {}
-
-    def repair(mask: np.ndarray) -> np.ndarray:
-        on = np.flatnonzero(mask)
-        if len(on) > high:
-            mask[rng.choice(on, len(on) - high, replace=False)] = False
-        off = np.flatnonzero(~mask)
-        short = low - int(mask.sum())
-        if short > 0:
-            mask[rng.choice(off, min(short, len(off)), replace=False)] = True
-        return mask
-
-    def fitness(mask: np.ndarray) -> float:
-        key = mask.tobytes()
-        if key not in cache:
-            s = subset_score(cv, [int(i) for i in np.flatnonzero(mask)], cfg.criterion) * sign
-            cache[key] = -np.inf if np.isnan(s) else s
-        return cache[key]
-
-    size = max(cfg.population, 10)
-    pop = [repair(rng.random(p) < 0.15) for _ in range(size)]
-    fit = np.array([fitness(m) for m in pop])
-    top, top_fit = pop[int(fit.argmax())].copy(), float(fit.max())
-    names = lambda m: [cv.features[i] for i in np.flatnonzero(m)]
-    history = [("init", top_fit * sign, names(top))]
-
-    def parent() -> np.ndarray:
-        some = rng.choice(size, min(cfg.tournament, size), replace=False)
-        return pop[int(some[fit[some].argmax()])].copy()
-
-    for g in range(max(cfg.generations, 1)):
-        new = [pop[i].copy() for i in np.argsort(-fit)[:max(cfg.elite, 0)]]
-        while len(new) < size:
-            a, b = parent(), parent()
-            if p > 1 and rng.random() < cfg.crossover:
-                cut = int(rng.integers(1, p))
-                a[:cut], b[:cut] = b[:cut].copy(), a[:cut].copy()
-            for child in (a, b):
-                child ^= rng.random(p) < cfg.mutation
-                if len(new) < size:
-                    new.append(repair(child))
-        pop, fit = new, np.array([fitness(m) for m in new])
-        if fit.max() > top_fit + 1e-12:
-            top, top_fit = pop[int(fit.argmax())].copy(), float(fit.max())
-            history.append((f"gen {g + 1}", top_fit * sign, names(top)))
-    idx = [int(i) for i in np.flatnonzero(top)]
-    return Selection(idx, names(top), top_fit * sign, history)
-
-
-METHODS = {"forward": forward, "backward": backward, "montecarlo": monte_carlo, "genetic": genetic}
+class _Search:
+    """Scores masks as gains (larger is better, undefined last) and remembers every improvement."""
+
+    def __init__(self, cv: CrossValidation, cfg: SelectionConfig) -> None:
+        self.cv, self.cfg, self.p = cv, cfg, len(cv.features)
+        self.sign = CRITERIA[cfg.criterion]
+        self.low = min(max(cfg.min_features, 1), self.p)
+        self.high = max(self.low, min(cfg.max_features or self.p, self.p))
+        self.mask, self.gain, self.steps = np.zeros(self.p, bool), -np.inf, []
+
+    def gains(self, masks: np.ndarray) -> np.ndarray:
+        got = score_subsets(self.cv, masks, self.cfg.criterion) * self.sign
+        return np.where(np.isnan(got), -np.inf, got)
+
+    def move(self, label: str, mask: np.ndarray, gain: float) -> None:
+        self.mask, self.gain = mask.copy(), float(gain)
+        self.steps.append((label, self.gain * self.sign, [self.cv.features[i] for i in np.flatnonzero(mask)]))
+
+    def offer(self, label: str, masks: np.ndarray) -> np.ndarray:
+        gains = self.gains(masks)
+        top = int(gains.argmax())
+        if not self.steps or gains[top] > self.gain + 1e-12:
+            self.move(label, masks[top], gains[top])
+        return gains
+
+    def result(self) -> Selection:
+        subset = [int(i) for i in np.flatnonzero(self.mask)]
+        return Selection(subset, [self.cv.features[i] for i in subset], self.gain * self.sign, self.steps)
+
+
+def _stepwise(search: _Search, growing: bool) -> Selection:
+    """Best single change of the subset, again and again: growing from none or shrinking from all."""
+    if not growing:
+        everything = np.ones(search.p, bool)
+        search.move("all", everything, search.gains(everything[None])[0])
+    while True:
+        open_ = np.flatnonzero(search.mask != growing)
+        size = int(search.mask.sum())
+        if not len(open_) or (growing and size >= search.high) or (not growing and size <= search.low):
+            return search.result()
+        masks = np.repeat(search.mask[None], len(open_), 0)
+        masks[np.arange(len(open_)), open_] = growing
+        gains = search.gains(masks)
+        top = int(gains.argmax())
+        must = size < search.low if growing else size > search.high
+        if gains[top] <= search.gain + 1e-12 and not must:
+            return search.result()
+        search.move(("+" if growing else "-") + search.cv.features[open_[top]], masks[top], gains[top])
+
+
+def _fit_size(masks: np.ndarray, low: int, high: int, rng: np.random.Generator) -> np.ndarray:
+    """Masks with sizes moved into bounds by switching random members off or others on."""
+    order = np.where(masks, 1.0, 0.0) + rng.random(masks.shape)  # members first, in random order
+    rank = (-order).argsort(1).argsort(1)
+    return rank < np.clip(masks.sum(1), low, high)[:, None]
+
+
+def _random_search(search: _Search) -> Selection:
+    """Subsets of uniformly drawn sizes, scored in batches."""
+    rng = np.random.default_rng(search.cfg.seed)
+    for at in range(0, search.cfg.draws, 512):
+        n = min(512, search.cfg.draws - at)
+        sizes = rng.integers(search.low, search.high + 1, n)
+        masks = rng.random((n, search.p)).argsort(1).argsort(1) < sizes[:, None]
+        search.offer(f"draws {at}-{at + n - 1}", masks)
+    return search.result()
+
+
+def _evolve(search: _Search) -> Selection:
+    """Parents are paired at random, children take each feature from either and flip about ``flips``
+    features; the best of parents and children live on, equal masks once."""
+    cfg, rng = search.cfg, np.random.default_rng(search.cfg.seed)
+    sizes = rng.integers(search.low, search.high + 1, max(cfg.population, 4))
+    living = np.unique(rng.random((len(sizes), search.p)).argsort(1).argsort(1) < sizes[:, None], axis=0)
+    gains = search.offer("first population", living)
+    for turn in range(cfg.generations):
+        left, right = rng.permutation(len(living)), rng.permutation(len(living))
+        children = np.where(rng.random(living.shape) < 0.5, living[left], living[right])
+        children ^= rng.random(children.shape) < cfg.flips / search.p
+        children = _fit_size(children, search.low, search.high, rng)
+        fresh = search.offer(f"generation {turn + 1}", children)
+        both, at = np.unique(np.concatenate([living, children]), axis=0, return_index=True)
+        gains = np.concatenate([gains, fresh])[at]
+        best = np.argsort(-gains, kind="stable")[: max(cfg.population, 4)]
+        living, gains = both[best], gains[best]
+    return search.result()
+
+
+METHODS = {"forward": lambda s: _stepwise(s, True), "backward": lambda s: _stepwise(s, False), "montecarlo": _random_search, "genetic": _evolve}
+#: Other spellings of the methods.
+SPELLED = {"mc": "montecarlo", "monte-carlo": "montecarlo", "ga": "genetic", "genetic-algorithm": "genetic", "genetic_algorithm": "genetic"}
 
 
 def select(cv: CrossValidation, cfg: SelectionConfig = SelectionConfig()) -> Selection:
-    spelled = {"mc": "montecarlo", "monte-carlo": "montecarlo", "ga": "genetic", "genetic-algorithm": "genetic", "genetic_algorithm": "genetic"}
+    """Feature subset by the configured search; the rows are not read again."""
     method = cfg.method.lower().strip()
-    method = spelled.get(method, method)
+    method = SPELLED.get(method, method)
     if method not in METHODS:
         raise ValueError(f"unknown selection method: {cfg.method!r}")
-    return METHODS[method](cv, cfg)
+    return METHODS[method](_Search(cv, cfg))
 
 
 def vif(m: Moments) -> np.ndarray:

@@ -85,8 +85,8 @@ def curation_counts(spark, sf):
   select key as identity_key, string_agg(row_id, ';' order by f) as source_row_ids from t group by key""")
 def compound_provenance(spark, sf):
     rows = curation.annotate_activities(inputs.activities(spark, sf), config())
-    long = curation.group_tokens(rows.where(F.col("reject_reasons") == ""), "source_row_id")
-    return curation.join_group_tokens(long, "identity_key", ";", "source_row_ids")
+    accepted = rows.where(F.col("reject_reasons") == "")
+    return curation.with_provenance(accepted.select("identity_key").distinct(), accepted).select("identity_key", "source_row_ids")
 
 
 @query("sc20_unit_to_molar", f"""with {ACTIVITIES_SQL}
@@ -277,7 +277,7 @@ def substring(spark, sf):
 def broadened(spark, sf):
     s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
     wanted = "supplier*nation_2"
-    broad = texts.broadened_query(wanted).split(" ")[0]
+    broad = texts.broadened_query(wanted, "supplier").split(" ")[0]
     rows = s.where(F.lower("s_name").contains(broad)).join(n, s.s_nationkey == n.n_nationkey)
     rows = rows.select("s_suppkey", texts.search_blob(F.col("s_name"), F.col("n_name")).alias("blob"))
     return rows.where(texts.matches(F.col("blob"), wanted))

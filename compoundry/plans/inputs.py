@@ -13,13 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Deal rows over the cores when a small file arrives in fewer splits than cores.
 
     Large tables bring many splits and are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 UNITS = ("nM", "uM", "µM", "mM", "M", "pM", "mg/ml")
@@ -32,7 +32,7 @@ def _pick(values: tuple, index):
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as raw activity measurements: one row per line, compound = part."""
-    li = spread(table(spark, sf_dir, "lineitem"), "l_partkey")
+    li = spread(table(spark, sf_dir, "lineitem"))
     line = F.col("l_linenumber")
     step = F.col("l_orderkey") + F.col("l_partkey")
     order = ((F.col("l_orderkey") * 8 + line).cast("decimal(25,0)") * F.lit(10**9).cast("decimal(12,0)")

@@ -18,7 +18,7 @@ ROWS_SQL = """
 
 
 def rows(spark, sf):
-    li = spread(table(spark, sf, "lineitem"), "l_orderkey")
+    li = spread(table(spark, sf, "lineitem"))
     return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("qty"), (F.col("l_discount") * 100).alias("disc"),
                      (F.col("l_tax") * 100).alias("tax"), F.col("l_linenumber").cast("double").alias("line"), (F.col("l_extendedprice") / 1000).alias("y"),
                      F.col("l_returnflag").alias("s"))
@@ -61,7 +61,7 @@ def subset_methods(spark, sf):
     cv = regression.cross_validation(rows(spark, sf), FEATURES, "y", "id", 5)
     out = []
     for method in ("forward", "backward", "montecarlo", "genetic"):
-        sel = regression.select(cv, regression.SelectionConfig(method=method, criterion="bic", iterations=60, population=12, generations=6))
+        sel = regression.select(cv, regression.SelectionConfig(method=method, criterion="bic"))
         out.append((method, ",".join(sel.names), float(sel.score)))
     return spark.createDataFrame(out, "method string, features string, score double")
 
@@ -70,7 +70,7 @@ def subset_methods(spark, sf):
 def permutation_test(spark, sf):
     p = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("double").alias("a"),
                                           (F.col("o_orderkey") % 97).cast("double").alias("b"), F.col("o_totalprice").alias("y"))
-    r = regression.permutation_test(p, ["a", "b"], "y", "id", n_permutations=4)
+    r = regression.permutation_test(p, ["a", "b"], "y", "id")
     return spark.createDataFrame([(r["q2_observed"], r["p_value"])], "q2_observed double, p_value double")
 
 
@@ -82,7 +82,7 @@ def ridge_training(spark, sf):
 @query("ml10_tree_training")
 def tree_training(spark, sf):
     d = rows(spark, sf)
-    model = models.fit(d, "gradient_boosting", FEATURES, "y", {"maxIter": 5, "maxDepth": 3})
+    model = models.fit(d, "gradient_boosting", FEATURES, "y")
     return models.long_metrics(model.predict(d.withColumn("observed", F.col("y"))), "s")
 
 

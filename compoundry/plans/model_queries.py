@@ -28,7 +28,7 @@ METRICS_SQL = """count(*) as n, round(1 - sum((y - f) ** 2) / (var_pop(y) * coun
 
 
 def predictions(spark, sf):
-    li = spread(table(spark, sf, "lineitem"), "l_orderkey")
+    li = spread(table(spark, sf, "lineitem"))
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_extendedprice") / 1000).alias("actual_value"),
                      ((F.col("l_quantity") * 1500 + 250) / 1000).alias("predicted_pActivity"), F.col("l_returnflag").alias("dataset"),
                      F.when(F.col("l_linestatus") == "F", "inside").otherwise("no").alias("ad_in_domain"),
@@ -123,7 +123,7 @@ AD_SQL = """
 
 
 def ad_fit(spark, sf, cfg):
-    li = spread(table(spark, sf, "lineitem"), "l_orderkey").select(
+    li = spread(table(spark, sf, "lineitem")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("MW"),
         (F.col("l_extendedprice") / 1000).alias("LogP"), "l_returnflag")
     ref = li.where(F.col("l_returnflag") == "A")
@@ -174,7 +174,7 @@ def domain_summary(spark, sf):
 def williams(spark, sf):
     from compoundry.functions import linalg
 
-    d = spread(table(spark, sf, "lineitem"), "l_orderkey").select(
+    d = spread(table(spark, sf, "lineitem")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
     m = linalg.moments(d, ["x", "y"])
     slope = m.cross[0, 1] / m.cross[0, 0]
@@ -219,7 +219,7 @@ WIDE_SQL = """
 
 
 def wide(spark, sf):
-    li = spread(table(spark, sf, "lineitem"), "l_orderkey")
+    li = spread(table(spark, sf, "lineitem"))
     return li.select("l_quantity", "l_extendedprice", "l_discount", "l_tax", (F.col("l_quantity") * 2 + 1).alias("MolLogP"),
                      F.when(F.col("l_orderkey") % 3 != 0, F.col("l_tax")).alias("sparse"), F.lit(1.0).alias("constant"))
 

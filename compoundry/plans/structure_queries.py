@@ -19,7 +19,7 @@ PARTS_SQL = f"""{MOLECULES_SQL}, rings as (select m.*, {RING} as ring, (p_partke
 
 
 def molecules(spark, sf):
-    return spread(inputs.molecules(spark, sf), "row_index")
+    return spread(inputs.molecules(spark, sf))
 
 
 @query("ch1_parse_status", f"with {MOLECULES_SQL} select case when smiles = '' then 'Empty SMILES.' when smiles = 'C1CC(' then 'Invalid SMILES.' else '' end as error, count(*) as n from molecules group by 1")

@@ -28,12 +28,14 @@ def local_session(cores: int | str = "*", app: str = "compoundry") -> SparkSessi
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where neither the session nor the context knows one (unit tests) a temporary
-    folder is made.
+    Only where neither the session nor the context knows one and the master is local (unit
+    tests) a temporary folder is made; on a cluster that is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="compoundry-ckpt-"))
         folder = context.getCheckpointDir()
     return folder

@@ -99,7 +99,10 @@ def read_structure_records(spark: SparkSession, path: str, name_prop: str | None
     rows = raw.select("row_index", body.alias("block"))
     keys = F.regexp_extract_all("block", F.lit(r"(?m)^>[^<\n]*<([^>\n]+)>"), F.lit(1))
     values = F.regexp_extract_all("block", F.lit(r"(?m)^>[^<\n]*<[^>\n]+>[^\n]*\n((?:[^\n>][^\n]*\n?)*)"), F.lit(1))
-    props = F.map_from_arrays(F.array_distinct(keys), F.transform(F.slice(values, 1, F.size(F.array_distinct(keys))), lambda v: F.trim(F.regexp_replace(v, r"\n+$", ""))))
+    named = F.arrays_zip(keys.alias("k"), F.transform(values, lambda v: F.trim(F.regexp_replace(v, r"\n+$", ""))).alias("v"))
+    # of a repeated key the first value stays, as its key does
+    first = F.filter(named, lambda e, i: F.array_position(keys, e["k"]) == i + 1)
+    props = F.map_from_arrays(F.transform(first, lambda e: e["k"]), F.transform(first, lambda e: e["v"]))
     rows = rows.withColumns({"props": props, "smiles": _block_smiles(F.col("block")), "_title": F.trim(F.split_part("block", F.lit("\n"), F.lit(1)))})
     if keep_props is not None:
         rows = rows.withColumn("props", F.map_filter("props", lambda k, v: k.isin(keep_props)))

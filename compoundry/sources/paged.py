@@ -88,6 +88,7 @@ def activities_with_fallback(spark: SparkSession, url: str, typed: str, standard
     from compoundry.sources import records
 
     try:
+        fetch((url + typed).format(limit=1, offset=0))  # reads are lazy: the failure must show here
         pages = read_service(spark, url + typed, **kw)
     except OSError:
         pages = read_service(spark, url, **kw)

@@ -117,6 +117,7 @@ def write_tables(tables: dict[str, DataFrame], prefix: str, fmt: str = "csv", su
 def write_curation(result, prefix: str, fmt: str = "csv") -> dict[str, str]:
     """qsar_ready, rejected, curation_report and summary tables with the column binding."""
     tables = {"qsar_ready": result.prepared, "rejected": result.rejected, "curation_report": result.report, "summary": result.summary}
+    tables |= {f"provenance_{source}": long for source, long in result.links.items()}
     return write_tables(tables, prefix, fmt, result.columns)
 
 
@@ -127,10 +128,10 @@ def cached_table(df: DataFrame, folder: str, key: str, ttl_hours: float = 24.0)
     spark = df.sparkSession
     path = f"{folder.rstrip('/')}/{hashlib.sha256(key.encode()).hexdigest()}"
     stamp = f"{path}.ts"
-    try:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{stamp}/_SUCCESS")
+    age = None
+    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
         age = spark.read.parquet(stamp).select(((F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("ts")) / 3600).alias("h")).first()["h"]
-    except Exception:  # noqa: BLE001 - a missing stamp is a cache miss
-        age = None
     if age is None or age > ttl_hours:
         df.write.mode("overwrite").parquet(path)
         spark.range(1).select(F.current_timestamp().alias("ts")).write.mode("overwrite").parquet(stamp)

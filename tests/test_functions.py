@@ -45,7 +45,7 @@ def test_texts(spark):
     assert one(spark, texts.number_text(F.lit(float("nan")))) == "n/a"
     assert texts.user_pattern("/[/") is None and texts.user_pattern("  ") is None
     assert texts.prediction_column("p IC50") == "predicted_p_IC50"
-    assert texts.broadened_query("EGF*") == "EGF" and texts.broadened_query("/./") == "." and texts.broadened_query("**") == "kinase"
+    assert texts.broadened_query("EGF*", "any") == "EGF" and texts.broadened_query("/./", "any") == "." and texts.broadened_query("**", "any") == "any"
 
 
 def test_distribution_functions():

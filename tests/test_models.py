@@ -50,7 +50,7 @@ def test_cross_validation_from_products_equals_refitting(spark, data):
 @pytest.mark.parametrize("method", ["forward", "backward", "montecarlo", "ga"])
 def test_selection_finds_the_signal(data, method):
     cv = regression.cross_validation(data[2], ["a", "b", "c", "d"], "y", "id", 5)
-    sel = regression.select(cv, regression.SelectionConfig(method=method, criterion="bic", iterations=80, population=12, generations=8))
+    sel = regression.select(cv, regression.SelectionConfig(method=method, criterion="bic", draws=80, population=12, generations=8))
     assert sel.names == ["a", "b"]
 
 
@@ -131,7 +131,11 @@ def test_report(spark, data, tmp_path):
     assert dict((i, s) for i, s, _ in r.flags)["Applicability domain"] == "ok" and r.summary["coverage"] == 0.5 and r.summary["test_r2"] == 0.85
     assert "<table>" in r.html and "strong" in r.markdown
     assert set(reporting.write_report(r, str(tmp_path / "rep"))) == {"markdown", "html", "summary"}
-    assert reporting.metric_lookup([{"r2_test": 0.5, "train_rmse": 1.0}]) == {("test", "r2"): 0.5, ("", "r2"): 0.5, ("train", "rmse"): 1.0, ("", "rmse"): 1.0}
+    wide = reporting.metric_table(spark.createDataFrame([(0.5, 1.0, "x")], "r2_test double, train_rmse double, note string"))
+    assert {tuple(r) for r in wide.collect()} == {("test", "r2", 0.5), ("train", "rmse", 1.0)}
+    assert reporting.pick_metric(wide, ["R_2"], ["external"]) == 0.5 and reporting.pick_metric(wide, ["mae"], []) is None
+    many = spark.range(1000).selectExpr("'cv' as split", "concat('m', id) as metric", "cast(id as double) as value").union(metrics)
+    assert reporting.build_report(metrics=many).summary["test_r2"] == 0.85
 
 
 def test_stream_of_records(spark, tmp_path):
