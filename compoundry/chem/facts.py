@@ -41,6 +41,25 @@ def weight(atoms: Column) -> Column:
     return _sum(atoms, lambda a: one(a) + a["h"] * WEIGHTS["H"])
 
 
+# Bonds of an uncharged atom, lowest first.
+VALENCES = {"B": [3], "C": [4], "N": [3, 5], "O": [2], "F": [1], "Si": [4], "P": [3, 5], "S": [2, 4, 6], "Cl": [1], "Br": [1], "I": [1, 3, 5]}
+
+
+def has_radical(atoms: Column, bonds: Column) -> Column:
+    """An atom outside aromatic rings whose bonds and hydrogens fit none of its valences and stay below the highest."""
+    table = F.create_map(*[x for el, v in VALENCES.items() for x in (F.lit(el), F.array(*[F.lit(float(n)) for n in v]))])
+
+    def open_shell(a: Column, i: Column) -> Column:
+        mine = F.filter(bonds, lambda b: (b["a"] == i) | (b["b"] == i))
+        total = _sum(mine, lambda b: b["ord"]) + a["h"]
+        # a charge takes a bond from carbon and silicon, and its sign adds to or takes from the others
+        charge = F.when(a["el"].isin("C", "Si"), -F.abs(a["chg"])).when(a["el"] == "B", -a["chg"]).otherwise(a["chg"])
+        fits = F.transform(F.try_element_at(table, a["el"]), lambda v: v + charge)
+        return F.coalesce(~a["arom"] & ~F.array_contains(fits, total.cast("double")) & (total < F.array_max(fits)), F.lit(False))
+
+    return F.exists(F.transform(atoms, open_shell), lambda x: x)
+
+
 def fragment_sizes(mol: str = "mol", smiles: str = "smiles") -> Column:
     """Heavy atoms of each dot-separated part of the text."""
     atom = r"\[[^\]]*\]|Br|Cl|[BCNOSPFIbcnosp*]"
@@ -73,6 +92,7 @@ def facts(df: DataFrame, smiles: str = "smiles", mol: str = "mol") -> DataFrame:
         "rotatable_bonds": _count(bonds, lambda b: (b["ord"] == 1.0) & ~b["ring"] & (at(b["a"])["deg"] > 1) & (at(b["b"])["deg"] > 1)),
         "fraction_csp3": F.when(n_c > 0, F.size(saturated) / n_c).otherwise(0.0),
         "has_metal": F.exists(atoms, lambda a: F.array_contains(metals, a["el"])),
+        "has_radical": has_radical(atoms, bonds),
         "has_isotope": F.exists(atoms, lambda a: a["iso"] > 0),
         "unassigned_double_bond_stereo": _count(open_double, lambda b: ~b["marked"]),
         "possible_double_bond_stereo": F.size(open_double),

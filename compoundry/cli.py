@@ -27,7 +27,8 @@ def curate(spark, args):
 
     df = read_any(spark, args.input)
     if "row_index" not in df.columns:
-        df = df.withColumn("row_index", F.monotonically_increasing_id())
+        # an order that does not follow the layout of the files: by the row's content
+        df = df.withColumn("row_index", F.xxhash64(*df.columns))
     found = bind_columns(df, "row_index")
     pick = lambda role: getattr(args, role, None) or found[role]
     if not pick("smiles") or not pick("activity"):
@@ -135,7 +136,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--inequalities", action="store_true")
     parser.add_argument("--reject-duplicates", action="store_true")
     args = parser.parse_args(argv)
+    from compoundry.plans.registry import ship_package
+
     session = spark or SparkSession.builder.appName("compoundry").getOrCreate()
+    ship_package(session)  # the workers import the package too
     print(json.dumps(COMMANDS[args.command](session, args), indent=2))
     return 0
 

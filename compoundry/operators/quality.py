@@ -39,6 +39,7 @@ def issue_rules(cfg: QualityConfig) -> list[tuple[Column, str, Column]]:
          F.lit(f"Heavy atom count is above {cfg.max_heavy_atoms}.")),
         (c("molecular_weight") > cfg.max_weight, "HIGH_MOLECULAR_WEIGHT",
          F.lit(f"Molecular weight is above {cfg.max_weight:.1f} Da.")),
+        (c("molecular_weight").isNull(), "MOLECULAR_WEIGHT_COMPUTATION_FAILED", F.lit("The molecular weight is unknown.")),
         (c("unassigned_chiral_centers") > 0, "UNASSIGNED_CHIRAL_STEREO",
          F.concat(s("unassigned_chiral_centers"),
                   F.lit(" possible chiral center(s) have unspecified configuration."))),

@@ -135,3 +135,11 @@ def test_quality_of_plain_facts(spark):
     got = {r["id"]: r for r in quality.quality_control(df).collect()}
     assert got[1]["issue_codes"] == "MULTI_FRAGMENT;DUPLICATE_STRUCTURE" and got[3]["severity"] == "ERROR"
     assert got[3]["issues"] == "Empty SMILES." and got[3]["dropped_reason"] == "invalid_structure"
+
+
+def test_provenance_of_a_large_group_is_whole(spark):
+    n = 200_000
+    accepted = spark.range(n).selectExpr("cast(id as int) row_index", "if(id < 3, 'small', 'hot') identity_key", "concat('r', id) source_row_id")
+    prepared = accepted.select("identity_key").distinct()
+    got = {r["identity_key"]: r["n"] for r in curation.with_provenance(prepared, accepted).selectExpr("identity_key", "size(split(source_row_ids, ';')) n").collect()}
+    assert got == {"small": 3, "hot": n - 3}

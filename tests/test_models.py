@@ -148,3 +148,19 @@ def test_stream_of_records(spark, tmp_path):
     q.awaitTermination(60)
     got = {r["row_index"]: r["reject_reasons"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: "", 1: "missing_smiles"}
+
+
+def test_masked_correlations(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 4))
+    x[:, 1] = x[:, 0] * 2 + 100 + 0.01 * x[:, 1]
+    rows = [[float(v) if rng.random() > 0.2 else None for v in r] + [0.1] for r in x]
+    from compoundry.operators import descriptors
+
+    got = descriptors.correlation_pairs(spark.createDataFrame(rows, "a double, b double, c double, d double, e double"), ["a", "b", "c", "d", "e"], 0.0).collect()
+    table = np.array([[np.nan if v is None else v for v in r] for r in rows])
+    for r in got:
+        i, j = "abcde".index(r["descriptor_a"]), "abcde".index(r["descriptor_b"])
+        both = ~np.isnan(table[:, i]) & ~np.isnan(table[:, j])
+        assert r["correlation"] == pytest.approx(np.corrcoef(table[both, i], table[both, j])[0, 1])
+    assert len(got) == 6

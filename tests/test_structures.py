@@ -297,3 +297,20 @@ def test_table_naming_helpers(spark):
     assert binding.target_column(df) == "pIC50"
     out = intake.with_standardization_stage(spark.createDataFrame([("OK",), ("failed",)], "s string"), "s", "docking_ready").collect()
     assert out[0]["curation_status"] == "Docking-ready" and out[0]["curation_ready_for_docking"] and out[1]["curation_blockers"] == "Standardization failed"
+
+
+def test_radicals_and_weights(spark):
+    texts = {"CCO": (False, 46.069), "[CH3]": (True, 15.035), "C[N+](=O)[O-]": (False, 61.04), "F[Mn]F": (False, 92.934), "CS(=O)(=O)C": (False, 94.128), "[O]": (True, 15.999)}
+    df = spark.createDataFrame([(t,) for t in texts], "smiles string")
+    for r in facts.facts(facts.with_structure(df, "smiles")).collect():
+        radical, mass = texts[r["smiles"]]
+        assert r["has_radical"] == radical and r["molecular_weight"] == pytest.approx(mass, abs=1e-3)
+
+
+def test_repeated_record_properties_keep_their_own_values(spark, tmp_path):
+    from compoundry.sources.files import read_structure_records
+
+    block = "name\n\n\n  1  0  0  0  0  0  0  0  0  0999 V2000\n    0.0000    0.0000    0.0000 C   0  0\nM  END\n"
+    (tmp_path / "a.sdf").write_text(block + ">  <A>\n1\n\n>  <A>\n2\n\n>  <B>\n3\n\n$$$$\n")
+    row = read_structure_records(spark, str(tmp_path / "a.sdf")).first()
+    assert row["props"] == {"A": "1", "B": "3"}
