@@ -144,6 +144,20 @@ def class_pairs(left: DataFrame, right: DataFrame | None, words: str, threshold:
     return todo.select("cell_a", "sub_a", "items_a", "cell_b", "sub_b", "items_b").mapInPandas(compare, PAIR_SCHEMA)
 
 
+def unmatched_rows(df: DataFrame, words: str, ident: str, threshold: float) -> DataFrame:
+    """Rows without any other row of similarity >= threshold, decided per distinct fingerprint.
+
+    A fingerprint has a partner if several rows share it or another one is near it; no row
+    pair is made, however many copies there are.
+    """
+    classes = fingerprint_classes(df, words, ident)
+    pairs = class_pairs(classes, None, words, threshold)
+    near = pairs.select(F.col("class_a").alias("class_id")).unionAll(pairs.select(F.col("class_b").alias("class_id"))).distinct()
+    shared = classes.where((F.col("n_rows") > 1) & (F.col("n_on") > 0)).select("class_id")
+    partnered = classes.join(near.unionAll(shared).distinct(), "class_id", "left_semi").select(words)
+    return df.join(reliable_checkpoint(partnered), words, "left_anti")
+
+
 def row_pairs(df: DataFrame, words: str, ident: str, threshold: float) -> DataFrame:
     """Row pairs id_a < id_b with similarity >= threshold.
 

@@ -67,8 +67,7 @@ def cliff_compounds(spark, sf):
 @query("jn9_unmatched_rows", f"with {BITS_SQL} select vec_id, label from b where vec_id not in (select i from t where sim >= 0.5)")
 def unmatched_rows(spark, sf):
     f = fingerprints(spark, sf)
-    ids = similarity.pair_members(similarity.row_pairs(f, "fp", "vec_id", 0.5), "id_a", "id_b").withColumnRenamed("id", "vec_id")
-    return f.select("vec_id", "label").join(ids, "vec_id", "left_anti")
+    return similarity.unmatched_rows(f, "fp", "vec_id", 0.5).select("vec_id", "label")
 
 
 @query("ad14_pair_compounds", f"""with {CLIFF_SQL}, top as (select * from q order by score desc, round(sim, 4) desc, i, j limit 60)
