@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from compoundry.llm.common import write_once
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Every node hangs below one root, and no root hangs below another."""
+    several = edges.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v <> w").select(F.lit(1).alias("x"))
+    chained = edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").select(F.lit(1).alias("x"))
+    return several.unionAll(chained).isEmpty()
+
+
 def connect(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """``id`` and ``component`` (smallest id reachable) of every id in ``nodes``.
 
@@ -16,12 +23,8 @@ def connect(links: DataFrame, nodes: DataFrame) -> DataFrame:
     are joined, so that the join of a hub with its many neighbours can be split.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = write_once(edges, "edges"), None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
+    edges = write_once(edges, "edges")
+    while not _settled(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = write_once(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
         large = write_once(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from compoundry.functions.once import with_once
 from compoundry.llm.common import documents_of
 
 SPACES = " \t\n\x0b\f\r"
@@ -77,7 +78,9 @@ def base_columns(docs: DataFrame, rules: LineRules = LineRules(), text_col: str
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     out = docs.withColumn("_ws", words(text)).withColumn("_n_words", F.size("_ws").cast("long"))
     # a text of fewer than three words has a single window: nothing repeats
-    out = out.withColumn("_places", window_places(F.col("_ws"))).withColumn("_n_repeat_words", repeat_words(F.col("_places")))
+    out = out.withColumn("_places", window_places(F.col("_ws")))
+    # computed once: a later filter on the verdict must not copy these expressions below the split
+    out = with_once(out, {"_n_repeat_words": repeat_words(F.col("_places"))})
     out = out.withColumns({
         "_word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
         "_n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),

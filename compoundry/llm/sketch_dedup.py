@@ -94,7 +94,7 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.
     same = a.shape[1] - more - less
     u = (size_a / (size_a + size_b))[:, None]
     v = 1 - u
-    grid = np.linspace(0, 1, 201)[None, :] * np.minimum(u / v, v / u)
+    grid = np.linspace(0, 1, 51)[None, :] * np.minimum(u / v, v / u)
 
     def chance(x: np.ndarray) -> np.ndarray:
         return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
@@ -222,12 +222,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         centre = C.write_once(members.groupBy("band").agg(
             F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y"), F.min_by("id", draw).alias("c"),
             F.min_by("component", draw).alias("cc")).where("x <> y").drop("x", "y"), "centres")
+        if centre.isEmpty():  # every band's members have met
+            break
         open_bands = members.join(centre, "band")
         if last:
             found = _settle(C.write_once(open_bands.select("id", "c", "component"), "open"), classes, sets, percent)
         else:
             pairs = open_bands.where("component <> cc").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
             found = _confirm(pairs, classes, sets, percent)
+        if found.isEmpty():
+            continue
         moved = found.join(parts.toDF("a", "ca"), "a").join(parts.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         merged = connect(moved, parts.select(F.col("component").alias("id")).distinct())
         parts = C.write_once(parts.join(merged.toDF("component", "to"), "component").select("id", F.col("to").alias("component")), "components")
