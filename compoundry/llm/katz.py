@@ -342,8 +342,17 @@ def fit_and_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str
     words = C.write_once(counted.groupBy("w").agg(F.sum("c").alias("c")), "words")
     figures = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *[F.count(F.when(F.col("c") == r, 1)) for r in range(1, K + 2)]).first()
     total, distinct, n = int(figures[0]), int(figures[1]), [int(x) for x in figures[2:]]
-    # a code for the most frequent words: at most CODED rows, whatever the size of the corpus
-    top = words.orderBy(F.desc("c"), "w").limit(CODED).collect()
+    # a code for the most frequent words: the counts fall into at most 1,024 steps of a logarithmic
+    # scale, and the steps from the top that hold at most CODED words are read
+    step = F.floor(F.log2("c") * 16)
+    steps = sorted(((r["s"], r["n"]) for r in words.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = 1 << 20, 0
+    for s, n_words in steps:
+        held += n_words
+        if held > CODED:
+            break
+        least = s
+    top = sorted(words.where(step >= least).collect(), key=lambda x: (-x["c"], x["w"]))
     d1 = discounts(n)
     kept = sum(d1[r] * r * n[r - 1] for r in range(1, K + 1)) + KEEP_LARGE * (total - sum(r * n[r - 1] for r in range(1, K + 1)))
     unknown = 1.0 - kept / total if total else 1.0

@@ -11,8 +11,8 @@
 3. The text is that of the content slots below the page's article or main element (the body
    where there is none), in page order.
 
-A host with many pages is dealt out by a salt (the bounded table of the 1,000 largest hosts
-tells how many); the pages of a task stream through in batches, so no host is held whole.
+A host with many pages is dealt out by a salt (the hosts above a thousandth of all pages, under
+1,000, are known to all tasks); the pages of a task stream through in batches, so no host is held whole.
 
 Defined cases: null or empty html gives an empty text; a url without host is a host of its own;
 a page alone with its host is judged by its own labels; broken markup is read as browsers do in
@@ -264,10 +264,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     keep = [c for c in pages.columns if c != html_col]
     sizes = pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("m"))
-    top = sizes.orderBy(F.desc("m"), "host").limit(HOT_HOSTS).collect()
-    total = pages.count() if len(top) == HOT_HOSTS else sum(r["m"] for r in top)
-    unit = max(BATCH, total // HOT_HOSTS)
-    hot = {r["host"]: -(-r["m"] // unit) for r in top if r["m"] > unit}
+    unit = max(BATCH, pages.count() // HOT_HOSTS)
+    # hosts above a HOT_HOSTS-th of all pages: there are fewer than HOT_HOSTS of them
+    hot = {r["host"]: -(-r["m"] // unit) for r in sizes.where(F.col("m") > unit).collect()}
     salts = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]) if hot else None
     mixed = F.xxhash64(F.col(f"`{id_col}`").cast("string"), url)
     salt = F.pmod(mixed, F.coalesce(salts[host], F.lit(1))).cast("int") if hot else F.lit(0)
