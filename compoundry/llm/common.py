@@ -12,7 +12,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from compoundry.session import shared_folder
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1_000_000
 NULL_ID = -(1 << 63)
 
 _values = np.random.default_rng(20_240_229).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -34,22 +33,19 @@ _space[[9, 10, 11, 12, 13, 32]] = True
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        row = np.full(size, b, np.uint64)
-        row[0] = 1
-        out.append(np.multiply.accumulate(row))
-    return out[0], out[1]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of an odd base and of its inverse modulo 2**64."""
-    size = 1 << max(12, (n + 1).bit_length())
-    up, down = _powers(base, size)
-    return up, down
+    """Powers 0..n of an odd base and of its inverse modulo 2**64: one table per base, as long as ever asked for."""
+    if base not in _powers or len(_powers[base][0]) <= n:
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            row = np.full(1 << max(12, (n + 1).bit_length()), b, np.uint64)
+            row[0] = 1
+            both.append(np.multiply.accumulate(row, out=row))
+        _powers[base] = (both[0], both[1])
+    return _powers[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ MARK = "▁"
 BYTE_LOSS = 10.0
 CACHE_UNITS = 50_000
 VECTOR_LENGTH = 32
-SLICE_CHARS = 3 << 20
+SLICE_CHARS = 2_000_000
 NOTHING = -(1 << 40)
 SLOT_MASK = np.uint64((1 << 20) - 1)
 SLOT_SHIFT, OTHER_SHIFT = np.uint64(44), np.uint64(20)
