@@ -4,10 +4,12 @@
    paragraphs of an article, the items of a list) are one node. Only texts outside menus,
    headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments travel on,
    compressed.
-2. Pages of one host meet in rows of ``BATCH``; each is aligned with the next ``PARTNERS`` pages by
+2. Pages of one host meet in rows of ``BATCH``, in the order of a hash; a last row that is too short
+   to tell joins the row before it. Each page is aligned with the next ``PARTNERS`` pages of its row by
    simple tree matching (the largest order-keeping match of equal labels). A node whose text is
-   the same in all its alignments is template; a node whose text varies is a content slot.
-   Pairs of pages with one and the same main text say nothing and are passed over.
+   the same in ``PARTNERS`` alignments, or in all where a page has fewer, and varies in none is
+   template; a node whose text varies is a content slot.
+   Pairs of pages with one and the same main text say nothing; the next page with another takes their place.
 3. The text is that of the content slots below the page's article or main element (the body
    where there is none), in page order.
 
@@ -15,7 +17,7 @@ A host with many pages is dealt out by a salt (the hosts above a thousandth of a
 1,000, are known to all tasks); the pages of a task stream through in batches, so no host is held whole.
 
 Defined cases: null or empty html gives an empty text; a url without host is a host of its own;
-a page alone with its host is judged by its own labels; broken markup is read as browsers do in
+a page alone with its host, or beside copies of its main text only, is judged by its own labels; broken markup is read as browsers do in
 the common cases (unclosed p, li and table cells; open comments and scripts run to the end).
 """
 
@@ -25,6 +27,7 @@ import json
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from compoundry.llm import common as C
 
 BATCH, PARTNERS, HOT_HOSTS = 64, 3, 1_000
+#: Fewer pages than these are no row of their own: each page meets PARTNERS before and after it.
+SHORT = 2 * PARTNERS + 1
 
 #: Elements that begin and end a block, elements without content, elements that
 #: never hold main text, and words of class, id and role that mark such parts.
@@ -210,27 +215,38 @@ def align(a: Tree, b: Tree, i: int = 0, j: int = 0) -> list[tuple[int, int]]:
     return [(i, j), *best[-1][-1]]
 
 
+def partners(texts: list[list[str]]) -> list[tuple[int, int]]:
+    """Each page with the next PARTNERS pages, in a circle, that have another main text; every pair once."""
+    number: dict[tuple[str, ...], int] = {}
+    kind = [number.setdefault(tuple(t), len(number)) for t in texts]
+    pairs = {}
+    for i in range(len(kind)):
+        circle = (j % len(kind) for j in range(i + 1, i + len(kind)))
+        for j in islice((j for j in circle if kind[j] != kind[i]), PARTNERS):
+            pairs[min(i, j), max(i, j)] = None
+    return list(pairs)
+
+
 def induce(pages: list[Tree]) -> list[list[str]]:
     """The content blocks of each page of one host."""
     same = [dict.fromkeys(p.main, 0) for p in pages]
     varied: list[set[int]] = [set() for _ in pages]
-    for i in range(len(pages)):
-        for step in range(1, min(PARTNERS, (len(pages) - 1) // 2 or len(pages) - 1) + 1):
-            j = (i + step) % len(pages)
-            a, b = pages[i], pages[j]
-            if i == j or a.main_text == b.main_text:
-                continue
-            for m, n in align(a, b):
-                if m in a.main and n in b.main:
-                    if a.text[m] == b.text[n]:
-                        same[i][m] += 1
-                        same[j][n] += 1
-                    else:
-                        varied[i].add(m)
-                        varied[j].add(n)
+    met = [0] * len(pages)
+    for i, j in partners([p.main_text for p in pages]):
+        a, b = pages[i], pages[j]
+        met[i] += 1
+        met[j] += 1
+        for m, n in align(a, b):
+            if m in a.main and n in b.main:
+                if a.text[m] == b.text[n]:
+                    same[i][m] += 1
+                    same[j][n] += 1
+                else:
+                    varied[i].add(m)
+                    varied[j].add(n)
     out = []
     for i, page in enumerate(pages):
-        template = {k for k, n in same[i].items() if n >= PARTNERS and k not in varied[i]}
+        template = {k for k, n in same[i].items() if n >= max(1, min(PARTNERS, met[i])) and k not in varied[i]}
         out.append([t for node, t in page.texts if page.of[node] in page.main and page.of[node] not in template])
     return out
 
@@ -246,15 +262,31 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["n", "host", "salt", "blob", *[c for c in some.schema.names if c.startswith("c")]])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of BATCH pages across the bounds of Arrow batches; a short last one joins the one before."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < BATCH + SHORT:
+            continue
+        whole, at = pa.concat_batches(held), 0
+        while n >= BATCH + SHORT:
+            yield whole.slice(at, BATCH)
+            at, n = at + BATCH, n - BATCH
+        held = [whole.slice(at)]
+    if n:
+        yield pa.concat_batches(held)
+
+
 def _extracted(names: list[str]):
-    """applyInArrow on the pages of one host and salt, batch after batch."""
+    """applyInArrow on the pages of one host and salt, slice after slice."""
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                some = batch.slice(at, BATCH)
-                texts = ["\n\n".join(x) for x in induce([Tree(b) for b in some.column("blob").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in names], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                                                 [*names, "_text", "_n_chars"])
+        for some in _slices(batches):
+            texts = ["\n\n".join(x) for x in induce([Tree(b) for b in some.column("blob").to_pylist()])]
+            yield pa.RecordBatch.from_arrays([*[some.column(c) for c in names], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                                             [*names, "_text", "_n_chars"])
     return run
 
 
@@ -268,14 +300,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # hosts above a HOT_HOSTS-th of all pages: there are fewer than HOT_HOSTS of them
     hot = {r["host"]: -(-r["m"] // unit) for r in sizes.where(F.col("m") > unit).collect()}
     salts = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]) if hot else None
-    mixed = F.xxhash64(F.col(f"`{id_col}`").cast("string"), url)
+    mixed = F.xxhash64(F.col(f"`{id_col}`").cast("string"), url, F.col(f"`{html_col}`").cast("string"))
     salt = F.pmod(mixed, F.coalesce(salts[host], F.lit(1))).cast("int") if hot else F.lit(0)
     side = pages.select(mixed.alias("n"), host.alias("host"), salt.alias("salt"), F.col(f"`{html_col}`").cast("string").alias("html"),
                         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     names = [f"c{i}" for i in range(len(keep))]
     kinds = "".join(f", {c} {t}" for c, t in side.dtypes if c in names)
     parsed = side.mapInArrow(_parsed, f"n long, host string, salt int, blob binary{kinds}")
-    out = parsed.groupBy("host", "salt").applyInArrow(_extracted(names), f"{kinds[2:] + ', ' if kinds else ''}_text string, _n_chars long")
+    # in the order of n the rows of a group do not depend on how its pages came in
+    sorted_pages = parsed.repartition("host", "salt").sortWithinPartitions("host", "salt", "n")
+    out = sorted_pages.groupBy("host", "salt").applyInArrow(_extracted(names), f"{kinds[2:] + ', ' if kinds else ''}_text string, _n_chars long")
     return out.select(*[F.col(c).alias(k) for c, k in zip(names, keep, strict=True)], "_text", "_n_chars")
 
 

@@ -185,6 +185,34 @@ def test_constant_slots_are_template():
     assert wrapper_induction.induce(pages) == [[f"story {i}"] for i in range(9)]
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 65])
+def test_hosts_of_any_size_are_induced(spark, n):
+    html = "<body><div class=x><p>Welcome back, reader</p></div><div class=y><p>story {}</p></div></body>"
+    rows = [(i, f"http://one.example.com/{i}", html.format(i)) for i in range(n)]
+    got = by_id(wrapper_induction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert {i: g["_text"] for i, g in got.items()} == {i: f"story {i}" for i in range(n)}
+
+
+def test_copies_do_not_take_the_place_of_partners():
+    html = "<body><div class=x><p>Welcome back, reader</p></div><div class=y><p>{}</p></div></body>"
+    texts = ["copy"] * 6 + ["other"]
+    pages = [wrapper_induction.Tree(wrapper_induction.Page(html.format(t)).pack()) for t in texts]
+    assert wrapper_induction.induce(pages) == [[t] for t in texts]
+
+
+def test_short_last_slices_join_the_one_before():
+    import pyarrow as pa
+
+    for sizes in ([65], [64, 1], [10] * 7, [64, 64, 4], [200], [3], [64, 7], []):
+        batches, at = [], 0
+        for k in sizes:
+            batches.append(pa.record_batch([pa.array(range(at, at + k))], ["x"]))
+            at += k
+        parts = [b.column("x").to_pylist() for b in wrapper_induction._slices(iter(batches))]
+        assert sum(parts, []) == list(range(at))
+        assert all(len(p) >= min(at, wrapper_induction.SHORT) and len(p) < wrapper_induction.BATCH + wrapper_induction.SHORT for p in parts)
+
+
 def test_pfair(spark, docs):
     quota = pfair_mix.quotas({"a": 5.0, "b": 3.0, "c": 1.0, None: 1.0}, 100)
     table = pfair_mix.one_period(quota)
