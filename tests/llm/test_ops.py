@@ -3,6 +3,8 @@
 import hashlib
 import random
 import zlib
+from fractions import Fraction
+from math import ceil, floor
 
 import brute
 import numpy as np
@@ -232,6 +234,31 @@ def test_pfair(spark, docs):
     assert pfair_mix.mix(docs.where("1 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 2000.0**0.7, "b": 3000.0**0.7, "c": 5.0**0.7}])
+def test_pfair_keeps_the_exact_weights_over_many_periods(spark, weights):
+    sizes = {"a": 2000, "b": 3000, "c": 5}
+    rows = [(10_000 * k + i, "word", s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = pfair_mix.mix(df, weights, block_words=1, period=100).collect()
+    assert len(got) == len(rows) == len({r["_slot"] for r in got})
+    total = sum(Fraction(w) for w in weights.values())
+    for s, n in sizes.items():
+        share = Fraction(weights[s]) / total
+        slots = sorted((r["_block"], r["_slot"], r["_release"], r["_deadline"]) for r in got if r["source"] == s)
+        assert [x[0] for x in slots] == list(range(n))
+        for j, slot, release, due in slots:
+            assert (release, due) == (floor(j / share), ceil((j + 1) / share)) and release <= slot < due
+            assert abs(j - slot * share) < 1 and abs(j + 1 - (slot + 1) * share) < 1
+
+
+def test_pfair_takes_any_number_of_sources(spark):
+    df = spark.createDataFrame([(i, "a few words", f"s{i % 1200}") for i in range(2400)], "doc_id long, text string, source string")
+    got = pfair_mix.mix(df, {f"s{i}": 1.0 for i in range(1200)}, block_words=3).collect()
+    assert sorted(r["_slot"] for r in got) == list(range(2400)) and all(r["_within"] for r in got if r["_block"] == 0)
+    got = pfair_mix.mix(df, {f"s{i}": 1.0 + i / 7 for i in range(1200)}, block_words=3).collect()
+    assert len({r["_slot"] for r in got}) == 2400 and all(r["_release"] <= r["_slot"] < r["_deadline"] for r in got)
+
+
 def test_token_codes(spark, plain, docs, tmp_path, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
