@@ -35,10 +35,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id, once."""
-    kept = near_duplicates(docs, SHINGLE, SIMILAR).where("_doc = _component").select("_doc")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID))
-    return docs.withColumn("_doc", key).join(kept, "_doc", "left_semi").dropDuplicates(["_doc"]).select(*docs.columns)
+    """One document of each group of near duplicates: that of the smallest id, once.
+
+    Every row is judged by its own text, whether or not others share its id: it gets a number in
+    the order of (id, text hash), null ids first. Rows with the same id and text are one document.
+    """
+    order = ["_id", "_tie", "source", "lang"]
+    numbered = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)), "_tie": F.xxhash64("text")})
+    numbered = numbered.repartitionByRange(C.groups_for(spark, 1), *order).sortWithinPartitions(*order)
+    numbered = C.write_once(numbered.withColumn("_doc", F.monotonically_increasing_id()), "numbered")
+    kept = near_duplicates(numbered, SHINGLE, SIMILAR, id_col="_doc").where("_doc = _component").select("_doc")
+    return numbered.join(kept, "_doc", "left_semi").dropDuplicates(["_id", "text"]).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

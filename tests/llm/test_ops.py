@@ -352,3 +352,16 @@ def test_pipeline_stages(spark, tmp_path, docs):
     assert ids == {None, 9}  # the null id is the smallest of its group
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in rows} == ids and all(r["round_trip"] for r in rows)
+
+
+def test_pipeline_judges_rows_that_share_an_id_by_their_own_texts(spark):
+    import corpus_pipeline
+
+    def text(k):
+        return " ".join(f"t{k}w{j}" for j in range(60))
+
+    rows = [(None, text(k)) for k in range(5)] + [(None, text(0)), (7, text(1) + " more"), (8, text(6)), (8, text(7)), (8, text(7)), (9, text(6) + " more"), (9, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(None, text(k)) for k in range(5)} | {(8, text(6)), (8, text(7)), (9, None), (9, "")}
