@@ -1,13 +1,14 @@
 """Documents to a training mixture: quality rules, near-dedup, substring dedup, mixing, encoding.
 
 Every stage takes all rows its predecessor kept and returns the columns of ``documents``; the
-last returns the encoded documents. ``run`` writes each stage as Parquet in the shared folder
+last returns the encoded documents with their places in the mixture. ``run`` writes each stage as Parquet in the shared folder
 and reads it again, so a lost executor costs at most one stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from compoundry.llm import common as C
@@ -61,11 +62,30 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.repartitionByRange(C.groups_for(spark, 1), *order).sortWithinPartitions(*order).select(*docs.columns)
 
 
+def _position(docs: DataFrame) -> Column:
+    """The place of a row in the order of its files: by the number of the file, then by the row in it.
+
+    Spark may read files in any order and in parts; names and row numbers stay. Null for rows from no file.
+    """
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return F.lit(None).cast("long")
+    name = F.col("_metadata.file_name")
+    part, piece = (F.coalesce(F.regexp_extract(name, x, 1).try_cast("long"), F.lit(0)) for x in (r"^part-(\d+)", r"-c(\d+)\."))
+    # a partition's rows go on in further files where Spark limits the rows of a file
+    return F.shiftleft(part, 40) + F.shiftleft(piece, 28) + F.col("_metadata.row_index")
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, with the scores of its three best segmentations."""
-    out = encode_nbest(docs, default_model(), 3, form="best", with_text=False)
+    """Piece ids of every document, with the scores of its three best segmentations.
+
+    ``mix_position`` is the document's place in the mixture: sorted by it, the rows hold the sources
+    in their target weights.
+    """
+    out = encode_nbest(docs.withColumn("_position", _position(docs)), default_model(), 3, form="best", with_text=False)
     return out.select("doc_id", "lang", "source", "n_chars", F.col("_n_pieces").alias("n_pieces"), F.col("_ids").alias("ids"),
-                      F.col("_scores").alias("scores"), F.col("_round").alias("round_trip"))
+                      F.col("_scores").alias("scores"), F.col("_round").alias("round_trip"), F.col("_position").alias("mix_position"))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("encoding", encoding)]

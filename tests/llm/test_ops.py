@@ -365,3 +365,28 @@ def test_pipeline_judges_rows_that_share_an_id_by_their_own_texts(spark):
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
     assert len(got) == len(set(got))
     assert set(got) == {(None, text(k)) for k in range(5)} | {(8, text(6)), (8, text(7)), (9, None), (9, "")}
+
+
+def test_pipeline_rows_keep_the_mixture(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    sizes = {"a": 24, "b": 12, "c": 4}
+    sources = [s for s, n in sizes.items() for _ in range(n)]
+    rows = [(i, f"t{i} " + "the cat " * 4999 + "end", "en", s, 40_000) for i, s in enumerate(sources)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    slots = {r["doc_id"]: (r["_slot"], r["_within"]) for r in pfair_mix.mix(df, temper=corpus_pipeline.TEMPER).collect()}
+    found = []
+    for stages in (corpus_pipeline.STAGES[-2:], corpus_pipeline.STAGES[-1:]):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+        got = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r["mix_position"])
+        assert len({r["mix_position"] for r in got}) == len(rows)
+        found.append([r["doc_id"] for r in got])
+    assert found[0] == sorted(slots, key=slots.get)
+    assert found[1] == list(range(len(rows)))  # without the stage, the order of the input
+    within = [i for i in found[0] if slots[i][1]]
+    total = sum(n**corpus_pipeline.TEMPER for n in sizes.values())
+    assert len(within) > 10
+    for s, n in sizes.items():
+        for k in range(len(within) + 1):
+            assert abs(sum(sources[i] == s for i in within[:k]) - k * n**corpus_pipeline.TEMPER / total) < 1
