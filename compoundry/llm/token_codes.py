@@ -103,36 +103,39 @@ class Encoder:
         cut[starts] = True
         return np.flatnonzero(cut)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Ids of each row."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, and where each row's ids start and end among them."""
         if not len(data):
-            return [np.zeros(0, np.uint32)] * (len(offsets) - 1)
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         if self.used > TABLE_IDS:
             self._reset()
         starts = self._cuts(data, offsets)
         ends = np.append(starts[1:], len(data))
         hashes = C.range_hashes(C._values[data], starts, ends, C.BYTE_BASE)
-        keys, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
-        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
-        known = (self.keys[slot] == keys) & (self.size[slot] > 0)
-        at, size = np.where(known, self.at[slot], 0), np.where(known, self.size[slot], 0)
-        new = np.flatnonzero(~known)
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        known = (self.keys[slot] == hashes) & (self.size[slot] > 0)
+        at, size = self.at[slot], self.size[slot]
+        # only chunks that the table lacks are sorted and encoded, each once
+        missing = np.flatnonzero(~known)
+        keys, first, kind = np.unique(hashes[missing], return_index=True, return_inverse=True)
+        first = missing[first]
+        new_at, new_size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
         raw = data.tobytes()
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            got = self.tokenizer.encode_batch_fast([raw[starts[first[i]] : ends[first[i]]].decode() for i in part], add_special_tokens=False)
+        for lo in range(0, len(keys), 4096):
+            part = slice(lo, lo + 4096)
+            got = self.tokenizer.encode_batch_fast([raw[starts[i] : ends[i]].decode() for i in first[part]], add_special_tokens=False)
             ids = [e.ids for e in got]
-            at[part] = self.used + np.cumsum([0, *map(len, ids[:-1])])
-            size[part] = list(map(len, ids))
+            new_at[part] = self.used + np.cumsum([0, *map(len, ids[:-1])])
+            new_size[part] = list(map(len, ids))
             self._append(np.fromiter(chain.from_iterable(ids), np.uint32))
-        self.keys[slot[new]] = keys[new]  # of two new chunks in one slot the later stays, in all three
-        owner = np.flatnonzero(self.keys[slot] == keys)
-        self.at[slot[owner]], self.size[slot[owner]] = at[owner], size[owner]
-        sizes = size[kind]
-        total = np.cumsum(sizes)
-        flat = self.ids[np.repeat(at[kind] - (total - sizes), sizes) + np.arange(int(total[-1]))]
-        cuts = np.append(0, total)[np.searchsorted(starts, offsets)]
-        return [flat[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        at[missing], size[missing] = new_at[kind], new_size[kind]
+        spot = slot[first]
+        self.keys[spot] = keys  # of two new chunks in one slot the later stays, in all three
+        owner = np.flatnonzero(self.keys[spot] == keys)
+        self.at[spot[owner]], self.size[spot[owner]] = new_at[owner], new_size[owner]
+        total = np.cumsum(size)
+        flat = self.ids[np.repeat(at - (total - size), size) + np.arange(int(total[-1]))]
+        return flat, np.append(0, total)[np.searchsorted(starts, offsets)]
 
 
 @lru_cache(maxsize=1)
@@ -186,32 +189,32 @@ def _shards(path: str, end_id: int):
     """mapInArrow on texts sorted by id within a partition: one row per shard."""
     names = ["part", "seq", "n_tokens", "doc_ids", "doc_starts", "chunks", "bits", "ranks"]
 
-    def row(part: int, seq: int, ids: list, arrays: list[np.ndarray]) -> pa.RecordBatch:
-        sizes = np.array([len(x) for x in arrays], np.int64)
+    def row(part: int, seq: int, ids: list, arrays: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        n = np.concatenate(sizes)
         chunks, bits, ranks = pack_levels(np.concatenate(arrays))
-        values = [part, seq, int(sizes.sum()), ids, np.cumsum(sizes) - sizes, chunks, bits, ranks]
+        values = [part, seq, int(n.sum()), ids, np.cumsum(n) - n, chunks, bits, ranks]
         types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())] + 3 * [pa.list_(pa.binary())]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, size = encoder_of(path), None, 0, 0
-        end = np.array([end_id], np.uint32)
+        encoder, part, seq = encoder_of(path), None, 0
         ids: list = []
         arrays: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         for batch in batches:
             if part is None and batch.num_rows:
                 part = batch.column("part")[0].as_py()
             names_here = batch.column("id").to_pylist()
             for lo, hi, data, offsets in C.text_slices(batch.column("text")):
-                for i, got in zip(names_here[lo:hi], encoder.encode(data, offsets), strict=True):
-                    ids.append(i)
-                    arrays.append(np.concatenate([got, end]))
-                    size += len(got) + 1
-                    if size >= SHARD_TOKENS:
-                        yield row(part, seq, ids, arrays)
-                        ids, arrays, seq, size = [], [], seq + 1, 0
+                flat, cuts = encoder.encode(data, offsets)
+                ids += names_here[lo:hi]
+                arrays.append(np.insert(flat, cuts[1:], end_id))
+                sizes.append(np.diff(cuts) + 1)
+                if sum(map(len, arrays)) >= SHARD_TOKENS:
+                    yield row(part, seq, ids, arrays, sizes)
+                    ids, arrays, sizes, seq = [], [], [], seq + 1
         if ids:
-            yield row(part, seq, ids, arrays)
+            yield row(part, seq, ids, arrays, sizes)
     return run
 
 
