@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,13 +160,44 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/compoundry-llm/{name}-{uuid.uuid4().hex}"
 
 
-def write_once(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: lineage ends here."""
+_scopes: list[list[str]] = []
+
+
+def write_once(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
+    """Write the rows to the shared folder and read them back: lineage ends here.
+
+    Inside a ``scratch`` block the table goes with the block, unless it is to outlive it.
+    """
     path = table_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _scopes and not outlive:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables written inside when the block ends; nothing used later may depend on them."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _scopes.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        # shuffle files go once the driver's JVM has let go of their frames
+        jvm.System.gc()
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores before it as it takes to be new, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

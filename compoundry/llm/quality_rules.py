@@ -13,7 +13,10 @@ execution can split). The repeated three-word windows are found inside the row.
 
 Defined cases: null or empty text has no words and lines and fails the base rules; a null
 source is a host of its own; short lines (under ``min_line_chars`` normalised characters)
-are never removed; a null id is kept as it is and counts as the smallest.
+are never removed; a null id is kept as it is and counts as the smallest; rows that share an id
+are judged each by its own text, equal rows alike; a text of any length is one row, its lines and
+windows arrays of that row. An empty table gives an empty table. Input columns stay, also those
+named like a helper; one with the name of a result column is replaced by it.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from compoundry.functions.once import with_once
-from compoundry.llm.common import documents_of
+from compoundry.llm.common import documents_of, free_name, write_once
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -76,40 +79,42 @@ def base_columns(docs: DataFrame, rules: LineRules = LineRules(), text_col: str
     """All columns plus the base figures ``_n_words`` ... ``_n_repeat_words`` and ``_base_failed``."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    out = docs.withColumn("_ws", words(text)).withColumn("_n_words", F.size("_ws").cast("long"))
+    ws, places = free_name(docs.columns, "_ws"), free_name(docs.columns, "_places")
+    out = docs.withColumn(ws, words(text)).withColumn("_n_words", F.size(f"`{ws}`").cast("long"))
     # a text of fewer than three words has a single window: nothing repeats
-    out = out.withColumn("_places", window_places(F.col("_ws")))
+    out = out.withColumn(places, window_places(F.col(f"`{ws}`")))
     # computed once: a later filter on the verdict must not copy these expressions below the split
-    out = with_once(out, {"_n_repeat_words": repeat_words(F.col("_places"))})
+    out = with_once(out, {"_n_repeat_words": repeat_words(F.col(f"`{places}`"))})
     out = out.withColumns({
         "_word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
         "_n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "_n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
     })
     failed = (F.col("_n_words") < rules.min_words) | (100 * F.col("_n_repeat_words") > rules.max_repeat_percent * F.col("_n_words"))
-    return out.withColumn("_base_failed", failed).drop("_ws", "_places")
+    return out.withColumn("_base_failed", failed).drop(ws, places)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, rules: LineRules) -> DataFrame:
-    """One row per line long enough: host, document, text hash, place, line hash, its words."""
+def line_table(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text",
+               host_col: str = "source") -> DataFrame:
+    """Host, document, text hash, place, line hash and words of every line, written once for all that reads lines.
+
+    The hash is null where the line is too short; of those only a text's first line stays, so that every text has a row.
+    """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = docs.select(F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{id_col}`").cast("long").alias("doc"),
                        F.xxhash64(text).alias("same"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
     line = base.select("host", "doc", "same", "place", normalised(F.col("line")).alias("norm"), F.size(words(F.col("line"))).alias("n"))
-    line = line.where(F.length("norm") >= rules.min_line_chars)
-    return line.select("host", "doc", "same", "place", F.xxhash64("norm").alias("line"), "n")
+    line = line.where((F.length("norm") >= rules.min_line_chars) | (F.col("place") == 0))
+    return write_once(line.select("host", "doc", "same", "place", F.when(F.length("norm") >= rules.min_line_chars, F.xxhash64("norm")).alias("line"), "n"), "lines")
 
 
-def frequent_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text",
-                   host_col: str = "source") -> DataFrame:
-    """``host``, ``line`` (hash), ``n_docs`` and the first document of every line above the limits."""
-    seen = _lines(docs, id_col, text_col, host_col, rules)
+def frequent_lines(lines: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """``host``, ``line`` (hash), ``n_docs`` and the first document of every line of ``line_table`` above the limits."""
+    seen = lines.where("line is not null")
     # two steps of a distinct count, each combined before its shuffle: hot lines arrive as few rows
     texts = seen.groupBy("host", "line", "same").agg(F.min(F.coalesce("doc", F.lit(-(1 << 63)))).alias("first"))
     counts = texts.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first"))
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    hosts = (docs.select(F.col(f"`{host_col}`").cast("string").alias("host"), F.xxhash64(text).alias("same")).distinct()
-             .groupBy("host").agg(F.count("*").alias("host_docs")))
+    hosts = lines.select("host", "same").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     # hosts may be as many as documents, so this is an ordinary join on the host
     found = counts.where(F.col("n_docs") >= rules.min_docs).join(hosts.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h")))
     return found.where(F.col("n_docs") > rules.max_share * F.col("host_docs")).select("host", "line", "n_docs", "first")
@@ -119,29 +124,29 @@ def judge(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id
           host_col: str = "source", with_text: bool = False) -> DataFrame:
     """All rows with the base columns, ``_n_removed_lines``, ``_n_left_words``, ``_kept`` and,
     where asked for, ``_text``: the text without its removed lines."""
-    bad = frequent_lines(docs, rules, id_col, text_col, host_col).withColumnRenamed("host", "_h").withColumnRenamed("line", "_l")
-    seen = _lines(docs, id_col, text_col, host_col, rules)
+    lines = line_table(docs, rules, id_col, text_col, host_col)
+    bad = frequent_lines(lines, rules).withColumnRenamed("host", "_h").withColumnRenamed("line", "_l")
+    own, key, of, same, many, gone_words, found = (free_name(docs.columns, c) for c in ("_id", "_key", "_doc", "_same", "_lines", "_gone", "_bad"))
     doc = F.coalesce(F.col("doc"), F.lit(-(1 << 63)))
-    hits = seen.join(bad, F.col("line").eqNullSafe(F.col("_l")) & F.col("host").eqNullSafe(F.col("_h"))).where(doc != F.col("first"))
+    hits = lines.where("line is not null").join(bad, F.col("line").eqNullSafe(F.col("_l")) & F.col("host").eqNullSafe(F.col("_h"))).where(doc != F.col("first"))
     # a row given twice has each of its lines at the same place: it counts once
-    once = hits.select(doc.alias("_doc"), F.col("same").alias("_same"), "place", "line", "n").distinct()
-    gone = once.groupBy("_doc", "_same").agg(
-        F.count("*").alias("_lines"), F.sum("n").alias("_gone"), F.collect_set("line").alias("_bad"))
+    once = hits.select(doc.alias(of), F.col("same").alias(same), "place", "line", "n").distinct()
+    gone = once.groupBy(of, same).agg(F.count("*").alias(many), F.sum("n").alias(gone_words), F.collect_set("line").alias(found))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = base_columns(docs, rules, text_col).withColumns({
-        "_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))), "_key": F.xxhash64(text)})
+        own: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))), key: F.xxhash64(text)})
     if not with_text:
         base = base.drop(text_col) if text_col in docs.columns else base
-    out = base.join(gone, (F.col("_id") == F.col("_doc")) & (F.col("_key") == F.col("_same")), "left")
-    left = F.greatest(F.col("_n_words") - F.coalesce("_gone", F.lit(0)), F.lit(0))
-    depleted = F.col("_gone").isNotNull() & ((left < rules.min_words) | (left < rules.min_left * F.col("_n_words")))
-    out = out.withColumns({"_n_removed_lines": F.coalesce("_lines", F.lit(0)).cast("long"), "_n_left_words": left,
+    out = base.join(gone, (F.col(own) == F.col(of)) & (F.col(key) == F.col(same)), "left")
+    left = F.greatest(F.col("_n_words") - F.coalesce(F.col(gone_words), F.lit(0)), F.lit(0))
+    depleted = F.col(gone_words).isNotNull() & ((left < rules.min_words) | (left < rules.min_left * F.col("_n_words")))
+    out = out.withColumns({"_n_removed_lines": F.coalesce(F.col(many), F.lit(0)).cast("long"), "_n_left_words": left,
                            "_kept": ~F.col("_base_failed") & ~depleted})
     if with_text:
         kept = F.filter(F.split(text, "\n"), lambda x: ~((F.length(normalised(x)) >= rules.min_line_chars)
-                                                          & F.array_contains(F.col("_bad"), F.xxhash64(normalised(x)))))
-        out = out.withColumn("_text", F.when(F.col("_bad").isNull(), F.col(f"`{text_col}`").cast("string")).otherwise(F.array_join(kept, "\n")))
-    return out.drop("_id", "_key", "_doc", "_same", "_lines", "_gone", "_bad")
+                                                          & F.array_contains(F.col(found), F.xxhash64(normalised(x)))))
+        out = out.withColumn("_text", F.when(F.col(found).isNull(), F.col(f"`{text_col}`").cast("string")).otherwise(F.array_join(kept, "\n")))
+    return out.drop(own, key, of, same, many, gone_words, found)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
