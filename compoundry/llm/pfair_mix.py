@@ -130,6 +130,9 @@ def _placed(blocks: DataFrame, quota: dict[str | None, int], period: int) -> Dat
                       (turn + F.col("_t")).alias("_slot"))
 
 
+RESULTS = ("_block", "_release", "_deadline", "_slot", "_within")
+
+
 def _running_words(rows: DataFrame) -> DataFrame:
     """``_before``: words of the same source before each row, by (id, text hash).
 
@@ -169,8 +172,12 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_w
     placed = placed.withColumn("_within", F.coalesce(F.col("_slot") <= F.lit(-1 if last is None else last), F.lit(False)))
     key = placed.drop("_source", "_words").groupBy("_id", "_tie").agg(*[F.min(c).alias(c) for c in ("_block", "_release", "_deadline", "_slot")],
                                                                       F.min("_within").alias("_within"))
-    rows = docs.withColumns({"__i": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(C.NULL_ID)), "__t": F.xxhash64(text)})
-    return rows.join(key, (F.col("__i") == F.col("_id")) & (F.col("__t") == F.col("_tie"))).drop("__i", "__t", "_id", "_tie")
+    # helper names are new to the input; results take the place of columns named like them
+    ours = [C.free_name(docs.columns, c) for c in ("_i", "_t", "_of", "_same")]
+    rows = docs.withColumns({ours[0]: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(C.NULL_ID)), ours[1]: F.xxhash64(text)})
+    rows = rows.drop(*[c for c in RESULTS if c not in (id_col, text_col, source_col)])
+    key = key.withColumnsRenamed({"_id": ours[2], "_tie": ours[3]})
+    return rows.join(key, (F.col(ours[0]) == F.col(ours[2])) & (F.col(ours[1]) == F.col(ours[3]))).drop(*ours)
 
 
 def op7_pfair_mix(spark, sf_dir: str) -> DataFrame:

@@ -14,8 +14,11 @@ the windows and one of the texts is all that moves. Equality is that of 64-bit h
 random word values; n windows collide by chance with probability n*n / 2**65.
 
 Defined cases: a null or empty text has no words and stays empty; a text shorter than a window
-loses nothing; a null id counts as smaller than all others; rows that share an id are one
-document given several times, so equal places of theirs are never "earlier" than one another.
+loses nothing; a null id counts as smaller than all others (ids are at least ``-2**62``). Rows that
+share an id and a text are one document given several times, so equal places of theirs are never
+"earlier" than one another; rows that share an id, or have none, but differ in their texts are documents
+of their own, in the order of a hash of the text. A text of any length is held once, by its task. All
+input columns stay, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from compoundry.llm import common as C
@@ -34,39 +37,45 @@ from compoundry.llm import common as C
 FLUSH_WINDOWS = 2_000_000
 
 
-def _packed(part: np.ndarray, hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, sent: np.ndarray) -> pa.RecordBatch:
+def _packed(part: np.ndarray, hashes: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray, sent: np.ndarray) -> pa.RecordBatch:
     """One row per group: hashes as they are; documents as runs and starts as steps, compressed."""
-    order = np.lexsort((start, doc, part))
-    part, hashes, doc, start = part[order], hashes[order], doc[order], start[order]
+    order = np.lexsort((start, tie, doc, part))
+    part, hashes, doc, tie, start = part[order], hashes[order], doc[order], tie[order], start[order]
     rows: dict[str, list] = {"part": [], "hashes": [], "places": []}
     for p, lo, hi in C.pieces(part):
         rows["part"].append(p)
         rows["hashes"].append(hashes[lo:hi].tobytes() if sent[p] else b"")
-        rows["places"].append(_places(doc[lo:hi], start[lo:hi]))
+        rows["places"].append(_places(doc[lo:hi], tie[lo:hi], start[lo:hi]))
     return pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), pa.array(rows["hashes"], pa.binary()),
                                        pa.array(rows["places"], pa.binary())], ["part", "hashes", "places"])
 
 
-def _places(doc: np.ndarray, start: np.ndarray) -> bytes:
-    new = np.concatenate([[True], doc[1:] != doc[:-1]])
-    first = np.flatnonzero(new)
+def _changes(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Where a run of one document begins."""
+    return np.flatnonzero(np.concatenate([[len(doc) > 0], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])])[: len(doc)])
+
+
+def _places(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> bytes:
+    first = _changes(doc, tie)
     steps = np.diff(start, prepend=0)
     steps[first] = start[first]
     ids = doc[first]
-    return C.pack(np.array([len(first), len(doc)], np.int64), np.diff(ids, prepend=0),
+    return C.pack(np.array([len(first), len(doc)], np.int64), np.diff(ids, prepend=0), tie[first],
                   np.diff(np.append(first, len(doc))).astype(np.uint32), steps.astype(np.uint32))
 
 
-def _read_places(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _read_places(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, tie and start of every place."""
     raw = C.unpack(blob)
     runs, n = np.frombuffer(raw, np.int64, 2)
     ids = np.cumsum(np.frombuffer(raw, np.int64, runs, 16))
-    counts = np.frombuffer(raw, np.uint32, runs, 16 + 8 * runs)
-    steps = np.frombuffer(raw, np.uint32, n, 16 + 12 * runs).astype(np.int64)
+    ties = np.frombuffer(raw, np.int32, runs, 16 + 8 * runs)
+    counts = np.frombuffer(raw, np.uint32, runs, 16 + 12 * runs)
+    steps = np.frombuffer(raw, np.uint32, n, 16 + 16 * runs).astype(np.int64)
     total = np.cumsum(steps)
     first = np.cumsum(counts) - counts
     base = np.concatenate([[0], total])[first]
-    return np.repeat(ids, counts), total - np.repeat(base, counts)
+    return np.repeat(ids, counts), np.repeat(ties, counts), total - np.repeat(base, counts)
 
 
 def window_rows(window: int, groups: int, id_name: str, text_name: str):
@@ -75,20 +84,20 @@ def window_rows(window: int, groups: int, id_name: str, text_name: str):
     sent[groups] = False
 
     def flush(kept: list) -> pa.RecordBatch:
-        hashes, doc, start = (np.concatenate(x) for x in zip(*kept, strict=True))
-        order = np.lexsort((start, doc, hashes))
-        hashes, doc, start = hashes[order], doc[order], start[order]
+        hashes, doc, tie, start = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.lexsort((start, tie, doc, hashes))
+        hashes, doc, tie, start = hashes[order], doc[order], tie[order], start[order]
         part = (hashes % np.uint64(groups)).astype(np.int32)
         again = np.zeros(len(hashes), bool)
-        again[1:] = (hashes[1:] == hashes[:-1]) & ((doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
+        again[1:] = (hashes[1:] == hashes[:-1]) & ((doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] != start[:-1]))
         # equal places of one document stay with the first of their hash
         part[again] = groups
-        return _packed(part, hashes, doc, start, sent)
+        return _packed(part, hashes, doc, tie, start, sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
         for batch in batches:
-            ids = C.ids_of(batch.column(id_name))
+            ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in (id_name, "tie"))
             for lo, _, data, offsets in C.text_slices(batch.column(text_name)):
                 words = C.words_of(data, offsets)
                 at = np.flatnonzero(words.row[: 1 - window or None] == words.row[window - 1 :]) if len(words.row) >= window else []
@@ -96,7 +105,7 @@ def window_rows(window: int, groups: int, id_name: str, text_name: str):
                     continue
                 hashes = C.range_hashes(words.hashes(False), at, at + window, C.WORD_BASE)
                 row = words.row[at]
-                kept.append((hashes, ids[lo + row], at - words.first[row]))
+                kept.append((hashes, ids[lo + row], ties[lo + row], at - words.first[row]))
                 size += len(at)
                 if size >= FLUSH_WINDOWS:
                     yield flush(kept)
@@ -114,53 +123,60 @@ def _repeats(groups: int):
                 for blob in batch.column("places"):
                     yield _dealt(*_read_places(blob.as_py()), groups)
             return
-        hashes, docs, starts = [], [], []
+        hashes, places = [], []
         for batch in batches:
             for h, blob in zip(batch.column("hashes"), batch.column("places"), strict=True):
-                doc, start = _read_places(blob.as_py())
+                places.append(_read_places(blob.as_py()))
                 hashes.append(np.frombuffer(h.as_py(), np.uint64))
-                docs.append(doc)
-                starts.append(start)
-        h, d, s = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
-        order = np.lexsort((s, d, h))
-        h, d, s = h[order], d[order], s[order]
+        h = np.concatenate(hashes)
+        d, t, s = (np.concatenate(x) for x in zip(*places, strict=True))
+        order = np.lexsort((s, t, d, h))
+        h, d, t, s = h[order], d[order], t[order], s[order]
         begin = np.concatenate([[True], h[1:] != h[:-1]])
         first = np.maximum.accumulate(np.where(begin, np.arange(len(h)), 0))
-        again = (d != d[first]) | (s != s[first])
-        yield _dealt(d[again], s[again], groups)
+        again = (d != d[first]) | (t != t[first]) | (s != s[first])
+        yield _dealt(d[again], t[again], s[again], groups)
     return run
 
 
-def _dealt(doc: np.ndarray, start: np.ndarray, groups: int) -> pa.RecordBatch:
+def _dealt(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, groups: int) -> pa.RecordBatch:
     """Repeats of all documents of a bucket as one row."""
     bucket = (C.mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
-    order = np.lexsort((start, doc, bucket))
-    bucket, doc, start = bucket[order], doc[order], start[order]
+    order = np.lexsort((start, tie, doc, bucket))
+    bucket, doc, tie, start = bucket[order], doc[order], tie[order], start[order]
     runs = list(C.pieces(bucket))
     return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in runs], pa.int32()),
-                                       pa.array([_places(doc[lo:hi], start[lo:hi]) for _, lo, hi in runs], pa.binary())], ["bucket", "places"])
+                                       pa.array([_places(doc[lo:hi], tie[lo:hi], start[lo:hi]) for _, lo, hi in runs], pa.binary())], ["bucket", "places"])
 
 
 def _by_document(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """applyInArrow on one bucket: one row per document with the starts of its repeats."""
     got = [_read_places(blob.as_py()) for batch in batches for blob in batch.column("places")]
-    doc, start = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order].astype(np.uint32)
-    runs = list(C.pieces(doc))
-    yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in runs], pa.int64()),
-                                      pa.array([start[lo:hi].tobytes() for _, lo, hi in runs], pa.binary())], ["_doc", "_starts"])
+    doc, tie, start = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.lexsort((start, tie, doc))
+    doc, tie, start = doc[order], tie[order], start[order].astype(np.uint32)
+    first = _changes(doc, tie)
+    yield pa.RecordBatch.from_arrays([
+        pa.array(doc[first]), pa.array(tie[first]),
+        pa.array([start[lo:hi].tobytes() for lo, hi in zip(first, np.append(first[1:], len(doc)), strict=True)], pa.binary())], ["_doc", "_tie", "_starts"])
+
+
+def document_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Order of a row among all documents, and a hash of its text that tells rows of one id apart."""
+    ident, same = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    return F.coalesce(ident, F.lit(C.NULL_ID) + F.shiftrightunsigned(same, 2)), same.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
 def repeated_windows(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_doc`` and ``_starts`` (packed uint32) of windows that also start earlier."""
+    """``_doc``, ``_tie`` (see ``document_key``) and ``_starts`` (packed uint32) of windows that also start earlier."""
     groups = C.groups_for(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    key, tie = document_key(id_col, text_col)
+    rows = docs.select(key.alias("id"), tie.alias("tie"), F.col(f"`{text_col}`").cast("string").alias("text"))
     packed = rows.mapInArrow(window_rows(window, groups, "id", "text"), "part int, hashes binary, places binary")
     # known repeats are dealt out evenly: their key carries a salt
     packed = packed.withColumn("salt", F.when(F.col("part") == groups, F.pmod(F.xxhash64("places"), F.lit(groups))).otherwise(F.lit(0)))
     found = packed.groupBy("part", "salt").applyInArrow(_repeats(groups), "bucket int, places binary")
-    return found.groupBy("bucket").applyInArrow(_by_document, "_doc long, _starts binary")
+    return found.groupBy("bucket").applyInArrow(_by_document, "_doc long, _tie int, _starts binary")
 
 
 def _cut(window: int, names: list[str], text_at: str, digest: bool):
@@ -209,11 +225,11 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "do
     if window < 1:
         raise ValueError("a window has at least one word")
     found = repeated_windows(docs, window, id_col, text_col)
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(C.NULL_ID))
+    key, tie = document_key(id_col, text_col)
     keep = [id_col] if digest else docs.columns
     side = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)],
-                       F.col(f"`{text_col}`").cast("string").alias("_text"), key.alias("_doc"))
-    joined = side.join(found, "_doc", "left").drop("_doc")
+                       F.col(f"`{text_col}`").cast("string").alias("_text"), key.alias("_doc"), tie.alias("_tie"))
+    joined = side.join(found, ["_doc", "_tie"], "left").drop("_doc", "_tie")
     names = [f"c{i}" for i in range(len(keep))]
     schema = ", ".join(f"{n} {t}" for n, t in side.select(*names).dtypes)
     out = joined.mapInArrow(_cut(window, names, "_text", digest),

@@ -245,3 +245,48 @@ def test_frontier_extends_partial_witnesses():
     root = grown.close()
     assert all(merkle_manifest.folded(d, bytes(w)) == root for d, w in zip(digests, grown.witnesses, strict=True))
     assert merkle_manifest.folded(digests[1], bytes(grown.witnesses[0])) != root
+
+
+def test_rows_that_share_an_id_keep_their_own_text(spark):
+    from compoundry.llm import substring_words
+
+    shared = " ".join(f"s{i}" for i in range(25))
+    rows = [(None, " ".join(f"a{i}" for i in range(20)) + " " + shared), (None, shared + " " + " ".join(f"b{i}" for i in range(20))),
+            (3, "c0 c1 " + shared), (3, " ".join(f"d{i}" for i in range(30))), (3, " ".join(f"d{i}" for i in range(30)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = substring_words.remove_repeated_windows(df, 10).collect()
+    removed = sorted((r["_n_removed"] for r in out))
+    # one of the two null rows keeps the passage, whole; the other and the row with an id lose it; equal rows are one
+    assert removed == [0, 0, 0, 25, 25]
+    assert all(r["_kept"].startswith("a0 ") or r["_kept"].endswith("b19") for r in out if r["doc_id"] is None)
+    assert [r["_kept"] for r in out if r["text"].startswith("c0")] == ["c0 c1"]
+
+
+def test_clashing_extra_columns(spark):
+    import corpus_pipeline
+    from compoundry.llm import pfair_mix, quality_rules
+
+    names = ["_id", "_key", "_doc", "_same", "_block", "_kept", "_text", "_ws", "host", "doc", "line", "n", "col1"]
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en", "s", 300) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names])
+    judged = quality_rules.judge(df).collect()
+    assert {r["_id"] for r in judged} == {f"_id{i}" for i in range(6)} and {r["_ws"] for r in judged} == {f"_ws{i}" for i in range(6)}
+    mixed = pfair_mix.mix(df).collect()
+    assert {r["_id"] for r in mixed} == {f"_id{i}" for i in range(6)} and all(isinstance(r["_block"], int) for r in mixed)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, df, "")
+        assert got.columns == df.columns, name
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in got.collect() for c in names) and got.count() == 6
+
+
+def test_scratch_tables_go_and_those_that_outlive_stay(spark):
+    from compoundry.llm import common
+
+    with common.scratch(spark):
+        gone = common.write_once(spark.range(3), "gone")
+        kept = common.write_once(gone.where("id > 0"), "kept", outlive=True)
+    assert kept.count() == 2
+    with pytest.raises(Exception):
+        spark.read.parquet(gone.inputFiles()[0]).count()
+    assert common.free_name(["_a", "__A"], "_a") == "___a" and common.free_name([], "x") == "x"
