@@ -24,42 +24,59 @@ from compoundry.plans.registry import ship_package
 SHINGLE, SIMILAR, PASSAGE, TEMPER = 5, 80, 50, 0.7
 
 
-def _with_text(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
-    """The columns of ``docs`` with another text and its length."""
+def _shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under names that no operator uses, and those names: extra columns cannot clash."""
+    names = {c: f"col{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _with_text(rows: DataFrame, names: dict[str, str], text: str) -> DataFrame:
+    """The columns of the documents with another text and its length."""
     new = {"text": F.col(text), "n_chars": F.length(F.coalesce(F.col(text), F.lit(""))).cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[new.get(c, F.col(n)).alias(c) for c, n in names.items()])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without lines that their whole source shares."""
-    return _with_text(docs, judge(docs, with_text=True).where("_kept"), "_text")
+    rows, at = _shielded(docs)
+    judged = judge(rows, id_col=at["doc_id"], text_col=at["text"], host_col=at["source"], with_text=True)
+    return _with_text(judged.where("_kept"), at, "_text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id, once.
 
-    Every row is judged by its own text, whether or not others share its id: it gets a number in
-    the order of (id, text hash), null ids first. Rows with the same id and text are one document.
+    Every row is judged by its own text, whether or not others share its id: rows of the same id and
+    text are one document, whose number is a hash of both. Of a group the smallest id stays, null
+    ids first, then the smallest number. Only these numbers outlive the search; the texts move once, for
+    the rows that stay.
     """
-    order = ["_id", "_tie", "source", "lang"]
-    numbered = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)), "_tie": F.xxhash64("text")})
-    numbered = numbered.repartitionByRange(C.groups_for(spark, 1), *order).sortWithinPartitions(*order)
-    numbered = C.write_once(numbered.withColumn("_doc", F.monotonically_increasing_id()), "numbered")
-    kept = near_duplicates(numbered, SHINGLE, SIMILAR, id_col="_doc").where("_doc = _component").select("_doc")
-    return numbered.join(kept, "_doc", "left_semi").dropDuplicates(["_id", "text"]).select(*docs.columns)
+    rows, at = _shielded(docs)
+    number = F.xxhash64(at["doc_id"], at["text"])
+    with C.scratch(spark):
+        numbered = rows.select(number.alias("doc"), F.col(at["doc_id"]).cast("long").alias("id"), F.col(at["text"]).alias("text"))
+        near = near_duplicates(numbered, SHINGLE, SIMILAR, id_col="doc")
+        ids = numbered.select("doc", F.coalesce("id", F.lit(C.NULL_ID)).alias("id")).distinct()
+        first = near.join(ids, F.col("_doc") == F.col("doc")).groupBy("_component").agg(F.min(F.struct("id", "doc")).alias("first"))
+        kept = C.write_once(first.select(F.col("first.doc").alias("_number")), "kept", outlive=True)
+    out = rows.withColumn("_number", number).join(kept, "_number", "left_semi").dropDuplicates(["_number"])
+    return out.select(*[F.col(n).alias(c) for c, n in at.items()])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every passage stays where it stands first; documents of which nothing is left go."""
-    cut = remove_repeated_windows(docs, PASSAGE)
-    return _with_text(docs, cut.where("_n_removed < _n_words or _n_words = 0"), "_kept")
+    rows, at = _shielded(docs)
+    cut = remove_repeated_windows(rows, PASSAGE, id_col=at["doc_id"], text_col=at["text"])
+    return _with_text(cut.where("_n_removed < _n_words or _n_words = 0"), at, "_kept")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: its files hold the sources in their target weights."""
-    placed = mix(docs, temper=TEMPER)
-    order = [F.col("_slot").asc_nulls_last(), F.col("doc_id").asc_nulls_first()]
-    return placed.repartitionByRange(C.groups_for(spark, 1), *order).sortWithinPartitions(*order).select(*docs.columns)
+    rows, at = _shielded(docs)
+    placed = mix(rows, temper=TEMPER, id_col=at["doc_id"], text_col=at["text"], source_col=at["source"])
+    order = [F.col("_slot").asc_nulls_last(), F.col(at["doc_id"]).asc_nulls_first()]
+    placed = placed.repartitionByRange(C.groups_for(spark, 1), *order).sortWithinPartitions(*order)
+    return placed.select(*[F.col(n).alias(c) for c, n in at.items()])
 
 
 def _position(docs: DataFrame) -> Column:
