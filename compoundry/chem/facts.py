@@ -100,6 +100,78 @@ def facts(df: DataFrame, smiles: str = "smiles", mol: str = "mol") -> DataFrame:
     return df.withColumns({k: F.when(ok, v) for k, v in cols.items()}).withColumns({"ok_parse": ok, "parse_error": F.col(f"{mol}.error")})
 
 
+# Polar surface by atom environment (published fragment contributions). Element in lower case where
+# aromatic, charge, hydrogens, bonds to heavy atoms in the order - : = #, and 3 for a ring of three.
+POLAR_SURFACE = {
+    "N H0 (---)": 3.24, "N H0 (-=)": 12.36, "N H0 (#)": 23.79, "N H0 (-==)": 11.68, "N H0 (=#)": 13.60, "N H0 (---) 3": 3.01,
+    "N H1 (--)": 12.03, "N H1 (--) 3": 21.94, "N H1 (=)": 23.85, "N H2 (-)": 26.02,
+    "N+ H0 (----)": 0.00, "N+ H0 (--=)": 3.01, "N+ H0 (-#)": 4.36, "N+ H1 (---)": 4.44, "N+ H1 (-=)": 13.97,
+    "N+ H2 (--)": 16.61, "N+ H2 (=)": 25.59, "N+ H3 (-)": 27.64,
+    "n H0 (::)": 12.89, "n H0 (:::)": 4.41, "n H0 (-::)": 4.93, "n H0 (::=)": 8.39, "n H1 (::)": 15.79,
+    "n+ H0 (:::)": 4.10, "n+ H0 (-::)": 3.88, "n+ H1 (::)": 14.14,
+    "O H0 (--)": 9.23, "O H0 (--) 3": 12.53, "O H0 (=)": 17.07, "O H1 (-)": 20.23, "O- H0 (-)": 23.06, "o H0 (::)": 13.14,
+}
+# For other environments, base, less this for each neighbour, more this for each hydrogen; never below zero.
+POLAR_DEFAULTS = {"N": (30.5, 8.2, 1.5), "O": (28.5, 8.6, 1.5)}
+
+
+def atom_environments(mol: str = "mol") -> Column:
+    """One environment key per atom: element, charge, hydrogens, bond multiset, three-ring flag."""
+    atoms, bonds = F.col(f"{mol}.atoms"), F.col(f"{mol}.bonds")
+    signs = F.create_map(*[F.lit(x) for pair in {1.0: "-", 1.5: ":", 2.0: "=", 3.0: "#"}.items() for x in pair])
+    order = F.create_map(*[F.lit(x) for pair in {1.0: 0, 1.5: 1, 2.0: 2, 3.0: 3}.items() for x in pair])
+    touches = lambda b, i: (b["a"] == i) | (b["b"] == i)
+    other = lambda b, i: F.when(b["a"] == i, b["b"]).otherwise(b["a"])
+
+    def key(a: Column, i: Column) -> Column:
+        mine = F.filter(bonds, lambda b: touches(b, i))
+        sorted_ = F.transform(F.array_sort(F.transform(mine, lambda b: F.struct(F.try_element_at(order, b["ord"]).alias("o"), b["ord"].alias("ord")))),
+                              lambda b: F.coalesce(F.try_element_at(signs, b["ord"]), F.lit("?")))
+        near = F.transform(mine, lambda b: other(b, i))
+        three = F.exists(bonds, lambda b: ~touches(b, i) & F.array_contains(near, b["a"]) & F.array_contains(near, b["b"]))
+        charge = F.when(a["chg"] == 0, "").when(a["chg"] == 1, "+").when(a["chg"] == -1, "-").otherwise(a["chg"].cast("string"))
+        return F.concat(F.when(a["arom"], F.lower(a["el"])).otherwise(a["el"]), charge, F.lit(" H"), a["h"].cast("string"),
+                        F.lit(" ("), F.array_join(sorted_, ""), F.lit(")"), F.when(three, " 3").otherwise(""))
+
+    return F.transform(atoms, key)
+
+
+def with_polar_surface(df: DataFrame, mol: str = "mol", name: str = "tpsa", issue: str = "tpsa_default_environments") -> DataFrame:
+    """Topological polar surface of nitrogen and oxygen, and the environments that took the default rule.
+
+    All inside the row: the table is a fixed one. Null where the structure is not readable.
+    """
+    atoms, bonds = F.col(f"{mol}.atoms"), F.col(f"{mol}.bonds")
+    table = F.create_map(*[F.lit(x) for pair in POLAR_SURFACE.items() for x in pair])
+    out = with_once(df, {"_env": F.transform(F.arrays_zip(atoms.alias("a"), atom_environments(mol).alias("k")),
+                                             lambda z, i: F.struct(z["a"]["el"].alias("el"), z["a"]["h"].alias("h"), i.alias("i"), z["k"].alias("k")))})
+    polar = F.filter("_env", lambda e: e["el"].isin(*POLAR_DEFAULTS))
+
+    def default(e: Column) -> Column:
+        n = F.size(F.filter(bonds, lambda b: (b["a"] == e["i"]) | (b["b"] == e["i"])))
+        rule = lambda r: F.greatest(F.lit(r[0]) - n * r[1] + e["h"] * r[2], F.lit(0.0))
+        return F.when(e["el"] == "N", rule(POLAR_DEFAULTS["N"])).otherwise(rule(POLAR_DEFAULTS["O"]))
+
+    ok = F.col(f"{mol}.ok")
+    value = _sum(polar, lambda e: F.coalesce(F.try_element_at(table, e["k"]), default(e)))
+    unlisted = F.array_sort(F.array_distinct(F.filter(F.transform(polar, lambda e: e["k"]), lambda k: F.try_element_at(table, k).isNull())))
+    return out.withColumns({name: F.when(ok, value), issue: F.when(ok, unlisted)}).drop("_env")
+
+
+def contribution_sums(df: DataFrame, ident: str, table: DataFrame, mol: str = "mol") -> DataFrame:
+    """ident, value, unknown: a supplied table (environment, contribution) summed per readable structure.
+
+    An additive property such as logP: atoms meet the table by their environment key, counted per structure
+    first; any environment the table lacks makes the value null and is listed in ``unknown``.
+    """
+    rows = df.where(F.col(f"{mol}.ok")).select(F.col(ident).alias("_id"), F.explode(atom_environments(mol)).alias("environment"))
+    counts = rows.groupBy("_id", "environment").agg(F.count(F.lit(1)).alias("n"))
+    known = counts.join(table.select("environment", F.col("contribution").cast("double").alias("c")).dropDuplicates(["environment"]), "environment", "left")
+    return known.groupBy("_id").agg(
+        F.when(F.count_if(F.col("c").isNull()) == 0, F.sum(F.col("n") * F.col("c"))).alias("value"),
+        F.array_sort(F.collect_set(F.when(F.col("c").isNull(), F.col("environment")))).alias("unknown")).withColumnRenamed("_id", ident)
+
+
 def formula(atoms: Column) -> Column:
     """Elements with counts: C, H, then by name."""
     hydrogens = _sum(atoms, lambda a: a["h"].cast("double")).cast("int") + _count(atoms, lambda a: a["el"] == "H")

@@ -8,6 +8,10 @@ compare the two sides inside the task with one matrix product; only results leav
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +38,37 @@ def block_keys(sizes: DataFrame, cell: str) -> DataFrame:
 
 def key_text(cell: Column, sub: Column) -> Column:
     return F.concat_ws(":", cell.cast("string"), sub.cast("string"))
+
+
+def meet(left: DataFrame, right: DataFrame | None, fields: list[str], reach: Callable[[Column], Column],
+         compare: Callable[..., pd.DataFrame], schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Compare rows of cells that can reach each other, block against block.
+
+    Both sides have ``cell`` (whole number, a bounded number of values), ``id`` and ``fields`` (number arrays of one
+    length). ``reach`` lists the cells of the right side that a left cell meets; for a self-join (``right=None``)
+    only cells from its own on. Which block meets which is decided on the directories, a row per block.
+    ``compare(cell_a, ids_a, fields_a, ids_b, fields_b, same)`` returns the hits, with one matrix per field;
+    ``same`` marks a block that meets itself.
+    """
+    self_join = right is None
+    rhs = left if self_join else right
+    l_sizes = cell_sizes(left, "cell", block_rows)
+    r_sizes = l_sizes if self_join else cell_sizes(rhs, "cell", block_rows)
+    side = lambda d, s: d.toDF(*[f"{c}_{s}" for c in d.columns])
+    # numbers travel as flat arrays, which arrive in the task without an object per row
+    flat = lambda d, sizes: pack(d, "cell", "id", fields, sizes).select("cell", "sub", F.col("items.id").alias("ids"), *[
+        F.flatten(f"items.{f}").alias(f) for f in fields])
+    todo = side(block_keys(l_sizes, "cell"), "a").withColumn("cell_b", F.explode(reach(F.col("cell_a"))))
+    todo = todo.join(side(block_keys(r_sizes, "cell"), "b"), "cell_b")
+    if self_join:
+        todo = todo.where((F.col("cell_a") < F.col("cell_b")) | (F.col("sub_a") <= F.col("sub_b")))
+    todo = todo.join(side(flat(left, l_sizes), "a"), ["cell_a", "sub_a"]).join(side(flat(rhs, r_sizes), "b"), ["cell_b", "sub_b"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                same = self_join and row.cell_a == row.cell_b and row.sub_a == row.sub_b
+                mine, theirs = ([np.asarray(getattr(row, f"{f}_{s}")).reshape(len(getattr(row, f"ids_{s}")), -1) for f in fields] for s in "ab")
+                yield compare(row.cell_a, np.asarray(row.ids_a), mine, np.asarray(row.ids_b), theirs, same)
+
+    return todo.mapInPandas(run, schema)

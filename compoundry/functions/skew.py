@@ -44,9 +44,11 @@ def hot_key_table(counts: DataFrame, keys: list[str], count_col: str,
 
 
 def join_stats(rows: DataFrame, stats: DataFrame, keys: list[str], count_col: str,
-               hot_rows: int = CHUNK_ROWS, salts: int = SALTS, how: str = "left") -> DataFrame:
+               hot_rows: int = CHUNK_ROWS, salts: int = SALTS, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
     """Attach one-row-per-key ``stats`` to ``rows`` without gathering a hot key.
 
+    ``counts`` names a written table with ``keys`` and ``count_col`` where ``stats`` itself is dear to compute.
+
     Without a hot key this is a plain join.  Rows of a hot key are dealt out over
     ``salts`` sub-keys and the single stats row of that key is copied to each.
     """
@@ -57,7 +59,7 @@ def join_stats(rows: DataFrame, stats: DataFrame, keys: list[str], count_col: st
     def on(left: DataFrame, right: DataFrame, extra: list[str] = []) -> Column:
         return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys + extra])
 
-    hot = hot_key_table(stats, keys, count_col, hot_rows)
+    hot = hot_key_table(stats if counts is None else counts, keys, count_col, hot_rows)
     if hot is None:
         right = renamed(stats)
         return rows.join(right, on(rows, right), how).drop(*[f"_r_{k}" for k in keys])
@@ -149,6 +151,40 @@ def with_global_rank(df: DataFrame, value: str, tie: str, rank_col: str,
     return ranked.drop("_gr_b", "_gr_v", "_gr_c", "_gr_boff", "_gr_coff")
 
 
+def with_range_rank(df: DataFrame, order: list, name: str) -> DataFrame:
+    """1-based position over the whole table by any sort columns: a row number per range plus the rows before it.
+
+    No tie column is needed and no window holds rows; equal rows share out their positions.
+    """
+    from compoundry.session import reliable_checkpoint
+
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_rr_id", F.monotonically_increasing_id())
+    dealt = reliable_checkpoint(dealt).withColumn("_rr_part", F.shiftright("_rr_id", 33))
+    per = dealt.groupBy("_rr_part").agg(F.min("_rr_id").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    # As many rows as the exchange has ranges: the only single-partition window.
+    before = F.sum("_n").over(Window.orderBy("_rr_part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = per.select("_rr_part", (F.coalesce(before, F.lit(0)) - F.col("_low") + 1).alias("_rr_shift"))
+    return dealt.join(F.broadcast(shift), "_rr_part").withColumn(name, F.col("_rr_id") + F.col("_rr_shift")).drop("_rr_id", "_rr_part", "_rr_shift")
+
+
+def running_counts(hist: DataFrame, group: str, value: str, count: str, name: str) -> DataFrame:
+    """``name``: rows of the same group below each value of a (group, value, count) table; null values come last.
+
+    One range exchange by (group, value) serves all groups; a window holds the values of one range.
+    """
+    from compoundry.session import reliable_checkpoint
+
+    order = [F.col(group), F.col(value).asc_nulls_last()]
+    dealt = reliable_checkpoint(hist.repartitionByRange(*order).withColumn("_rc_part", F.spark_partition_id()))
+    per = dealt.groupBy(group, "_rc_part").agg(F.sum(count).alias("_rc_n"))
+    before = Window.partitionBy(group).orderBy("_rc_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(F.col(group).alias("_rc_g"), F.col("_rc_part").alias("_rc_p"), F.coalesce(F.sum("_rc_n").over(before), F.lit(0)).alias("_rc_off"))
+    inside = Window.partitionBy(group, "_rc_part").orderBy(order[1]).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn("_rc_in", F.coalesce(F.sum(count).over(inside), F.lit(0)))
+    out = out.join(offsets, out[group].eqNullSafe(F.col("_rc_g")) & (F.col("_rc_part") == F.col("_rc_p")))
+    return out.withColumn(name, F.col("_rc_off") + F.col("_rc_in")).drop("_rc_part", "_rc_in", "_rc_g", "_rc_p", "_rc_off")
+
+
 def hottest_group(df: DataFrame, keys: list[str]) -> int:
     """Size of the largest group (one reduced job)."""
     row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")).first()

@@ -1,13 +1,21 @@
-"""Distance tables between rows of numeric vectors."""
+"""Distance tables between rows of numeric vectors.
+
+``distance_pairs`` is the full matrix, a product by definition. ``within`` returns the pairs up to a
+threshold (or the nearest few of them) from a pivot index: in a metric space the distances of two
+rows to a pivot differ by no more than their own distance, so rows are dealt into shells around
+one pivot, a shell meets its neighbours only, and the other pivots rule out pairs before a
+distance is computed. Nothing but hits leaves a task.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from compoundry.functions import linalg
+from compoundry.functions import blocks, linalg
+from compoundry.session import reliable_checkpoint
 
 METRICS = {
     "euclidean": lambda d, a, b: np.sqrt((d ** 2).sum(-1)),
@@ -61,6 +69,135 @@ def distance_pairs(left: DataFrame, right: DataFrame | None, ident: str, x: str,
     return both.mapInPandas(run, "i bigint, j bigint, " + ", ".join(f"{m} double" for m in metrics))
 
 
+#: Metrics of the pivot index: how rows are prepared, the metric of the prepared rows, and how a
+#: threshold and a distance translate (in, out). Angles are Euclidean distances of unit vectors.
+_same = (lambda t: t, lambda d: d)
+_angle = (lambda t: float(np.sqrt(2 * t)), lambda d: d * d / 2)
+PIVOT_METRICS = {
+    "euclidean": (None, "euclidean", *_same), "cityblock": (None, "cityblock", *_same), "chebyshev": (None, "chebyshev", *_same),
+    "hamming": (None, "hamming", *_same), "jaccard": (None, "jaccard", *_same),
+    "cosine": ("unit", "euclidean", *_angle), "pearson": ("centred", "euclidean", *_angle), "spearman": ("ranked", "euclidean", *_angle),
+}
+
+
+def _prepared(x: np.ndarray, how: str | None) -> np.ndarray:
+    """Rows as the metric sees them; a row without direction becomes NaN and meets nothing."""
+    if how is None:
+        return x
+    if how == "ranked":
+        x = pd.DataFrame(x).rank(axis=1).to_numpy()
+    if how in ("centred", "ranked"):
+        x = x - x.mean(1, keepdims=True)
+    norm = np.sqrt((x ** 2).sum(1, keepdims=True))
+    return np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 1e-12)
+
+
+def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows that stand beside one another (broadcast over leading axes)."""
+    if metric == "euclidean":
+        return np.sqrt(((a - b) ** 2).sum(-1))
+    if metric == "cityblock":
+        return np.abs(a - b).sum(-1)
+    if metric == "chebyshev":
+        return np.abs(a - b).max(-1)
+    if metric == "hamming":
+        return (a != b).mean(-1)
+    either = ((a != 0) | (b != 0)).sum(-1)
+    both = ((a != 0) & (b != 0)).sum(-1)
+    return np.where(either > 0, 1 - both / np.maximum(either, 1), 0.0)
+
+
+PIVOTS, PIVOT_SAMPLE, SHELLS = 4, 256, 4096
+
+
+def _pivots(rows: DataFrame, metric: str) -> np.ndarray:
+    """Rows far from one another, taken from a sample of ``PIVOT_SAMPLE`` rows; any choice gives the same result."""
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).collect()
+    x = np.array([r["x"] for r in sample], float)
+    chosen, least = [0], _distances(x, x[0], metric)
+    while len(chosen) < min(PIVOTS, len(x)):
+        chosen.append(int(least.argmax()))
+        least = np.minimum(least, _distances(x, x[chosen[-1]], metric))
+    return x[chosen]
+
+
+def within(left: DataFrame, right: DataFrame | None, ident: str, x: str, threshold: float, metric: str = "euclidean",
+           nearest: int | None = None) -> DataFrame:
+    """i, j, distance of all pairs with distance <= ``threshold``, exact; ``right=None`` gives i < j within one table.
+
+    With ``nearest`` every i keeps its nearest so many (ties: smaller j); within one table pairs are then read both
+    ways. Metrics: see ``PIVOT_METRICS``; jaccard compares the places that are not zero, the angular ones (1 - r)
+    take thresholds below 1. Vectors have one length; rows that are null or hold null, NaN or infinity, and for angular
+    metrics rows without a direction, meet nothing. Empty tables give no pair.
+    """
+    how, inner, into, out_of = PIVOT_METRICS[metric]
+    if threshold < 0 or (how and threshold >= 1):
+        raise ValueError("a threshold is not negative, and below 1 for angular metrics")
+    self_join = right is None
+    limit = into(threshold)
+
+    @F.pandas_udf("array<double>")
+    def prepare(v: pd.Series) -> pd.Series:
+        good = [a is not None and len(a) > 0 and np.isfinite(np.asarray(a, float)).all() for a in v]
+        done = [None] * len(v)
+        if any(good):
+            made = _prepared(np.array([np.asarray(a, float) for a, g in zip(v, good, strict=True) if g]), how)
+            for i, row in zip(np.flatnonzero(good), made, strict=True):
+                done[i] = row if np.isfinite(row).all() else None
+        return pd.Series(done, dtype=object)
+
+    ready = lambda d: d.select(F.col(ident).cast("bigint").alias("id"), prepare(F.col(x)).alias("x")).where(F.col("x").isNotNull())
+    schema = "i bigint, j bigint, distance double"
+    lhs = reliable_checkpoint(ready(left))
+    rhs = lhs if self_join else reliable_checkpoint(ready(right))
+    if lhs.isEmpty() or rhs.isEmpty():
+        return left.sparkSession.createDataFrame([], schema)
+    pivots = _pivots(lhs, inner)
+
+    @F.pandas_udf("array<double>")
+    def to_pivots(v: pd.Series) -> pd.Series:
+        rows = np.stack(v.to_numpy())
+        return pd.Series(list(_distances(rows[:, None, :], pivots[None, :, :], inner)))
+
+    def shelled(d: DataFrame, width: float) -> DataFrame:
+        return d.withColumn("p", to_pivots("x")).select("id", "x", "p", F.floor(F.col("p")[0] / F.lit(width)).alias("cell"))
+
+    far = lhs.select(to_pivots("x")[0].alias("d")).agg(F.max("d")).first()[0] if self_join else max(
+        d.select(to_pivots("x")[0].alias("d")).agg(F.max("d")).first()[0] for d in (lhs, rhs))
+    # a shell is at least as thick as the threshold; their number is bounded
+    width = max(limit * (1 + 1e-9), far / SHELLS, 1e-12)
+    slack = limit + 1e-9 * (1 + far)
+
+    def compare(_: int, ids_a: np.ndarray, a: list, ids_b: np.ndarray, b: list, same: bool) -> pd.DataFrame:
+        found = []
+        for lo in range(0, len(ids_a), 256):
+            part = slice(lo, lo + 256)
+            near = np.ones((len(ids_a[part]), len(ids_b)), bool)
+            for k in range(len(pivots)):
+                near &= np.abs(a[1][part, k][:, None] - b[1][:, k][None, :]) <= slack
+            if same:
+                near &= ids_a[part][:, None] < ids_b[None, :]
+            i, j = np.nonzero(near)
+            for at in range(0, len(i), 65_536):
+                m, n = i[at : at + 65_536] + lo, j[at : at + 65_536]
+                d = out_of(_distances(a[0][m], b[0][n], inner))
+                hit = d <= threshold + 1e-12
+                found.append((ids_a[m[hit]], ids_b[n[hit]], d[hit]))
+        first, second, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
+        if self_join:
+            first, second = np.minimum(first, second), np.maximum(first, second)
+        return pd.DataFrame({"i": first.astype(np.int64), "j": second.astype(np.int64), "distance": d})
+
+    reach = lambda cell: F.sequence(cell if self_join else F.greatest(cell - 1, F.lit(0)), cell + 1)
+    pairs = blocks.meet(shelled(lhs, width), None if self_join else shelled(rhs, width), ["x", "p"], reach, compare, schema)
+    if nearest is None:
+        return pairs
+    if self_join:
+        pairs = pairs.select(F.inline(F.array(F.struct("i", "j", "distance"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "distance"))))
+    order = Window.partitionBy("i").orderBy("distance", "j")
+    return pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= int(nearest)).drop("_r")
+
+
 def column_distances(df: DataFrame, cols: list[str], absolute: bool = False) -> DataFrame:
     """1 - r (or 1 - |r|) between columns, long form."""
     r = linalg.moments(df, cols).corr

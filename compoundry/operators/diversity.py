@@ -62,44 +62,72 @@ def butina_selection(clusters: DataFrame, n_clusters: int = 10) -> DataFrame:
     return heads.orderBy(F.desc("cluster_size"), "_o").limit(max(1, n_clusters)).select("cluster", "cluster_size")
 
 
-def maxmin_pick(df: DataFrame, words: str, ident: str, n_select: int, seed_id=None, every: int = 8) -> DataFrame:
-    """ident, rank: each next row is the one farthest from all rows picked so far.
+BATCH = 1024
 
-    One narrow pass and one global maximum per pick (ties: smallest id); the running
-    distance is written down every ``every`` picks so that plans stay short.  Copies
-    never matter before distinct rows run out, so the passes run over classes.
+
+def _bit_rows(words: list) -> np.ndarray:
+    return np.unpackbits(np.array(words, dtype=np.int64).view(np.uint8), axis=1).astype(np.float64)
+
+
+def _tanimoto_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    both = a @ b.T
+    total = a.sum(1)[:, None] + b.sum(1)[None, :] - both
+    return 1.0 - np.divide(both, total, out=np.zeros_like(both), where=total > 0)
+
+
+def maxmin_pick(df: DataFrame, words: str, ident: str, n_select: int, seed_id=None, batch: int = BATCH) -> DataFrame:
+    """ident, rank: each next row is the one farthest from all rows picked so far (ties: smallest id).
+
+    Every class keeps its distance to the picks. A round brings the ``batch`` farthest classes to the driver and
+    picks among them: distances only shrink, so a candidate that still stands before the last one of the batch, by
+    (distance, id) as it was, stands before every class left behind, and the order is exact. Then one
+    pass over the classes takes in all picks of the round. Copies never matter before distinct rows run
+    out, so the passes run over classes.
     """
     classes = similarity.fingerprint_classes(df, words, ident)
-    first = classes.where(F.col("n_on") >= 0).agg(F.min("class_id").alias("i")).first()["i"]
-    start = first if seed_id is None else seed_id
+    start = classes.agg(F.min("class_id").alias("i")).first()["i"] if seed_id is None else seed_id
     seed_row = df.where(F.col(ident) == start).select(ident, words).first()
     if seed_row is None:
         return df.select(ident).where(F.lit(False)).withColumn("rank", F.lit(0))
-    n_classes = classes.count()
-    state = reliable_checkpoint(classes.select("class_id", words).withColumn("_d", F.lit(float("inf"))))
-    picks = [(seed_row[0],)]
-    current, taken = seed_row[1], {}
-    for step in range(1, min(int(n_select), n_classes)):
-        lit_words = F.array(*[F.lit(int(w)).cast("bigint") for w in current])
-        state = state.withColumn("_d", F.least("_d", 1.0 - similarity.tanimoto(F.col(words), lit_words)))
-        if step % every == 0:
-            state = reliable_checkpoint(state)
-        best = state.where(F.col("_d") > 0).agg(
-            F.min_by(F.struct("class_id", words), F.struct((-F.col("_d")).alias("d"), F.col("class_id"))).alias("b")).first()["b"]
-        if best is None:
+    picks, wanted = [seed_row[0]], min(int(n_select), classes.count())
+    state, fresh = classes.select("class_id", words).withColumn("_d", F.lit(float("inf"))), [list(seed_row[1])]
+
+    def nearer(taken: list):
+        @F.pandas_udf("double")
+        def run(w: pd.Series, d: pd.Series) -> pd.Series:
+            mine, others, best = _bit_rows(w.tolist()), _bit_rows(taken), d.to_numpy(copy=True)
+            for lo in range(0, len(mine), 4096):
+                best[lo : lo + 4096] = np.minimum(best[lo : lo + 4096], _tanimoto_distances(mine[lo : lo + 4096], others).min(1))
+            return pd.Series(best)
+        return run(F.col(words), F.col("_d"))
+
+    while len(picks) < wanted:
+        state = reliable_checkpoint(state.withColumn("_d", nearer(fresh)))
+        top = state.where(F.col("_d") > 0).orderBy(F.desc("_d"), "class_id").limit(max(1, int(batch))).collect()
+        if not top:
             break
-        picks.append((best["class_id"],))
-        current = best[words]
+        ids, d, bits = np.array([r["class_id"] for r in top]), np.array([r["_d"] for r in top]), _bit_rows([r[words] for r in top])
+        whole = len(top) < batch  # nothing is left behind
+        edge = (-d[-1], ids[-1])
+        fresh = []
+        while len(picks) + len(fresh) < wanted:
+            best = np.lexsort((ids, -d))[0]
+            if d[best] <= 0 or not (whole or (-d[best], ids[best]) <= edge):
+                break
+            fresh.append(best)
+            d = np.minimum(d, _tanimoto_distances(bits, bits[best : best + 1])[:, 0])
+            d[best] = 0.0
+        picks += [int(ids[i]) for i in fresh]
+        fresh = [list(top[i][words]) for i in fresh]
     spark = df.sparkSession
-    rows = [(p[0], i + 1) for i, p in enumerate(picks)]
-    chosen = spark.createDataFrame(rows, f"{ident} bigint, rank int")
-    missing = int(n_select) - len(rows)
+    chosen = spark.createDataFrame([(p, i + 1) for i, p in enumerate(picks)], f"{ident} bigint, rank int")
+    missing = int(n_select) - len(picks)
     if missing <= 0:
         return chosen
     # Distinct structures ran out: every other row is at distance 0, smallest ids next.
-    rest = df.select(F.col(ident).cast("bigint").alias(ident)).join(F.broadcast(chosen.select(ident)), ident, "left_anti")
+    rest = df.select(F.col(ident).cast("bigint").alias(ident)).join(chosen.select(ident), ident, "left_anti")
     rest = rest.orderBy(ident).limit(missing)
-    pos = F.row_number().over(Window.orderBy(ident)) + len(rows)
+    pos = F.row_number().over(Window.orderBy(ident)) + len(picks)
     return chosen.unionByName(rest.withColumn("rank", pos.cast("int")))
 
 

@@ -2,8 +2,11 @@
 
 A fingerprint is an array of 64-bit words.  Equal fingerprints are one *class*: a
 third of all rows being copies of one structure costs one comparison, not a third of
-the table squared.  Classes are compared block by block (see `blocks`), restricted to
-bit counts that can reach the threshold: sim >= t needs t * a <= b <= a / t.
+the table squared.  Classes meet by a prefix filter: with the bits ordered from the rarest
+to the most frequent, two classes of similarity >= t share one of their first
+``n - ceil(t * n) + 1`` bits.  A cell is such a bit with a size class (sim >= t needs
+t * a <= b <= a / t, so size classes of ratio 1 / t meet their neighbours only); cells are cut
+into bounded blocks (see `blocks`), a hit counts in the cell of its first common bit alone.
 """
 
 from __future__ import annotations
@@ -84,11 +87,42 @@ def with_class(df: DataFrame, classes: DataFrame, words: str) -> DataFrame:
     return join_stats(df, classes.select(words, "class_id", "n_rows"), [words], "n_rows").drop("n_rows")
 
 
-def _bits(items: list, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.fromiter((i["class_id"] for i in items), dtype=np.int64, count=len(items))
-    words = np.array([i["w"] for i in items], dtype=np.int64).reshape(len(items), n_words)
-    bits = np.unpackbits(words.view(np.uint8), axis=1)
-    return ids, bits.astype(np.float32)
+def on_bits(words: Column) -> Column:
+    """Numbers of the bits that are on."""
+    bits = F.sequence(F.lit(0), F.size(words) * 64 - 1)
+    return F.filter(bits, lambda b: F.getbit(F.element_at(words, F.floor(b / 64).cast("int") + 1), F.pmod(b, F.lit(64))) == 1)
+
+
+def bit_order(*tables: DataFrame) -> list[int]:
+    """Bit numbers from the rarest to the most frequent over the ``bits`` of all tables.
+
+    As many as a fingerprint has bits that occur: a bound that does not grow with the rows.
+    """
+    counts = [t.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("n")) for t in tables]
+    total = counts[0] if len(counts) == 1 else counts[0].unionAll(counts[1]).groupBy("bit").agg(F.sum("n").alias("n"))
+    return [r["bit"] for r in sorted(total.collect(), key=lambda r: (r["n"], r["bit"]))]
+
+
+SIZE_CLASSES = 4096
+
+
+def _prefix_cells(rows: DataFrame, order: list[int], threshold: float) -> DataFrame:
+    """One row per class and prefix bit: cell (rank of the bit, size class), id, words."""
+    places = [0] * (max(order) + 1)
+    for r, bit in enumerate(order):
+        places[bit] = r
+    rank = F.lit(places)
+    ranks = F.array_sort(F.transform("bits", lambda b: F.get(rank, b)))
+    length = F.col("n_on") - F.ceil(F.col("n_on") * threshold - 1e-9) + 1
+    # at a threshold of 1 only equal sizes match: a class for every size
+    grade = F.col("n_on") if threshold >= 0.999 else F.floor(F.log(F.col("n_on").cast("double")) / F.lit(-np.log(threshold)))
+    out = rows.select(F.col("class_id").alias("id"), "w", F.least(grade, F.lit(SIZE_CLASSES - 2)).cast("bigint").alias("grade"),
+                      F.explode(F.slice(ranks, 1, length.cast("int"))).alias("r"))
+    return out.select((F.col("r").cast("bigint") * SIZE_CLASSES + F.col("grade")).alias("cell"), "id", "w")
+
+
+def _unpacked(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(words.astype(np.int64).view(np.uint8), axis=1, bitorder="little")
 
 
 def class_pairs(left: DataFrame, right: DataFrame | None, words: str, threshold: float,
@@ -96,52 +130,62 @@ def class_pairs(left: DataFrame, right: DataFrame | None, words: str, threshold:
     """All class pairs with similarity >= ``threshold`` (> 0), exact.
 
     ``right=None`` is the self-join: each unordered pair once, class_a < class_b.
-    The number of cells is the number of bit counts, so the block directory is small.
     """
     if threshold <= 0:
         raise ValueError("a similarity join needs a positive threshold")
     self_join = right is None
-    lean = lambda d: d.select("class_id", F.col(words).alias("w"), "n_on").where(F.col("n_on") > 0)
+    lean = lambda d: d.select("class_id", F.col(words).alias("w"), "n_on", on_bits(F.col(words)).alias("bits")).where(F.col("n_on") > 0)
     lhs = lean(left)
     rhs = lhs if self_join else lean(right)
-    l_sizes = blocks.cell_sizes(lhs, "n_on", block_rows)
-    r_sizes = l_sizes if self_join else blocks.cell_sizes(rhs, "n_on", block_rows)
-    side = lambda d, s: d.withColumnsRenamed({"n_on": f"cell_{s}", "sub": f"sub_{s}", "items": f"items_{s}"})
-    l_blocks = side(blocks.pack(lhs, "n_on", "class_id", ["w"], l_sizes), "a")
-    r_blocks = side(blocks.pack(rhs, "n_on", "class_id", ["w"], r_sizes), "b")
-    # Which block meets which is decided on the directories alone (a row per block): a
-    # block lists the bit counts within reach and finds their blocks by an equal-key join.
-    eps = 1e-9
-    a, b = F.col("cell_a"), F.col("cell_b")
-    low, high = F.ceil(a * threshold - eps), F.floor(a / threshold + eps)
-    reach = F.sequence(F.greatest(low, a) if self_join else low, high).cast("array<int>")
-    todo = side(blocks.block_keys(l_sizes, "n_on"), "a").withColumn("cell_b", F.explode(reach))
-    todo = todo.join(side(blocks.block_keys(r_sizes, "n_on"), "b"), "cell_b")
-    if self_join:
-        todo = todo.where((a < b) | (F.col("sub_a") <= F.col("sub_b")))
-    todo = todo.join(l_blocks, ["cell_a", "sub_a"]).join(r_blocks, ["cell_b", "sub_b"])
+    order = bit_order(lhs) if self_join else bit_order(lhs, rhs)
+    if not order:
+        return left.sparkSession.createDataFrame([], PAIR_SCHEMA)
     limit = float(threshold)
+    cells_a = _prefix_cells(lhs, order, limit)
+    cells_b = None if self_join else _prefix_cells(rhs, order, limit)
+
+    def reach(cell: Column) -> Column:
+        grade = F.pmod(cell, F.lit(SIZE_CLASSES))
+        low = cell if self_join else cell - F.when(grade > 0, 1).otherwise(0)
+        return F.sequence(low, cell + F.when(grade < SIZE_CLASSES - 1, 1).otherwise(0))
+
+    def compare(cell_a: int, ids_a: np.ndarray, a: list, ids_b: np.ndarray, b: list, same: bool) -> pd.DataFrame:
+        bits_a, bits_b = _unpacked(a[0]), _unpacked(b[0])
+        both = bits_a.astype(np.float32) @ bits_b.astype(np.float32).T
+        total = bits_a.sum(1, dtype=np.int64)[:, None] + bits_b.sum(1, dtype=np.int64)[None, :] - both
+        sim = both / total.astype(np.float64)
+        hit = sim >= limit
+        if same:
+            hit &= ids_a[:, None] < ids_b[None, :]
+        i, j = np.nonzero(hit)
+        # the first common bit, rarest first, lies in both prefixes: the pair counts there
+        shared = bits_a[:, order][i] & bits_b[:, order][j]
+        here = shared.argmax(1) == cell_a // SIZE_CLASSES
+        i, j = i[here], j[here]
+        first, second = ids_a[i], ids_b[j]
+        if self_join:
+            first, second = np.minimum(first, second), np.maximum(first, second)
+        return pd.DataFrame({"class_a": first, "class_b": second, "common": both[i, j].astype(np.int32), "similarity": sim[i, j]})
+
+    return blocks.meet(cells_a, cells_b, ["w"], reach, compare, PAIR_SCHEMA, block_rows)
+
+
+def class_links(df: DataFrame, words: str, ident: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The similarity join without expanded copies: links between class representatives, and membership.
+
+    Links: class_a < class_b (smallest row ids of their fingerprints), similarity. Membership: ident, class_id,
+    n_rows (rows of the class, linked with one another), n_links (rows of other fingerprints linked with it).
+    """
+    classes = fingerprint_classes(df, words, ident)
+    links = reliable_checkpoint(class_pairs(classes, None, words, threshold).select("class_a", "class_b", "similarity"))
+    weight = classes.select("class_id", "n_rows")
+    both = links.select(F.col("class_a").alias("of"), F.col("class_b").alias("class_id")).unionAll(links.select("class_b", "class_a"))
+    counts = both.join(weight, "class_id").groupBy("of").agg(F.sum("n_rows").alias("n_links"))
+    per_class = classes.join(counts, classes["class_id"] == counts["of"], "left").select(
+        words, "class_id", "n_rows", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    from compoundry.functions.skew import join_stats
 
-    def compare(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                n_words = len(row.items_a[0]["w"])
-                ids_a, bits_a = _bits(row.items_a, n_words)
-                ids_b, bits_b = _bits(row.items_b, n_words)
-                both = bits_a @ bits_b.T
-                sim = both / (bits_a.sum(1)[:, None] + bits_b.sum(1)[None, :] - both).astype(np.float64)
-                hit = sim >= limit
-                if self_join:
-                    if row.cell_a == row.cell_b and row.sub_a == row.sub_b:
-                        hit &= ids_a[:, None] < ids_b[None, :]
-                i, j = np.nonzero(hit)
-                first, second = ids_a[i], ids_b[j]
-                if self_join:
-                    first, second = np.minimum(first, second), np.maximum(first, second)
-                yield pd.DataFrame({"class_a": first, "class_b": second,
-                                    "common": both[i, j].astype(np.int32), "similarity": sim[i, j]})
-
-    return todo.select("cell_a", "sub_a", "items_a", "cell_b", "sub_b", "items_b").mapInPandas(compare, PAIR_SCHEMA)
+    return links, join_stats(df.select(ident, words), per_class, [words], "n_rows").select(ident, "class_id", "n_rows", "n_links")
 
 
 def unmatched_rows(df: DataFrame, words: str, ident: str, threshold: float) -> DataFrame:
@@ -187,16 +231,29 @@ def top_hits(queries: DataFrame, reference: DataFrame, words: str, query_id: str
     k = max(1, int(top_k))
     rank = lambda keys, *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     cut = lambda d, n, keys, *order: d.withColumn("_r", rank(keys, *order)).where(F.col("_r") <= n).drop("_r")
+    own_table = queries is reference and query_id == ref_id
     q_cls = fingerprint_classes(queries, words, query_id)
-    r_cls = fingerprint_classes(reference, words, ref_id)
+    r_cls = q_cls if own_table else fingerprint_classes(reference, words, ref_id)
     refs = with_class(reference.select(F.col(ref_id).alias("_ref"), F.col(text).alias("_rt"), words), r_cls, words)
     refs = cut(cut(refs.select("_ref", "_rt", F.col("class_id").alias("class_b")), k, ["class_b", "_rt"], "_ref"),
                2 * k, ["class_b"], "_ref")
-    pairs = class_pairs(q_cls, r_cls, words, threshold)
+    if own_table:
+        # a table against itself: every pair is compared once and read both ways, a class meets itself
+        half = class_pairs(q_cls, None, words, threshold).select("class_a", "class_b", "similarity")
+        same = q_cls.where(F.col("n_on") > 0).select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"), F.lit(1.0).alias("similarity"))
+        pairs = half.select("class_a", "class_b", "similarity", F.explode(F.array(F.lit(False), F.lit(True))).alias("turn"))
+        pairs = pairs.select(F.when(F.col("turn"), F.col("class_b")).otherwise(F.col("class_a")).alias("class_a"),
+                             F.when(F.col("turn"), F.col("class_a")).otherwise(F.col("class_b")).alias("class_b"), "similarity").unionAll(same)
+    else:
+        pairs = class_pairs(q_cls, r_cls, words, threshold).select("class_a", "class_b", "similarity")
     near = cut(pairs.join(refs, "class_b"), 2 * k, ["class_a"], F.desc("similarity"), "_ref")
-    asks = with_class(queries.select(F.col(query_id).alias("_q"), F.col(text).alias("_qt"), words), q_cls, words)
-    asks = asks.select("_q", "_qt", F.col("class_id").alias("class_a"))
-    hits = asks.join(near.select("class_a", "_ref", "_rt", "similarity"), "class_a")
+    # one row per class with its at most 2k candidates meets the rows of the class, salted where the class is hot
+    from compoundry.functions.skew import join_stats
+
+    lists = near.groupBy("class_a").agg(F.collect_list(F.struct("_ref", "_rt", "similarity")).alias("_near"))
+    lists = q_cls.select(words, "class_id", "n_rows").join(lists, F.col("class_id") == F.col("class_a")).select(words, "n_rows", "_near")
+    asks = queries.select(F.col(query_id).alias("_q"), F.col(text).alias("_qt"), words)
+    hits = join_stats(asks, lists, [words], "n_rows", how="inner", counts=q_cls).select("_q", "_qt", F.inline("_near"))
     if not include_self:
         hits = hits.where(~(F.col("_qt").eqNullSafe(F.col("_rt")) & (F.coalesce("_qt", F.lit("")) != "")))
     best = hits.withColumn("rank", rank(["_q"], F.desc("similarity"), "_ref")).where(F.col("rank") <= k)

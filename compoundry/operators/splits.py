@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from compoundry.functions.skew import join_stats, with_global_rank
+from compoundry.functions.skew import join_stats, with_global_rank, with_range_rank
 
 # Seeded places are 64-bit hashes; chunks of 2^44 keep about a million places each apart.
 HASH_CHUNK = 2 ** 44
@@ -72,9 +72,8 @@ def stratified_split(df: DataFrame, ident: str, label: str, test: float = 0.2, v
         share = F.col(of) * total / F.lit(max(n if of == "_n" else n - n_test, 1))
         s = sizes.withColumn("_w", F.floor(share)).withColumn("_f", share - F.floor(share))
         left = s.agg((F.lit(total) - F.sum("_w")).alias("_left"))
-        # One row per stratum: a small table, ordered as a whole.
-        order = F.row_number().over(Window.orderBy(F.desc("_f"), "_l"))
-        s = s.withColumn("_p", order).crossJoin(F.broadcast(left))
+        # the remaining rows go to the largest fractions, by a rank over all strata however many there are
+        s = with_range_rank(s, [F.desc("_f"), F.col("_l")], "_p").crossJoin(F.broadcast(left))
         return s.withColumn(name, (F.col("_w") + (F.col("_p") <= F.col("_left")).cast("int")).cast("bigint")).drop("_w", "_f", "_p", "_left")
 
     sizes = quota(sizes, n_test, "_n", "_t").withColumn("_m", F.col("_n") - F.col("_t"))

@@ -40,6 +40,22 @@ def similarity_pairs(spark, sf):
     return similarity.row_pairs(fingerprints(spark, sf), "fp", "vec_id", 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
+CLASS_SQL = f"""{BITS_SQL}, cls as (select f, min(vec_id) as class_id, count(*) as n_rows from b group by f),
+ m as (select vec_id, class_id, n_rows from b join cls using (f)), lk as (select i, j, sim from t where sim >= 0.5)"""
+
+
+@query("jn2_class_links", f"with {CLASS_SQL} select i as class_a, j as class_b, round(sim, 6) as similarity from lk where i < j and i in (select class_id from cls) and j in (select class_id from cls)")
+def class_links(spark, sf):
+    links, _ = similarity.class_links(fingerprints(spark, sf), "fp", "vec_id", 0.5)
+    return links.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("jn2_class_members", f"""with {CLASS_SQL}, o as (select i, count(*) as n from lk join m a on a.vec_id = i join m c on c.vec_id = j where a.class_id <> c.class_id group by i)
+   select vec_id, class_id, n_rows, coalesce(n, 0) as n_links from m left join o on i = vec_id""")
+def class_members(spark, sf):
+    return similarity.class_links(fingerprints(spark, sf), "fp", "vec_id", 0.5)[1]
+
+
 CLIFF_SQL = f"""{BITS_SQL}, a as (select vec_id, 1 + (vec_id * 7919) % 1000 as act from b),
  p as (select t.i, t.j, t.sim, x.act as ax, y.act as ay, greatest(x.act, y.act) / least(x.act, y.act)::double as ratio from t
    join a x on x.vec_id = t.i join a y on y.vec_id = t.j where t.i < t.j and sim >= 0.5),
@@ -118,6 +134,42 @@ def distance_matrix(spark, sf):
     return out.select("i", "j", F.round("euclidean", 6).alias("distance"), F.round("cityblock", 6).alias("cityblock"))
 
 
+def supplier_points(spark, sf):
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.col("s_nationkey").cast("double"), F.col("s_acctbal") / 1000).alias("x"))
+
+
+NEAR_SQL = """d as (select x.s_suppkey as i, y.s_suppkey as j, sqrt((x.s_nationkey - y.s_nationkey) ** 2 + (x.s_acctbal / 1000 - y.s_acctbal / 1000) ** 2) as e,
+   abs(x.s_nationkey - y.s_nationkey) + abs(x.s_acctbal / 1000 - y.s_acctbal / 1000) as c from supplier x join supplier y on x.s_suppkey <> y.s_suppkey)"""
+
+
+@query("jn12_within_threshold", f"""with {NEAR_SQL} select 'euclidean' as metric, i, j, round(e, 6) as distance from d where i < j and e <= 1.25
+   union all select 'cityblock', i, j, round(c, 6) from d where i < j and c <= 1.25""")
+def within_threshold(spark, sf):
+    from compoundry.operators.distances import within
+
+    s = supplier_points(spark, sf)
+    parts = [within(s, None, "id", "x", 1.25, m).select(F.lit(m).alias("metric"), "i", "j", F.round("distance", 6).alias("distance")) for m in ("euclidean", "cityblock")]
+    return parts[0].unionAll(parts[1])
+
+
+@query("jn12_nearest_within", f"""with {NEAR_SQL}, r as (select i, j, e, row_number() over (partition by i order by e, j) as n from d where e <= 1.25)
+   select i, j, round(e, 6) as distance from r where n <= 3""")
+def nearest_within(spark, sf):
+    from compoundry.operators.distances import within
+
+    out = within(supplier_points(spark, sf), None, "id", "x", 1.25, nearest=3)
+    return out.select("i", "j", F.round("distance", 6).alias("distance"))
+
+
+@query("jn12_cosine_within", """select x.vec_id as i, y.vec_id as j, round(1 - list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 6) as distance
+   from embeddings x join embeddings y on x.vec_id < y.vec_id where 1 - list_cosine_similarity(x.embedding::double[], y.embedding::double[]) <= 0.7""")
+def cosine_within(spark, sf):
+    from compoundry.operators.distances import within
+
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    return within(e, None, "id", "x", 0.7, "cosine").withColumn("distance", F.round("distance", 6))
+
+
 @query("srt7_sphere_exclusion")
 def sphere_exclusion(spark, sf):
     return diversity.sphere_exclusion(fingerprints(spark, sf), "fp", "vec_id", 0.55)
@@ -128,12 +180,21 @@ def butina_clusters(spark, sf):
     return diversity.butina_selection(diversity.butina_clusters(fingerprints(spark, sf), "fp", "vec_id", 0.55), 10)
 
 
-@query("srt6_maxmin_pick")
+#: Farthest row by row: the distance of every row to the picks, and the next pick, step by step.
+def maxmin_sql(n: int) -> str:
+    return f"""with recursive {BITS_SQL}, lo as (select min(vec_id) as m from b),
+ st as (select 1 as step, vec_id as id, case when vec_id = m then 0.0 else 1 - sim end as d, m as pick from b cross join lo left join t on t.i = vec_id and t.j = m
+   union all select step + 1, id, case when id = nxt then 0.0 else least(d, 1 - sim) end, nxt
+   from (select step, id, d, first_value(id) over (order by d desc, id) as nxt from st) s left join t on t.i = s.id and t.j = s.nxt where step < {n}),
+ picks as (select distinct pick, step from st)"""
+
+
+@query("srt6_maxmin_pick", maxmin_sql(12) + " select pick as vec_id, step as rank from picks")
 def maxmin_pick(spark, sf):
     return diversity.maxmin_pick(fingerprints(spark, sf), "fp", "vec_id", 12)
 
 
-@query("win6_selection_rank")
+@query("win6_selection_rank", maxmin_sql(6) + " select vec_id, label, step as selection_rank, step is not null as selected from b left join picks on pick = vec_id")
 def selection_rank(spark, sf):
     f = fingerprints(spark, sf)
     return diversity.with_selection(f.select("vec_id", "label"), diversity.maxmin_pick(f, "fp", "vec_id", 6), "vec_id")

@@ -261,3 +261,104 @@ def test_average_linkage_matches_definition():
         groups[best[1]] += groups.pop(best[2])
     labels = descriptors.average_linkage(d, 0.35)
     assert {frozenset(g) for g in groups} == {frozenset(i for i in range(9) if labels[i] == k) for k in set(labels)}
+
+
+@pytest.mark.parametrize(("threshold", "n_bits", "share"), [(0.3, 48, 0.4), (0.8, 300, 0.05), (1.0, 300, 0.05), (0.999, 100, 0.3)])
+def test_prefix_join_against_brute_force(spark, threshold, n_bits, share):
+    rng = np.random.default_rng(11)
+    base = rng.random((6, n_bits)) < share
+    bits = [base[rng.integers(6)] ^ (rng.random(n_bits) < 0.02) for _ in range(80)] + [np.zeros(n_bits, bool), np.ones(n_bits, bool)]
+    for b in bits[:40]:
+        b[3] = True  # a bit that half of the rows share
+    rows = [(i, [int(x) for x in np.flatnonzero(b)], 0.0) for i, b in enumerate(bits)]
+    df = spark.createDataFrame(rows, "id bigint, bits array<int>, act double").withColumn("fp", similarity.words_from_bits(F.col("bits"), n_bits))
+    want = brute_pairs(rows, threshold)
+    got = {(r["id_a"], r["id_b"]): r["similarity"] for r in similarity.row_pairs(df, "fp", "id", threshold).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    left, right = (similarity.fingerprint_classes(df.where(c), "fp", "id") for c in ("id % 3 = 0", "id % 3 <> 0"))
+    cross = {(r["class_a"], r["class_b"]) for r in similarity.class_pairs(left, right, "fp", threshold, block_rows=4).collect()}
+    first = {}
+    for i, b, _ in rows:
+        first.setdefault((i % 3 == 0, tuple(b)), i)
+    reps = set(first.values())
+    assert cross == {p for a, b in want for p in ((a, b), (b, a)) if p[0] % 3 == 0 and p[1] % 3 and set(p) <= reps}
+    links, members = similarity.class_links(df, "fp", "id", threshold)
+    assert all(r["class_a"] < r["class_b"] for r in links.collect())
+    member = {r["id"]: r for r in members.collect()}
+    for i, b, _ in rows:
+        other = sum(1 for p in want if i in p and rows[p[0]][1] != rows[p[1]][1])
+        assert (member[i]["n_rows"], member[i]["n_links"]) == (sum(x[1] == b for x in rows), other)
+    assert similarity.row_pairs(df.where("id = 80"), "fp", "id", threshold).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cityblock", "chebyshev", "hamming", "jaccard", "cosine", "pearson", "spearman"])
+def test_pivot_index_against_brute_force(spark, metric):
+    import pandas as pd
+
+    from compoundry.operators.distances import within
+
+    rng = np.random.default_rng(4)
+    x = np.round(rng.standard_normal((60, 5)) * (rng.random((60, 5)) < 0.7), 1)
+    x[10:25] = x[3]
+    vectors = [v.tolist() for v in x] + [None, [float("nan")] * 5, [0.0] * 5]
+    df = spark.createDataFrame(list(enumerate(vectors)), "id long, x array<double>")
+    exact = {
+        "euclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum()), "cityblock": lambda a, b: np.abs(a - b).sum(), "chebyshev": lambda a, b: np.abs(a - b).max(),
+        "hamming": lambda a, b: (a != b).mean(), "jaccard": lambda a, b: 1 - ((a != 0) & (b != 0)).sum() / max(1, ((a != 0) | (b != 0)).sum()) if ((a != 0) | (b != 0)).any() else 0.0,
+        "cosine": lambda a, b: 1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b),
+        "pearson": lambda a, b: 1 - np.corrcoef(a, b)[0, 1], "spearman": lambda a, b: 1 - np.corrcoef(pd.Series(a).rank(), pd.Series(b).rank())[0, 1]}[metric]
+    flat = {"cosine": lambda a: not a.any(), "pearson": lambda a: a.std() < 1e-12, "spearman": lambda a: a.std() < 1e-12}.get(metric, lambda a: False)
+    good = {i: np.array(v) for i, v in enumerate(vectors) if v is not None and np.isfinite(v).all() and not flat(np.array(v))}
+    limit = 0.95 if metric in ("euclidean", "cityblock", "chebyshev") else 0.4
+    want = {(i, j): exact(good[i], good[j]) for i in good for j in good if i < j and exact(good[i], good[j]) <= limit}
+    got = {(r["i"], r["j"]): r["distance"] for r in within(df, None, "id", "x", limit, metric).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and want
+    two = {(r["i"], r["j"]) for r in within(df.where("id < 30"), df.where("id >= 30"), "id", "x", limit, metric).collect()}
+    assert two == {k for k in want if k[0] < 30 <= k[1]}
+    near = within(df, None, "id", "x", limit, metric, nearest=2).collect()
+    for i in good:
+        # equal distances may differ in their last digit, so the partner itself is not compared
+        mine = sorted(round(d, 9) for k, d in want.items() if i in k)[:2]
+        assert sorted(round(r["distance"], 9) for r in near if r["i"] == i) == mine
+    assert within(df.where("1 = 0"), None, "id", "x", limit, metric).count() == 0
+
+
+@pytest.mark.parametrize("batch", [1, 4, 1024])
+def test_maxmin_in_batches_gives_the_exact_order(spark, data, batch):
+    rows, df = data
+    n = 40
+    picked, best = [0], {i: 1 - tanimoto(b, rows[0][1]) for i, b, _ in rows}
+    while len(picked) < n:
+        nxt = min((i for i in best if best[i] > 0), key=lambda i: (-best[i], i), default=None)
+        if nxt is None:
+            break
+        picked.append(nxt)
+        best = {i: min(d, 1 - tanimoto(rows[i][1], rows[nxt][1])) for i, d in best.items()}
+    picked += [i for i in range(len(rows)) if i not in picked][: n - len(picked)]
+    got = {r["rank"]: r["id"] for r in diversity.maxmin_pick(df, "fp", "id", n, batch=batch).collect()}
+    assert [got[k] for k in sorted(got)] == picked
+
+
+def test_ranks_of_all_columns_in_one_pass(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    x = pd.DataFrame({"id": range(300), "a": rng.integers(0, 4, 300).astype(float), "b": rng.standard_normal(300), "c": np.r_[np.full(290, 7.0), np.arange(10.0)], "d": [None] * 300})
+    df = spark.createDataFrame([tuple(None if v is None else v for v in r) for r in x.astype(object).itertuples(index=False)], "id long, a double, b double, c double, d double")
+    got = descriptors.spearman_ranks(df, ["a", "b", "c", "d"], "id").toPandas().sort_values("id").reset_index(drop=True)
+    for c in "abc":
+        assert got[f"rank_{c}"].tolist() == x[c].rank().tolist()
+    assert set(got["rank_d"]) == {150.5} and got["b"].tolist() == x["b"].tolist()
+    assert descriptors.spearman_ranks(df.where("1 = 0"), ["a"], "id").count() == 0
+
+
+def test_quotas_of_many_strata(spark):
+    import math
+
+    df = spark.range(900).select(F.col("id"), F.concat(F.lit("s"), F.floor(F.col("id") / 2).cast("string")).alias("label"))
+    counts = {r["split"]: r["count"] for r in splits.stratified_split(df, "id", "label").groupBy("split").count().collect()}
+    assert counts == {"test": math.ceil(180), "validation": math.ceil(90), "train": 630}
+    from compoundry.functions.skew import with_range_rank
+
+    ranked = with_range_rank(df.withColumn("v", F.col("id") % 7), [F.desc("v"), F.col("id")], "r").collect()
+    assert [x["id"] for x in sorted(ranked, key=lambda x: x["r"])] == sorted(range(900), key=lambda i: (-(i % 7), i)) and min(x["r"] for x in ranked) == 1

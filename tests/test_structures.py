@@ -314,3 +314,46 @@ def test_repeated_record_properties_keep_their_own_values(spark, tmp_path):
     (tmp_path / "a.sdf").write_text(block + ">  <A>\n1\n\n>  <A>\n2\n\n>  <B>\n3\n\n$$$$\n")
     row = read_structure_records(spark, str(tmp_path / "a.sdf")).first()
     assert row["props"] == {"A": "1", "B": "3"}
+
+
+def test_polar_surface_of_known_structures(spark):
+    from compoundry.chem import facts
+
+    known = {"CC(=O)Oc1ccccc1C(=O)O": 63.60, "CC(=O)Nc1ccc(O)cc1": 49.33, "Cn1cnc2c1c(=O)n(C)c(=O)n2C": 61.82, "C1CO1": 12.53, "C1CN1": 21.94,
+             "O=[N+]([O-])c1ccccc1": 43.14, "[O-][n+]1ccccc1": 26.94, "c1cc[nH]c1": 15.79, "C[NH3+]": 27.64, "CC#N": 23.79, "O": 31.5, "N": 35.0, "CCO": 20.23, "CC": 0.0}
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([*known, "C1CC(", "", None])], "id long, smiles string")
+    m = facts.with_polar_surface(facts.with_structure(df, "smiles"))
+    got = {r["smiles"]: (r["tpsa"], r["tpsa_default_environments"]) for r in m.collect()}
+    for text, value in known.items():
+        assert abs(got[text][0] - value) < 1e-6, text
+    assert got["O"][1] == ["O H2 ()"] and got["CCO"][1] == [] and got["C1CC("] == (None, None) and got[None] == (None, None)
+    table = spark.createDataFrame([("C H3 (-)", 1.0), ("C H2 (--)", 0.5), ("O H1 (-)", -1.0)], "environment string, contribution double")
+    sums = {r["id"]: (r["value"], r["unknown"]) for r in facts.contribution_sums(m, "id", table).collect()}
+    assert sums[list(known).index("CCO")] == (0.5, []) and sums[list(known).index("CC")] == (2.0, [])
+    assert sums[list(known).index("CC#N")] == (None, ["C H0 (-#)", "N H0 (#)"])
+
+
+def test_record_keeps_atoms_without_inferable_hydrogens():
+    from compoundry.chem import graph
+
+    for text in ("[O-][N+](=O)", "[CH2]", "[O-][N+](=O)c1ccccc1", "C[NH3+]", "[Na+].[Cl-]", "CS(=O)(=O)C", "[NH4+]", "[C]", "OC[CH]C"):
+        mol = graph.cached(text)
+        back = graph.from_molblock(graph.to_molblock(mol, "x"))
+        assert [h or 0 for h in back.h] == [h or 0 for h in mol.h], text
+
+
+def test_pair_columns_by_roles():
+    from compoundry.operators import binding
+
+    cases = {
+        ("canonical smiles", "std output smiles", "smiles"): ("canonical smiles", "std output smiles"),
+        ("smiles", "raw_smiles", "smiles_std"): ("raw_smiles", "smiles_std"), ("smiles_std", "smiles"): ("smiles", "smiles_std"),
+        ("smiles", "canonical_smiles"): ("canonical_smiles", "smiles"), ("raw smiles", "id", "smiles"): ("raw smiles", "smiles"),
+        ("smiles_1", "smiles_2"): ("smiles_1", "smiles_2"), ("my smiles x", "id", "your smiles y"): ("my smiles x", "your smiles y"),
+        ("SMILES-B", "smiles", "SMILES-A"): ("SMILES-A", "SMILES-B"), ("id", "smiles"): ("", ""), (): ("", ""),
+    }
+    for columns, want in cases.items():
+        assert binding.pair_columns(list(columns)) == want, columns
+    modes = {("smiles_a", "smiles_b"): "classic", ("x", "smiles_std"): "standardization", ("raw_smiles", ""): "transformation", ("", "smiles"): "transformation",
+             ("x", "my smiles"): "transformation", ("", "my smiles"): "", ("a", "b"): ""}
+    assert {k: binding.pair_mode(*k) for k in modes} == modes
