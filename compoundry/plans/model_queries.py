@@ -334,3 +334,25 @@ def minmax_log(spark, sf):
     ends = p.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     scaled = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     return p.crossJoin(F.broadcast(ends)).select("p_partkey", F.round(scaled, 6).alias("scaled"))
+
+
+SCREENED = ["q", "p", "d", "t", "qp", "pd", "k"]
+SCREENED_SQL = """x as (select l_quantity q, l_extendedprice p, l_discount d, l_tax t, l_quantity + l_extendedprice / 5000 qp, l_extendedprice * (1 - l_discount) pd, 1.0 k from lineitem)"""
+#: Columns by falling variance; each stays unless one that stayed is near it.
+_ML9 = "with recursive " + SCREENED_SQL + ", v(c, pos, var) as (" + " union all ".join(
+    f"select '{c}', {i}, (select var_pop({c}) from x)" for i, c in enumerate(SCREENED)) + "), r(a, b, cc) as (" + " union all ".join(
+    f"select '{a}', '{b}', coalesce((select corr({a}, {b}) from x), 0)" for a in SCREENED for b in SCREENED if a != b and "k" not in (a, b)) + """),
+ o as (select c, pos, row_number() over (order by var desc, pos) as n from v),
+ near as (select c, pos, n, coalesce((select list(b) from r where a = c and abs(cc) >= 0.8), []::varchar[]) as l from o),
+ w as (select 0::bigint as n, []::varchar[] as kept union all select near.n, case when list_has_any(kept, l) then kept else list_append(kept, c) end from w join near on near.n = w.n + 1)
+ select c as feature, pos as position, list_contains((select kept from w order by n desc limit 1), c) as kept from v"""
+
+
+@query("ml9_high_correlation", _ML9)
+def high_correlation(spark, sf):
+    from compoundry.operators.correlation import high_correlation_columns
+
+    q, p, d = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount")
+    x = inputs.table(spark, sf, "lineitem").select(q.alias("q"), p.alias("p"), d.alias("d"), F.col("l_tax").alias("t"), (q + p / 5000).alias("qp"),
+                                                   (p * (1 - d)).alias("pd"), F.lit(1.0).alias("k"))
+    return high_correlation_columns(x, SCREENED, 0.8)

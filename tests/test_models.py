@@ -164,3 +164,27 @@ def test_masked_correlations(spark):
         both = ~np.isnan(table[:, i]) & ~np.isnan(table[:, j])
         assert r["correlation"] == pytest.approx(np.corrcoef(table[both, i], table[both, j])[0, 1])
     assert len(got) == 6
+
+
+@pytest.mark.parametrize("block", [3, 128])
+def test_blocked_correlation_screening(spark, block):
+    from compoundry.functions import linalg
+    from compoundry.operators import descriptors
+    from compoundry.operators.correlation import correlated_columns, high_correlation_columns
+
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((200, 4))
+    x = np.c_[base, base[:, :3] + 0.05 * rng.standard_normal((200, 3)), base[:, 1:3] * 3 + 1e6, np.full(200, 5.0)]
+    cols = [f"f{i}" for i in range(x.shape[1])]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x] + [(None, *map(float, x[0, 1:]))], ", ".join(f"{c} double" for c in cols)).repartition(5)
+    pairs, _ = correlated_columns(df, cols, 0.9, block)
+    with np.errstate(invalid="ignore"):
+        r = np.nan_to_num(np.corrcoef(x.T))
+    got = {(t["a"], t["b"]): t["r"] for t in pairs.collect()}
+    want = {(i, j): r[i, j] for i in range(len(cols)) for j in range(i + 1, len(cols)) if abs(r[i, j]) >= 0.9}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    m = linalg.moments(df, cols)
+    for prefer in ("variance", "first"):
+        kept = [t["feature"] for t in high_correlation_columns(df, cols, 0.9, prefer, block).orderBy("position").collect() if t["kept"]]
+        assert kept == descriptors.drop_high_correlation(m, 0.9, prefer)
+    assert correlated_columns(df.where("1 = 0"), cols, 0.9, block)[0].count() == 0
