@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from compoundry.functions import linalg
 from compoundry.functions.linalg import Moments
 from compoundry.operators.validation import adjusted_r2, aic_bic
+from compoundry.session import reliable_checkpoint
 
 
 def with_fold(df: DataFrame, ident: str, k: int, seed: int = 0, name: str = "fold") -> DataFrame:
@@ -298,24 +299,30 @@ def coefficient_table(spark, m: Moments, x: list[int], y: int) -> DataFrame:
     return spark.createDataFrame(rows, "term string, coefficient double, std_error double, t double, p_value double, vif double")
 
 
+def permuted_targets(df: DataFrame, keep: list[str], target: str, ident: str, n_permutations: int, seed: int = 0) -> DataFrame:
+    """``ident``, ``keep``, ``_run`` (from 1 on) and the target of the row that this row is dealt in that run."""
+    from compoundry.functions.shuffle import permuted
+    from compoundry.functions.skew import with_range_rank
+
+    rows = with_range_rank(df.select(ident, *keep, target), [F.col(ident)], "_i").withColumn("_i", F.col("_i") - 1)
+    rows = reliable_checkpoint(rows)
+    n = rows.count()
+    runs = rows.drop(target).withColumn("_run", F.explode(F.sequence(F.lit(1), F.lit(int(n_permutations)))))
+    place = permuted(F.col("_i"), n, F.col("_run") + F.lit(int(seed)) * 1_000_003)
+    return runs.withColumn("_i", place).join(rows.select("_i", target), "_i").drop("_i")
+
+
 def permutation_test(df: DataFrame, features: list[str], target: str, ident: str, n_permutations: int = 20,
                      k: int = 5, seed: int = 0) -> dict:
     """Cross-validated R2 against shuffled targets; p = (hits + 1) / (permutations + 1).
 
-    A permutation pairs the i-th row by id with the i-th row by a seeded hash.  All
-    permutations are ranked, joined and reduced to fold product matrices in one job.
+    Rows are numbered once, by id; every permutation is a keyed expression of the row number, so the shuffled
+    targets of all runs are one equi-join. All runs are reduced to fold product matrices in one job.
     """
-    from compoundry.functions.skew import with_global_rank, with_group_rank
-
     everything = list(range(len(features)))
     observed = cross_validation(df, features, target, ident, k, seed).scores(everything)[0]
-    base = df.select(ident, *features, target)
-    by_id = with_global_rank(base, ident, ident, "_i").drop(target)
-    runs = F.sequence(F.lit(1), F.lit(int(n_permutations)))
-    mixed = base.select(ident, target, F.explode(runs).alias("_run"))
-    mixed = mixed.withColumn("_h", F.xxhash64(F.lit(int(seed)), "_run", ident))
-    mixed = with_group_rank(mixed, ["_run"], "_h", "_i", chunk=2 ** 44).select("_run", "_i", target)
-    both = with_fold(by_id.join(mixed, "_i"), ident, k, seed, "_fold")
+    numbered = permuted_targets(df, [*features], target, ident, n_permutations, seed)
+    both = with_fold(numbered, ident, k, seed, "_fold")
     groups = linalg.moments(both.withColumn("_g", F.col("_run") * k + F.col("_fold")), features + [target], by="_g")
     found = []
     for r in range(1, int(n_permutations) + 1):

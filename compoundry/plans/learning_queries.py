@@ -66,6 +66,24 @@ def subset_methods(spark, sf):
     return spark.createDataFrame(out, "method string, features string, score double")
 
 
+#: The network as a fold over rounds, then the walk along its cycle.
+_NET = """list_reduce([{{'l': ({0}) // side, 'r': ({0}) % side}}, {{'l': 1::bigint, 'r': 0::bigint}}, {{'l': 2, 'r': 0}}, {{'l': 3, 'r': 0}}, {{'l': 4, 'r': 0}}],
+  lambda a, b: {{'l': a.r, 'r': (a.l + ((a.r * 2654435761 + run * 40503 + b.l * 69069) % 2147483647) * ((a.r * 2654435761 + run * 40503 + b.l * 69069) % 2147483647)
+    % 1073741789) % side}})"""
+_PERMUTED = f"""with o as (select o_orderkey as id, o_totalprice as y, row_number() over (order by o_orderkey) - 1 as i, count(*) over () as n from orders),
+ s as (select o.*, (floor(sqrt(n - 1)) + 1)::bigint as side, unnest(range(1, 4)) as run from o), e as (select id, run, n, side, {_NET.format("i")} as q from s),
+ f as (select id, run, n, side, q.l * side + q.r as p from e),
+ w as (select id, run, case when p < n then p else list_reduce(list_prepend(p, range(64)), lambda x, z: case when x < n then x else
+   ({_NET.format("x")}).l * side + ({_NET.format("x")}).r end) end as p from f)
+ select w.id, run, o.y from w join o on o.i = w.p"""
+
+
+@query("ml17_permuted_targets", _PERMUTED)
+def permuted_targets(spark, sf):
+    p = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("y"))
+    return regression.permuted_targets(p, [], "y", "id", 3).withColumnRenamed("_run", "run").select("id", "run", "y")
+
+
 @query("ml17_permutation_test")
 def permutation_test(spark, sf):
     p = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("double").alias("a"),

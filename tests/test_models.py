@@ -188,3 +188,24 @@ def test_blocked_correlation_screening(spark, block):
         kept = [t["feature"] for t in high_correlation_columns(df, cols, 0.9, prefer, block).orderBy("position").collect() if t["kept"]]
         assert kept == descriptors.drop_high_correlation(m, 0.9, prefer)
     assert correlated_columns(df.where("1 = 0"), cols, 0.9, block)[0].count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 1024])
+def test_keyed_permutations(spark, n):
+    from compoundry.functions.shuffle import permuted
+
+    rows = spark.range(n).select("id", *[permuted(F.col("id"), n, F.lit(k)).alias(f"p{k}") for k in (1, 2, 77)]).collect()
+    for k in (1, 2, 77):
+        assert sorted(r[f"p{k}"] for r in rows) == list(range(n))
+    if n > 90:
+        assert sum(r["p1"] == r["id"] for r in rows) < 10 and sum(r["p1"] == r["p2"] for r in rows) < 10
+        assert abs(np.corrcoef([r["id"] for r in rows], [r["p1"] for r in rows])[0, 1]) < 0.3
+
+
+def test_permuted_targets_keep_every_value(spark):
+    df = spark.createDataFrame([(i * 3, float(i % 5), float(i)) for i in range(50)], "id long, x double, y double")
+    rows = regression.permuted_targets(df, ["x"], "y", "id", 4, seed=9).collect()
+    assert len(rows) == 200
+    for run in range(1, 5):
+        mine = [r for r in rows if r["_run"] == run]
+        assert sorted(r["y"] for r in mine) == [float(i) for i in range(50)] and {r["id"] for r in mine} == {i * 3 for i in range(50)}
