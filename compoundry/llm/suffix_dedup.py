@@ -19,9 +19,11 @@ by exact steps that lose no repeat:
 Repeats meet the texts again by document and merge into maximal runs. Hashes are 64-bit sums over
 random byte values (contexts: with their anchor's, 128 bits).
 
-Defined cases: a null or empty text has no bytes; texts under ``length`` lose nothing; a null id is
-one document of the smallest id; rows that share an id and a text are one text given twice, and
-windows at one place of one document are one window, not a repeat; matches never cross documents.
+Defined cases: a null or empty text has no bytes; texts under ``length`` lose nothing; a document is an id
+with its text: rows that share an id (or have none) but not the text are documents of their own,
+rows that share both are one text given twice; matches never cross documents; very long
+texts are cut into contexts like all others (at most 2^32 bytes each); an empty table gives no rows; other columns
+pass through under any name.
 """
 
 from __future__ import annotations
@@ -323,7 +325,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     if not 0 < gram <= length:
         raise ValueError("an anchor is at most as long as a window")
     groups = C.groups_for(docs.sparkSession, 2)
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(C.NULL_ID))
+    ident = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
     keep = [id_col] if digest else docs.columns
     names = [f"c{i}" for i in range(len(keep))]
     texts = docs.select(ident.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -18,7 +18,9 @@ A host with many pages is dealt out by a salt (the hosts above a thousandth of a
 
 Defined cases: null or empty html gives an empty text; a url without host is a host of its own;
 a page alone with its host, or beside copies of its main text only, is judged by its own labels; broken markup is read as browsers do in
-the common cases (unclosed p, li and table cells; open comments and scripts run to the end).
+the common cases (unclosed p, li and table cells; open comments and scripts run to the end); pages
+of any depth and width are aligned (no recursion, memory by their width). A class, id or role marks a part by the first
+or last word of a whole token: ``has-sidebar`` or ``no-comments`` describe a layout and mark nothing.
 """
 
 from __future__ import annotations
@@ -60,6 +62,23 @@ CLOSED_BY = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd":
 _tag = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _attribute = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _word = re.compile(r"[a-z]+")
+#: A token that begins with one of these describes the layout of a part, not the part itself;
+#: words that mark a part as a whole token only, and words that mark it only as the last of a token.
+LAYOUT = frozenset("has no with without hide show is not".split())
+ALONE = frozenset("widget widgets".split())
+LAST = frozenset("related form search share sharing menu notice notices banner login modal".split())
+
+
+def marked(token: str, inside: bool) -> bool:
+    """Whether a class, id or role token names a part without main text: by its first or its last word."""
+    words = _word.findall(token)
+    if not words or words[0] in LAYOUT:
+        return False
+    says = lambda w: w in MARKED or (w in MARKED_OUTSIDE and not inside)
+    if len(words) == 1:
+        return says(words[0])
+    first, last = words[0], words[-1]
+    return (says(last) and last not in ALONE) or (says(first) and first not in ALONE | LAST)
 
 
 class Page:
@@ -71,7 +90,7 @@ class Page:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        stack, held, at = [0], [], 0
+        stack, names, held, at = [0], ["html"], [], 0
 
         def close() -> None:
             if held:
@@ -103,11 +122,10 @@ class Page:
             close()
             if m[1]:
                 for depth in range(len(stack) - 1, 0, -1):
-                    if self.label[stack[depth]].split(".", 1)[0] == name:
-                        del stack[depth:]
+                    if names[depth] == name:
+                        del stack[depth:], names[depth:]
                         break
                 continue
-            names = [self.label[i].split(".", 1)[0] for i in stack]
             if names[-1] == "p":  # a block ends an open paragraph
                 stack.pop()
                 names.pop()
@@ -117,29 +135,31 @@ class Page:
                     if names[depth] in stops:
                         break
                     if names[depth] in ends.split():
-                        del stack[depth:]
+                        del stack[depth:], names[depth:]
                         break
             if name in ("html", "body") and name in names:
                 continue
             stack.append(self._open(stack[-1], name, m[3] or ""))
+            names.append(name)
             if name in VOID:
                 stack.pop()
+                names.pop()
         close()
 
     def _open(self, parent: int, name: str, attributes: str) -> int:
         label, skip = name, self.skip[parent] or name in SKIPPED
         if attributes.strip():
-            words: set[str] = set()
+            words: list[str] = []
             for key, a, b, c in _attribute.findall(attributes):
                 key, value = key.lower(), a or b or c
                 if key in ("class", "id", "role"):
-                    words |= set(_word.findall(value.lower()))
+                    words += value.lower().split()
                     if key == "class":
                         label = f"{name}.{value}"
                 skip = skip or key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None)
             inside = name in ROOTS or self.root[parent]
             # the page's own article is no part of another, whatever its class says
-            skip = skip or (name not in ("html", "body", "article", "main") and bool(words & MARKED or (words & MARKED_OUTSIDE and not inside)))
+            skip = skip or (name not in ("html", "body", "article", "main") and any(marked(w, inside) for w in words))
         self.parent.append(parent)
         self.label.append(label)
         self.skip.append(skip)
@@ -160,6 +180,7 @@ class Tree:
         for i in range(1, n):
             child[parent[i]].append(i)
         self.of, self.label, self.child, self.skip, self.root = [0] * n, [], [], [], []
+        self.shape: list[int] | None = None
 
         def add(i: int) -> int:
             k = len(self.label)
@@ -198,21 +219,118 @@ class Tree:
         self.main_text = [t for k in sorted(self.main) for t in self.text[k]]
 
 
-def align(a: Tree, b: Tree, i: int = 0, j: int = 0) -> list[tuple[int, int]]:
-    """Node pairs of the largest order-keeping match of two trees with equal root labels."""
-    if a.label[i] != b.label[j]:
-        return []
-    x, y = a.child[i], b.child[j]
-    best: list[list[list]] = [[[] for _ in range(len(y) + 1)] for _ in range(len(x) + 1)]
-    for s in range(1, len(x) + 1):
-        for t in range(1, len(y) + 1):
-            got = max(best[s - 1][t], best[s][t - 1], key=len)
-            if a.label[x[s - 1]] == b.label[y[t - 1]]:
-                own = align(a, b, x[s - 1], y[t - 1])
-                if len(best[s - 1][t - 1]) + len(own) > len(got):
-                    got = best[s - 1][t - 1] + own
-            best[s][t] = got
-    return [(i, j), *best[-1][-1]]
+class Matcher:
+    """Simple tree matching of the pages of one host.
+
+    The size of the largest order-keeping match of two trees depends on their shapes only, so equal shapes of all
+    pages share one number and every pair of shapes is scored once. No recursion: a page may be of any depth.
+    """
+
+    CELLS = 1 << 22  #: larger score tables are halved, so that memory grows with the width of a page, not its square
+
+    def __init__(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.shapes: list[tuple] = []  # (label, shapes of the children, nodes)
+        self.scores: dict[tuple[int, int], int] = {}
+
+    def shapes_of(self, tree: Tree) -> list[int]:
+        """Shape number of every node; a node stands before its children in the tree."""
+        if tree.shape is None:
+            shape = [0] * len(tree.label)
+            for k in range(len(shape) - 1, -1, -1):
+                key = (tree.label[k], tuple(shape[c] for c in tree.child[k]))
+                if key not in self.number:
+                    self.number[key] = len(self.shapes)
+                    self.shapes.append((*key, 1 + sum(self.shapes[c][2] for c in key[1])))
+                shape[k] = self.number[key]
+            tree.shape = shape
+        return tree.shape
+
+    def _known(self, a: int, b: int) -> int | None:
+        if self.shapes[a][0] != self.shapes[b][0]:
+            return 0
+        if a == b:
+            return self.shapes[a][2]
+        if not self.shapes[a][1] or not self.shapes[b][1]:
+            return 1
+        return self.scores.get((a, b))
+
+    def score(self, a: int, b: int) -> int:
+        """Nodes in the largest match of two shapes."""
+        stack = [(a, b)]
+        while stack:
+            x, y = stack[-1]
+            if self._known(x, y) is not None:
+                stack.pop()
+                continue
+            xs, ys = self.shapes[x][1], self.shapes[y][1]
+            open_ = [(s, t) for s in set(xs) for t in set(ys) if self._known(s, t) is None]
+            if open_:
+                stack += open_
+                continue
+            self.scores[x, y] = 1 + int(self._last_row(xs, ys)[-1])
+            stack.pop()
+        return self._known(a, b)
+
+    def _rows(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> Iterator[np.ndarray]:
+        """Best sums of the first children of one side with the first t of the other, child by child."""
+        kinds, at = np.unique(np.array(ys, np.int64), return_inverse=True)
+        weights: dict[int, np.ndarray] = {}
+        row = np.zeros(len(ys) + 1, np.int64)
+        yield row
+        for x in xs:
+            if x not in weights:
+                weights[x] = np.array([self._known(x, int(y)) for y in kinds], np.int64)
+            fresh = np.maximum(row[1:], row[:-1] + weights[x][at])
+            row = np.concatenate([[0], np.maximum.accumulate(fresh)])
+            yield row
+
+    def _last_row(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> np.ndarray:
+        row = np.zeros(len(ys) + 1, np.int64)
+        for row in self._rows(xs, ys):
+            pass
+        return row
+
+    def children(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places of the children that a largest match pairs."""
+        if xs == ys:
+            return [(i, i) for i in range(len(xs))]
+        out, parts = [], [(0, len(xs), 0, len(ys))]
+        while parts:
+            x0, x1, y0, y1 = parts.pop()
+            if x0 == x1 or y0 == y1:
+                continue
+            if (x1 - x0) * (y1 - y0) > self.CELLS and x1 - x0 > 1:
+                mid = (x0 + x1) // 2
+                head = self._last_row(xs[x0:mid], ys[y0:y1])
+                tail = self._last_row(xs[mid:x1][::-1], ys[y0:y1][::-1])[::-1]
+                cut = y0 + int(np.argmax(head + tail))
+                parts += [(x0, mid, y0, cut), (mid, x1, cut, y1)]
+                continue
+            table = np.array(list(self._rows(xs[x0:x1], ys[y0:y1])))
+            s, t = x1 - x0, y1 - y0
+            while s and t:
+                if table[s, t] == table[s - 1, t]:
+                    s -= 1
+                elif table[s, t] == table[s, t - 1]:
+                    t -= 1
+                else:
+                    s, t = s - 1, t - 1
+                    out.append((x0 + s, y0 + t))
+        return out
+
+    def align(self, a: Tree, b: Tree) -> list[tuple[int, int]]:
+        """Node pairs of the largest order-keeping match of two trees; none where the root labels differ."""
+        p, q = self.shapes_of(a), self.shapes_of(b)
+        if not self.score(p[0], q[0]):
+            return []
+        out, stack = [], [(0, 0)]
+        while stack:
+            i, j = stack.pop()
+            out.append((i, j))
+            x, y = a.child[i], b.child[j]
+            stack += [(x[s], y[t]) for s, t in self.children(tuple(p[c] for c in x), tuple(q[c] for c in y))]
+        return out
 
 
 def partners(texts: list[list[str]]) -> list[tuple[int, int]]:
@@ -232,11 +350,12 @@ def induce(pages: list[Tree]) -> list[list[str]]:
     same = [dict.fromkeys(p.main, 0) for p in pages]
     varied: list[set[int]] = [set() for _ in pages]
     met = [0] * len(pages)
+    matcher = Matcher()
     for i, j in partners([p.main_text for p in pages]):
         a, b = pages[i], pages[j]
         met[i] += 1
         met[j] += 1
-        for m, n in align(a, b):
+        for m, n in matcher.align(a, b):
             if m in a.main and n in b.main:
                 if a.text[m] == b.text[n]:
                     same[i][m] += 1
