@@ -131,32 +131,38 @@ def maxmin_pick(df: DataFrame, words: str, ident: str, n_select: int, seed_id=No
     return chosen.unionByName(rest.withColumn("rank", pos.cast("int")))
 
 
-def diversity_metrics(df: DataFrame, words: str, ident: str, sample_size: int = 500, seed: int = 42) -> DataFrame:
-    """Nearest and mean distances inside a seeded sample (the sample is the feature).
+#: Fixed value: the mean pairwise distance compares every row with its first 20 other rows.
+COMPARED = 20
 
-    n_compounds counts all rows; the pairwise part sees at most ``sample_size`` of them.
+
+def diversity_metrics(df: DataFrame, words: str, ident: str, sample_size: int | None = None, seed: int = 42) -> DataFrame:
+    """n_compounds, mean_nn_distance, mean_pairwise_dist, n_singletons (no other row within 0.5), diversity_score.
+
+    Over all rows; with ``sample_size`` the distances are those inside a seeded sample of that many rows. Nearest
+    rows come from joins at falling thresholds (exact), the mean distance from every row's first 20 other rows by id: a
+    bounded list that all tasks hold. Fewer than two rows count as fully diverse.
     """
-    counted = df.agg(F.count(F.lit(1)).alias("n_compounds"))
-    sample = df.select(ident, words).orderBy(F.xxhash64(F.lit(seed), ident), ident).limit(int(sample_size))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ident)
-        bits = np.unpackbits(np.array(pdf[words].tolist(), dtype=np.int64).view(np.uint8), axis=1).astype(np.float64)
-        both = bits @ bits.T
-        on = bits.sum(1)
-        total = on[:, None] + on[None, :] - both
-        sim = np.divide(both, total, out=np.zeros_like(both), where=total > 0)
-        n = len(pdf)
-        others = sim[~np.eye(n, dtype=bool)].reshape(n, n - 1)
-        near = 1 - others.max(1) if n > 1 else np.ones(n)
-        head = 1 - others[:, :20]
-        mean = float(head.mean()) if n > 1 else 1.0
-        return pd.DataFrame({"mean_nn_distance": [round(float(near.mean()), 4)], "mean_pairwise_dist": [round(mean, 4)],
-                             "n_singletons": [int((near > 0.5).sum())]})
-
-    stats = sample.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(
-        compare, "mean_nn_distance double, mean_pairwise_dist double, n_singletons bigint")
-    return counted.crossJoin(stats).withColumn("diversity_score", F.col("mean_pairwise_dist"))
+    rows = df.where(F.col(words).isNotNull()).select(F.col(ident).alias("id"), F.col(words).alias("w"))
+    counted = rows.agg(F.count(F.lit(1)).alias("n_compounds"))
+    if sample_size is not None:
+        rows = reliable_checkpoint(rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(int(sample_size)))
+    head = rows.orderBy("id").limit(COMPARED + 1).collect()
+    if len(head) < 2:
+        return counted.select("n_compounds", F.lit(1.0).alias("mean_nn_distance"), F.lit(1.0).alias("mean_pairwise_dist"),
+                              F.col("n_compounds").alias("n_singletons"), F.lit(1.0).alias("diversity_score"))
+    near = similarity.nearest_similarity(rows, "w", "id").withColumn("d", 1 - F.col("nearest")).agg(
+        F.round(F.sum(F.col("d") * F.col("n_rows")) / F.sum("n_rows"), 4).alias("mean_nn_distance"),
+        F.coalesce(F.sum(F.when(F.col("d") > 0.5, F.col("n_rows"))), F.lit(0)).alias("n_singletons"))
+    others = [(F.col("id") != r["id"], 1 - similarity.tanimoto(F.col("w"), F.array(*[F.lit(x) for x in r["w"]]).cast("array<bigint>"))) for r in head]
+    sums = sum((F.when(other, d).otherwise(0.0) for other, d in others[:COMPARED]), F.lit(0.0))
+    if len(head) > COMPARED:  # a row of the list leaves its own place to the next one
+        inside = F.col("id").isin(*[r["id"] for r in head[:COMPARED]])
+        sums, many = sums + F.when(inside, others[-1][1]).otherwise(0.0), COMPARED
+    else:
+        many = len(head) - 1
+    mean = rows.agg(F.round(F.sum(sums) / (F.count(F.lit(1)) * many), 4).alias("mean_pairwise_dist"))
+    return counted.crossJoin(F.broadcast(near)).crossJoin(F.broadcast(mean)).select(
+        "n_compounds", "mean_nn_distance", "mean_pairwise_dist", "n_singletons", F.col("mean_pairwise_dist").alias("diversity_score"))
 
 
 def with_selection(df: DataFrame, chosen: DataFrame, ident: str) -> DataFrame:

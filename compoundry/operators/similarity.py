@@ -126,10 +126,11 @@ def _unpacked(words: np.ndarray) -> np.ndarray:
 
 
 def class_pairs(left: DataFrame, right: DataFrame | None, words: str, threshold: float,
-                block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+                block_rows: int = blocks.BLOCK_ROWS, nearest: bool = False) -> DataFrame:
     """All class pairs with similarity >= ``threshold`` (> 0), exact.
 
-    ``right=None`` is the self-join: each unordered pair once, class_a < class_b.
+    ``right=None`` is the self-join: each unordered pair once, class_a < class_b. With ``nearest`` (two sides) only
+    the best pair of every left class with another class leaves a pair of blocks; a pair may come several times.
     """
     if threshold <= 0:
         raise ValueError("a similarity join needs a positive threshold")
@@ -155,6 +156,11 @@ def class_pairs(left: DataFrame, right: DataFrame | None, words: str, threshold:
         total = bits_a.sum(1, dtype=np.int64)[:, None] + bits_b.sum(1, dtype=np.int64)[None, :] - both
         sim = both / total.astype(np.float64)
         hit = sim >= limit
+        if nearest:
+            best = np.where(ids_a[:, None] == ids_b[None, :], -1.0, sim)
+            i, j = np.arange(len(ids_a)), best.argmax(1)
+            i, j = i[best[i, j] >= limit], j[best[i, j] >= limit]
+            return pd.DataFrame({"class_a": ids_a[i], "class_b": ids_b[j], "common": both[i, j].astype(np.int32), "similarity": sim[i, j]})
         if same:
             hit &= ids_a[:, None] < ids_b[None, :]
         i, j = np.nonzero(hit)
@@ -170,6 +176,34 @@ def class_pairs(left: DataFrame, right: DataFrame | None, words: str, threshold:
     return blocks.meet(cells_a, cells_b, ["w"], reach, compare, PAIR_SCHEMA, block_rows)
 
 
+#: Similarities at which the search for nearest classes looks next, from above.
+STEPS = (0.6, 0.3)
+
+
+def nearest_similarity(df: DataFrame, words: str, ident: str, steps: tuple[float, ...] = STEPS) -> DataFrame:
+    """class_id, n_rows, nearest: similarity of each fingerprint's rows to their most similar other row, exact.
+
+    Copies are one another's nearest. The other classes are joined at falling thresholds: a class that finds a
+    partner at one of them knows its nearest and leaves, the few that are left meet all classes at the next. The last
+    threshold is below the smallest positive similarity, so who stays alone shares no bit with any row (0).
+    """
+    classes = fingerprint_classes(df, words, ident)
+    copies = classes.where((F.col("n_rows") > 1) & (F.col("n_on") > 0)).select("class_id", F.lit(1.0).alias("nearest"))
+    left = classes.where((F.col("n_rows") == 1) & (F.col("n_on") > 0))
+    widest = classes.agg(F.max("n_on")).first()[0] or 0
+    found = [copies]
+    for step in (*steps, 1.0 / (2 * widest + 1)):
+        if not left.take(1):
+            break
+        hits = class_pairs(left, classes, words, step, nearest=True).groupBy(F.col("class_a").alias("class_id")).agg(F.max("similarity").alias("nearest"))
+        found.append(reliable_checkpoint(hits))
+        left = reliable_checkpoint(left.join(found[-1], "class_id", "left_anti"))
+    best = found[0]
+    for more in found[1:]:
+        best = best.unionByName(more)
+    return classes.join(best, "class_id", "left").select("class_id", "n_rows", F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
+
+
 def class_links(df: DataFrame, words: str, ident: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The similarity join without expanded copies: links between class representatives, and membership.
 

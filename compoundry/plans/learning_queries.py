@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from compoundry.functions import linalg
-from compoundry.operators import models, regression, reporting, symbolic
+from compoundry.operators import holdout, models, regression, reporting, symbolic
 from compoundry.plans.inputs import spread, table
 from compoundry.plans.model_queries import rounded
 from compoundry.plans.registry import query
@@ -37,6 +37,34 @@ def ols_coefficients(spark, sf):
     return rounded(regression.coefficient_table(spark, m, [0, 1], 2).select("term", "coefficient", "std_error", "vif"))
 
 
+CHAIN_SQL = f"""{ROWS_SQL}, g as (select s, case when id % 11 <> 0 then 2 * qty + 1 end as twice, disc, y from d),
+ f as (select avg(twice) as fill from g where s = 'N'), z as (select s, coalesce(twice, fill) as a, disc as b, y from g, f),
+ m as (select avg(a) ma, avg(b) mb, avg(y) my, var_pop(a) aa, var_pop(b) bb, covar_pop(a, b) ab, covar_pop(a, y) ay, covar_pop(b, y) bd from z where s = 'N'),
+ c as (select *, (ay * bb - bd * ab) / (aa * bb - ab * ab) as b1, (bd * aa - ay * ab) / (aa * bb - ab * ab) as b2 from m),
+ p as (select s, y, my + b1 * (a - ma) + b2 * (b - mb) as f from z, c)"""
+
+
+def chain_run(spark, sf):
+    """Split N trains, A and R stay outside: a doubled feature, one constant in training only, one mostly missing."""
+    d = rows(spark, sf).select("id", "s", "disc", "y", F.when(F.col("id") % 11 != 0, F.col("qty")).alias("qty"),
+                               F.when(F.col("id") % 11 != 0, 2 * F.col("qty") + 1).alias("twice"),
+                               F.when(F.col("s") == "N", 3.0).otherwise(F.col("tax")).alias("flat"), F.when(F.col("id") % 5 == 0, F.col("line")).alias("rare"))
+    return holdout.run(d, ["qty", "twice", "disc", "flat", "rare"], "y", "id", "s", train="N")
+
+
+@query("ml31_training_only_fit", f"""with {CHAIN_SQL} select 'intercept' as feature, null::double as fill, round(my - b1 * ma - b2 * mb, 6) as coefficient from c
+ union all select 'twice', round(fill, 6), round(b1, 6) from c, f union all select 'disc', round(mb, 6), round(b2, 6) from c""")
+def training_only_fit(spark, sf):
+    return rounded(chain_run(spark, sf)[0].table(spark))
+
+
+@query("ml12_external_run", f"""with {CHAIN_SQL}, w as (select 'all' as "group", y, f from p union all select s, y, f from p)
+ select "group", count(*) as n, round(1 - sum((y - f) ** 2) / (var_pop(y) * count(*)), 6) as r2, round(sqrt(avg((y - f) ** 2)), 6) as rmse, round(avg(abs(y - f)), 6) as mae
+ from w group by 1""")
+def external_run(spark, sf):
+    return rounded(chain_run(spark, sf)[1].select("group", "n", "r2", "rmse", "mae"))
+
+
 @query("ml13_select_k_best", f"""with {ROWS_SQL}, r as (select 'qty' f, corr(qty, y) r, count(*) n from d union all select 'disc', corr(disc, y), count(*) from d
    union all select 'tax', corr(tax, y), count(*) from d union all select 'line', corr(line, y), count(*) from d)
  select f as feature, round(r * r / (1 - r * r) * (n - 2), 4) as f_score from r order by abs(r) desc limit 2""")

@@ -200,7 +200,10 @@ def selection_rank(spark, sf):
     return diversity.with_selection(f.select("vec_id", "label"), diversity.maxmin_pick(f, "fp", "vec_id", 6), "vec_id")
 
 
-@query("agg18_diversity_metrics")
+@query("agg18_diversity_metrics", f"""with {BITS_SQL}, nn as (select i, 1 - max(sim) as d from t group by i),
+ o as (select 1 - sim as d, row_number() over (partition by i order by j) as p from t)
+ select (select count(*) from b) as n_compounds, round((select avg(d) from nn), 4) as mean_nn_distance, round((select avg(d) from o where p <= 20), 4) as mean_pairwise_dist,
+   (select count(*) from nn where d > 0.5) as n_singletons, round((select avg(d) from o where p <= 20), 4) as diversity_score""")
 def diversity_metrics(spark, sf):
     return diversity.diversity_metrics(fingerprints(spark, sf), "fp", "vec_id")
 

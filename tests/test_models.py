@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compoundry.functions import linalg
-from compoundry.operators import models, regression, reporting, symbolic
+from compoundry.operators import holdout, models, regression, reporting, symbolic
 from compoundry.streaming import read_activity_stream, write_annotated
 
 
@@ -209,3 +209,40 @@ def test_permuted_targets_keep_every_value(spark):
     for run in range(1, 5):
         mine = [r for r in rows if r["_run"] == run]
         assert sorted(r["y"] for r in mine) == [float(i) for i in range(50)] and {r["id"] for r in mine} == {i * 3 for i in range(50)}
+
+
+def test_training_only_chain(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    y = 2 * x[:, 0] - x[:, 1] + 0.2 * rng.normal(size=300)
+    split = np.array(["train"] * 200 + ["test"] * 60 + ["external"] * 40)
+    gone = rng.random(300) < 0.1
+    rows = [(i, None if gone[i] else float(x[i, 0]), float(x[i, 1]), float(x[i, 2]), float(1.5 * x[i, 1]), 1.0 if i < 200 else float(i),
+             str(x[i, 2]) if i % 3 == 0 else "n/a", str(split[i]), None if i in (3, 250) else float(y[i]), "kept") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, b15 double, flat double, text string, split string, y double, _p0 string")
+    names = ["a", "b", "c", "b15", "flat", "text"]
+    chain, metrics = holdout.run(df, names, "y", "id", "split")
+    assert chain.dropped == {"b": "correlated", "flat": "constant", "text": "missing"} and chain.features == ["a", "c", "b15"] and chain.n_train == 199
+    use = np.array([i for i in range(200) if i != 3])
+    fill = x[use, 0][~gone[use]].mean()
+    full = np.column_stack([np.ones(300), np.where(gone, fill, x[:, 0]), x[:, 2], 1.5 * x[:, 1]])
+    beta = np.linalg.lstsq(full[use], y[use], rcond=None)[0]
+    assert chain.fills["a"] == pytest.approx(fill) and [chain.intercept, *chain.coefficients] == pytest.approx(beta)
+    got = {r["group"]: r for r in metrics.collect()}
+    for name in ("train", "test", "external"):
+        pick = np.array([i for i in np.flatnonzero(split == name) if i not in (3, 250)])
+        assert got[name]["n"] == len(pick) and got[name]["rmse"] == pytest.approx(np.sqrt(((y[pick] - full[pick] @ beta) ** 2).mean()))
+    # whatever the other splits hold, the fit stays
+    wild = df.withColumn("c", F.when(F.col("split") != "train", F.lit(1e9)).otherwise(F.col("c")))
+    assert holdout.run(wild, names, "y", "id", "split")[0].coefficients == pytest.approx(chain.coefficients)
+    # unseen rows without a value, or with none that is a number, are scored by the fill
+    odd = spark.createDataFrame([("x", None, float("nan")), (None, 0.0, float("inf"))], "a string, c double, b15 double")
+    scores = [r["predicted"] for r in chain.predict(odd).collect()]
+    by_fill = lambda known: chain.intercept + sum(known.get(c, chain.fills[c]) * w for c, w in zip(chain.features, chain.coefficients, strict=True))
+    assert scores == pytest.approx([by_fill({}), by_fill({"c": 0.0})])
+    cfg = holdout.ChainConfig(selection=regression.SelectionConfig(max_features=1))
+    assert holdout.fit_chain(df.where("split = 'train'"), names, "y", "id", cfg).features == ["a"]
+    with pytest.raises(ValueError, match="no training row"):
+        holdout.fit_chain(df.where("1 = 0"), names, "y", "id")
+    with pytest.raises(ValueError, match="no feature"):
+        holdout.fit_chain(df.where("split = 'train'"), ["flat", "text"], "y", "id")

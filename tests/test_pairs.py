@@ -362,3 +362,32 @@ def test_quotas_of_many_strata(spark):
 
     ranked = with_range_rank(df.withColumn("v", F.col("id") % 7), [F.desc("v"), F.col("id")], "r").collect()
     assert [x["id"] for x in sorted(ranked, key=lambda x: x["r"])] == sorted(range(900), key=lambda i: (-(i % 7), i)) and min(x["r"] for x in ranked) == 1
+
+
+@pytest.mark.parametrize(("n", "n_bits", "share", "steps"), [(1, 64, 0.2, ()), (15, 64, 0.3, (0.5,)), (90, 192, 0.03, (0.6,))])
+def test_diversity_metrics_against_brute_force(spark, n, n_bits, share, steps):
+    rng = np.random.default_rng(n)
+    on = rng.random((n, n_bits)) < share
+    if n > 20:
+        on[5], on[6], on[7], on[8] = on[4], False, False, on[4]  # copies, and prints without a bit
+    words = np.packbits(on, axis=1, bitorder="little").view(np.int64)
+    ids = [3 * i + 2 for i in range(n)]
+    df = spark.createDataFrame([(i, w.tolist()) for i, w in zip(ids, words, strict=True)], "rid long, fp array<bigint>")
+    both = on.astype(int) @ on.T.astype(int)
+    total = on.sum(1)[:, None] + on.sum(1)[None, :] - both
+    sim = np.where(total > 0, both / np.maximum(total, 1), 0.0)
+    np.fill_diagonal(sim, -1.0)
+    near = similarity.nearest_similarity(df, "fp", "rid", steps)
+    got = {r["class_id"]: (r["n_rows"], r["nearest"]) for r in near.collect()}
+    for i in range(n):
+        if ids[i] in got:
+            assert got[ids[i]][1] == pytest.approx(max(0.0, sim[i].max()))
+    assert sum(k for k, _ in got.values()) == n
+    r = diversity.diversity_metrics(df, "fp", "rid").first()
+    if n < 2:
+        assert tuple(r) == (n, 1.0, 1.0, n, 1.0)
+        return
+    d = 1 - np.maximum(sim.max(1), 0.0)
+    first = np.mean([[1 - sim[i, j] for j in range(n) if j != i][:20] for i in range(n)])
+    assert r["n_compounds"] == n and r["n_singletons"] == (d > 0.5).sum()
+    assert r["mean_nn_distance"] == pytest.approx(d.mean(), abs=6e-5) and r["mean_pairwise_dist"] == r["diversity_score"] == pytest.approx(first, abs=6e-5)
