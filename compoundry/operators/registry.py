@@ -6,6 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from compoundry.functions.skew import join_stats
+from compoundry.operators import similarity
+from compoundry.session import reliable_checkpoint
+
 # Bit ranges per section, first inclusive, last exclusive.
 SECTIONS = {
     "morgan": (0, 2048), "heterocycle_registry": (2048, 3072), "carbocycle_registry": (3072, 3328),
@@ -44,6 +48,66 @@ def with_bits(entries: DataFrame) -> DataFrame:
     return hashed.withColumn("bit", bit).drop("_h")
 
 
+def registry_issues(entries: DataFrame) -> DataFrame:
+    """entry_id, issue: entries that cannot set a bit as meant, one row per reason; no row for sound ones.
+
+    Empty or null patterns, brackets that do not balance, unknown sections and ids given to several entries.
+    """
+    pattern = F.coalesce(F.col("smarts"), F.lit(""))
+    opened = lambda a, b: F.length(F.regexp_replace(pattern, f"[^{a}]", "")) != F.length(F.regexp_replace(pattern, f"[^{b}]", ""))
+    reasons = F.array_compact(F.array(
+        F.when(F.trim(pattern) == "", "empty_pattern"), F.when(opened(r"\[", r"\]"), "unbalanced_brackets"),
+        F.when(opened(r"\(", r"\)"), "unbalanced_parentheses"), F.when(F.col("section").isNull() | ~F.col("section").isin(*SECTIONS), "unknown_section")))
+    own = entries.select("entry_id", F.explode(reasons).alias("issue"))
+    twice = duplicate_keys(entries, ["entry_id"]).select("entry_id", F.lit("duplicate_id").alias("issue"))
+    return own.unionByName(twice).distinct()
+
+
+def sparse_print(matches: DataFrame, entries: DataFrame, ident: str) -> DataFrame:
+    """ident, section, bit, n_entries: one row per bit that a molecule sets, with how many of its entries set it.
+
+    ``matches`` holds (ident, entry_id) rows of any origin, repeats allowed; ``entries`` (entry_id, section, bit), each id
+    once. Repeats fall together before the entries are joined, and an entry that a large part of all
+    molecules match is dealt out over salts. Matches of unknown entries and null molecules set no bit.
+    """
+    seen = reliable_checkpoint(matches.where(F.col(ident).isNotNull() & F.col("entry_id").isNotNull()).select(ident, "entry_id").distinct())
+    sizes = seen.groupBy("entry_id").agg(F.count(F.lit(1)).alias("_n"))
+    known = entries.where(F.col("bit").isNotNull()).select("entry_id", "section", "bit").join(sizes, "entry_id")
+    bits = join_stats(seen, known, ["entry_id"], "_n", how="inner")
+    return bits.groupBy(ident, "section", "bit").agg(F.count(F.lit(1)).alias("n_entries"))
+
+
+def bit_support(sparse: DataFrame) -> DataFrame:
+    """section, bit, n_molecules, n_collided: molecules with the bit, and those where several entries set it."""
+    return sparse.groupBy("section", "bit").agg(F.count(F.lit(1)).alias("n_molecules"), F.count_if(F.col("n_entries") > 1).alias("n_collided"))
+
+
+def bit_labels(entries: DataFrame) -> DataFrame:
+    """bit, label: the section, the bit and its entry; where entries share a bit, the first one and how many follow."""
+    per = entries.groupBy("bit").agg(F.min(F.struct("entry_id", "section")).alias("e"), F.count(F.lit(1)).alias("n"))
+    more = F.when(F.col("n") > 1, F.concat(F.lit("+"), (F.col("n") - 1).cast("string"))).otherwise("")
+    return per.select("bit", F.concat_ws("_", "e.section", F.col("bit").cast("string"), F.concat(F.col("e.entry_id").cast("string"), more)).alias("label"))
+
+
+def dense_print(sparse: DataFrame, ident: str, extra: DataFrame | None = None) -> DataFrame:
+    """ident, n_on, fp: the print as words of 64 bits, for writing and for the similarity operators.
+
+    ``extra`` are further (ident, bit) rows, such as circular bits of the first section. A molecule has at
+    most as many rows as the print has bits, so no group grows with the table.
+    """
+    rows = sparse.select(ident, "bit")
+    if extra is not None:
+        rows = rows.unionByName(extra.select(ident, "bit")).distinct()
+    width = max(b for _, b in SECTIONS.values())
+    bits = rows.where(F.col("bit").between(0, width - 1)).groupBy(ident).agg(F.array_sort(F.collect_set(F.col("bit").cast("int"))).alias("_bits"))
+    return bits.select(ident, F.size("_bits").alias("n_on"), similarity.words_from_bits(F.col("_bits"), width).alias("fp"))
+
+
+def write_print(sparse: DataFrame, ident: str, path: str, extra: DataFrame | None = None) -> None:
+    """The dense print as a Parquet table."""
+    dense_print(sparse, ident, extra).write.mode("overwrite").parquet(path)
+
+
 def section_audit(entries: DataFrame) -> DataFrame:
     """section, entries, bits used, width, load, collisions."""
     widths = F.create_map(*[x for k, (a, b) in SECTIONS.items() for x in (F.lit(k), F.lit(b - a))])

@@ -257,6 +257,62 @@ def registry_entries(spark, sf):
     return e.withColumn("section", registry.section(F.col("grp"), F.col("family"), F.col("name"), F.col("dehydro"), F.lit(False), F.col("hetero"), F.col("rings")))
 
 
+PRINT_SQL = f"""{REGISTRY_SQL}, w as (select *, case section when 'heterocycle_registry' then 2048 when 'carbocycle_registry' then 3072 when 'functional_group_registry' then 3328
+   else 3840 end as low, case section when 'heterocycle_registry' then 1024 when 'carbocycle_registry' then 256 when 'functional_group_registry' then 384 else 128 end as width from s),
+ mt as (select distinct l_orderkey as molecule, l_partkey as entry_id from lineitem union select l_orderkey, l_suppkey from lineitem where l_suppkey % 3 = 0),
+ sp as (select molecule, section, (low + entry_id % width)::int as bit, count(*) as n_entries from mt join w using (entry_id) group by 1, 2, 3)"""
+
+
+def registry_print(spark, sf):
+    """Orders as molecules that match the parts they hold; bits here by the entry's number, so that SQL can follow."""
+    from compoundry.operators import registry
+
+    span = F.create_map(*[x for k, (a, b) in registry.SECTIONS.items() for x in (F.lit(k), F.struct(F.lit(a).alias("low"), F.lit(b - a).alias("width")))])
+    entries = registry_entries(spark, sf).withColumn("_s", F.element_at(span, F.col("section")))
+    entries = entries.withColumn("bit", (F.col("_s.low") + F.col("entry_id") % F.col("_s.width")).cast("int")).drop("_s")
+    li = table(spark, sf, "lineitem")
+    matches = li.select(F.col("l_orderkey").alias("molecule"), F.explode(F.array("l_partkey", F.when(F.col("l_suppkey") % 3 == 0, F.col("l_suppkey")))).alias("entry_id"))
+    return registry.sparse_print(matches, entries, "molecule"), entries
+
+
+@query("ch9_registry_print", f"with {PRINT_SQL} select * from sp")
+def sparse_registry_print(spark, sf):
+    return registry_print(spark, sf)[0]
+
+
+@query("ch9_print_sizes", f"with {PRINT_SQL} select molecule, count(distinct bit)::int as n_on from sp group by 1")
+def print_sizes(spark, sf):
+    from compoundry.operators import registry
+
+    return registry.dense_print(registry_print(spark, sf)[0], "molecule").select("molecule", "n_on")
+
+
+@query("snk10_bit_support", f"""with {PRINT_SQL}, n as (select section, bit, count(*) as n_molecules, count(*) filter (n_entries > 1) as n_collided from sp group by 1, 2),
+ lb as (select (low + entry_id % width)::int as bit, min(entry_id) as first, arg_min(section, entry_id) as sec, count(*) as k from w group by 1)
+ select section, bit, n_molecules, n_collided, sec || '_' || bit || '_' || first || case when k > 1 then '+' || (k - 1) else '' end as label from n join lb using (bit)""")
+def registry_bit_support(spark, sf):
+    from compoundry.operators import registry
+
+    sparse, entries = registry_print(spark, sf)
+    return registry.bit_support(sparse).join(registry.bit_labels(entries), "bit")
+
+
+@query("ch10_registry_issues", """with p as (select p_partkey % 900 as entry_id, case when p_size % 4 = 0 then '' when p_size % 4 = 1 then p_name || '[' when p_size % 4 = 2 then '(' || p_name else p_name end as smarts,
+   case when p_size % 9 = 0 then p_type else 'morgan' end as section from part)
+ select entry_id, 'empty_pattern' as issue from p where smarts = '' union select entry_id, 'unbalanced_brackets' from p where contains(smarts, '[')
+ union select entry_id, 'unbalanced_parentheses' from p where contains(smarts, '(') union select entry_id, 'unknown_section' from p where section <> 'morgan'
+ union select entry_id, 'duplicate_id' from p group by entry_id having count(*) > 1""")
+def registry_entry_issues(spark, sf):
+    from compoundry.operators import registry
+
+    kind = F.col("p_size") % 4
+    e = table(spark, sf, "part").select(
+        (F.col("p_partkey") % 900).alias("entry_id"),
+        F.when(kind == 0, "").when(kind == 1, F.concat("p_name", F.lit("["))).when(kind == 2, F.concat(F.lit("("), "p_name")).otherwise(F.col("p_name")).alias("smarts"),
+        F.when(F.col("p_size") % 9 == 0, F.col("p_type")).otherwise("morgan").alias("section"))
+    return registry.registry_issues(e)
+
+
 @query("sc15_registry_sections", f"with {REGISTRY_SQL} select entry_id, section from s")
 def registry_sections(spark, sf):
     return registry_entries(spark, sf).select("entry_id", "section")

@@ -357,3 +357,28 @@ def test_pair_columns_by_roles():
     modes = {("smiles_a", "smiles_b"): "classic", ("x", "smiles_std"): "standardization", ("raw_smiles", ""): "transformation", ("", "smiles"): "transformation",
              ("x", "my smiles"): "transformation", ("", "my smiles"): "", ("a", "b"): ""}
     assert {k: binding.pair_mode(*k) for k in modes} == modes
+
+
+def test_registry_print(spark, tmp_path):
+    entries = spark.createDataFrame([(1, "carbocycle_registry", 3072, "C"), (2, "carbocycle_registry", 3072, "N"), (3, "heterocycle_registry", 2050, "O"),
+                                     (4, "reserved", None, "P")], "entry_id long, section string, bit int, smarts string")
+    rows = [("a", 1), ("a", 2), ("a", 1), ("a", 3), ("b", 3), ("b", 99), (None, 1), ("c", None), ("d", 4)] + [(f"m{i}", 3) for i in range(300)]
+    sparse = registry.sparse_print(spark.createDataFrame(rows, "mol string, entry_id long"), entries, "mol")
+    got = {(r["mol"], r["bit"]): (r["section"], r["n_entries"]) for r in sparse.collect()}
+    assert got.pop(("a", 3072)) == ("carbocycle_registry", 2) and got.pop(("a", 2050)) == got.pop(("b", 2050)) == ("heterocycle_registry", 1)
+    assert len(got) == 300
+    support = {r["bit"]: (r["n_molecules"], r["n_collided"]) for r in registry.bit_support(sparse).collect()}
+    assert support == {3072: (1, 1), 2050: (302, 0)}
+    assert {r["bit"]: r["label"] for r in registry.bit_labels(entries.where("bit is not null")).collect()} == {
+        3072: "carbocycle_registry_3072_1+1", 2050: "heterocycle_registry_2050_3"}
+    more = spark.createDataFrame([("a", 5), ("a", 2050), ("z", 0), ("z", 9999)], "mol string, bit int")
+    registry.write_print(sparse, "mol", str(tmp_path / "print"), more)
+    dense = {r["mol"]: r for r in spark.read.parquet(str(tmp_path / "print")).collect()}
+    on = lambda words: [64 * k + b for k, w in enumerate(words) for b in range(64) if w >> b & 1]
+    assert len(dense) == 303 and on(dense["a"]["fp"]) == [5, 2050, 3072] and dense["a"]["n_on"] == 3 and on(dense["z"]["fp"]) == [0] and len(dense["a"]["fp"]) == 64
+    empty = registry.sparse_print(spark.createDataFrame([], "mol string, entry_id long"), entries, "mol")
+    assert empty.count() == registry.dense_print(empty, "mol").count() == 0
+    bad = spark.createDataFrame([(1, "[C", "morgan"), (2, "C(N", "odd"), (3, None, None), (4, "[C]([N])", "morgan"), (5, "C", "morgan"), (5, "C", "morgan")],
+                                "entry_id long, smarts string, section string")
+    assert sorted(map(tuple, registry.registry_issues(bad).collect())) == [
+        (1, "unbalanced_brackets"), (2, "unbalanced_parentheses"), (2, "unknown_section"), (3, "empty_pattern"), (3, "unknown_section"), (5, "duplicate_id")]
