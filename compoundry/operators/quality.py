@@ -46,10 +46,13 @@ def issue_rules(cfg: QualityConfig) -> list[tuple[Column, str, Column]]:
         (c("unassigned_double_bond_stereo") > 0, "UNASSIGNED_DOUBLE_BOND_STEREO",
          F.concat(s("unassigned_double_bond_stereo"),
                   F.lit(" possible double bond stereo center(s) are unspecified."))),
+        (c("unassigned_chiral_centers").isNull() | c("unassigned_double_bond_stereo").isNull(), "STEREO_COMPUTATION_FAILED",
+         F.lit("The unassigned stereo centers are unknown.")),
     ]
 
 
-# Facts that a table may lack; their rule then never fires.
+# Facts that a table may lack as a column; their rule then never fires. A column with a null for a row
+# means that the fact could not be computed there, which is an issue of its own.
 FACT_DEFAULTS = {
     "parse_warnings": "", "n_fragments": 1, "has_metal": False, "has_isotope": False, "has_radical": False,
     "formal_charge": 0, "heavy_atoms": 3, "molecular_weight": 0.0, "unassigned_chiral_centers": 0,

@@ -382,3 +382,13 @@ def test_registry_print(spark, tmp_path):
                                 "entry_id long, smarts string, section string")
     assert sorted(map(tuple, registry.registry_issues(bad).collect())) == [
         (1, "unbalanced_brackets"), (2, "unbalanced_parentheses"), (2, "unknown_section"), (3, "empty_pattern"), (3, "unknown_section"), (5, "duplicate_id")]
+
+
+def test_unknown_stereo_is_an_issue(spark):
+    rows = [(1, True, "a", "", 0), (2, True, "b", "", None), (3, True, "c", "", 2), (4, False, "", "broken", None)]
+    df = spark.createDataFrame(rows, "id long, ok_parse boolean, duplicate_key string, parse_error string, unassigned_chiral_centers int")
+    df = df.withColumn("molecular_weight", F.lit(100.0))
+    got = {r["id"]: (r["issue_codes"], r["severity"]) for r in quality.quality_control(df).collect()}
+    assert got == {1: ("", "OK"), 2: ("STEREO_COMPUTATION_FAILED", "WARNING"), 3: ("UNASSIGNED_CHIRAL_STEREO", "WARNING"), 4: ("INVALID_STRUCTURE", "ERROR")}
+    without = quality.quality_control(df.drop("unassigned_chiral_centers"))
+    assert without.where("ok_parse and severity <> 'OK'").count() == 0
