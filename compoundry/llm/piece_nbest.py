@@ -1,12 +1,15 @@
 """SentencePiece encoding and decoding with N-best segmentation.
 
-A text becomes its pieces by the scores of a vocabulary file. The piece lattice has a node at
+A text becomes its pieces by scores that add up. The file is a merge model: its own scores are ranks
+of merges, and their sum says nothing of how likely a segmentation is. ``piece_weights`` therefore
+estimates log probabilities from the documents: the pieces of the model's own encoding are counted over
+all texts, half a count is added to each, and the search ranks by the sum of logs. The piece lattice has a node at
 every character and an edge for every piece; characters without a piece fall back to their
 bytes, at a score below every piece. A forward Viterbi pass gives the best score from
 the start to every node. Those scores are exact heuristics for an A-star search that runs
 backward from the end: the first N paths that reach the start are the N best, in order.
 
-Pieces never hold a space mark after another character, so the lattice of a text falls apart
+Pieces never hold a space mark after another character (checked when the file is read), so the lattice of a text falls apart
 before every run of space marks into independent units. The forward pass runs over all
 distinct units of a slice of texts at once (numpy, one lattice position after the other) and
 keeps the two best scores per node, so each unit's loss of leaving its best segmentation is
@@ -14,18 +17,21 @@ known. The N best segmentations of a text are the N best combinations of unit al
 and only its N - 1 units of smallest loss can differ from the best: those are searched by
 A-star, and their alternatives merged.
 
-The only model state is the vocabulary file (a parameter); memory is bounded by the slice.
+The model state is the vocabulary file (a parameter) and one weight per piece; memory is bounded by the slice.
 Every text is encoded whole, and decoding gives back the text.
 
 Defined cases: null and empty texts have no pieces; a space mark in the text itself becomes a
 space when decoded (the file's own convention) and so counts as not round; invalid ids raise
-an error; repeated rows give repeated results.
+an error; repeated rows give repeated results. Without any text all weights are equal; an empty table gives an
+empty result. Very long texts are one slice of their own. Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +45,7 @@ from compoundry.llm import common as C
 MARK = "▁"
 BYTE_LOSS = 10.0
 CACHE_UNITS = 50_000
+COUNTED_UNITS = 500_000
 VECTOR_LENGTH = 32
 SLICE_CHARS = 2_000_000
 NOTHING = -(1 << 40)
@@ -51,14 +58,17 @@ Alternatives = list[tuple]
 class Pieces:
     """The vocabulary of a model file: piece scores and byte fallbacks."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, weights: np.ndarray | None = None) -> None:
+        """``weights``: one score per piece id in place of the file's own."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         usable = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.scores = {self.pieces[i]: (model.get_score(i), i) for i in usable}
+        if any(MARK in self.pieces[i].lstrip(MARK) for i in usable):
+            raise ValueError("a piece holds a space mark behind another character")
+        self.scores = {self.pieces[i]: (model.get_score(i) if weights is None else float(weights[i]), i) for i in usable}
         self.longest = max(map(len, self.scores), default=1)
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.worst = min((s for s, _ in self.scores.values()), default=0.0) - BYTE_LOSS
@@ -278,8 +288,68 @@ class Pieces:
 
 
 @lru_cache(maxsize=1)
-def pieces_of(path: str) -> Pieces:
-    return Pieces(path)
+def pieces_of(path: str, weights: bytes | None = None) -> Pieces:
+    return Pieces(path, None if weights is None else np.frombuffer(weights))
+
+
+_UNIT = re.compile(r"\n| *[^ \n]+| +")
+
+
+class OwnPieces:
+    """Counts the pieces of the model's own encoding, unit by distinct unit."""
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        # a line end in front keeps the encoder from adding its mark to the unit
+        self.lead = len(self.model.encode("\n"))
+        self.counts = np.zeros(self.model.get_piece_size(), np.int64)
+        self.units: Counter = Counter()
+
+    def add(self, text: str) -> None:
+        self.units.update(_UNIT.findall(" " + text))
+        if len(self.units) > COUNTED_UNITS:
+            self.settle()
+
+    def settle(self) -> None:
+        """Encode the distinct units held and add their pieces by how often each unit was met."""
+        units = list(self.units)
+        for lo in range(0, len(units), CACHE_UNITS):
+            some = units[lo : lo + CACHE_UNITS]
+            ids = [x[self.lead :] for x in self.model.encode(["\n" + u for u in some], num_threads=1)]
+            times = np.repeat([self.units[u] for u in some], [len(x) for x in ids])
+            np.add.at(self.counts, np.fromiter((i for x in ids for i in x), np.int64, len(times)), times)
+        self.units.clear()
+
+
+def piece_counts(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+    """id, n: how often each piece stands in the model's own encoding of all texts (absent pieces: no row)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = OwnPieces(model_path)
+        for batch in batches:
+            for text in batch.column(0):
+                if text.is_valid and len(text.as_buffer()):
+                    own.add(text.as_py())
+        own.settle()
+        there = np.flatnonzero(own.counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(own.counts[there], pa.int64())], ["id", "n"])
+
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"))
+    return texts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def piece_weights(docs: DataFrame, model_path: str, text_col: str = "text") -> bytes:
+    """Log probability of every piece id as packed doubles, from the counts of all texts plus one half each.
+
+    The driver holds one row per piece of the vocabulary.
+    """
+    import sentencepiece
+
+    counts = np.full(sentencepiece.SentencePieceProcessor(model_file=model_path).get_piece_size(), 0.5)
+    for r in piece_counts(docs, model_path, text_col).collect():
+        counts[r["id"]] += r["n"]
+    return np.log(counts / counts.sum()).tobytes()
 
 
 #: What ``encode_nbest`` returns of the ids: all n lists, the best list, or the crc32 of each.
@@ -287,11 +357,11 @@ ID_FORMS = {"all": ("array<array<int>>", pa.list_(pa.list_(pa.int32()))), "best"
             "crc32": ("array<long>", pa.list_(pa.int64()))}
 
 
-def _encoded(path: str, n: int, form: str, names: list[str], text_at: str):
+def _encoded(path: str, weights: bytes | None, n: int, form: str, names: list[str], text_at: str):
     kinds = [pa.int64(), pa.list_(pa.float64()), ID_FORMS[form][1], pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces_of(path)
+        p = pieces_of(path, weights)
         for batch in batches:
             for lo, hi, _, _ in C.text_slices(batch.column(text_at), SLICE_CHARS):
                 some = batch.slice(lo, hi - lo)
@@ -310,16 +380,20 @@ def _encoded(path: str, n: int, form: str, names: list[str], text_at: str):
     return run
 
 
-def encode_nbest(docs: DataFrame, model_path: str, n: int = 3, text_col: str = "text", form: str = "all", with_text: bool = True) -> DataFrame:
+def encode_nbest(docs: DataFrame, model_path: str, n: int = 3, text_col: str = "text", form: str = "all", with_text: bool = True,
+                 weights: bytes | None = None) -> DataFrame:
     """All rows (without the text unless ``with_text``) plus ``_n_pieces`` of the best, ``_scores``
-    of the n best, ``_ids`` (see ``ID_FORMS``) and ``_round``: decoding the best gives the text back."""
+    of the n best, ``_ids`` (see ``ID_FORMS``) and ``_round``: decoding the best gives the text back.
+
+    ``weights`` are those of ``piece_weights``; without them the scores of the file count.
+    """
     if n < 1:
         raise ValueError("n is at least one")
     keep = [c for c in docs.columns if with_text or c != text_col]
     side = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("_text"))
     names = [f"c{i}" for i in range(len(keep))]
     schema = "".join(f"{c} {t}, " for c, t in side.dtypes if c != "_text")
-    out = side.mapInArrow(_encoded(model_path, n, form, names, "_text"),
+    out = side.mapInArrow(_encoded(model_path, weights, n, form, names, "_text"),
                           f"{schema}_n_pieces long, _scores array<double>, _ids {ID_FORMS[form][0]}, _round boolean")
     return out.select(*[F.col(c).alias(k) for c, k in zip(names, keep, strict=True)], "_n_pieces", "_scores", "_ids", "_round")
 
@@ -348,6 +422,7 @@ def default_model() -> str:
 
 def op5_piece_nbest(spark, sf_dir: str) -> DataFrame:
     """The three best segmentations of all documents: scores, digests and the round trip."""
-    out = encode_nbest(C.documents_of(spark, sf_dir).select("doc_id", "text"), default_model(), 3, form="crc32", with_text=False)
+    docs = C.documents_of(spark, sf_dir).select("doc_id", "text")
+    out = encode_nbest(docs, default_model(), 3, form="crc32", with_text=False, weights=piece_weights(docs, default_model()))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_n_pieces").alias("n_pieces"), F.col("_scores").alias("scores"),
                       F.col("_ids").alias("ids_crc32"), F.col("_round").alias("round_trip"))
