@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from compoundry.llm import common as C
 from compoundry.llm.pfair_mix import mix
-from compoundry.llm.piece_nbest import default_model, encode_nbest
+from compoundry.llm.piece_nbest import default_model, encode_nbest, piece_weights
 from compoundry.llm.quality_rules import judge
 from compoundry.llm.sketch_dedup import near_duplicates
 from compoundry.llm.substring_words import remove_repeated_windows
@@ -100,7 +100,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``mix_position`` is the document's place in the mixture: sorted by it, the rows hold the sources
     in their target weights.
     """
-    out = encode_nbest(docs.withColumn("_position", _position(docs)), default_model(), 3, form="best", with_text=False)
+    out = encode_nbest(docs.withColumn("_position", _position(docs)), default_model(), 3, form="best", with_text=False,
+                       weights=piece_weights(docs, default_model()))
     return out.select("doc_id", "lang", "source", "n_chars", F.col("_n_pieces").alias("n_pieces"), F.col("_ids").alias("ids"),
                       F.col("_scores").alias("scores"), F.col("_round").alias("round_trip"), F.col("_position").alias("mix_position"))
 
