@@ -3,6 +3,7 @@
 from compoundry.plans import (  # noqa: F401
     curation_queries,
     file_queries,
+    fragment_queries,
     learning_queries,
     model_queries,
     pair_queries,

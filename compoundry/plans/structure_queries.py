@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from compoundry.chem import facts, kernels
 from compoundry.operators import quality, scaffolds, similarity, splits
 from compoundry.plans import inputs
+from compoundry.plans.fragment_queries import FORMULAS_SQL, PATHS_SQL, SHELLS_SQL
 from compoundry.plans.inputs import MOLECULES_SQL, spread, table
 from compoundry.plans.registry import query
 
@@ -87,7 +88,7 @@ def contribution_sums(spark, sf):
     return out.where(F.col("value").isNotNull()).select("row_index", F.round("value", 4).alias("value"))
 
 
-@query("ch17_formulas")
+@query("ch17_formulas", FORMULAS_SQL)
 def formulas(spark, sf):
     m = facts.with_structure(molecules(spark, sf), "smiles").where("mol.ok")
     return m.groupBy(facts.formula(F.col("mol.atoms")).alias("formula")).agg(F.count(F.lit(1)).alias("n"))
@@ -206,13 +207,13 @@ def r_groups(spark, sf):
     return hit.select("row_index")
 
 
-@query("ch11_path_fragments")
+@query("ch11_path_fragments", PATHS_SQL)
 def path_fragments(spark, sf):
     f = facts.path_fragments(facts.with_structure(molecules(spark, sf), "smiles"), ["row_index"])
     return facts.fragment_vocabulary(f, 5)
 
 
-@query("ch11_shell_fragments")
+@query("ch11_shell_fragments", SHELLS_SQL)
 def shell_fragments(spark, sf):
     return facts.fragment_vocabulary(facts.shell_fragments(facts.with_structure(molecules(spark, sf), "smiles"), ["row_index"]), 2)
 
