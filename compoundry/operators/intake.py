@@ -81,13 +81,17 @@ def stage_summary_from_import(summary: DataFrame) -> DataFrame:
         F.when(acc > 0, "Molecule QC Dashboard").otherwise("Fix input file or SMILES column").alias("recommended_next_step"))
 
 
-def stage_summary_from_qc(summary: DataFrame) -> DataFrame:
-    """Stage status from QC counts total / clean / invalid / errors / warnings (one row)."""
+def stage_summary_from_qc(summary: DataFrame, review_needs_clean: bool = False) -> DataFrame:
+    """Stage status from QC counts total / clean / invalid / errors / warnings (one row).
+
+    Without a clean record a stage with problem records needs review; with ``review_needs_clean`` it is blocked.
+    """
     total, clean, invalid, errors, warn = (F.col(c) for c in ("total", "clean", "invalid", "errors", "warnings"))
     problem = F.greatest(F.lit(0), total - clean - invalid - errors)
     return summary.select(
         F.lit("qc").alias("stage"),
-        F.when((clean == total) & (total > 0), "clean").when((clean > 0) | (problem > 0), "needs_review")
+        F.when((clean == total) & (total > 0), "clean")
+        .when((clean > 0) | ((problem > 0) & F.lit(not review_needs_clean)), "needs_review")
         .otherwise("blocked").alias("status"),
         total.alias("total_records"), (clean + problem).alias("accepted_records"), clean.alias("clean_records"),
         problem.alias("problem_records"), (invalid + errors).alias("rejected_records"),

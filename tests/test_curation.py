@@ -143,3 +143,9 @@ def test_provenance_of_a_large_group_is_whole(spark):
     prepared = accepted.select("identity_key").distinct()
     got = {r["identity_key"]: r["n"] for r in curation.with_provenance(prepared, accepted).selectExpr("identity_key", "size(split(source_row_ids, ';')) n").collect()}
     assert got == {"small": 3, "hot": n - 3}
+
+
+def test_stage_without_clean_records(spark):
+    counts = spark.createDataFrame([(10, 0, 2, 2, 6)], "total long, clean long, invalid long, errors long, warnings long")
+    status = lambda **k: intake.stage_summary_from_qc(counts, **k).first()["status"]
+    assert status() == "needs_review" and status(review_needs_clean=True) == "blocked"
