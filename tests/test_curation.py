@@ -149,3 +149,12 @@ def test_stage_without_clean_records(spark):
     counts = spark.createDataFrame([(10, 0, 2, 2, 6)], "total long, clean long, invalid long, errors long, warnings long")
     status = lambda **k: intake.stage_summary_from_qc(counts, **k).first()["status"]
     assert status() == "needs_review" and status(review_needs_clean=True) == "blocked"
+
+
+def test_points_on_the_outline_are_outside(spark):
+    # y = 42.6875 - 1.125 q lies on the slanting edge; 5.3 and 10.1 on the other two
+    rows = [(1.5 * q + 0.25, (42687.5 - 1125 * q + d) / 1000) for q in range(1, 51) for d in (-0.01, 0.0, 0.01)] + [(15.25, 5.3), (10.1, 8.0), (20.0, 9.0)]
+    df = spark.createDataFrame(rows, "f double, y double")
+    got = {tuple(r) for r in df.where(validation.inside_polygon(F.col("f"), F.col("y"), [(10.1, 5.3), (50.1, 5.3), (10.1, 35.3)])).collect()}
+    want = {(f, y) for f, y in rows if f > 10.1 and y > 5.3 and (f - 10.1) / 40.0 + (y - 5.3) / 30.0 < 1}
+    assert got == want and (20.0, 9.0) in got and (15.25, 5.3) not in got
