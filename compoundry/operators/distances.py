@@ -135,6 +135,7 @@ def within(left: DataFrame, right: DataFrame | None, ident: str, x: str, thresho
         raise ValueError("a threshold is not negative, and below 1 for angular metrics")
     self_join = right is None
     limit = into(threshold)
+    blur = 1e-12 if how else 0.0  # angles come back from unit vectors, other distances are as the metric gives them
 
     @F.pandas_udf("array<double>")
     def prepare(v: pd.Series) -> pd.Series:
@@ -181,7 +182,7 @@ def within(left: DataFrame, right: DataFrame | None, ident: str, x: str, thresho
             for at in range(0, len(i), 65_536):
                 m, n = i[at : at + 65_536] + lo, j[at : at + 65_536]
                 d = out_of(_distances(a[0][m], b[0][n], inner))
-                hit = d <= threshold + 1e-12
+                hit = d <= threshold + blur
                 found.append((ids_a[m[hit]], ids_b[n[hit]], d[hit]))
         first, second, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
         if self_join:

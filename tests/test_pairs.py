@@ -391,3 +391,16 @@ def test_diversity_metrics_against_brute_force(spark, n, n_bits, share, steps):
     first = np.mean([[1 - sim[i, j] for j in range(n) if j != i][:20] for i in range(n)])
     assert r["n_compounds"] == n and r["n_singletons"] == (d > 0.5).sum()
     assert r["mean_nn_distance"] == pytest.approx(d.mean(), abs=6e-5) and r["mean_pairwise_dist"] == r["diversity_score"] == pytest.approx(first, abs=6e-5)
+
+
+def test_distances_just_above_the_threshold(spark):
+    from compoundry.operators.distances import within
+
+    balances = [a / 100 / 1000 for a in range(0, 400_000, 10_007)]
+    above = [(x, y) for a in range(500, 40_000, 7) for x, y in [((a / 100 + 1250) / 1000, a / 100 / 1000)] if 1.25 < x - y <= 1.25 + 1e-12][:20]
+    points = balances + [v for p in above for v in p]
+    df = spark.createDataFrame([(i, [0.0, v]) for i, v in enumerate(points)], "id long, x array<double>")
+    want = {(i, j) for i in range(len(points)) for j in range(i + 1, len(points)) if abs(points[i] - points[j]) <= 1.25}
+    for metric in ("euclidean", "cityblock"):
+        assert {(r["i"], r["j"]) for r in within(df, None, "id", "x", 1.25, metric).collect()} == want
+    assert len(above) == 20
