@@ -404,3 +404,36 @@ def test_distances_just_above_the_threshold(spark):
     for metric in ("euclidean", "cityblock"):
         assert {(r["i"], r["j"]) for r in within(df, None, "id", "x", 1.25, metric).collect()} == want
     assert len(above) == 20
+
+
+@pytest.mark.parametrize("frequent", [False, True])
+def test_frequent_and_rare_bits_agree(spark, data, monkeypatch, frequent):
+    monkeypatch.setattr(similarity, "frequent_bits", lambda *_: frequent)
+    rows, df = data
+    test_row_pairs(data)
+    test_top_hits_with_copies(data)
+    test_sphere_exclusion_equals_the_walk(spark, data)
+    test_butina_equals_the_sequential_algorithm(data)
+    want = brute_pairs(rows, 0.5)
+    alone = {r["id"] for r in similarity.unmatched_rows(df, "fp", "id", 0.5).collect()}
+    assert alone == {r[0] for r in rows} - {i for p in want for i in p}
+    links, members = similarity.class_links(df, "fp", "id", 0.5)
+    got = {r["id"]: (r["n_rows"], r["n_links"]) for r in members.collect()}
+    for i, b, _ in rows:
+        assert got[i] == (sum(x[1] == b for x in rows), sum(1 for p in want if i in p and rows[p[0]][1] != rows[p[1]][1]))
+    near = {r["class_id"]: r["nearest"] for r in similarity.nearest_similarity(df, "fp", "id").collect()}
+    for i in near:
+        assert near[i] == pytest.approx(max(tanimoto(rows[i][1], x[1]) for x in rows if x[0] != i))
+
+
+@pytest.mark.parametrize("block", [5, 2048])
+def test_best_partners_keep_ties_by_smaller_id(data, block):
+    rows, df = data
+    classes = similarity.fingerprint_classes(df, "fp", "id")
+    reps = [r["class_id"] for r in classes.collect()]
+    got = {}
+    for r in similarity.best_partners(classes, classes, "fp", 0.2, 3, False, block).collect():
+        got.setdefault(r["class_a"], set()).add(r["class_b"])
+    for i in reps:
+        best = sorted((-tanimoto(rows[i][1], rows[j][1]), j) for j in reps if j != i and tanimoto(rows[i][1], rows[j][1]) >= 0.2)[:3]
+        assert got.get(i, set()) == {j for _, j in best}
