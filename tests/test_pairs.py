@@ -437,3 +437,15 @@ def test_best_partners_keep_ties_by_smaller_id(data, block):
     for i in reps:
         best = sorted((-tanimoto(rows[i][1], rows[j][1]), j) for j in reps if j != i and tanimoto(rows[i][1], rows[j][1]) >= 0.2)[:3]
         assert got.get(i, set()) == {j for _, j in best}
+
+
+def test_walk_in_small_batches(spark, data):
+    rows, df = data
+    bits = {r[0]: r[1] for r in rows}
+    kept, owner = [], {}
+    for i in sorted(bits, key=lambda i: (i * 37 % 71, i)):
+        owner[i] = next((k for k in kept if tanimoto(bits[i], bits[k]) >= 0.5), i)
+        kept += [i] if owner[i] == i else []
+    nodes = df.select("id", "fp", F.struct((F.col("id") * 37 % 71).alias("h"), "id").alias("ord"))
+    for batch in (4, 4096):
+        assert {r["id"]: r["owner"] for r in diversity._walk(nodes, "fp", "ord", 0.5, batch).collect()} == owner
