@@ -9,12 +9,13 @@ pairs with at least ``c`` of them are verified by their cosine in double precisi
 Calibration. At the threshold angle a pair shares a sign with probability ``1 - angle / pi`` and
 the window with 0.999. ``calibrate`` lets k follow the number of vectors (about 128 of
 unlike vectors per cell), and takes the fewest tables, and then the largest count c, for which a pair
-at the threshold itself is missed with a probability under 0.001; closer pairs are missed less.
+at the threshold itself is missed with a probability under 0.00002; closer pairs are missed less.
 
 Equal vectors are one class. Cells above ``BLOCK`` members are cut into blocks that meet
 pairwise, so no task holds a cell. A pair is judged only in the first table where it collides,
-so links are counted, not emitted: a block gives each member its number of links and its
-smallest linked member, and components are connected from those.
+so links are counted, not emitted: a block gives each member its number of links and the
+smallest member it reaches inside the block, and components are connected from those. Cosines within
+``EDGE`` of the threshold are worked out again as dot over norms.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; vectors of different length link with nothing; rows that share an id are separate
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from compoundry.llm import common as C
 from compoundry.llm.components import connect
 
-CELL, BLOCK, MISS, WINDOW_SIGMAS, SEED = 128, 2_048, 1e-3, 3.3, 91
+CELL, BLOCK, MISS, WINDOW_SIGMAS, SEED, EDGE = 128, 2_048, 2e-5, 3.3, 91, 1e-12
 
 
 def calibrate(n: int, threshold: float) -> tuple[int, int, int]:
@@ -64,10 +65,27 @@ def codes_of(unit: np.ndarray, k: int, tables: int) -> tuple[np.ndarray, np.ndar
 
 
 def _units(blobs: list[bytes], dtype: str) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), dtype).reshape(len(blobs), -1).astype(np.float64)
+    x = _scaled(blobs, dtype)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _scaled(blobs: list[bytes], dtype: str) -> np.ndarray:
+    """Vectors in double precision, by a power of two so that no square overflows or vanishes."""
+    x = np.frombuffer(b"".join(blobs), dtype).reshape(len(blobs), -1).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def _join(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Hang the members that the pairs (p, q) link below the smallest place of their piece, in place."""
+    while len(p):
+        a, b = root[p], root[q]
+        apart = a != b
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while np.any((up := root[root]) != root):
+            root[:] = up
+
+
 def _by_length(blobs: list[bytes]) -> Iterator[np.ndarray]:
     size = np.array([len(b) for b in blobs])
     for s in np.unique(size):
@@ -82,8 +100,7 @@ def _valid(dtype: str):
             for x in batch.column("v"):
                 raw = x.as_py()
                 v = np.array(raw, dtype) if raw and None not in raw else None
-                with np.errstate(over="ignore", invalid="ignore"):
-                    good = v is not None and np.isfinite(v).all() and np.isfinite(n := float((v.astype(np.float64) ** 2).sum())) and n > 0
+                good = v is not None and np.isfinite(v).all() and v.any()
                 out.append((v + np.array(0, dtype)).tobytes() if good else None)  # -0 is 0
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "vec"])
     return run
@@ -133,7 +150,7 @@ def _deal(dtype: str, k: int, tables: int, groups: int):
 
 
 def _judge(dtype: str, k: int, tables: int, least: int, threshold: float):
-    """applyInArrow on a group of block pairs: links per member and the smallest linked member."""
+    """applyInArrow on a group of block pairs: links per member and the smallest member it reaches there."""
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
@@ -152,7 +169,7 @@ def _judge(dtype: str, k: int, tables: int, least: int, threshold: float):
             # members in the order of the sorted direction: each with those in its window, once
             by = np.argsort(values[:, here], kind="stable")
             ends = np.searchsorted(values[by, here], values[by, here] + w, "right")
-            links, low = np.zeros(len(rows), np.int64), cid[rows].copy()
+            links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))  # rows ascend by cid
             diagonal, sizes, ids, side = x[rows[0]] == y[rows[0]], m[rows], cid[rows], own[rows]
             for lo in range(0, len(by), 256):
                 hi = min(lo + 256, len(by))
@@ -165,20 +182,24 @@ def _judge(dtype: str, k: int, tables: int, least: int, threshold: float):
                 if not diagonal:
                     across = side[a] != side[b]
                     a, b = a[across], b[across]
-                for at in range(0, len(a), 100_000):
-                    p, q = a[at : at + 100_000], b[at : at + 100_000]
+                for at in range(0, len(a), 50_000):
+                    p, q = a[at : at + 50_000], b[at : at + 50_000]
                     hit = (cells[p] == cells[q]) & (np.abs(values[p] - values[q]) <= w)
                     mine = (hit.argmax(1) == here) & (hit.sum(1) >= least)
                     p, q = p[mine], q[mine]
-                    near = np.einsum("ij,ij->i", unit[p], unit[q]) >= threshold
+                    cosine = np.einsum("ij,ij->i", unit[p], unit[q])
+                    edge = np.flatnonzero(np.abs(cosine - threshold) <= EDGE)
+                    if len(edge):
+                        v, u = (_scaled([blobs[rows[i]] for i in side_of[edge]], dtype) for side_of in (p, q))
+                        cosine[edge] = (v * u).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((u * u).sum(1)))
+                    near = cosine >= threshold
                     p, q = p[near], q[near]
                     np.add.at(links, p, sizes[q])
                     np.add.at(links, q, sizes[p])
-                    np.minimum.at(low, p, ids[q])
-                    np.minimum.at(low, q, ids[p])
+                    _join(root, p, q)
             got = np.flatnonzero(links)
             if len(got):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[got]), pa.array(links[got]), pa.array(low[got])], ["cid", "links", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[got]), pa.array(links[got]), pa.array(ids[root[got]])], ["cid", "links", "low"])
     return run
 
 

@@ -113,6 +113,27 @@ def test_projection_join_blocks(spark, monkeypatch):
     assert projection_join.near_vectors(empty).count() == 0
 
 
+def test_projection_join_keeps_links(spark):
+    # a chain whose largest id stands in the middle, an exact cosine of 0.9, magnitudes whose squares leave double precision
+    at = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    rows = [(1, at(0)), (2, at(40)), (9, at(20)), (20, [0.0, 0.0, 1e200, 0.0]), (21, [0.0, 0.0, 1e-200, 0.0]), (30, [0.0] * 4),
+            (40, [9.0, 3.0, 3.0, 1.0, 0.0]), (41, [7.0, 0.0, 0.0, 0.0, 0.0])]
+    got = by_id(projection_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "_id")
+    assert [(i, g["_n_links"], g["_component"]) for i, g in sorted(got.items())] == [
+        (1, 1, 1), (2, 1, 1), (9, 2, 1), (20, 1, 20), (21, 1, 20), (30, 0, 30), (40, 1, 40), (41, 1, 40)]
+    # pairs just above the threshold: each is found
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(3_000):
+        a, b = rng.standard_normal((2, 64))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (0.9001 * a + np.sqrt(1 - 0.9001**2) * b).tolist())]
+    got = projection_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got.where("_n_links = 1 and _component = _id - _id % 2").count() == 6_000
+
+
 @pytest.mark.parametrize("window", [3, 20])
 def test_substring_words(spark, plain, docs, window):
     sent, gone = brute.repeated_words(plain, window)
