@@ -9,9 +9,11 @@ distance is computed. Nothing but hits leaves a task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from compoundry.functions import blocks, linalg
@@ -108,6 +110,9 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 PIVOTS, PIVOT_SAMPLE, SHELLS = 4, 256, 4096
+#: Vectors of this length on are sieved by a matrix product, as pivots rule out little there. Blocks grow with the table up
+#: to a limit, so that the number of their pairs, and with it what is shuffled, grows with the rows up to about a million.
+PRODUCT_FROM, BLOCKS, MOST_BLOCK_ROWS = 8, 64, 16_384
 
 
 def _pivots(rows: DataFrame, metric: str) -> np.ndarray:
@@ -125,8 +130,8 @@ def within(left: DataFrame, right: DataFrame | None, ident: str, x: str, thresho
            nearest: int | None = None) -> DataFrame:
     """i, j, distance of all pairs with distance <= ``threshold``, exact; ``right=None`` gives i < j within one table.
 
-    With ``nearest`` every i keeps its nearest so many (ties: smaller j); within one table pairs are then read both
-    ways. Metrics: see ``PIVOT_METRICS``; jaccard compares the places that are not zero, the angular ones (1 - r)
+    With ``nearest`` every i keeps its nearest so many (ties: smaller j), within one table among all others; a block keeps
+    a list per row and no pair beyond it leaves a task. Metrics: see ``PIVOT_METRICS``; jaccard compares the places that are not zero, the angular ones (1 - r)
     take thresholds below 1. Vectors have one length; rows that are null or hold null, NaN or infinity, and for angular
     metrics rows without a direction, meet nothing. Empty tables give no pair.
     """
@@ -169,34 +174,68 @@ def within(left: DataFrame, right: DataFrame | None, ident: str, x: str, thresho
     width = max(limit * (1 + 1e-9), far / SHELLS, 1e-12)
     slack = limit + 1e-9 * (1 + far)
 
-    def compare(_: int, ids_a: np.ndarray, a: list, ids_b: np.ndarray, b: list, same: bool) -> pd.DataFrame:
-        found = []
+    def sifted(ids_a: np.ndarray, a: list, ids_b: np.ndarray, b: list, most: np.ndarray, same: bool) -> Iterator[tuple]:
+        """Places in a and b, inner and outer distance of the pairs within ``most`` (inner, by row of a) and the threshold."""
+        wide = inner == "euclidean" and a[0].shape[1] >= PRODUCT_FROM
+        if wide:  # one matrix product sieves with a margin, the distances decide
+            n_a, n_b, turned = (a[0] ** 2).sum(1), (b[0] ** 2).sum(1), np.ascontiguousarray(b[0].T)
         for lo in range(0, len(ids_a), 256):
             part = slice(lo, lo + 256)
-            near = np.ones((len(ids_a[part]), len(ids_b)), bool)
-            for k in range(len(pivots)):
-                near &= np.abs(a[1][part, k][:, None] - b[1][:, k][None, :]) <= slack
+            bound = most[part][:, None] + (slack - limit)
+            if wide:
+                both = n_a[part][:, None] + n_b[None, :]
+                near = both - 2 * (a[0][part] @ turned) <= bound * bound + 1e-9 * both
+            else:
+                near = np.abs(a[1][part, 0][:, None] - b[1][:, 0][None, :]) <= bound
+                for k in range(1, len(pivots)):
+                    near &= np.abs(a[1][part, k][:, None] - b[1][:, k][None, :]) <= bound
             if same:
                 near &= ids_a[part][:, None] < ids_b[None, :]
             i, j = np.nonzero(near)
             for at in range(0, len(i), 65_536):
                 m, n = i[at : at + 65_536] + lo, j[at : at + 65_536]
-                d = out_of(_distances(a[0][m], b[0][n], inner))
+                e = _distances(a[0][m], b[0][n], inner)
+                d = out_of(e)
                 hit = d <= threshold + blur
-                found.append((ids_a[m[hit]], ids_b[n[hit]], d[hit]))
+                yield m[hit], n[hit], e[hit], d[hit]
+
+    def compare(_: int, ids_a: np.ndarray, a: list, ids_b: np.ndarray, b: list, same: bool) -> pd.DataFrame:
+        found = [(ids_a[m], ids_b[n], d) for m, n, _, d in sifted(ids_a, a, ids_b, b, np.full(len(ids_a), limit), same)]
         first, second, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
         if self_join:
             first, second = np.minimum(first, second), np.maximum(first, second)
         return pd.DataFrame({"i": first.astype(np.int64), "j": second.astype(np.int64), "distance": d})
 
+    def fold(ids_a: np.ndarray, a: list, others: Iterator[tuple]) -> pd.DataFrame:
+        most = np.full(len(ids_a), limit)
+        who, whom, inside, how = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        for ids_b, b in others:
+            # parts of the other block, so that lists fill and reach less far before the next part is met
+            for at in range(0, len(ids_b), 256):
+                seen = slice(at, at + 256)
+                for m, n, e, d in sifted(ids_a, a, ids_b[seen], [v[seen] for v in b], most, False):
+                    other = ids_b[seen][n]
+                    if self_join:
+                        apart = ids_a[m] != other
+                        m, other, e, d = m[apart], other[apart], e[apart], d[apart]
+                    who, whom, inside, how = (np.concatenate(v) for v in ((who, m), (whom, other), (inside, e), (how, d)))
+                    order = np.lexsort((whom, how, who))
+                    order = order[np.arange(len(who)) - np.searchsorted(who[order], who[order]) < nearest]
+                    who, whom, inside, how = who[order], whom[order], inside[order], how[order]
+                last = np.flatnonzero(np.arange(len(who)) - np.searchsorted(who, who) == nearest - 1)
+                most[who[last]] = inside[last]
+        return pd.DataFrame({"i": ids_a[who], "j": whom, "distance": how})
+
+    count = max(lhs.count(), 1 if self_join else rhs.count())
+    block_rows = min(max(blocks.BLOCK_ROWS, -(-count // BLOCKS)), MOST_BLOCK_ROWS)
+    if nearest is not None:
+        if int(nearest) < 1:
+            return left.sparkSession.createDataFrame([], schema)
+        nearest = int(nearest)
+        reach = lambda cell: F.sequence(F.greatest(cell - 1, F.lit(0)), cell + 1)
+        return blocks.strips(shelled(lhs, width), shelled(rhs, width), ["x", "p"], reach, fold, schema, block_rows)
     reach = lambda cell: F.sequence(cell if self_join else F.greatest(cell - 1, F.lit(0)), cell + 1)
-    pairs = blocks.meet(shelled(lhs, width), None if self_join else shelled(rhs, width), ["x", "p"], reach, compare, schema)
-    if nearest is None:
-        return pairs
-    if self_join:
-        pairs = pairs.select(F.inline(F.array(F.struct("i", "j", "distance"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "distance"))))
-    order = Window.partitionBy("i").orderBy("distance", "j")
-    return pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= int(nearest)).drop("_r")
+    return blocks.meet(shelled(lhs, width), None if self_join else shelled(rhs, width), ["x", "p"], reach, compare, schema, block_rows)
 
 
 def column_distances(df: DataFrame, cols: list[str], absolute: bool = False) -> DataFrame:

@@ -449,3 +449,31 @@ def test_walk_in_small_batches(spark, data):
     nodes = df.select("id", "fp", F.struct((F.col("id") * 37 % 71).alias("h"), "id").alias("ord"))
     for batch in (4, 4096):
         assert {r["id"]: r["owner"] for r in diversity._walk(nodes, "fp", "ord", 0.5, batch).collect()} == owner
+
+
+def test_nearest_within_keeps_lists_per_block(spark, monkeypatch):
+    from compoundry.functions import blocks
+    from compoundry.operators import distances
+
+    monkeypatch.setattr(blocks, "meet", None)  # no pair beyond the lists may be made
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(6)
+    points = [[float(rng.integers(0, 4)), float(rng.integers(0, 30)) / 10] for _ in range(300)] + [[1.0, 1.0]] * 20
+    df = spark.createDataFrame(list(enumerate(points)), "id long, x array<double>")
+    got = sorted((r["i"], r["distance"], r["j"]) for r in distances.within(df, None, "id", "x", 1.25, nearest=3).collect())
+    want = []
+    for i, a in enumerate(points):
+        near = sorted((float(np.sqrt(((np.array(a) - b) ** 2).sum())), j) for j, b in enumerate(points) if j != i)
+        want += [(i, d, j) for d, j in near[:3] if d <= 1.25]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_long_vectors_within_are_exact(spark, shift):
+    from compoundry.operators.distances import within
+
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 3, (150, 12)).astype(float) + shift
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if ((x[i] - x[j]) ** 2).sum() <= 9}
+    assert {(r["i"], r["j"]) for r in within(df, None, "id", "x", 3.0).collect()} == want
