@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from compoundry.chem.kernels import METALS, structure
+from compoundry.functions.blocks import tasks_for
 from compoundry.functions.once import with_once
+from compoundry.functions.skew import join_stats
+from compoundry.session import reliable_checkpoint
 
 # Standard atomic weights.
 _WEIGHTS = """H 1.008 He 4.0026 Li 6.94 Be 9.0122 B 10.81 C 12.011 N 14.007 O 15.999 F 18.998 Ne 20.180 Na 22.99 Mg 24.305 Al 26.982 Si 28.085 P 30.974 S 32.06 Cl 35.45 Ar 39.95
@@ -26,6 +29,19 @@ def with_structure(df: DataFrame, smiles: str, name: str = "mol") -> DataFrame:
     return df.withColumn(name, structure(F.col(smiles)))
 
 
+def texts_of(df: DataFrame, smiles: str) -> DataFrame:
+    """The distinct texts of ``smiles`` with ``n_rows``, dealt over tasks by number, as work on them is far more than their bytes."""
+    return df.groupBy(smiles).agg(F.count(F.lit(1)).alias("n_rows")).repartition(tasks_for(df))
+
+
+def by_text(df: DataFrame, smiles: str, work) -> DataFrame:
+    """``work``, a function of the texts alone, done once per distinct text and written; every row gets the columns of its text.
+
+    ``work`` takes and gives a table with ``smiles`` and ``n_rows``, one row per text. A text with many rows is salted.
+    """
+    return join_stats(df, reliable_checkpoint(work(texts_of(df, smiles))), [smiles], "n_rows").drop("n_rows")
+
+
 def _count(items: Column, test) -> Column:
     return F.size(F.filter(items, test))
 
@@ -254,9 +270,10 @@ def shell_fragments(df: DataFrame, keep: list[str], mol: str = "mol") -> DataFra
         F.count(F.lit(1)).alias("count"))
 
 
-def fragment_vocabulary(fragments: DataFrame, min_support: int = 1) -> DataFrame:
-    """fragment, support: in how many structures it occurs, kept from ``min_support``."""
-    return fragments.groupBy("fragment").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support).orderBy("fragment")
+def fragment_vocabulary(fragments: DataFrame, min_support: int = 1, n_rows: str | None = None) -> DataFrame:
+    """fragment, support: in how many structures it occurs (``n_rows``: a column with the rows a line stands for), kept from ``min_support``."""
+    support = F.count(F.lit(1)) if n_rows is None else F.sum(n_rows)
+    return fragments.groupBy("fragment").agg(support.alias("support")).where(F.col("support") >= min_support).orderBy("fragment")
 
 
 def fragment_matrix(fragments: DataFrame, vocabulary: list[str], ident: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from compoundry.chem import kernels
+from compoundry.chem.facts import by_text
 from compoundry.functions.missing import finite
 from compoundry.functions.skew import join_stats
 
@@ -13,8 +14,8 @@ NO_SCAFFOLD = "__no_scaffold__"
 
 
 def annotate(df: DataFrame, smiles: str) -> DataFrame:
-    """scaffold_status, murcko, generic per row; acyclic rows carry the no-scaffold label."""
-    s = df.withColumn("_s", kernels.scaffolds(F.col(smiles)))
+    """scaffold_status, murcko, generic per row, worked out per distinct text; acyclic rows carry the no-scaffold label."""
+    s = by_text(df, smiles, lambda texts: texts.withColumn("_s", kernels.scaffolds(F.col(smiles))))
     name = lambda c: F.when(F.col("_s.status") == "acyclic", NO_SCAFFOLD).otherwise(F.col(f"_s.{c}"))
     return s.withColumns({"scaffold_status": F.col("_s.status"), "murcko": name("murcko"), "generic": name("generic")}).drop("_s")
 

@@ -55,7 +55,9 @@ def search(df: DataFrame, smiles: str, query: str, mode: str = "substructure", t
         out = df.withColumn("_h", hits).where(F.size("_h") > 0)
         return out.withColumn("highlight_atoms", F.array_join(F.transform(F.col("_h")[0]["atoms"], lambda i: i.cast("string")), ",")).drop("_h")
     if mode == "superstructure":
-        return df.where(kernels.contained_in(F.col(smiles), q))
+        from compoundry.chem.facts import by_text
+
+        return by_text(df, smiles, lambda texts: texts.withColumn("_in", kernels.contained_in(F.col(smiles), q))).where("_in").drop("_in")
     if mode == "exact":
         return df.where(kernels.canonical(F.col(smiles)) == F.lit(q))
     from compoundry.chem.facts import circular_bits, with_structure

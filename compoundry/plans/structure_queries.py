@@ -10,6 +10,7 @@ from compoundry.plans import inputs
 from compoundry.plans.fragment_queries import FORMULAS_SQL, PATHS_SQL, SHELLS_SQL
 from compoundry.plans.inputs import MOLECULES_SQL, spread, table
 from compoundry.plans.registry import query
+from compoundry.session import reliable_checkpoint
 
 HEAVY = r"len(regexp_extract_all(smiles, '\[[^\]]*\]|Br|Cl|[BCNOSPFIbcnops]'))"
 VALID = "smiles not in ('', 'C1CC(')"
@@ -29,13 +30,17 @@ def parse_status(spark, sf):
     return m.groupBy(F.col("mol.error").alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_facts(spark, sf):
+    return facts.by_text(molecules(spark, sf), "smiles", lambda t: facts.facts(facts.with_structure(t, "smiles")).drop("mol"))
+
+
 @query("ch3_compact_descriptors", f"""with {MOLECULES_SQL} select row_index, {HEAVY} as heavy_atoms, len(string_split(smiles, '.')) as n_fragments,
    len(regexp_extract_all(regexp_replace(smiles, '\\[[^\\]]*\\]', '', 'g'), '[0-9]')) // 2 as n_rings,
    {HEAVY} - len(regexp_extract_all(replace(smiles, 'Cl', 'X'), '[Cc]')) as n_hetero_atoms,
    len(regexp_extract_all(smiles, '[bcnops]')) as aromatic_atoms, contains(smiles, '13C')::int as has_isotope, contains(smiles, 'Na')::int as has_metal
  from molecules where {VALID}""".replace("replace(smiles, 'Cl', 'X'), '[Cc]'", "replace(replace(smiles, 'Cl', 'X'), 'Na', 'X'), '[Cc]'").replace("len(regexp_extract_all(smiles, '[bcnops]'))", "len(regexp_extract_all(replace(replace(replace(smiles, 'Cl', 'X'), 'Br', 'X'), 'Na', 'X'), '[bcnops]'))"))
 def compact_descriptors(spark, sf):
-    m = facts.facts(facts.with_structure(molecules(spark, sf), "smiles")).where("ok_parse")
+    m = with_facts(spark, sf).where("ok_parse")
     i = lambda c: F.col(c).cast("int").alias(c)
     return m.select("row_index", "heavy_atoms", "n_fragments", "n_rings", "n_hetero_atoms", "aromatic_atoms", i("has_isotope"), i("has_metal"))
 
@@ -48,7 +53,7 @@ MASS = """case e when 0 then 17.007 when 1 then 16.023 when 2 then 45.017 when 3
    when 3 then 127.166 when 4 then 84.142 when 5 then 67.067 else case when e = 7 and chain = 0 then 0 else 1.008 end end
    + case when contains(smiles, 'Na') then 58.44 when contains(smiles, '13C') then 17.032 when contains(smiles, '.') then 18.015 else 0 end, 4)::double as molecular_weight from rings where {VALID}""")
 def molecular_weight(spark, sf):
-    m = facts.facts(facts.with_structure(molecules(spark, sf), "smiles")).where("ok_parse")
+    m = with_facts(spark, sf).where("ok_parse")
     return m.select("row_index", F.round("molecular_weight", 4).alias("molecular_weight"))
 
 
@@ -59,7 +64,8 @@ TPSA = """case when e = 0 then case when chain = 0 and row_index % 7 = 6 then 31
 
 
 def with_surface(spark, sf):
-    return facts.with_polar_surface(facts.facts(facts.with_structure(molecules(spark, sf), "smiles"))).where("ok_parse")
+    work = lambda t: facts.with_polar_surface(facts.facts(facts.with_structure(t, "smiles"))).drop("mol")
+    return facts.by_text(molecules(spark, sf), "smiles", work).where("ok_parse")
 
 
 @query("ch3_tpsa", f"with {PARTS_SQL} select row_index, round({TPSA}, 4)::double as tpsa from rings where {VALID}")
@@ -81,10 +87,12 @@ def veber_from_structures(spark, sf):
  where {VALID} and not (chain = 0 and row_index % 7 = 6 and e in (0, 1, 7)) and smiles not like '%.O' and smiles not like '%Na%'""")
 def contribution_sums(spark, sf):
     """The published surface table, with nought for carbon and the other atoms, as a supplied one."""
-    m = facts.with_structure(molecules(spark, sf), "smiles").where(~F.col("smiles").contains("[Na+]"))
+    rows = molecules(spark, sf).select("row_index", "smiles").where(~F.col("smiles").contains("[Na+]"))
+    m = reliable_checkpoint(facts.with_structure(facts.texts_of(rows, "smiles"), "smiles"))
     rest = m.where("mol.ok").select(F.explode(facts.atom_environments()).alias("environment")).distinct().where(~F.substring("environment", 1, 1).isin("N", "n", "O", "o"))
     table_ = spark.createDataFrame(list(facts.POLAR_SURFACE.items()), "environment string, contribution double").unionAll(rest.withColumn("contribution", F.lit(0.0)))
-    out = facts.contribution_sums(m, "row_index", table_)
+    sums = facts.contribution_sums(m, "smiles", table_)
+    out = facts.by_text(rows, "smiles", lambda t: t.join(sums, "smiles"))
     return out.where(F.col("value").isNotNull()).select("row_index", F.round("value", 4).alias("value"))
 
 
@@ -109,8 +117,9 @@ def conversion_report(spark, sf):
 
 
 def quality_table(spark, sf):
-    m = facts.facts(facts.with_structure(molecules(spark, sf), "smiles"))
-    return quality.quality_control(m.withColumn("duplicate_key", F.coalesce(kernels.canonical(F.col("smiles")), F.lit(""))))
+    key = F.coalesce(kernels.canonical(F.col("smiles")), F.lit(""))
+    m = facts.by_text(molecules(spark, sf), "smiles", lambda t: facts.facts(facts.with_structure(t, "smiles")).withColumn("duplicate_key", key))
+    return quality.quality_control(m)
 
 
 @query("ch13_structure_issues", f"""with {MOLECULES_SQL} select code, n_rows from (
@@ -129,7 +138,7 @@ def structure_issues(spark, sf):
 
 @query("ch12_standardized_structures", f"""with {MOLECULES_SQL} select count(*) filter ({VALID}) as n_ok, count(*) filter (contains(smiles, '.')) as n_stripped from molecules""")
 def standardized(spark, sf):
-    m = molecules(spark, sf).withColumn("std", kernels.standardize(F.col("smiles"), "qsar_ready"))
+    m = facts.by_text(molecules(spark, sf), "smiles", lambda t: t.withColumn("std", kernels.standardize(F.col("smiles"), "qsar_ready")))
     return m.agg(F.count_if("std.ok").alias("n_ok"), F.count_if(F.col("std.log").contains("LargestFragmentChooser")).alias("n_stripped"))
 
 
@@ -209,13 +218,15 @@ def r_groups(spark, sf):
 
 @query("ch11_path_fragments", PATHS_SQL)
 def path_fragments(spark, sf):
-    f = facts.path_fragments(facts.with_structure(molecules(spark, sf), "smiles"), ["row_index"])
-    return facts.fragment_vocabulary(f, 5)
+    texts = reliable_checkpoint(facts.with_structure(facts.texts_of(molecules(spark, sf), "smiles"), "smiles"))
+    f = facts.path_fragments(texts, ["smiles", "n_rows"])
+    return facts.fragment_vocabulary(f, 5, "n_rows")
 
 
 @query("ch11_shell_fragments", SHELLS_SQL)
 def shell_fragments(spark, sf):
-    return facts.fragment_vocabulary(facts.shell_fragments(facts.with_structure(molecules(spark, sf), "smiles"), ["row_index"]), 2)
+    texts = reliable_checkpoint(facts.with_structure(facts.texts_of(molecules(spark, sf), "smiles"), "smiles"))
+    return facts.fragment_vocabulary(facts.shell_fragments(texts, ["smiles", "n_rows"]), 2, "n_rows")
 
 
 def circular(spark, sf):

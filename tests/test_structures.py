@@ -392,3 +392,25 @@ def test_unknown_stereo_is_an_issue(spark):
     assert got == {1: ("", "OK"), 2: ("STEREO_COMPUTATION_FAILED", "WARNING"), 3: ("UNASSIGNED_CHIRAL_STEREO", "WARNING"), 4: ("INVALID_STRUCTURE", "ERROR")}
     without = quality.quality_control(df.drop("unassigned_chiral_centers"))
     assert without.where("ok_parse and severity <> 'OK'").count() == 0
+
+
+def test_work_is_done_once_per_distinct_text(spark):
+    from pyspark.sql import functions as F
+
+    from compoundry.chem import facts
+
+    rows = [(i, t) for i, t in enumerate(["CCO", "c1ccccc1", "CCO", None, "", "CCO", None, "C1CC("])]
+    df = spark.createDataFrame(rows, "id long, smiles string")
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def length(t):
+        met.add(1)
+        return None if t is None else len(t)
+
+    out = facts.by_text(df, "smiles", lambda texts: texts.withColumn("n", length("smiles")))
+    assert out.columns == ["id", "smiles", "n"]
+    assert {r["id"]: r["n"] for r in out.collect()} == {i: None if t is None else len(t) for i, t in rows} and met.value == 5
+    texts = facts.with_structure(facts.texts_of(df, "smiles"), "smiles")
+    once = facts.fragment_vocabulary(facts.path_fragments(texts, ["smiles", "n_rows"]), 1, "n_rows")
+    assert once.collect() == facts.fragment_vocabulary(facts.path_fragments(facts.with_structure(df, "smiles"), ["id"]), 1).collect()
