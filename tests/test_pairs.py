@@ -477,3 +477,22 @@ def test_long_vectors_within_are_exact(spark, shift):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
     want = {(i, j) for i in range(150) for j in range(i + 1, 150) if ((x[i] - x[j]) ** 2).sum() <= 9}
     assert {(r["i"], r["j"]) for r in within(df, None, "id", "x", 3.0).collect()} == want
+
+
+@pytest.mark.parametrize("log_scale", [False, True])
+def test_cliffs_of_frequent_bits_leave_no_pairs(spark, data, monkeypatch, log_scale):
+    monkeypatch.setattr(similarity, "frequent_bits", lambda *_: True)
+    monkeypatch.setattr(similarity, "class_pairs", None)  # the pairs of classes may not be made
+    for limit in (5, 40, 100000):
+        test_cliffs(data, limit, log_scale)
+
+
+def test_row_pairs_without_copies_are_not_joined_again(data, monkeypatch):
+    rows, df = data
+    monkeypatch.setattr(similarity, "with_class", None)
+    first = {}
+    for i, bits, _ in rows:
+        first.setdefault(tuple(sorted(bits)), i)
+    alone = set(first.values())
+    got = {(r["id_a"], r["id_b"]) for r in similarity.row_pairs(df.where(F.col("id").isin(sorted(alone))), "fp", "id", 0.5).collect()}
+    assert got == {p for p in brute_pairs(rows, 0.5) if set(p) <= alone}
