@@ -164,20 +164,37 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _joined(held: list[tuple]) -> list[np.ndarray]:
+    """Columns of the held pieces, which are let go: at no time are all columns there twice."""
+    columns = [list(x) for x in zip(*held, strict=True)]
+    held.clear()
+    for i, c in enumerate(columns):
+        columns[i] = np.concatenate(c)
+        c.clear()
+    return columns
+
+
+def _picked(columns: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
+    """The columns in a new order."""
+    for i in range(len(columns)):
+        columns[i] = columns[i][at]
+    return columns
+
+
 def _deal_pairs(v: Vocabulary):
     """mapInArrow: texts to packed pair occurrences per group: words b, their a, documents, times."""
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        a, b, doc, train = (np.concatenate(x) for x in zip(*held, strict=True))
+        a, b, doc, train = _joined(held)
         a, b = v.code(a), v.code(b)
         salt = np.zeros(len(b), np.uint64)
         hot = b < np.uint64(len(v.salts))
         salt[hot] = C.mix(a[hot]) % v.salts[b[hot].astype(np.int64)]
         part = (C.mix(b * np.uint64(C.WORD_BASE) + salt) % np.uint64(v.groups)).astype(np.int32)
         order = np.lexsort((doc, a, b, part))
-        a, b, doc, train, part = a[order], b[order], doc[order], train[order], part[order]
+        a, b, doc, train, part = _picked([a, b, doc, train, part], order)
         entry = _runs(part, b, a, doc)
         times = np.diff(np.append(entry, len(a)))
-        a, b, doc, train, part = a[entry], b[entry], doc[entry], train[entry], part[entry]
+        a, b, doc, train, part = _picked([a, b, doc, train, part], entry)
         out: list[tuple] = []
         for p, lo, hi in C.pieces(part):
             pair = _runs(b[lo:hi], a[lo:hi])
@@ -231,53 +248,61 @@ def _count_pairs(v: Vocabulary):
                                            pa.array([x for _, x in got], pa.binary()), *[pa.array(h, pa.int64()) for h in hist]], names)
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, doc, train, times = [], [], [], [], []
+        held = []
         for batch in batches:
-            for r in batch.to_pylist():
-                pair_b = np.repeat(_get_words(r["b"]), _get(r["nb"], 1)[0])
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in ("b", "nb", "a", "na", "docs", "ids")}
                 na = _get(r["na"], 1)[0]
                 index, count = _get(r["docs"], 2)
                 steps, flags = _get(r["ids"], 2)
-                a.append(np.repeat(_get_words(r["a"]), na))
-                b.append(np.repeat(pair_b, na))
-                doc.append(np.cumsum(steps)[index])
-                train.append(flags[index])
-                times.append(count)
-        a, b, doc, train, times = (np.concatenate(x) for x in (a, b, doc, train, times))
-        order = np.lexsort((a, b))
-        a, b, doc, train, times = a[order], b[order], doc[order], train[order], times[order]
-        pair, word = _runs(b, a), _runs(b)
-        r = np.add.reduceat(times * train, pair)
-        c = np.add.reduceat(times * train, word)
+                held.append((np.repeat(_get_words(r["a"]), na), np.repeat(np.repeat(_get_words(r["b"]), _get(r["nb"], 1)[0]), na),
+                             np.cumsum(steps)[index], flags[index].astype(bool), count.astype(np.int32)))
+        columns = _joined(held)
+        ids, doc = np.unique(columns[2], return_inverse=True)
+        columns[2] = doc.astype(np.int32)
+        del doc
+        order = np.lexsort(columns[:2])
+        a, b, doc, train, times = _picked(columns, order)
+        del columns, order
+        pair = _runs(b, a)
+        of_pair = np.diff(np.append(pair, len(a))).astype(np.int32)
+        r = np.add.reduceat(times * train, pair, dtype=np.int64)
+        a, b = a[pair], b[pair]
+        del train, pair
+        word = _runs(b)
+        c = np.add.reduceat(r, word)
         known = b[word] < np.uint64(len(v.counts))
         c[known] = v.counts[b[word][known].astype(np.int64)]
-        of_pair = np.diff(np.append(pair, len(a)))
-        c_pair = np.repeat(c, np.diff(np.append(np.searchsorted(pair, word), len(pair))))
+        c = np.repeat(c, np.diff(np.append(word, len(b))))
         # the bigram table and the context sums: followers by their count and by their word's count
         seen = r > 0
         hist = np.bincount(np.minimum(r[seen], K + 2), minlength=K + 3)
-        yield rows(2, b[pair][seen].view(np.int64), [b[pair][seen].view(np.int64), a[pair][seen].view(np.int64), r[seen]], [int(x) for x in hist[1 : K + 2]])
-        ctx, where = np.unique(a[pair][seen], return_inverse=True)
-        rs, cs = r[seen], c_pair[seen]
-        sums = [np.bincount(where[rs == k], minlength=len(ctx)) for k in range(1, K + 1)]
-        sums.append(np.bincount(where, weights=np.where(rs > K, rs, 0), minlength=len(ctx)).astype(np.int64))
-        sums += [np.bincount(where[cs == k], minlength=len(ctx)) for k in range(1, K + 1)]
-        sums.append(np.bincount(where, weights=np.where(cs > K, cs, 0), minlength=len(ctx)).astype(np.int64))
+        columns = [b[seen].view(np.int64), a[seen].view(np.int64), r[seen]]
+        yield rows(2, columns[0], columns, [int(x) for x in hist[1 : K + 2]])
+        ctx, where = np.unique(a[seen], return_inverse=True)
+        columns = [ctx.view(np.int64)]
+        for n in (r[seen], c[seen]):
+            columns += [np.bincount(where[n == k], minlength=len(ctx)) for k in range(1, K + 1)]
+            columns.append(np.bincount(where, weights=np.where(n > K, n, 0), minlength=len(ctx)).astype(np.int64))
+        del where, n
         if len(ctx):
-            yield rows(1, ctx, [ctx.view(np.int64), *sums])
+            yield rows(1, ctx, columns)
+        del ctx, columns
         # the document sums: tokens, known ones, base, score without discounts 1..K and without alpha
-        r_tok, c_tok = np.repeat(r, of_pair), np.repeat(c_pair, of_pair)
+        # (terms are made per pair and spread over its documents one at a time)
         with np.errstate(divide="ignore"):
-            value = np.where(r_tok > K, np.log10(np.maximum(r_tok, 1) * KEEP_LARGE), 0.0) + np.where(r_tok == 0, np.log10(v.word_probability(c_tok)), 0.0)
-            value -= np.where((b != end_code(v)) & (c_tok > 0), np.log10(np.maximum(c_tok, 1)), 0.0)
-        ids, at = np.unique(doc, return_inverse=True)
-        add = lambda w: np.bincount(at, weights=w, minlength=len(ids))
-        columns = [ids, add(times), add(times * (c_tok > 0)), np.rint(add(times * np.log10(c_tok + 1.0)) * SCALE), np.rint(add(times * value) * SCALE)]
-        columns += [add(times * (r_tok == k)) for k in range(1, K + 1)]
+            value = np.where(r > K, np.log10(np.maximum(r, 1) * KEEP_LARGE), 0.0) + np.where(r == 0, np.log10(v.word_probability(c)), 0.0)
+            value -= np.where((b != end_code(v)) & (c > 0), np.log10(np.maximum(c, 1)), 0.0)
+        del b
+        add = lambda of: np.bincount(doc, weights=np.repeat(of, of_pair) * times, minlength=len(ids))
+        columns = [ids, np.bincount(doc, weights=times, minlength=len(ids)), add(c > 0), np.rint(add(np.log10(c + 1.0)) * SCALE), np.rint(add(value) * SCALE)]
+        columns += [add(r == k) for k in range(1, K + 1)]
         yield rows(0, ids, [x.astype(np.int64) for x in columns])
-        none = r_tok == 0
+        del c, value, columns
+        none = np.repeat(r == 0, of_pair)
         if none.any():
-            yield rows(3, a[none], [doc[none], a[none].view(np.int64), times[none]])
+            a = np.repeat(a[r == 0], of_pair[r == 0])
+            yield rows(3, a, [ids[doc[none]], a.view(np.int64), times[none]])
     return run
 
 

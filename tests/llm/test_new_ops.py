@@ -290,3 +290,26 @@ def test_scratch_tables_go_and_those_that_outlive_stay(spark):
     with pytest.raises(Exception):
         spark.read.parquet(gone.inputFiles()[0]).count()
     assert common.free_name(["_a", "__A"], "_a") == "___a" and common.free_name([], "x") == "x"
+
+
+def test_katz_group_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from compoundry.llm import katz
+
+    v = katz.Vocabulary(0, 0, 1.0, katz.discounts([0] * 6), np.zeros(0, np.uint64), np.zeros(0, np.int64), 16)
+    words = np.random.default_rng(3).integers(0, 90_000, (400, 1000))
+    texts = [" ".join(f"w{i}" for i in row) for row in words]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts), pa.array([i % 7 != 2 for i in range(400)])], ["id", "text", "train"])
+    dealt = list(katz._deal_pairs(v)(iter([batch])))
+    tracemalloc.start()
+    try:
+        made = list(katz._count_pairs(v)((0,), iter(dealt)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    sums = [katz._get(x, 10) for m in made for kind, x in zip(m.column("kind").to_pylist(), m.column("blob").to_pylist(), strict=True) if kind == 0]
+    assert sum(int(s[1].sum()) for s in sums) == 400 * 1001
+    assert peak < 140 * 400 * 1001
