@@ -51,6 +51,7 @@ SLICE_CHARS = 2_000_000
 NOTHING = -(1 << 40)
 SLOT_MASK = np.uint64((1 << 20) - 1)
 SLOT_SHIFT, OTHER_SHIFT = np.uint64(44), np.uint64(20)
+BEGIN_SHIFT = np.uint64(42)
 
 Alternatives = list[tuple]
 
@@ -90,6 +91,11 @@ class Pieces:
         self.others[(self.keys[lost] >> OTHER_SHIFT) & SLOT_MASK] = lost
         if (self.find(self.keys) != np.arange(len(self.keys))).any():
             raise ValueError("the vocabulary is too large for its tables")
+        # whether a piece may begin with a text, by bits of its hash: a lookup goes on only from such texts
+        size = np.array([len(x) for x in codes], np.int64)
+        first, long = np.repeat(ends - size, size), np.arange(int(size.sum())) - np.repeat(ends - size, size) + 1
+        self.begins = np.zeros(1 << (64 - int(BEGIN_SHIFT)), bool)
+        self.begins[C.range_hashes(flat, first, first + long, C.WORD_BASE) >> BEGIN_SHIFT] = True
         self.byte_ids = np.array([self.bytes.get(b, -1) for b in range(256)], np.int64)
         self.texts = [bytes([self.byte_of[i]]) if i in self.byte_of else x.encode() for i, x in enumerate(self.pieces)]
 
@@ -177,27 +183,34 @@ class Pieces:
             piece = np.full((length + 1, len(who)), -1, np.int64)
             b1[0] = 0
             for i in range(length):
-                here = at + i
-                inverse = down[here]
-                single = None
+                here, live = at + i, np.arange(len(who))
+                base, inverse = sums[here], down[here]
                 for step in range(1, min(self.longest, length - i) + 1):
-                    found = self.find(C.mix((sums[here + step] - sums[here]) * inverse + np.uint64(step)))
-                    ok = found >= 0
-                    score, number = np.where(ok, self.ordered_scores[found], -np.inf), np.where(ok, self.ordered_ids[found], -1)
-                    if step == 1 and not ok.all():
-                        code = codes[here].astype(np.int64)
-                        raw = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
-                        score, number, ok = np.where(ok, score, self.worst * raw), np.where(ok, number, -1 - code), np.ones(len(ok), bool)
-                    if step > 1 and not ok.any():
-                        continue
-                    with np.errstate(invalid="ignore"):
-                        c1, c2 = b1[i] + score, b2[i] + score
-                    o1, o2 = b1[i + step], b2[i + step]
+                    hashes = C.mix((sums[here + step] - base) * inverse + np.uint64(step))
+                    open_ = self.begins[hashes >> BEGIN_SHIFT]
+                    if step == 1:
+                        found, to = self.find(hashes), live
+                        ok = found >= 0
+                        score, number = self.ordered_scores[found], self.ordered_ids[found]
+                        if not ok.all():
+                            code = codes[here].astype(np.int64)
+                            score, number = np.where(ok, score, self.worst * self.raw_bytes(code)), np.where(ok, number, -1 - code)
+                        here, base, inverse, live = here[open_], base[open_], inverse[open_], live[open_]
+                    else:
+                        here, base, inverse, live = here[open_], base[open_], inverse[open_], live[open_]
+                        found = self.find(hashes[open_])
+                        ok = found >= 0
+                        to, found = live[ok], found[ok]
+                        score, number = self.ordered_scores[found], self.ordered_ids[found]
+                    c1, c2 = b1[i, to] + score, b2[i, to] + score
+                    o1, o2 = b1[i + step, to], b2[i + step, to]
                     better = c1 > o1
-                    b2[i + step] = np.where(better, np.maximum(o1, c2), np.maximum(c1, o2))
-                    b1[i + step] = np.where(better, c1, o1)
-                    back[i + step] = np.where(better, step, back[i + step])
-                    piece[i + step] = np.where(better, number, piece[i + step])
+                    b2[i + step, to] = np.where(better, np.maximum(o1, c2), np.maximum(c1, o2))
+                    b1[i + step, to] = np.where(better, c1, o1)
+                    win = to[better]
+                    back[i + step, win], piece[i + step, win] = step, number[better]
+                    if not len(live):
+                        break
             best[who], loss[who] = b1[length], b1[length] - b2[length]
             # walk back all units together; a unit that is done stays at node 0
             node, rows, column = np.full(len(who), length), [], np.arange(len(who))
@@ -212,19 +225,24 @@ class Pieces:
         order = np.argsort(owner, kind="stable")
         return best, loss, np.concatenate(flats)[order], np.bincount(owner, minlength=len(starts))
 
+    @staticmethod
+    def raw_bytes(code: np.ndarray) -> np.ndarray:
+        """UTF-8 bytes of code points."""
+        return 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+
     def with_bytes(self, ids: np.ndarray) -> np.ndarray:
         """Fallback characters as the ids of their bytes."""
         if not (ids < 0).any():
             return ids
         code = np.where(ids < 0, -1 - ids, 0)
-        raw = np.where(ids < 0, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF), 1)
+        raw = self.raw_bytes(code)
         first = np.cumsum(raw) - raw
         out = np.repeat(ids, raw)
-        ascii_only = (ids < 0) & (code < 128)
-        out[first[ascii_only]] = self.byte_ids[code[ascii_only]]
-        for c in np.unique(code[(ids < 0) & ~ascii_only]):
-            for k, byte in enumerate(chr(int(c)).encode()):
-                out[first[(ids < 0) & (code == c)] + k] = self.bytes[byte]
+        for n, lead in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):
+            mine = (ids < 0) & (raw == n)
+            for k in range(n):
+                part = code[mine] >> (6 * (n - 1 - k))
+                out[first[mine] + k] = self.byte_ids[lead | part if k == 0 else 0x80 | (part & 0x3F)]
         return out
 
     def encode(self, texts: list[str], n: int) -> list[Alternatives]:
@@ -245,6 +263,10 @@ class Pieces:
         key = C.range_hashes(C.mix(codes.astype(np.uint64)), starts, ends, C.BYTE_BASE)
         _, first, kind = np.unique(key, return_index=True, return_inverse=True)
         best, loss, ids, count = self.forward(codes, starts[first], ends[first])
+        # fallback characters become bytes once per distinct unit
+        raw = np.where(ids < 0, self.raw_bytes(-1 - ids), 1)
+        count = np.bincount(np.repeat(np.arange(len(count)), count), weights=raw, minlength=len(count)).astype(np.int64)
+        ids = self.with_bytes(ids)
         offset = np.cumsum(count) - count
         per_text = np.searchsorted(starts, edge)
         for t, i in enumerate(full):
@@ -254,7 +276,7 @@ class Pieces:
             sizes = count[k]
             here = np.cumsum(sizes) - sizes
             flat = ids[np.repeat(offset[k] - here, sizes) + np.arange(int(sizes.sum()))]
-            out[i] = [(total, self.with_bytes(flat))]
+            out[i] = [(total, flat)]
             if n == 1:
                 continue
             m = min(n - 1, hi - lo)
@@ -263,7 +285,7 @@ class Pieces:
             lists = {}
             for u in close:
                 text = "".join(map(chr, codes[starts[lo + u] : ends[lo + u]]))
-                own = tuple(self.with_bytes(ids[offset[k[u]] : offset[k[u]] + count[k[u]]]).tolist())
+                own = tuple(ids[offset[k[u]] : offset[k[u]] + count[k[u]]].tolist())
                 lists[int(u)] = self.alternatives(text, own, n)
             combos: list[tuple[float, tuple]] = [(0.0, ())]
             for u, a in lists.items():
@@ -274,7 +296,7 @@ class Pieces:
                 for u, j in changes:
                     parts += [flat[at : here[u]], np.array(lists[u][j][1], np.int64)]
                     at = here[u] + sizes[u]
-                out[i].append((total - lost, self.with_bytes(np.concatenate([*parts, flat[at:]]))))
+                out[i].append((total - lost, np.concatenate([*parts, flat[at:]])))
         return out
 
     def nbest(self, text: str, n: int) -> Alternatives:

@@ -73,3 +73,22 @@ def test_as_many_pieces_as_the_model(spark, path):
     got = piece_nbest.encode_nbest(docs, path, 1, form="best", weights=piece_nbest.piece_weights(docs, path))
     n = got.agg(F.sum("_n_pieces")).first()[0]
     assert abs(n / sum(map(len, own)) - 1) < 0.05
+
+
+def test_lookups_end_where_no_piece_goes_on(path, monkeypatch):
+    p = piece_nbest.Pieces(path)
+    asked = []
+    monkeypatch.setattr(p, "find", lambda h, find=p.find: (asked.append(len(h)), find(h))[1])
+    words = ["".join(chr(97 + (7 * i + 5 * j * j) % 26) for j in range(20)) for i in range(26)]
+    got = p.encode([" ".join(words)], 2)[0]
+    every = 26 * sum(min(p.longest, 21 - i) for i in range(21))
+    assert sum(asked) < every / 2
+    assert p.decode(got[0][1].tolist()) == " ".join(words) and got[0][0] >= got[1][0]
+
+
+def test_fallback_bytes_of_units_met_again(path):
+    p = piece_nbest.Pieces(path)
+    text = "\U0001f9ff\x01 ꙮx \U0001f9ff\x01 ꙮx ߷"
+    got = p.encode([text, text[::-1]], 3)
+    for t, lists in zip((text, text[::-1]), got, strict=True):
+        assert all(p.decode(i.tolist()) == t for _, i in lists)
