@@ -63,7 +63,15 @@ def _cross_products(rows: DataFrame, cols: list[str], mean: np.ndarray, by: str
             for i in range(p):
                 yield pd.DataFrame({"g": [g], "i": [i], "n": [n], "s": [s[i]], "row": [xtx[i].tolist()]})
 
-    parts = rows.mapInPandas(block, "g int, i int, n bigint, s double, row array<double>")
+    return summed_blocks(rows.mapInPandas(block, BLOCK_SCHEMA), p)
+
+
+#: One row of a partial Gram block: group, row number, rows counted, sum, products with all columns.
+BLOCK_SCHEMA = "g int, i int, n bigint, s double, row array<double>"
+
+
+def summed_blocks(parts: DataFrame, p: int) -> dict:
+    """Count, sums and products per group, from rows of ``BLOCK_SCHEMA`` added up on the cluster."""
     head = parts.groupBy("g", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     body = (parts.select("g", "i", F.posexplode("row").alias("j", "v")).groupBy("g", "i", "j")
             .agg(F.sum("v").alias("v")))
@@ -93,15 +101,18 @@ def moments(df: DataFrame, cols: list[str], by: str | None = None):
         groups = _cross_sql(rows, safe, mean, "_g" if by else None)
     else:
         groups = _cross_products(rows, safe, mean, "_g" if by else None)
-    def finish(n, s, m):
-        shift = s / max(n, 1)
-        return Moments(list(cols), n, mean + shift, m - n * np.outer(shift, shift))
-    done = {g: finish(*v) for g, v in groups.items()}
+    done = {g: centred(cols, mean, *v) for g, v in groups.items()}
     if by:
         return done
     return done.get(0, Moments(list(cols), 0, mean, np.zeros((len(cols), len(cols)))))
 
 
+def centred(cols: list[str], around: np.ndarray, n: int, s: np.ndarray, m: np.ndarray) -> Moments:
+    """Moments from the count, sums and products of values around any point."""
+    shift = s / max(n, 1)
+    return Moments(list(cols), n, around + shift, m - n * np.outer(shift, shift))
+
+
 def _cross_sql(rows: DataFrame, cols: list[str], mean: np.ndarray, by: str | None) -> dict:
     """The same products as plain sums: stays in generated code for few features."""
     x = [F.col(c) - F.lit(float(m)) for c, m in zip(cols, mean)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,3 +41,18 @@ def permuted(place: Column, n: int, key: Column) -> Column:
     first = _network(place.cast("bigint"), side, key.cast("bigint"))
     again = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda at, _: F.when(at < n, at).otherwise(_network(at, side, key.cast("bigint"))))
     return F.when(first < n, first).otherwise(again)
+
+
+def returned(place: np.ndarray, n: int, key: int) -> np.ndarray:
+    """Rows that ``permuted`` sends to these places (0 to n - 1): its inverse, as arrays."""
+    side = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    out = np.array(place, np.int64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = np.divmod(out[todo], side)
+        for k in range(ROUNDS, 0, -1):
+            mixed = (left * ROW + key * KEY + k * TURN) % PRIME
+            left, right = (right - mixed * mixed % OUTER) % side, left
+        out[todo] = left * side + right
+        todo = todo[out[todo] >= n]
+    return out

@@ -7,14 +7,17 @@ again.  Means and cross products of folds combine exactly.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from compoundry.functions import linalg
 from compoundry.functions.linalg import Moments
+from compoundry.functions.shuffle import returned
 from compoundry.operators.validation import adjusted_r2, aic_bic
 from compoundry.session import reliable_checkpoint
 
@@ -299,33 +302,132 @@ def coefficient_table(spark, m: Moments, x: list[int], y: int) -> DataFrame:
     return spark.createDataFrame(rows, "term string, coefficient double, std_error double, t double, p_value double, vif double")
 
 
+def _numbered(df: DataFrame, keep: list[str], target: str, ident: str) -> DataFrame:
+    """``ident``, ``keep``, the target and ``_i``, the row number by id from 0 on, written once."""
+    from compoundry.functions.skew import with_range_rank
+
+    rows = with_range_rank(df.select(ident, *keep, target), [F.col(ident)], "_i").withColumn("_i", F.col("_i") - 1)
+    return reliable_checkpoint(rows)
+
+
+def _key(run, seed: int):
+    return run + int(seed) * 1_000_003
+
+
 def permuted_targets(df: DataFrame, keep: list[str], target: str, ident: str, n_permutations: int, seed: int = 0) -> DataFrame:
     """``ident``, ``keep``, ``_run`` (from 1 on) and the target of the row that this row is dealt in that run."""
     from compoundry.functions.shuffle import permuted
-    from compoundry.functions.skew import with_range_rank
 
-    rows = with_range_rank(df.select(ident, *keep, target), [F.col(ident)], "_i").withColumn("_i", F.col("_i") - 1)
-    rows = reliable_checkpoint(rows)
+    rows = _numbered(df, keep, target, ident)
     n = rows.count()
     runs = rows.drop(target).withColumn("_run", F.explode(F.sequence(F.lit(1), F.lit(int(n_permutations)))))
-    place = permuted(F.col("_i"), n, F.col("_run") + F.lit(int(seed)) * 1_000_003)
+    place = permuted(F.col("_i"), n, _key(F.col("_run"), seed))
     return runs.withColumn("_i", place).join(rows.select("_i", target), "_i").drop("_i")
 
 
+#: Row numbers of one block times runs: what a task of the permutation test holds of dealt targets.
+DEALT = 5_000_000
+DEAL_ROWS = 400_000
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of numbers by significance, so that the exchange compresses what they share."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _unplaned(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _deal_targets(n: int, runs: int, seed: int, block: int):
+    """mapInArrow on (_i, _y): per run and block of row numbers, the targets dealt to it, packed."""
+    def deal(place: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for run in range(1, runs + 1):
+            row = returned(place, n, _key(run, seed))
+            order = np.argsort(row)
+            row, dealt = row[order], y[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(row // block)) + 1, [len(row)]])
+            ends = list(zip(cuts[:-1], cuts[1:], strict=True))
+            steps = [np.diff(row[a:b], prepend=row[a] // block * block).astype("<u4") for a, b in ends]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row[cuts[:-1]] // block, pa.int64()), pa.array([run] * len(ends), pa.int32()),
+                 pa.array([_planes(s) for s in steps], pa.binary()), pa.array([_planes(dealt[a:b]) for a, b in ends], pa.binary())],
+                ["_b", "_run", "_steps", "_y"])
+
+    def flow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype("<f8")))
+                size += batch.num_rows
+            if size >= DEAL_ROWS:
+                yield from deal(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            yield from deal(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    return flow
+
+
+def _dealt_blocks(mean: np.ndarray, k: int, block: int):
+    """applyInArrow on one block: its features and all targets dealt to it, as partial product blocks of run and fold."""
+    def run_block(rows: pa.Table, dealt: pa.Table) -> pa.Table:
+        at = rows.column("_i").to_numpy() % block
+        p = len(mean)
+        x = np.column_stack([rows.column(f"_x{j}").to_numpy() for j in range(p - 1)] + [np.zeros(len(at))]) - mean
+        fold = rows.column("_fold").to_numpy()
+        whole = ~np.isnan(x).any(1)
+        x, fold, at = x[whole], fold[whole], at[whole]
+        order = np.argsort(fold, kind="stable")
+        x, at, fold = x[order], at[order], fold[order]
+        edge = np.searchsorted(fold, np.arange(k + 1))
+        by_run: dict[int, list] = {}
+        for run, steps, y in zip(*(dealt.column(c).to_pylist() for c in ("_run", "_steps", "_y")), strict=True):
+            by_run.setdefault(run, []).append((steps, y))
+        out: list[tuple] = []
+        y = np.empty(block)
+        for run, parts in by_run.items():
+            y.fill(np.nan)
+            for steps, values in parts:
+                y[np.cumsum(_unplaned(steps, "<u4").astype(np.int64))] = _unplaned(values, "<f8")
+            x[:, -1] = y[at] - mean[-1]
+            for f in range(k):
+                z = x[edge[f] : edge[f + 1]]
+                z = z[~np.isnan(z[:, -1])]
+                if len(z):
+                    products, sums = z.T @ z, z.sum(0)
+                    out += [(run * k + f, i, len(z), sums[i], products[i]) for i in range(p)]
+        columns = zip(*out, strict=True) if out else ([], [], [], [], [])
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["g", "i", "n", "s", "row"])
+    return run_block
+
+
 def permutation_test(df: DataFrame, features: list[str], target: str, ident: str, n_permutations: int = 20,
                      k: int = 5, seed: int = 0) -> dict:
     """Cross-validated R2 against shuffled targets; p = (hits + 1) / (permutations + 1).
 
-    Rows are numbered once, by id; every permutation is a keyed expression of the row number, so the shuffled
-    targets of all runs are one equi-join. All runs are reduced to fold product matrices in one job.
+    Rows are numbered once, by id. The targets of every run go, packed, to the block of row numbers that
+    holds the rows they are dealt to; features move once for all runs. All runs are reduced to fold product matrices in
+    one job.
     """
+    runs = int(n_permutations)
     everything = list(range(len(features)))
     observed = cross_validation(df, features, target, ident, k, seed).scores(everything)[0]
-    numbered = permuted_targets(df, [*features], target, ident, n_permutations, seed)
-    both = with_fold(numbered, ident, k, seed, "_fold")
-    groups = linalg.moments(both.withColumn("_g", F.col("_run") * k + F.col("_fold")), features + [target], by="_g")
+    rows = _numbered(df, features, target, ident)
+    number = lambda c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan")))
+    rows = with_fold(rows, ident, k, seed, "_fold").select(F.col("_i").cast("long").alias("_i"), "_fold", *[number(c).alias(f"_x{j}") for j, c in enumerate([*features, target])])
+    last = f"_x{len(features)}"
+    # any point near the means will do to keep large offsets from cancelling
+    kept = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    got = rows.agg(F.count(F.lit(1)), *[F.avg(kept(f"_x{j}")) for j in range(len(features) + 1)]).first()
+    n, around = int(got[0]), np.array([float(v) if v is not None else 0.0 for v in got[1:]])
+    block = max(4096, DEALT // max(1, runs))
+    dealt = rows.select("_i", last).mapInArrow(_deal_targets(n, runs, seed, block), "_b long, _run int, _steps binary, _y binary")
+    blocks = rows.drop(last).withColumn("_b", F.floor(F.col("_i") / F.lit(block)).cast("long"))
+    parts = blocks.groupBy("_b").cogroup(dealt.groupBy("_b")).applyInArrow(_dealt_blocks(around, k, block), linalg.BLOCK_SCHEMA)
+    groups = {g: linalg.centred([*features, target], around, *v) for g, v in linalg.summed_blocks(reliable_checkpoint(parts), len(features) + 1).items()}
     found = []
-    for r in range(1, int(n_permutations) + 1):
+    for r in range(1, runs + 1):
         folds = {f: groups[r * k + f] for f in range(k) if r * k + f in groups}
         found.append(CrossValidation(features, folds).scores(everything)[0])
     return {"q2_observed": observed, "q2_permuted": found, "p_value": (sum(q >= observed for q in found) + 1) / (len(found) + 1)}

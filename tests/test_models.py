@@ -246,3 +246,26 @@ def test_training_only_chain(spark):
         holdout.fit_chain(df.where("1 = 0"), names, "y", "id")
     with pytest.raises(ValueError, match="no feature"):
         holdout.fit_chain(df.where("split = 'train'"), ["flat", "text"], "y", "id")
+
+
+def test_permutation_equals_the_joined_targets(spark, monkeypatch):
+    from compoundry.functions import linalg, shuffle
+
+    rng = np.random.default_rng(8)
+    rows = [(7 * i, float(rng.normal()) if i % 13 else None, float(i % 5), float("nan") if i == 40 else None if i == 9 else 1e6 + float(rng.normal())) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double").repartition(5)
+    joined = regression.with_fold(regression.permuted_targets(df, ["a", "b"], "y", "id", 3, 2), "id", 5, 2, "_fold")
+    groups = linalg.moments(joined.withColumn("_g", F.col("_run") * 5 + F.col("_fold")), ["a", "b", "y"], by="_g")
+    want = [regression.CrossValidation(["a", "b"], {f: groups[5 * r + f] for f in range(5)}).scores([0, 1])[0] for r in (1, 2, 3)]
+    monkeypatch.setattr(regression, "DEALT", 3)
+    monkeypatch.setattr(regression, "DEAL_ROWS", 50)
+
+    def no_join(*_):
+        raise AssertionError("rows of all runs were joined")
+
+    monkeypatch.setattr(regression, "permuted_targets", no_join)
+    got = regression.permutation_test(df, ["a", "b"], "y", "id", 3, 5, 2)
+    assert got["q2_permuted"] == pytest.approx(want, abs=1e-9)
+    for n in (1, 2, 97, 1000, 12_345):
+        at = spark.range(n).select("id", shuffle.permuted(F.col("id"), n, F.lit(5)).alias("p")).toPandas()
+        assert (shuffle.returned(at["p"].to_numpy(), n, 5) == at["id"].to_numpy()).all()
