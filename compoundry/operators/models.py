@@ -69,11 +69,24 @@ def fit(df: DataFrame, key: str, features: list[str], target: str, params: dict
     make, defaults = TREE_MODELS[key]
     cols = [f"_f{i}" for i in range(len(features))]
     data = filled.select(*[F.col(f"`{c}`").alias(s) for c, s in zip(features, cols)], F.col(target).cast("double").alias("_label"))
-    model = make(featuresCol="_vector", labelCol="_label", predictionCol="_prediction", seed=seed, **{**defaults, **(params or {})})
+    settings = {**defaults, **(params or {})}
+    if key == "gradient_boosting" and settings.get("subsamplingRate", 1.0) == 1.0 and not {"weightCol", "lossType"} & set(settings):
+        data, settings = _by_vector(data, cols), {**settings, "weightCol": "_weight"}
+    model = make(featuresCol="_vector", labelCol="_label", predictionCol="_prediction", seed=seed, **settings)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_vector"), model]).fit(data)
     return Fitted(key, features, target, fills, pipeline=pipe)
 
 
+def _by_vector(data: DataFrame, cols: list[str]) -> DataFrame:
+    """One row per distinct feature vector: the mean label, weighted by its rows.
+
+    Boosting by squared error without subsampling fits the same trees to it: residuals differ from the label by a value of the
+    vector, and the spread of labels within a vector is no split's gain. Every round then reads as many rows as there
+    are vectors, not as there are rows. The candidates of a split come from a sample as before, now of the vectors by weight.
+    """
+    return reliable_checkpoint(data.groupBy(*cols).agg(F.avg("_label").alias("_label"), F.count(F.lit(1)).cast("double").alias("_weight")))
+
+
 def usable_features(df: DataFrame, target: str, ident: str, min_present: float = 0.7, drop_constant: bool = True) -> list[str]:
     """Numeric, non-provenance columns with enough values and some variation."""
     from compoundry.operators.domain import usable_columns

@@ -269,3 +269,19 @@ def test_permutation_equals_the_joined_targets(spark, monkeypatch):
     for n in (1, 2, 97, 1000, 12_345):
         at = spark.range(n).select("id", shuffle.permuted(F.col("id"), n, F.lit(5)).alias("p")).toPandas()
         assert (shuffle.returned(at["p"].to_numpy(), n, 5) == at["id"].to_numpy()).all()
+
+
+def test_boosting_reads_a_vector_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(int(a), int(b), float(3 * a - b * b + rng.normal())) for a, b in rng.integers(0, 6, (600, 2))]
+    df = spark.createDataFrame(rows, "a int, b int, y double")
+    seen = []
+    by_vector = models._by_vector
+    monkeypatch.setattr(models, "_by_vector", lambda d, c: (seen.append(by_vector(d, c)), seen[-1])[1])
+    settings = {"maxIter": 5, "maxDepth": 3}
+    grouped = models.fit(df, "gradient_boosting", ["a", "b"], "y", settings)
+    assert seen[0].count() == len({r[:2] for r in rows}) and seen[0].agg(F.sum("_weight")).first()[0] == 600
+    whole = models.fit(df, "gradient_boosting", ["a", "b"], "y", {**settings, "lossType": "squared"})
+    assert len(seen) == 1
+    pairs = grouped.predict(whole.predict(df, "p"), "q").collect()
+    assert [r["q"] for r in pairs] == pytest.approx([r["p"] for r in pairs], abs=1e-6)
