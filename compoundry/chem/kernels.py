@@ -62,7 +62,9 @@ def canonical(smiles: Column) -> Column:
     """Canonical text, null where unreadable."""
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(_each(s, graph.write), dtype=object)
+        codes, texts = pd.factorize(s, use_na_sentinel=True)
+        done = [graph.canonical(text.strip()) for text in texts]
+        return pd.Series([None if c < 0 else done[c] for c in codes], dtype=object)
 
     return run(smiles)
 

@@ -76,13 +76,7 @@ def read_smiles_lines(spark: SparkSession, path: str) -> DataFrame:
 def _block_smiles(block: Column) -> Column:
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        out = []
-        for t in s:
-            try:
-                out.append(graph.write(graph.from_molblock(t)))
-            except (ValueError, IndexError, KeyError):
-                out.append(None)
-        return pd.Series(out, dtype=object)
+        return pd.Series([graph.block_text(t) for t in s], dtype=object)
 
     return run(block)
 

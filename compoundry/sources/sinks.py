@@ -65,8 +65,8 @@ def _molblock(smiles: Column, name: Column) -> Column:
     def run(s: pd.Series, n: pd.Series) -> pd.Series:
         out = []
         for text_, label in zip(s, n):
-            mol = graph.cached(text_)
-            out.append(None if mol is None else graph.to_molblock(mol, label))
+            table = graph.table_of(text_)
+            out.append(None if table is None else label + table)
         return pd.Series(out, dtype=object)
 
     return run(smiles, name)

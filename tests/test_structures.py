@@ -414,3 +414,20 @@ def test_work_is_done_once_per_distinct_text(spark):
     texts = facts.with_structure(facts.texts_of(df, "smiles"), "smiles")
     once = facts.fragment_vocabulary(facts.path_fragments(texts, ["smiles", "n_rows"]), 1, "n_rows")
     assert once.collect() == facts.fragment_vocabulary(facts.path_fragments(facts.with_structure(df, "smiles"), ["id"]), 1).collect()
+
+
+def test_equal_tables_are_read_once(monkeypatch):
+    from compoundry.chem import graph
+
+    graph._table_text.cache_clear()
+    read = []
+    monkeypatch.setattr(graph, "from_molblock", lambda b, f=graph.from_molblock: (read.append(b), f(b))[1])
+    texts = ["CCO", "c1ccccc1C(=O)O", "[Na+].[Cl-]", "c1cc[nH]c1"]
+    for n in range(5):
+        for text in texts:
+            block = f"molecule {n}" + graph.table_of(text) + f"\n> <n>\n{n}\n\n"
+            assert graph.block_text(block) == graph.canonical(text) == graph.write(graph.read(text))
+            assert block.startswith(graph.to_molblock(graph.read(text), f"molecule {n}"))
+    assert len(read) == len(texts)
+    for bad in ("", "a\nb\nc", "a\nb\nc\n  2  1\nM  END\n", "a\n\n\nM  END\n"):
+        assert graph.block_text(bad) is None
