@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from compoundry.functions.skew import join_stats
+from compoundry.functions.skew import SALTS, hot_key_table
 from compoundry.operators import similarity
 from compoundry.session import reliable_checkpoint
 
@@ -16,6 +16,10 @@ SECTIONS = {
     "functional_group_registry": (3328, 3712), "ring_topology": (3712, 3840), "aromaticity_dehydro": (3840, 3968), "reserved": (3968, 4096)}
 
 
+#: Rows of a task of the sparse print; more rows make more tasks.
+TASK_ROWS = 500_000
+
+
 def section(group: Column, family: Column, name: Column, dehydro: Column, true_heterocycle: Column, hetero_atoms: Column, rings: Column) -> Column:
     """Section of a registry entry by its ordered rules."""
     g, f, n = (F.lower(F.coalesce(c, F.lit(""))) for c in (group, family, name))
@@ -68,13 +72,26 @@ def sparse_print(matches: DataFrame, entries: DataFrame, ident: str) -> DataFram
 
     ``matches`` holds (ident, entry_id) rows of any origin, repeats allowed; ``entries`` (entry_id, section, bit), each id
     once. Repeats fall together before the entries are joined, and an entry that a large part of all
-    molecules match is dealt out over salts. Matches of unknown entries and null molecules set no bit.
+    molecules match is dealt out over salts. Tasks follow the number of rows, so that none grows with the table. Matches of unknown entries and null molecules set no bit.
     """
-    seen = reliable_checkpoint(matches.where(F.col(ident).isNotNull() & F.col("entry_id").isNotNull()).select(ident, "entry_id").distinct())
+    pairs = matches.where(F.col(ident).isNotNull() & F.col("entry_id").isNotNull()).select(ident, "entry_id")
+    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // TASK_ROWS))
+    # a pair met again and again stays dealt over the splits it comes from
+    dealt = pairs.withColumn("_split", F.spark_partition_id()).repartition(tasks, ident, "entry_id", "_split")
+    seen = reliable_checkpoint(dealt.dropDuplicates([ident, "entry_id", "_split"]).drop("_split"))
     sizes = seen.groupBy("entry_id").agg(F.count(F.lit(1)).alias("_n"))
     known = entries.where(F.col("bit").isNotNull()).select("entry_id", "section", "bit").join(sizes, "entry_id")
-    bits = join_stats(seen, known, ["entry_id"], "_n", how="inner")
-    return bits.groupBy(ident, "section", "bit").agg(F.count(F.lit(1)).alias("n_entries"))
+    hot = hot_key_table(known, ["entry_id"], "_n")
+    keys, known = ["entry_id"], known.drop("_n")
+    if hot is not None:
+        mark = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+        keys = ["entry_id", "_salt"]
+        copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        known = known.join(mark, "entry_id", "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+        salt = F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int")
+        seen = seen.join(mark, "entry_id", "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
+    bits = seen.repartition(tasks, *keys).join(known.repartition(tasks, *keys).hint("merge"), keys).select(ident, "entry_id", "section", "bit")
+    return bits.repartition(tasks, ident).distinct().groupBy(ident, "section", "bit").agg(F.count(F.lit(1)).alias("n_entries"))
 
 
 def bit_support(sparse: DataFrame) -> DataFrame:

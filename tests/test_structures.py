@@ -431,3 +431,22 @@ def test_equal_tables_are_read_once(monkeypatch):
     assert len(read) == len(texts)
     for bad in ("", "a\nb\nc", "a\nb\nc\n  2  1\nM  END\n", "a\n\n\nM  END\n"):
         assert graph.block_text(bad) is None
+
+
+def test_tasks_of_the_print_follow_its_rows(spark, monkeypatch):
+    from compoundry.functions import skew
+    from compoundry.operators import registry
+
+    rows = [(i % 300, (7 * i) % 41) for i in range(6000)] + [(5, 3)] * 500 + [(None, 1), (9, 99)]
+    matches = spark.createDataFrame(rows, "m int, entry_id int").repartition(4)
+    entries = spark.createDataFrame([(e, "morgan", e % 10) for e in range(41)], "entry_id int, section string, bit int")
+    want = {}
+    for m, e in set(rows):
+        if m is not None and e < 41:
+            want[m, e % 10] = want.get((m, e % 10), 0) + 1
+    monkeypatch.setattr(registry, "TASK_ROWS", 100)
+    for limit in (1_000_000, 10):
+        monkeypatch.setattr(registry, "hot_key_table", lambda c, k, n, limit=limit: skew.hot_key_table(c, k, n, limit))
+        got = registry.sparse_print(matches, entries, "m")
+        assert {(r["m"], r["bit"]): r["n_entries"] for r in got.collect()} == want
+        assert got.rdd.getNumPartitions() >= 60
