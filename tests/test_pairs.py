@@ -496,3 +496,42 @@ def test_row_pairs_without_copies_are_not_joined_again(data, monkeypatch):
     alone = set(first.values())
     got = {(r["id_a"], r["id_b"]) for r in similarity.row_pairs(df.where(F.col("id").isin(sorted(alone))), "fp", "id", 0.5).collect()}
     assert got == {p for p in brute_pairs(rows, 0.5) if set(p) <= alone}
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, "-1")
+    yield
+    for n, v in old.items():
+        spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+
+
+def test_blocks_are_dealt_over_all_tasks_after_a_sort_merge_join(spark, data, no_broadcast):
+    from compoundry.functions import blocks
+
+    rows, df = data
+    classes = similarity.fingerprint_classes(df, "fp", "id")
+    pairs = similarity.class_pairs(classes, None, "fp", 0.5, block_rows=4, frequent=True)
+    lists = similarity.best_partners(classes, classes, "fp", 0.2, 3, False, 4)
+    for out in (pairs, lists):
+        assert out.rdd.getNumPartitions() >= blocks.tasks_for(df)
+
+
+def test_grown_blocks_give_the_same_pairs(data, monkeypatch):
+    from compoundry.functions import blocks
+
+    rows, df = data
+    classes = similarity.fingerprint_classes(df, "fp", "id")
+    ids = {r[0] for r in classes.select("class_id").collect()}
+    want = {p for p in brute_pairs(rows, 0.5) if set(p) <= ids}
+    links = lambda: {r["class_id"]: r["n_links"] for r in similarity.partner_rows(classes, "fp", 0.5, 3).collect()}
+    best = lambda: sorted(map(tuple, similarity.best_partners(classes, classes, "fp", 0.2, 3, False, 3).collect()))
+    small = links(), best()
+    monkeypatch.setattr(blocks, "CELL_BLOCKS", 1)
+    assert max(r["n_sub"] for r in blocks.cell_sizes(df.select(F.lit(0).alias("cell")), "cell", 3, 4).collect()) == 6
+    got = [(r[0], r[1]) for r in similarity.class_pairs(classes, None, "fp", 0.5, block_rows=3, frequent=True).select("class_a", "class_b").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert (links(), best()) == small
