@@ -535,3 +535,21 @@ def test_grown_blocks_give_the_same_pairs(data, monkeypatch):
     got = [(r[0], r[1]) for r in similarity.class_pairs(classes, None, "fp", 0.5, block_rows=3, frequent=True).select("class_a", "class_b").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert (links(), best()) == small
+
+
+def test_row_pairs_of_frequent_bits_go_through_no_join(spark, data, monkeypatch):
+    rows, df = data
+    monkeypatch.setattr(similarity, "frequent_bits", lambda *_: True)
+    monkeypatch.setattr(similarity, "with_class", None)
+    got = {(r["id_a"], r["id_b"]): r["similarity"] for r in similarity.row_pairs(df, "fp", "id", 0.55).collect()}
+    assert got == brute_pairs(rows, 0.55)
+    # rows that share an id are no pair, rows without one have none
+    odd = df.where("id < 3").select(F.when(F.col("id") < 2, F.lit(7).cast("bigint")).alias("id"), "fp")
+    assert similarity.row_pairs(odd, "fp", "id", 0.55).count() == 0
+
+
+def test_similarities_are_rounded_as_round_does(spark):
+    from compoundry.plans.pair_queries import rounded
+
+    df = spark.range(1, 1300).select(F.explode(F.transform(F.sequence(F.lit(1), F.col("id")), lambda c: c / F.col("id"))).alias("x"))
+    assert df.where(rounded(F.col("x")) != F.round("x", 6)).count() == 0
