@@ -504,6 +504,10 @@ def no_broadcast(spark):
     old = {n: spark.conf.get(n, None) for n in names}
     for n in names:
         spark.conf.set(n, "-1")
+    # as many partitions as the block step asks for: the join's partitioning then equals the repartition's
+    names = (*names, "spark.sql.shuffle.partitions")
+    old[names[-1]] = spark.conf.get(names[-1])
+    spark.conf.set(names[-1], "32")
     yield
     for n, v in old.items():
         spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
